@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +28,11 @@ from pyspark.sql import functions as F
 #: Symbols of a word that are encoded at once.
 LEAF = 24
 #: Words that a Python worker remembers; then it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+#: Words of these characters are normalized and pre-tokenized here, by the file's own rules, which for them are simple: they have
+#: no marks to compose, and lower case goes letter by letter. All other words go through the library's own normalizer.
+_PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
 #: White space on which Python and the vocabulary's normalizer might differ: such texts go to the library whole.
 _ODD_SPACE = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))) + "]")
 
@@ -50,10 +55,14 @@ class Encoder:
         specials = sorted((t.content for t in self.whole.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.parts: dict[str, list[int]] = {}
+        self.symbol = _byte_symbols()
 
     # -- tree concatenation -------------------------------------------------------------------------------------------
     def unsplit(self, symbols: str) -> list[int]:
         """Token ids of one pre-token, however long."""
+        if len(symbols) <= self.leaf:
+            return [t.id for t in self.closed.tokenize(symbols)]
         return [i for i, _ in self._tree(symbols, 0, len(symbols))]
 
     def _model(self, symbols: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -109,11 +118,20 @@ class Encoder:
         if len(self.known) > self.remembered:
             self.known.clear()
         new = [w for w in set(words) if w not in self.known]
-        short = [w for w in new if len(w) <= self.leaf]
-        coded = [(w, e.ids) for w, e in zip(short, self.whole.encode_batch_fast(short, add_special_tokens=False), strict=True)]
-        coded += [(w, self._long(w)) for w in new if len(w) > self.leaf]
-        for w, ids in coded:
-            self.known[w] = np.asarray(ids, "<u4").tobytes(), self.decode(ids)
+        for w in new:
+            ids = self._plain(w) if _PLAIN.fullmatch(w) and "<|" not in w else self._long(w)
+            self.known[w] = _packed(ids), self.decode(ids)
+
+    def _plain(self, word: str) -> list[int]:
+        out: list[int] = []
+        for part in _SPLIT.findall(word.lower()):
+            if (ids := self.parts.get(part)) is None:
+                if len(self.parts) > self.remembered:
+                    self.parts.clear()
+                symbols = part if part.isascii() else "".join(self.symbol[b] for b in part.encode())
+                ids = self.parts[part] = self.unsplit(symbols)
+            out += ids
+        return out
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """The ids as little-endian unsigned 32-bit integers, and the text they decode to."""
@@ -121,7 +139,7 @@ class Encoder:
             return b"", ""
         if _ODD_SPACE.search(text):
             ids = self.whole.encode(text, add_special_tokens=False).ids
-            return np.asarray(ids, "<u4").tobytes(), self.decode(ids)
+            return _packed(ids), self.decode(ids)
         words = text.split()
         out, back = [], []
         for at in range(0, len(words), 50_000):
@@ -139,6 +157,18 @@ class Encoder:
         return " ".join(map(self.pieces.__getitem__, ids))
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _byte_symbols() -> list[str]:
+    """The character for each byte in a byte-level vocabulary: itself if printable Latin-1, else from U+0100 on, in order."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b if b in printable else next(others)) for b in range(256)]
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str, leaf: int = LEAF) -> Encoder:
     return Encoder(path, leaf)

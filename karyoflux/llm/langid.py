@@ -29,7 +29,7 @@ from karyoflux.llm.common import remainder
 
 UND = "und"
 #: Labelled rows learned of each language, and letters read of each of those rows.
-ROWS_A_LANGUAGE, LETTERS_A_ROW = 400, 20_000
+ROWS_A_LANGUAGE, LETTERS_A_ROW = 250, 20_000
 #: What a switch costs, in natural log units.
 SWITCH = 12.0
 ORDER = 4
@@ -85,13 +85,15 @@ class Model:
         s = np.where(may, s, np.where(may.any(1, keepdims=True), -1e4, 0.0))
         at = len(self.known)
         if self.table is None or at + len(words) > len(self.table):
-            grown = np.zeros((max(1 << 16, 2 * (at + len(words))), len(self.langs)))
+            grown = np.zeros((max(1 << 16, 2 * (at + len(words))), len(self.langs) + 1))
             grown[:at] = 0 if self.table is None else self.table[:at]
             self.table = grown
-        self.table[at : at + len(words)] = s
+        self.table[at : at + len(words), :-1] = s
+        self.table[at : at + len(words), -1] = [len(w) for w in words]
         self.known.update(zip(words, range(at, at + len(words)), strict=True))
 
     def scores(self, words: list[str]) -> np.ndarray:
+        """A row for each word: its score in each language, then its number of letters."""
         if len(self.known) > REMEMBERED:
             self.known, self.table = {}, None
         if new := [w for w in set(words) if w not in self.known]:
@@ -103,7 +105,7 @@ class Model:
         found = list(_WORD.finditer(text or ""))
         if not found or not self.langs:
             return []
-        labels = viterbi(self.scores([m[0].lower() for m in found]), self.switch)
+        labels = viterbi(self.scores([m[0].lower() for m in found])[:, :-1], self.switch)
         cuts = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(found)]
         return [(found[a].start(), found[b - 1].end(), self.langs[labels[a]]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -112,7 +114,7 @@ class Model:
         if not words or not self.langs:
             return UND, 0.0
         s = self.scores(words)
-        size = np.fromiter(map(len, words), np.int64, len(words))
+        s, size = s[:, :-1], s[:, -1]
         known = s.any(axis=1)
         if not known.any():
             return UND, 0.0
