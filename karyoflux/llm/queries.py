@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karyoflux.llm import bpe, exact_dedup, langid, mixing, simhash
+from karyoflux.llm import audio, bpe, chat, exact_dedup, langid, lattice, mixing, pii, quality, simhash
 from karyoflux.llm.common import remainder, table
 
 
@@ -27,6 +27,24 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation; its JSON as length and digest."""
+    chats = chat.format_chats(*chat.link(*chat.from_turns(table(spark, sf_dir, "conversations"))), chat.TURN_SCHEMAS)
+    return chats.select("conv_id", "n_calls", "n_linked", "n_invalid", "n_cyclic", "n_orphans", F.length("chat").cast("long").alias("chat_chars"), F.sha2("chat", 256).alias("chat_sha256"))
+
+
+def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.telephone(table(spark, sf_dir, "documents"))
+
+
+def op4_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) == 2, tokenizer_path())
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(mixing.slim_rows(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -38,6 +56,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability of being good by both views and by their combination, and whether it is kept."""
+    docs = table(spark, sf_dir, "documents")
+    views = quality.train(docs, table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")))
+    return quality.score(docs, views).withColumn("kept", F.col("score") >= 0.5)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), keep=("doc_id",))
     return coded.select("doc_id", F.expr("cast(length(ids_le) div 4 as long)").alias("n_tokens"), F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -82,8 +107,13 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM g
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_chat": op2_chat,
+        "op3_audio": op3_audio,
+        "op4_lattice": op4_lattice,
+        "op5_pii": op5_pii,
         "op6_mixing": op6_mixing,
         "op7_language_id": op7_language_id,
+        "op8_quality": op8_quality,
         "op9_bpe": op9_bpe,
         "op10_exact_dedup": op10_exact_dedup,
     }
