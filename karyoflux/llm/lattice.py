@@ -38,7 +38,7 @@ from karyoflux.llm.bpe import _byte_symbols
 from karyoflux.runtime import materialize
 
 #: Words whose counts are broadcast, rounds of expectation maximisation, words that a worker remembers.
-HEAD, ROUNDS, REMEMBERED = 200_000, 2, 400_000
+HEAD, ROUNDS, REMEMBERED = 200_000, 4, 400_000
 #: Words of one length that are worked side by side.
 SIDE = 2048
 #: Distinct words that a task counts before it passes them on.
