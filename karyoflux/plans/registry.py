@@ -1,11 +1,599 @@
-"""All registered queries of the library's own operators."""
+"""All registered queries of the library's own operators, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from karyoflux.functions.stats import with_bh
+from karyoflux.model import genome_table
+from karyoflux.operators import chromoanasynthesis as cs
+from karyoflux.operators import chromoplexy as cp
+from karyoflux.operators import chromothripsis as ct
+from karyoflux.operators import cohort, genes, integrate, layouts, rate_chains, repair, segments, survival, variants
+from karyoflux.plans import oracle
+from karyoflux.sources import fixtures as fx
+from karyoflux.sources import vcf
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return reduce(lambda d, c: d.withColumn(c, F.round(c, digits)), columns, df)
+
+
+def longs(df: DataFrame) -> DataFrame:
+    """Counts as 64-bit integers."""
+    return df.select(*[F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
+
+
+# -- tables -----------------------------------------------------------------------------------------------------------------
+@query
+def sv_table(s, d):
+    return fx.sv(s, d)
+
+
+@query
+def cnv_table(s, d):
+    return longs(fx.cnv(s, d))
+
+
+@query
+def canonical_sv(s, d):
+    return variants.size_filter(variants.correct_types(variants.canonical(fx.sv(s, d))), 5000)
+
+
+@query
+def breakpoint_unpivot(s, d):
+    return longs(variants.breakpoints(fx.sv(s, d)))
+
+
+@query
+def breakpoint_nodes(s, d):
+    return longs(variants.nodes(fx.sv(s, d)))
+
+
+@query
+def qc_metrics(s, d):
+    return rounded(variants.qc_metrics(fx.sv(s, d), fx.cnv(s, d)), "inter_rate", "mean_segment", "small_rate")
+
+
+@query
+def quality_warnings(s, d):
+    return variants.quality_warnings(fx.sv(s, d), fx.cnv(s, d))
+
+
+@query
+def overlap_rate(s, d):
+    return rounded(variants.overlap_rate(fx.sv(s, d)), "overlap_rate")
+
+
+@query
+def flag_clustered_breakpoints(s, d):
+    c = variants.local_clusters(fx.sv(s, d), 200_000)
+    return c.withColumn("sv_ids", F.array_join("sv_ids", ","))
+
+
+@query
+def germline_filter(s, d):
+    return variants.without_local_clusters(fx.sv(s, d), 200_000)
+
+
+@query
+def merge_segments(s, d):
+    return longs(segments.merge_adjacent(fx.cnv(s, d)))
+
+
+@query
+def cn_oscillation(s, d):
+    return longs(segments.longest_runs(fx.cnv(s, d)))
+
+
+@query
+def linear_positions(s, d):
+    return layouts.arcs(fx.sv(s, d), genome_table(s)).select("sample_id", "sv_id", "x1", "x2", "span", "curvature")
+
+
+@query
+def region_clip(s, d):
+    return longs(segments_in_window(s, d))
+
+
+def segments_in_window(s, d):
+    return variants.clip_segments(fx.cnv(s, d), "1", 5_000_000, 12_000_000)
+
+
+# -- clustered shattering ---------------------------------------------------------------------------------------------------
+@query
+def ct_interleaving_pairs(s, d):
+    return ct.interleaving_pairs(fx.sv(s, d))
+
+
+@query
+def ct_components(s, d):
+    return ct.components(fx.sv(s, d))
+
+
+@query
+def ct_cluster_summary(s, d):
+    return longs(ct.cluster_summary(fx.sv(s, d), fx.cnv(s, d)))
+
+
+@query
+def ct_chromosome_counts(s, d):
+    return longs(ct.chromosome_counts(fx.sv(s, d), genome_table(s)))
+
+
+@query
+def ct_join_counts(s, d):
+    return rounded(ct.join_counts(fx.sv(s, d)), "joins_chi2")
+
+
+@query
+def ct_breakpoint_gaps(s, d):
+    return rounded(longs(ct.cluster_gaps(fx.sv(s, d))), "mean_gap", "ks_d")
+
+
+@query
+def ct_inter_joins(s, d):
+    return ct.inter_joins(fx.sv(s, d))
+
+
+def _criteria(s, d):
+    return ct.criteria(fx.sv(s, d), fx.cnv(s, d), genome_table(s))
+
+
+@query
+def ct_classification(s, d):
+    return ct.classify(_criteria(s, d))
+
+
+@query
+def ct_diagnostics(s, d):
+    return ct.diagnose(_criteria(s, d)).where("cluster_size > 0")
+
+
+@query
+def ct_sample_summary(s, d):
+    return ct.summarize(_criteria(s, d))
+
+
+# -- translocation chains ---------------------------------------------------------------------------------------------------
+@query
+def cp_deletion_bridges(s, d):
+    return rounded(longs(cp.deletion_bridges(fx.sv(s, d), fx.cnv(s, d))), "confidence")
+
+
+@query
+def cp_adjacency_edges(s, d):
+    return rounded(cp.adjacency_edges(fx.sv(s, d)).drop("place", "sv_no", "edge_type"), "evidence_strength")
+
+
+@query
+def cp_edges(s, d):
+    return rounded(cp.graph(fx.sv(s, d), fx.cnv(s, d)).drop("place"), "evidence_strength")
+
+
+@query
+def cp_adjacency_list(s, d):
+    return cp.adjacency_list(cp.graph(fx.sv(s, d))).select("sample_id", "node", F.size("neighbors").cast("long").alias("n_neighbors"), F.array_join(F.array_sort(F.transform("neighbors", lambda x: x["to"])), ",").alias("neighbors"))
+
+
+def _chains(s, d):
+    return cp.detect(fx.sv(s, d), fx.cnv(s, d))
+
+
+def _sure(s, d):
+    """Chains with the statistical test off, under which the small cohort has likely calls."""
+    return cp.detect(fx.sv(s, d), fx.cnv(s, d), statistical=False, likely=4, possible=3)
+
+
+@query
+def cp_chains(s, d):
+    return _chains(s, d)
+
+
+@query
+def cp_chain_diagnostics(s, d):
+    return cp.diagnose(_chains(s, d))
+
+
+def _events(s, d):
+    return cp.events(_sure(s, d), fx.sv(s, d))
+
+
+@query
+def cp_events(s, d):
+    return _events(s, d)
+
+
+@query
+def cp_event_edges(s, d):
+    c = _sure(s, d)
+    return cp.event_edges(c, cp.collapse(c))
+
+
+@query
+def cp_chain_context(s, d):
+    c = _sure(s, d)
+    return cp.local_variation(c, fx.cnv(s, d)).join(cp.bridge_enrichment(c, cp.deletion_bridges(fx.sv(s, d), fx.cnv(s, d))), ["sample_id", "chain_id"])
+
+
+def _detail(s, d):
+    e = _events(s, d)
+    b = cp.event_breakpoints(e)
+    return e, b, genes.at_breakpoints(b, fx.gene(s, d))
+
+
+@query
+def cp_event_genes(s, d):
+    e, _, g = _detail(s, d)
+    return genes.event_genes(e, g)
+
+
+@query
+def cp_gene_events(s, d):
+    return genes.gene_events(_detail(s, d)[2])
+
+
+@query
+def cp_gene_hits(s, d):
+    points = variants.breakpoints(fx.sv(s, d)).where("bp_no = 1").select("sample_id", "sv_id", "chrom", "pos")
+    return genes.at_breakpoints(points, fx.gene(s, d)).select("sample_id", "sv_id", "chrom", "pos", "symbol", "distance_to_breakpoint", "is_driver")
+
+
+@query
+def mu_rates(s, d):
+    return rounded(rate_chains.rates(fx.sv(s, d), genome_table(s)), "mu", digits=9)
+
+
+@query
+def stat_adjacency_edges(s, d):
+    return rounded(rate_chains.stat_edges(fx.sv(s, d), genome_table(s)), "pvalue", digits=9)
+
+
+@query
+def cp_rate_chains(s, d):
+    return rate_chains.detect(fx.sv(s, d), genome_table(s), fx.cnv(s, d))
+
+
+@query
+def cp_method_comparison(s, d):
+    return rate_chains.compare_methods(_chains(s, d), rate_chains.detect(fx.sv(s, d), genome_table(s), fx.cnv(s, d)))
+
+
+# -- gradients --------------------------------------------------------------------------------------------------------------
+@query
+def cs_windows(s, d):
+    return rounded(longs(cs.windows(fx.cnv(s, d))), "gradient_correlation", "slope", "variation_score", "cn_mean")
+
+
+@query
+def cs_regions(s, d):
+    return cs.detect(fx.sv(s, d), fx.cnv(s, d))
+
+
+# -- together ---------------------------------------------------------------------------------------------------------------
+def _modules(s, d):
+    return ct.classify(_criteria(s, d)), _sure(s, d), cs.detect(fx.sv(s, d), fx.cnv(s, d))
+
+
+def _locations(s, d):
+    return integrate.locations(*_modules(s, d))
+
+
+def _synthetic_locations(s, d):
+    """Calls laid out from the genes: a table with all mechanisms whose integration SQL can follow."""
+    g = fx.gene(s, d).withColumn("n", F.expr("int(substring(symbol, 2))"))
+    mech = F.expr("CASE n % 3 WHEN 0 THEN 'chromothripsis' WHEN 1 THEN 'chromoplexy' ELSE 'chromoanasynthesis' END")
+    return g.select(
+        F.expr("concat('S', n % 20)").alias("sample_id"), mech.alias("mechanism"), "chrom", "start", (F.col("end") + 4_000_000).alias("end"), F.expr("round(0.3 + (n % 7) / 10.0, 2)").cast("double").alias("confidence"),
+        F.expr("if(n % 4 = 0, 'Possible call', 'Likely call')").alias("classification"), F.concat(F.lit("E"), F.col("n").cast("string")).alias("event_id"),
+    )
+
+
+@query
+def mechanism_locations(s, d):
+    return _locations(s, d)
+
+
+@query
+def mechanism_overlaps(s, d):
+    return integrate.overlaps(_synthetic_locations(s, d))
+
+
+@query
+def chrom_class(s, d):
+    return longs(integrate.by_chromosome(_synthetic_locations(s, d)))
+
+
+@query
+def chrom_status(s, d):
+    return longs(integrate.chromosome_summary(_synthetic_locations(s, d), genome_table(s)).select("sample_id", "chrom", "status"))
+
+
+@query
+def sample_class(s, d):
+    loc = _synthetic_locations(s, d)
+    return longs(integrate.sample_class(loc, integrate.overlaps(loc)))
+
+
+@query
+def complexity(s, d):
+    loc = _synthetic_locations(s, d)
+    return rounded(longs(integrate.complexity(loc, integrate.overlaps(loc))).select("sample_id", "n_mechanisms", "n_chromosomes", "n_events", "n_overlaps", "score", "level"), "score")
+
+
+@query
+def dominance(s, d):
+    return rounded(integrate.dominance(_synthetic_locations(s, d)), "proportion")
+
+
+@query
+def dominance_labels(s, d):
+    return rounded(layouts.dominance_labels(integrate.dominance(_synthetic_locations(s, d))).select("sample_id", "mechanism", "label_at"), "label_at")
+
+
+@query
+def mechanism_matrix(s, d):
+    return layouts.mechanism_matrix(_synthetic_locations(s, d), genome_table(s))
+
+
+@query
+def global_fdr(s, d):
+    return integrate.global_fdr(_criteria(s, d), _chains(s, d))
+
+
+@query
+def bh_adjust(s, d):
+    x = fx.sv(s, d).select("sample_id", "sv_id", F.round(((F.col("sv_no") * 7919) % 10007 + 1) / 10008.0, 6).alias("p"))
+    return rounded(with_bh(x, "p", "fdr", ["sample_id"]), "fdr")
+
+
+def _summary(s, d):
+    a, b, c = _modules(s, d)
+    return integrate.summary(fx.sv(s, d), a, b, cp.events(b, fx.sv(s, d)), c)
+
+
+@query
+def integrated_summary(s, d):
+    return _summary(s, d)
+
+
+# -- genes and repair -------------------------------------------------------------------------------------------------------
+@query
+def fusions(s, d):
+    return genes.fusions(fx.sv(s, d), fx.gene(s, d))
+
+
+@query
+def gene_impact(s, d):
+    a, b, c = _modules(s, d)
+    points = b.where(F.col("classification") == cp.LIKELY).select("sample_id", F.explode("sv_nos").alias("sv_no")).distinct()
+    points = variants.breakpoints(fx.sv(s, d)).join(points, ["sample_id", "sv_no"]).select("sample_id", "chrom", "pos")
+    return genes.impact(a.where("classification = 'High confidence'").select("sample_id", "chrom", "start", "end"), points, c.where("classification = 'Likely chromoanasynthesis'").select("sample_id", "chrom", "start", "end"), fx.gene(s, d))
+
+
+def _repair(s, d):
+    return repair.classify(fx.flank(s, d), fx.sv(s, d))
+
+
+@query
+def microhomology(s, d):
+    f = fx.flank(s, d)
+    return f.select("sample_id", "sv_id", repair.microhomology_length(F.col("s1_disc"), F.col("s2_disc")).alias("run_length"), repair.microhomology_length(F.col("s1_disc"), F.col("s2_disc"), mode="longest").alias("longest"), repair.reverse_complement(F.col("s1_kept")).alias("rc"))
+
+
+@query
+def repair_class(s, d):
+    return _repair(s, d)
+
+
+@query
+def repair_summary(s, d):
+    return rounded(repair.summary(_repair(s, d)), "mean_length", "median_length")
+
+
+@query
+def repair_text(s, d):
+    return repair.region_text(_repair(s, d), ["sample_id"])
+
+
+@query
+def repair_by_type(s, d):
+    return rounded(layouts.repair_by_type(_repair(s, d)), "fraction")
+
+
+@query
+def microhomology_histogram(s, d):
+    return layouts.microhomology_histogram(_repair(s, d))
+
+
+# -- cohort -----------------------------------------------------------------------------------------------------------------
+def _points(s, d):
+    """Breakpoints of translocations as those of events: one event a sample and first chromosome."""
+    b = variants.breakpoints(variants.inter(fx.sv(s, d)))
+    return cohort.with_event_id(b.withColumn("collapsed_event_id", F.concat(F.lit("CE"), "chrom")).select("sample_id", "collapsed_event_id", "chrom", "pos"))
+
+
+@query
+def recurrent_regions(s, d):
+    return cohort.recurrent_regions(_points(s, d), min_samples=2)
+
+
+@query
+def recurrent_chromosomes(s, d):
+    return cohort.recurrent_chromosomes(_points(s, d))
+
+
+@query
+def recurrent_genes(s, d):
+    p = genes.at_breakpoints(_points(s, d), fx.gene(s, d)).withColumn("event_qc_score", F.col("pos") % 100 / 100.0)
+    n = fx.sv(s, d).agg(F.countDistinct("sample_id")).first()[0]
+    return rounded(cohort.recurrent_genes(p, n), "mean_event_qc_score", "max_event_qc_score", "recurrence_fraction", "recurrence_score")
+
+
+@query
+def event_artifacts(s, d):
+    e, b, _ = _detail(s, d)
+    return cohort.flag_artifacts(e, cohort.with_event_id(b))
+
+
+@query
+def event_cohort_priority(s, d):
+    e, b, g = _detail(s, d)
+    e = cohort.with_event_id(genes.event_genes(e, g))
+    return cohort.cohort_priority(e, cohort.recurrent_regions(cohort.with_event_id(b)))
+
+
+@query
+def sample_burden(s, d):
+    e, b, _ = _detail(s, d)
+    return cohort.sample_burden(e, b)
+
+
+@query
+def mechanism_crosstab(s, d):
+    x = _synthetic_locations(s, d).join(fx.clinical(s, d), "sample_id")
+    return cohort.crosstab(x, "grp", "mechanism")
+
+
+@query
+def cooccurrence(s, d):
+    return cohort.cooccurrence(_synthetic_locations(s, d))
+
+
+@query
+def prevalence(s, d):
+    return cohort.prevalence(_summary(s, d))
+
+
+def _hits(s, d):
+    p = variants.breakpoints(fx.sv(s, d)).select("sample_id", "sv_id", "chrom", "pos")
+    return genes.at_breakpoints(p, fx.gene(s, d)).select("sample_id", "symbol").distinct()
+
+
+def _positive(s, d):
+    return fx.sv(s, d).select("sample_id").distinct().where("int(substring(sample_id, 2)) % 3 = 0")
+
+
+@query
+def gene_enrichment(s, d):
+    return cohort.gene_enrichment(_hits(s, d), _positive(s, d), fx.sv(s, d))
+
+
+@query
+def group_tests(s, d):
+    return cohort.compare_groups(_synthetic_locations(s, d).select("sample_id", "mechanism"), fx.clinical(s, d))[1]
+
+
+@query
+def group_counts(s, d):
+    return rounded(cohort.compare_groups(_synthetic_locations(s, d).select("sample_id", "mechanism"), fx.clinical(s, d))[0], "fraction")
+
+
+def _gene_sets(s, d):
+    g = fx.gene(s, d)
+    a = g.select(F.lit("chromosome").alias("source"), F.concat(F.lit("chr"), "chrom").alias("set_name"), "symbol")
+    return a.unionByName(g.select(F.lit("role").alias("source"), F.col("gene_type").alias("set_name"), "symbol"))
+
+
+@query
+def over_representation(s, d):
+    picked = fx.gene(s, d).where("is_driver OR chrom = '2'")
+    return cohort.over_representation(picked.select("symbol"), _gene_sets(s, d), 20_000)
+
+
+# -- survival ---------------------------------------------------------------------------------------------------------------
+def _features(s, d):
+    q = variants.qc_metrics(fx.sv(s, d), fx.cnv(s, d))
+    return q.select("sample_id", F.col("n_svs"), F.col("n_inter"), (F.col("n_inter") >= 13).cast("int").alias("many_inter"))
+
+
+@query
+def survival_long(s, d):
+    return longs(survival.groups(survival.long_form(_features(s, d), fx.clinical(s, d))))
+
+
+@query
+def km_curve(s, d):
+    return rounded(survival.km_curve(survival.groups(survival.long_form(_features(s, d), fx.clinical(s, d)))), "survival")
+
+
+@query
+def logrank(s, d):
+    return rounded(survival.logrank(survival.groups(survival.long_form(_features(s, d), fx.clinical(s, d)))), "chisq")
+
+
+@query
+def km_tests(s, d):
+    return survival.km_tests(survival.groups(survival.long_form(_features(s, d), fx.clinical(s, d))))
+
+
+@query
+def cox_tests(s, d):
+    f = _features(s, d)
+    return survival.cox_tests(survival.long_form(f, fx.clinical(s, d)), f.select("sample_id", (F.col("n_svs") % 5).cast("double").alias("covariate")))
+
+
+@query
+def survival_features(s, d):
+    return survival.features(_summary(s, d), _events(s, d), genes.fusions(fx.sv(s, d), fx.gene(s, d)))
+
+
+@query
+def pathway_hits(s, d):
+    return survival.pathway_hits(_hits(s, d), _gene_sets(s, d))
+
+
+# -- plots and text sources -------------------------------------------------------------------------------------------------
+@query
+def sv_density(s, d):
+    return layouts.density(fx.sv(s, d))
+
+
+@query
+def genome_copy_numbers(s, d):
+    return layouts.genome_copy_numbers(fx.cnv(s, d), genome_table(s)).select("sample_id", "chrom", "x1", "x2", "shown_cn", "state")
+
+
+@query
+def scaled_segments(s, d):
+    return rounded(longs(layouts.scaled_segments(fx.cnv(s, d), ["sample_id", "chrom"])), "scaled_cn")
+
+
+@query
+def cohort_landscape(s, d):
+    return layouts.landscape(_summary(s, d), fx.clinical(s, d))
+
+
+@query
+def event_gene_labels(s, d):
+    return layouts.event_gene_labels(_detail(s, d)[2])
+
+
+@query
+def vcf_bnd_parse(s, d):
+    return vcf.parse_breakends(vcf.records(fx.vcf_line(s, d)))
+
+
+@query
+def vcf_delly_parse(s, d):
+    return vcf.sv_from_lines(fx.vcf_line(s, d), caller="delly").select("sample_id", "sv_id", "chrom1", "pos1", "strand1", "chrom2", "pos2", "strand2", "svtype")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracle.queries()
