@@ -1,7 +1,7 @@
 """Structural variants and copy numbers from VCF text.
 
 Files are read as lines, many at once; each line keeps the file's name, which becomes the sample. Callers are told by file from
-the header. Parsing is a projection over the line's fields and its INFO map.
+the header. Parsing is a projection over the line's fields and its INFO text.
 """
 
 from __future__ import annotations
@@ -45,20 +45,22 @@ def callers(lines: DataFrame, names: tuple[str, ...] = SV_CALLERS) -> DataFrame:
 
 
 def records(lines: DataFrame) -> DataFrame:
-    """sample_id, chrom, pos, id, ref, alt, info (map; flags have empty values), format, sample (first sample's field)."""
+    """sample_id, chrom, pos, id, ref, alt, info (text), format, sample (first sample's field)."""
     f = F.split("line", "\t")
     r = lines.where(~F.col("line").startswith("#") & (F.size(f) >= 8))
-    pairs = F.transform(F.filter(F.split(F.try_element_at(f, F.lit(8)), ";"), lambda x: x != ""), lambda x: F.struct(F.split(x, "=", 2)[0].alias("key"), F.coalesce(F.try_element_at(F.split(x, "=", 2), F.lit(2)), F.lit("")).alias("value")))
-    keys = F.transform(pairs, lambda x: x["key"])
-    last = F.filter(pairs, lambda x, i: F.array_position(F.slice(keys, i + 2, F.size(keys)), x["key"]) == 0)  # the last of repeated keys counts
     return r.select(
-        "sample_id", f[0].alias("chrom"), f[1].try_cast("long").alias("pos"), f[2].alias("id"), f[3].alias("ref"), f[4].alias("alt"), F.map_from_entries(last).alias("info"),
+        "sample_id", F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).try_cast("long").alias("pos"), F.get(f, F.lit(2)).alias("id"), F.get(f, F.lit(3)).alias("ref"), F.get(f, F.lit(4)).alias("alt"), F.try_element_at(f, F.lit(8)).alias("info"),
         F.try_element_at(f, F.lit(9)).alias("format"), F.try_element_at(f, F.lit(10)).alias("sample"),
     ).where("pos IS NOT NULL")
 
 
 def _key(*names: str) -> Column:
-    return F.coalesce(*[F.nullif(F.try_element_at("info", F.lit(n)), F.lit("")) for n in names])
+    """The value of the first of names that INFO has; of a repeated key the last."""
+    return F.coalesce(*[F.nullif(F.regexp_extract("info", f"^(?:.*;)?{n}=([^;]*)", 1), F.lit("")) for n in names])
+
+
+def _flag(name: str) -> Column:
+    return F.col("info").rlike(f"(^|;){name}(;|=|$)")
 
 
 def breakend(alt: Column) -> dict[str, Column]:
@@ -89,13 +91,14 @@ def parse(rec: DataFrame, caller: Column) -> DataFrame:
     raw = F.coalesce(_key("SVTYPE"), F.regexp_extract("alt", "<([^>:]+)", 1))
     ct = F.create_map(*[x for k, v in CONNECTION.items() for x in (F.lit(k), F.lit(v))])[_key("CT")]
     strands = F.nullif(F.substring(_key("STRANDS"), 1, 2), F.lit(""))
-    inv = F.when(F.array_contains(F.map_keys("info"), "INV3"), "++").when(F.array_contains(F.map_keys("info"), "INV5"), "--")
+    inv = F.when(_flag("INV3"), "++").when(_flag("INV5"), "--")
     pair = F.when(caller == "delly", ct).when(caller == "lumpy", strands).when(caller.isin("manta", "dragen"), inv)
     usual = F.when(raw.startswith("DEL"), "+-").when(raw.startswith("DUP") | raw.startswith("INS"), "-+").when(raw.startswith("INV"), "++")
     pair = F.coalesce(pair, F.concat(b["strand1"], b["strand2"]), usual, F.lit("+-"))
     r = rec.select("sample_id", F.col("id").alias("sv_id"), plain_chrom(F.col("chrom")).alias("chrom1"), F.col("pos").alias("pos1"), F.substring(pair, 1, 1).alias("strand1"), plain_chrom(chrom2).alias("chrom2"), pos2.alias("pos2"), F.substring(pair, 2, 1).alias("strand2"), raw.alias("raw"), _key("MATEID").alias("mate"))
     kind = F.when(F.col("chrom1") != F.col("chrom2"), "TRA").otherwise(standard_type(F.col("raw"), F.col("strand1"), F.col("strand2")))
-    return r.withColumn("svtype", kind).drop("raw")
+    # the record number keeps later filters from being pushed into, and copied all over, the expressions above
+    return r.withColumn("record", F.monotonically_increasing_id()).withColumn("svtype", kind).drop("raw")
 
 
 def pair_breakends(parsed: DataFrame) -> DataFrame:
@@ -111,7 +114,7 @@ def sv_from_lines(lines: DataFrame, caller: str = "auto", min_sv_size: int = 50,
     rec = records(lines)
     who = callers(lines) if caller == "auto" else lines.select("sample_id").distinct().withColumn("caller", F.lit(caller))
     parsed = pair_breakends(parse(rec.join(who, "sample_id"), F.col("caller")))
-    sv = size_filter(canonical(parsed), min_sv_size, include_tra)
+    sv = size_filter(canonical(parsed.drop("record")), min_sv_size, include_tra)
     return sv.withColumn("sv_no", F.row_number().over(Window.partitionBy("sample_id").orderBy("chrom1", "pos1", "sv_id")).cast("long"))
 
 
