@@ -55,7 +55,7 @@ def verified(rows: DataFrame) -> DataFrame:
     if clashing.isEmpty():
         return listed.withColumn("split", F.lit(None).cast("binary"))
     doubtful = rows.select("rid", F.explode("chunk.id").alias("id")).join(clashing, "id", "left_semi").select("rid").distinct()
-    return listed.join(doubtful.withColumn("doubt", F.lit(True)), "rid", "left").withColumn("split", F.when("doubt", F.col("digest"))).drop("doubt")
+    return listed.join(doubtful.withColumn("doubt", F.lit(True)), "rid", "left").withColumn("split", F.when(F.col("doubt"), F.col("digest"))).drop("doubt")
 
 
 def decide(df: DataFrame, rid: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
