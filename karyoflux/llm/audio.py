@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from karyoflux.llm.common import small_batches
+
 #: Payloads are a positive multiple of so many bytes, which is also the ADPCM block.
 BLOCK = 192
 RATE, RESAMPLED = 8000, 16000
@@ -164,6 +166,7 @@ def telephone(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
                 rows += _rows(part, codec, files)
             yield pd.DataFrame(rows, columns=[f.split(":")[0].strip() for f in kind.split(",")])
 
+    small_batches(df.sparkSession)
     return df.select(*keep, run(F.col(text)).alias("_sound")).select(*keep, "_sound.*")
 
 

@@ -25,10 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from karyoflux.llm.common import small_batches
+
 #: Symbols of a word that are encoded at once.
 LEAF = 24
 #: Words that a Python worker remembers; then it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 #: Words of these characters are normalized and pre-tokenized here, by the file's own rules, which for them are simple: they have
 #: no marks to compose, and lower case goes letter by letter. All other words go through the library's own normalizer.
 _PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
@@ -183,6 +185,7 @@ def encode(df: DataFrame, path: str, text: str = "text", leaf: int = LEAF, keep:
         for s in batches:
             yield pd.DataFrame([e.encode(t) for t in s], columns=["ids_le", "decoded"])
 
+    small_batches(df.sparkSession)
     coded = df.select(*keep, run(F.col(text)).alias("_coded"))
     return coded.select(*keep, "_coded.ids_le", "_coded.decoded")
 

@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from karyoflux.llm.common import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("secret", "account", "contact")
 LABELS = ("O", *ADDED)
@@ -344,6 +346,7 @@ def find(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
                 rows.append((*(sum(k == kind for k, _, _ in base) for kind in KINDS), hashlib.sha256(listed(base).encode()).hexdigest(), listed(every)))
             yield pd.DataFrame(rows, columns=names)
 
+    small_batches(df.sparkSession)
     return df.select(*keep, run(F.col(text)).alias("_found")).select(*keep, "_found.*")
 
 
@@ -357,6 +360,7 @@ def redact(df: DataFrame, text: str = "text", out: str = "redacted", field: Fiel
         for s in batches:
             yield pd.Series([None if t is None else _masked(t, all_spans(t, f)[1]) for t in s], dtype=object)
 
+    small_batches(df.sparkSession)
     return df.withColumn(out, run(F.col(text)))
 
 

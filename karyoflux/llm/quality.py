@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from karyoflux.llm.common import small_batches
+
 #: Labelled and unlabelled rows that training uses at most; hashed buckets of words and of metadata values.
 LABELLED, POOL = 3000, 3000
 WORDS, META = 2048, 64
@@ -177,6 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
 def score(docs: DataFrame, views: Views) -> DataFrame:
     """doc_id, p_text, p_meta, score for every row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(views)
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("struct<p_text: double, p_meta: double, score: double>")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from karyoflux.llm.common import keep_rows, with_row_ids
+from karyoflux.llm.common import keep_rows, small_batches, with_row_ids
 from karyoflux.operators.components import connected_components
 from karyoflux.runtime import materialize
 
@@ -61,6 +61,7 @@ def with_fingerprints(df: DataFrame, text: str = "text", out: str = "fp", shingl
         for s in batches:
             yield pd.Series([fingerprint(t, shingle, seed) for t in s], dtype="int64")
 
+    small_batches(df.sparkSession)
     return df.withColumn(out, of(F.col(text)))
 
 
