@@ -25,15 +25,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karyoflux.llm.common import remainder
+from karyoflux.llm.common import free_name, remainder, small_batches
 
 UND = "und"
-#: Labelled rows learned of each language, and letters read of each of those rows.
+#: Labelled rows learned of each language, and the length up to which rows are preferred.
 ROWS_A_LANGUAGE, LETTERS_A_ROW = 250, 20_000
 #: What a switch costs, in natural log units.
 SWITCH = 12.0
 ORDER = 4
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 # First and last code point of the main letter blocks of each script (Unicode).
 SCRIPTS = (
@@ -158,7 +158,8 @@ def _no_better(gain: np.ndarray, switch: float) -> bool:
 def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = ROWS_A_LANGUAGE, letters: int = LETTERS_A_ROW, switch: float = SWITCH) -> Model:
     """A model from at most `rows` labelled rows of each language, those with the least hash of key and text.
 
-    The languages themselves are found over all rows. letters bounds what is counted of a row, and with rows what reaches the driver.
+    The languages themselves are found over all rows. Rows of more than `letters` characters are learned, whole, only of languages
+    that lack shorter ones.
     """
     from pyspark.sql import Window
 
@@ -170,8 +171,8 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         return Model([], {}, {}, np.zeros((1, 0)), switch)
     share = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 4.0 * rows / n)))]), F.col("lang"))
     some = labelled.where(F.pmod("hash", F.lit(1 << 20)) < share * (1 << 20))
-    ranked = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "key", "text"))).where(F.col("place") <= rows)
-    return fit(((r.lang, r.text) for r in ranked.select("lang", F.substring("text", 1, letters).alias("text")).orderBy("lang", "place").toLocalIterator()), switch)
+    ranked = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.length("text") > letters, "hash", "key", "text"))).where(F.col("place") <= rows)
+    return fit(((r.lang, r.text) for r in ranked.select("lang", "text").orderBy("lang", "place").toLocalIterator()), switch)
 
 
 def fit(rows, switch: float = SWITCH) -> Model:
@@ -218,9 +219,8 @@ def fit(rows, switch: float = SWITCH) -> Model:
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df with lang_pred and score. The model is broadcast: its size is bounded by the sample it was fitted on."""
-    from karyoflux.llm.common import free_name
-
     sent = df.sparkSession.sparkContext.broadcast(model)
+    small_batches(df.sparkSession)
     out = free_name(df, "_label")
 
     @F.pandas_udf("struct<lang_pred: string, score: double>")
