@@ -304,7 +304,7 @@ FROM (SELECT *, CASE WHEN b THEN g2 ELSE coalesce(g1, 'intergenic') END AS p5, C
     FROM sv LEFT JOIN gs h1 ON h1.sample_id = sv.sample_id AND h1.sv_id = sv.sv_id AND h1.bp_no = 1 LEFT JOIN gs h2 ON h2.sample_id = sv.sample_id AND h2.sv_id = sv.sv_id AND h2.bp_no = 2
     WHERE (h1.symbol IS NOT NULL OR h2.symbol IS NOT NULL) AND (h1.symbol IS NULL OR h2.symbol IS NULL OR h1.symbol <> h2.symbol))))""", "sv", "gs"),
     "cs_windows": (
-        """SELECT sample_id, chrom, win_size, start_idx, start, "end", size, n_segments, CASE WHEN levels > 1 THEN round(rho, 6) END AS gradient_correlation, round(slope, 6) AS slope, round(CASE WHEN cn_mean > 0 THEN jumps / cn_mean ELSE 0.0 END, 6) AS variation_score, round(cn_mean, 6) AS cn_mean, cn_range FROM (
+        """SELECT sample_id, chrom, win_size, start_idx, start, "end", size, n_segments, CASE WHEN levels > 1 THEN round(rho, 6) + 0.0 END AS gradient_correlation, round(slope, 6) + 0.0 AS slope, round(CASE WHEN cn_mean > 0 THEN jumps / cn_mean ELSE 0.0 END, 6) AS variation_score, round(cn_mean, 6) AS cn_mean, cn_range FROM (
   SELECT sample_id, chrom, win_size, start_idx, min(start) AS start, max("end") AS "end", max("end") - min(start) AS size, count(*) AS n_segments, count(DISTINCT total_cn) AS levels, corr(i, r) AS rho, regr_slope(total_cn, i) AS slope, sum(jump) AS jumps, avg(total_cn) AS cn_mean, max(total_cn) - min(total_cn) AS cn_range FROM (
     SELECT *, rank() OVER (PARTITION BY sample_id, chrom, win_size, start_idx ORDER BY total_cn) + (count(*) OVER (PARTITION BY sample_id, chrom, win_size, start_idx, total_cn) - 1) / 2.0 AS r,
       abs(total_cn - lag(total_cn) OVER (PARTITION BY sample_id, chrom, win_size, start_idx ORDER BY seg_no)) AS jump, CAST(seg_no - start_idx + 1 AS BIGINT) AS i FROM (

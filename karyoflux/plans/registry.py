@@ -28,7 +28,7 @@ def query(f: Query) -> Query:
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return reduce(lambda d, c: d.withColumn(c, F.round(c, digits)), columns, df)
+    return reduce(lambda d, c: d.withColumn(c, F.round(c, digits) + F.lit(0.0)), columns, df)
 
 
 def longs(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from karyoflux.model import CHROMOSOMES
 from karyoflux.operators.segments import merge_adjacent
 from karyoflux.operators.variants import canonical, plain_chrom, size_filter, standard_type
+from karyoflux.runtime import materialize
 
 SV_CALLERS = ("dragen", "manta", "gridss", "delly", "lumpy", "sniffles")
 CNV_CALLERS = ("dragen", "cnvkit", "gatk", "freec", "canvas")
@@ -86,19 +87,21 @@ def parse(rec: DataFrame, caller: Column) -> DataFrame:
     delly: strands from CT. manta, dragen: INV3 and INV5 flags. lumpy: STRANDS. Others: INV as head to head, INS as DUP, BND as TRA.
     """
     b = breakend(F.col("alt"))
-    chrom2 = F.coalesce(_key("CHR2", "CHROM2", "chr2"), b["chrom2"], F.col("chrom"))
-    pos2 = F.coalesce(F.when(b["pos2"].isNotNull() & _key("POS2", "END2").isNull(), b["pos2"]), _key("POS2", "END2", "END").try_cast("long"), F.col("pos"))
-    raw = F.coalesce(_key("SVTYPE"), F.regexp_extract("alt", "<([^>:]+)", 1))
-    ct = F.create_map(*[x for k, v in CONNECTION.items() for x in (F.lit(k), F.lit(v))])[_key("CT")]
-    strands = F.nullif(F.substring(_key("STRANDS"), 1, 2), F.lit(""))
-    inv = F.when(_flag("INV3"), "++").when(_flag("INV5"), "--")
-    pair = F.when(caller == "delly", ct).when(caller == "lumpy", strands).when(caller.isin("manta", "dragen"), inv)
+    r = rec.select(
+        "sample_id", F.col("id").alias("sv_id"), "chrom", "pos", caller.alias("who"), F.coalesce(_key("SVTYPE"), F.regexp_extract("alt", "<([^>:]+)", 1)).alias("raw"), _key("CHR2", "CHROM2", "chr2").alias("there"),
+        _key("POS2", "END2").alias("pos_key"), _key("END").alias("end_key"), _key("CT").alias("ct"), F.nullif(F.substring(_key("STRANDS"), 1, 2), F.lit("")).alias("strands"),
+        F.when(_flag("INV3"), "++").when(_flag("INV5"), "--").alias("inv"), _key("MATEID").alias("mate"), b["chrom2"].alias("b_chrom"), b["pos2"].alias("b_pos"), F.concat(b["strand1"], b["strand2"]).alias("b_pair"),
+        F.monotonically_increasing_id().alias("record"),  # keeps later filters from being pushed into, and copied all over, these expressions
+    )
+    raw, who = F.col("raw"), F.col("who")
+    by_type = F.create_map(*[x for k, v in CONNECTION.items() for x in (F.lit(k), F.lit(v))])[F.col("ct")]
+    told = F.when(who == "delly", by_type).when(who == "lumpy", F.col("strands")).when(who.isin("manta", "dragen"), F.col("inv"))
     usual = F.when(raw.startswith("DEL"), "+-").when(raw.startswith("DUP") | raw.startswith("INS"), "-+").when(raw.startswith("INV"), "++")
-    pair = F.coalesce(pair, F.concat(b["strand1"], b["strand2"]), usual, F.lit("+-"))
-    r = rec.select("sample_id", F.col("id").alias("sv_id"), plain_chrom(F.col("chrom")).alias("chrom1"), F.col("pos").alias("pos1"), F.substring(pair, 1, 1).alias("strand1"), plain_chrom(chrom2).alias("chrom2"), pos2.alias("pos2"), F.substring(pair, 2, 1).alias("strand2"), raw.alias("raw"), _key("MATEID").alias("mate"))
+    pos2 = F.coalesce(F.when(F.col("pos_key").isNull(), F.col("b_pos")), F.coalesce("pos_key", "end_key").try_cast("long"), F.col("pos"))
+    r = r.withColumn("pair", F.coalesce(told, F.col("b_pair"), usual, F.lit("+-"))).withColumn("pos2", pos2).withColumn("far", F.coalesce("there", "b_chrom", "chrom"))
+    r = r.select("sample_id", "sv_id", plain_chrom(F.col("chrom")).alias("chrom1"), F.col("pos").alias("pos1"), F.substring("pair", 1, 1).alias("strand1"), plain_chrom(F.col("far")).alias("chrom2"), "pos2", F.substring("pair", 2, 1).alias("strand2"), "raw", "mate", "record")
     kind = F.when(F.col("chrom1") != F.col("chrom2"), "TRA").otherwise(standard_type(F.col("raw"), F.col("strand1"), F.col("strand2")))
-    # the record number keeps later filters from being pushed into, and copied all over, the expressions above
-    return r.withColumn("record", F.monotonically_increasing_id()).withColumn("svtype", kind).drop("raw")
+    return r.withColumn("svtype", kind).drop("raw")
 
 
 def pair_breakends(parsed: DataFrame) -> DataFrame:
@@ -113,7 +116,8 @@ def sv_from_lines(lines: DataFrame, caller: str = "auto", min_sv_size: int = 50,
     """The variant table (model.SV_COLUMNS and sv_no) of lines."""
     rec = records(lines)
     who = callers(lines) if caller == "auto" else lines.select("sample_id").distinct().withColumn("caller", F.lit(caller))
-    parsed = pair_breakends(parse(rec.join(who, "sample_id"), F.col("caller")))
+    # written once: text is not parsed again for every use, and the filters below don't drag the parser's expressions along
+    parsed = materialize(pair_breakends(parse(rec.join(who, "sample_id"), F.col("caller"))), "variants")
     sv = size_filter(canonical(parsed.drop("record")), min_sv_size, include_tra)
     return sv.withColumn("sv_no", F.row_number().over(Window.partitionBy("sample_id").orderBy("chrom1", "pos1", "sv_id")).cast("long"))
 
