@@ -35,10 +35,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from karyoflux.llm.bpe import _byte_symbols
+from karyoflux.llm.common import small_batches
 from karyoflux.runtime import materialize
 
-#: Words whose counts are broadcast, rounds of expectation maximisation, words that a worker remembers.
-HEAD, ROUNDS, REMEMBERED = 200_000, 4, 400_000
+#: Words whose counts are broadcast at most, and rounds of expectation maximisation.
+HEAD, ROUNDS = 200_000, 2
 #: Words of one length that are worked side by side.
 SIDE = 2048
 #: Distinct words that a task counts before it passes them on.
@@ -199,54 +200,87 @@ def score(df: DataFrame, held_out: Column, path: str, doc_id: str = "doc_id", te
     total, distinct, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
     n, v = total + ends, distinct + (ends > 0)
     logs = fit(counts, ends, path, rounds)
-    frequent = dict((bytes(w), c) for w, c in counts.orderBy(F.desc("c"), "word").limit(head).collect())
-    sent = spark.sparkContext.broadcast((frequent, logs / math.log(10)))
+    lattice = spark.sparkContext.broadcast(logs)
+    scored = materialize(with_scores(counts, path, lattice), "lattice")
     u = min(0.5, max(1e-6, once / n)) if n else 1.0
     whole = (1 - u) / max(n, 1)
     mixed = lambda c, log10: math.log10(whole * c + u * 10.0**log10) if c and log10 > -300 else math.log10(whole * c) if c else math.log10(u) + log10
     base = lambda c: math.log10((c + 1) / (n + v + 1))
 
+    sent = spark.sparkContext.broadcast({bytes(w): (c, x) for w, c, x in scored.where(F.col("c") >= head_count(scored, head)).collect()})
+    end_score = float(logs[-1]) / math.log(10)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_counts, log10s = sent.value
-        voc, known = vocabulary(path), {}
+        common = sent.value
         for b in batches:
-            rids, ids, outs, texts = (b.column(k).to_pylist() for k in range(4))
-            for at in range(0, len(texts), 200):
-                rows = [_words(t) for t in texts[at : at + 200]]
-                if len(known) > REMEMBERED:
-                    known.clear()
-                if new := [w for w in set().union(*rows) if w not in known]:
-                    known.update(zip(new, word_scores(voc, log10s, new).tolist(), strict=True))
-                cols: tuple[list, ...] = tuple([] for _ in names)
-                for k, words in enumerate(rows):
-                    sure, base_sum, pieces, uses = int(ends > 0), base(ends), float(log10s[-1]), mixed(ends, float(log10s[-1]))
-                    for w, times in Counter(words).items():
-                        pieces += times * known[w]
-                        if (c := head_counts.get(w)) is not None:
-                            sure += times
-                            base_sum += times * base(c)
-                            uses += times * mixed(c, known[w])
-                        else:
-                            for col, x in zip(cols, (rids[at + k], None, None, None, None, None, None, known[w], w, times), strict=True):
-                                col.append(x)
-                    for col, x in zip(cols, (rids[at + k], ids[at + k], outs[at + k], len(words) + 1, sure, base_sum, uses, pieces, None, None), strict=True):
-                        col.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+            docs: tuple[list, ...] = tuple([] for _ in range(5))
+            tails: tuple[list, ...] = ([], [], [])
+            for rid, t in zip(b.column(0).to_pylist(), b.column(3), strict=True):
+                words = _words(t.as_py())
+                sure, base_sum, pieces, uses = int(ends > 0), base(ends), end_score, mixed(ends, end_score)
+                for w, times in Counter(words).items():
+                    if (known := common.get(w)) is not None:
+                        sure += times
+                        base_sum += times * base(known[0])
+                        pieces += times * known[1]
+                        uses += times * mixed(*known)
+                    else:
+                        tails[0].append(rid)
+                        tails[1].append(w)
+                        tails[2].append(times)
+                for col, x in zip(docs, (len(words) + 1, sure, base_sum, uses, pieces), strict=True):
+                    col.append(x)
+            yield table([b.column(0), b.column(1), b.column(2), *docs, None, None], b.num_rows)
+            yield table([tails[0], *[None] * 7, *tails[1:]], len(tails[0]))
+
+    def table(cols: list, rows: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(rows, t) if c is None else pa.array(c, t) if isinstance(c, list) else c for c, t in zip(cols, kinds, strict=True)], names)
 
     names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "piece_score", "word", "times"]
     kinds = [pa.int64(), to_arrow_type(slim.schema["doc_id"].dataType), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
     schema = f"rid long, doc_id {slim.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double, piece_score double, word binary, times long"
     rows = slim.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text")
+    small_batches(spark)
     found = materialize(rows.mapInArrow(run, schema), "scored")
-    rare = found.where(F.col("word").isNotNull()).select("rid", "word", "times", "piece_score").join(counts, "word", "left")
-    c = F.coalesce("c", F.lit(0))
-    rare = rare.groupBy("rid").agg(
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(n + v + 1)))).alias("more_base"),
-        F.sum(F.col("times") * F.when(c > 0, F.log10(c * F.lit(whole) + F.lit(u) * F.pow(F.lit(10.0), F.col("piece_score")))).otherwise(F.log10(F.lit(u)) + F.col("piece_score"))).alias("more_score"),
+    met = found.where(F.col("word").isNotNull()).select("rid", "word", "times").join(scored, "word", "left")
+    fresh = with_scores(met.where(F.col("c").isNull()).select("rid", "times", "word", F.lit(0).cast("long").alias("c")), path, lattice)
+    met = met.where(F.col("c").isNotNull()).select("rid", "times", "c", "log10").unionByName(fresh.select("rid", "times", "c", "log10"))
+    c, x = F.col("c"), F.col("log10")
+    rare = met.groupBy("rid").agg(
+        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"),
+        F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(n + v + 1)))).alias("more_base"),
+        F.sum(F.col("times") * F.when(c > 0, F.log10(c * F.lit(whole) + F.lit(u) * F.pow(F.lit(10.0), x))).otherwise(F.log10(F.lit(u)) + x)).alias("more_score"),
+        F.sum(F.col("times") * x).alias("more_pieces"),
     )
     docs = found.where(F.col("word").isNull()).join(rare, "rid", "left")
+    plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
     return docs.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"), "piece_score",
-    )
+        "doc_id", "held_out", "n_tokens", plus("n_known", "more_known"), F.lit(n).cast("long").alias("train_tokens"), plus("base_score", "more_base"), plus("score", "more_score"), plus("piece_score", "more_pieces")
+    )
+
+
+def head_count(counts: DataFrame, most: int) -> float:
+    """A count that at most `most` words reach, from a histogram of counts in steps of an eighth of a power of two."""
+    step = F.floor(F.log2("c") * 8)
+    total, least = 0, math.inf
+    for s, words in sorted((tuple(r) for r in counts.groupBy(step.alias("s")).agg(F.count("*")).collect()), reverse=True):
+        total += words
+        if total > most:
+            break
+        least = 2.0 ** (s / 8)
+    return math.floor(least) if least < 2 else math.ceil(least - 1e-9) if math.isfinite(least) else math.inf
+
+
+def with_scores(df: DataFrame, path: str, lattice) -> DataFrame:
+    """df with log10: the log10 marginal of its column word."""
+    columns = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, at = vocabulary(path), columns.index("word")
+        for b in batches:
+            words = b.column(at).to_pylist()
+            new = list(set(words))
+            known = dict(zip(new, (word_scores(v, lattice.value, new) / math.log(10)).tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([known[w] for w in words], pa.float64())], [*columns, "log10"])
 
+    return df.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in [*df.dtypes, ("log10", "double")]))
