@@ -1,9 +1,13 @@
 """The pipeline on small documents against a plain version of its stages."""
 
+import itertools
+import random
 import re
 
+import pytest
+
 import corpus_pipeline
-from karyoflux.llm import langid, simhash
+from karyoflux.llm import langid, minhash, simhash
 
 
 def test_stages(spark, tmp_path):
@@ -30,3 +34,35 @@ def test_stages(spark, tmp_path):
     assert ids["tokens"] == ids["mixture"] and all(len(r.ids_le) == 4 * r.n_tokens for r in after["tokens"])
     assert langid.UND not in {r.lang for r in after["language"]}
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == ids["tokens"]
+
+
+@pytest.mark.parametrize("hot_key", [64, 3])
+def test_near_finds_similar_sets(spark, hot_key):
+    """Components against all pairs, compared by brute force on sets of five words."""
+    r = random.Random(9)
+    word = lambda: f"w{r.randrange(5000)}"
+    texts = ["", None, " \n", "one two three", "ONE  two three", "one two three four"]
+    for size in (40, 150, 400):
+        for family in range(6):
+            base = [word() for _ in range(size)]
+            texts.append(" ".join(base))
+            for changes in (1, 2, 4, 8, 12, 16):
+                copy = list(base)
+                for at in r.sample(range(size), max(1, changes * size // 400)):
+                    copy[at] = word()
+                texts.append(" ".join(copy))
+            texts.append(" ".join(base[: size // 2] + [word() for _ in range(size // 2)]))
+    base = [word() for _ in range(200)]
+    texts += [" ".join([*base[:at], word(), *base[at + 1 :]]) for at in range(0, 200, 2)]
+    sets = [set(zip(*((t or "").lower().split()[i:] for i in range(5)), strict=False)) or {tuple((t or "").lower().split())} for t in texts]
+    label, pairs = list(range(len(texts))), 0
+    for b, a in itertools.combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            pairs += 1
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = [new if x == old else x for x in label]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in minhash.near_dedup(docs, "doc_id", hot_key=hot_key).collect()}
+    assert pairs > 1000 and got == dict(enumerate(label))
+    kept = corpus_pipeline.near(spark, docs, "").collect() if hot_key == 64 else []
+    assert not kept or sorted(x.doc_id for x in kept) == sorted(set(label))
