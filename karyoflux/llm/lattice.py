@@ -39,7 +39,7 @@ from karyoflux.llm.common import small_batches
 from karyoflux.runtime import materialize
 
 #: Words whose counts are broadcast at most, and rounds of expectation maximisation.
-HEAD, ROUNDS = 200_000, 2
+HEAD, ROUNDS = 200_000, 4
 #: Words of one length that are worked side by side.
 SIDE = 2048
 #: Distinct words that a task counts before it passes them on.

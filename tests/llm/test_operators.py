@@ -233,6 +233,12 @@ def test_lattice_scores(docs, empty):
     assert lattice.score(empty.drop("score", "rid"), held, PATH, rounds=1).count() == 0
 
 
+def test_lattice_fits_four_rounds(docs):
+    held = F.coalesce(F.col("doc_id"), F.lit(0)) % 3 == 0
+    scores = lambda **how: sorted((str(r.doc_id), round(r.score, 6), round(r.piece_score, 6)) for r in lattice.score(docs.drop("score", "rid"), held, PATH, **how).collect())
+    assert scores() == scores(rounds=4) != scores(rounds=2)
+
+
 def test_patterns():
     text = "a.b+c@x-y.example.com, 1.2.3.4 1.2.3.256.7 4111 1111 1111 1111 4111111111111112 +1 (555) 010-9999 +12 @x.y a@b"
     got = pii.pattern_spans(text)
