@@ -1,7 +1,8 @@
 """Chat formatting with tool calls: link calls to results, order them, check arguments, write canonical JSON.
 
-1. Calls and results meet in a hash join by (conversation, identifier). Each side keeps one row an identifier, the least by
-   place and text; further results of one identifier and results without a call are orphans.
+1. Calls and results meet in a hash join by (conversation, identifier). Of each side the first row of an identifier, the least by
+   place and text, is linked. Further calls of one identifier stay as calls without a result and are marked with their number
+   ("copy": 2 and so on); further results of one identifier and results without a call are orphans.
 2. A call's arguments are checked against the schema of its tool's name (type, required, properties, additionalProperties, enum,
    minimum, maximum, minLength, maxLength, items) and written as canonical JSON: keys in order of code point, no spaces,
    no escapes but those JSON needs.
@@ -60,8 +61,10 @@ def problems(value, schema: dict, at: str = "$") -> list[str]:
 
 
 def topological(calls: list[tuple[int, str, list[str]]]) -> tuple[list[int], set[int]]:
-    """(order, cyclic) of calls (place, id, dependencies), as positions in the list."""
-    where = {c[1]: k for k, c in enumerate(calls)}
+    """(order, cyclic) of calls (place, id, dependencies), as positions in the list. A repeated id means its first call."""
+    where: dict[str, int] = {}
+    for k, c in enumerate(calls):
+        where.setdefault(c[1], k)
     after: list[list[int]] = [[] for _ in calls]
     waits = [0] * len(calls)
     for k, (_, _, needs) in enumerate(calls):
@@ -86,16 +89,17 @@ def topological(calls: list[tuple[int, str, list[str]]]) -> tuple[list[int], set
 def link(calls: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(linked, orphans) of calls (conv_id, id, place, name, arguments, needs) and results (conv_id, id, place, content).
 
-    linked has one row an identifier with content (null without a result); orphans the results that no call took.
+    linked has every call with content (null without a result) and copy, its number among the calls of its identifier, of which
+    the first takes the result; orphans the results that no call took.
     """
     one = Window.partitionBy("conv_id", "id")
-    calls = calls.withColumn("_n", F.row_number().over(one.orderBy("place", "name", "arguments"))).where("_n = 1").drop("_n")
+    calls = calls.withColumn("copy", F.row_number().over(one.orderBy("place", "name", "arguments", "needs")))
     results = results.withColumn("_n", F.row_number().over(one.orderBy("place", "content")))
     firsts, more = results.where("_n = 1").drop("_n"), results.where("_n > 1").drop("_n")
     r = firsts.select(F.col("conv_id").alias("r_conv"), F.col("id").alias("r_id"), F.col("content"), F.lit(True).alias("answered"))
-    same = calls["conv_id"].eqNullSafe(F.col("r_conv")) & (calls["id"] == F.col("r_id"))
+    same = calls["conv_id"].eqNullSafe(F.col("r_conv")) & (calls["id"] == F.col("r_id")) & (calls["copy"] == 1)
     linked = calls.join(r, same, "left").drop("r_conv", "r_id")
-    keys = calls.select(F.col("conv_id").alias("c_conv"), F.col("id").alias("c_id"))
+    keys = calls.where("copy = 1").select(F.col("conv_id").alias("c_conv"), F.col("id").alias("c_id"))
     lone = firsts.join(keys, firsts["conv_id"].eqNullSafe(F.col("c_conv")) & (firsts["id"] == F.col("c_id")), "left_anti")
     return linked, lone.unionByName(more)
 
@@ -103,7 +107,7 @@ def link(calls: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
 def format_chats(linked: DataFrame, orphans: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """A row a conversation: conv_id, n_calls, n_linked, n_invalid, n_cyclic, n_orphans, chat (canonical JSON)."""
     calls = linked.groupBy("conv_id").agg(
-        F.collect_list(F.struct("place", "id", "name", "arguments", F.coalesce("needs", F.array().cast("array<string>")).alias("needs"), "content", F.coalesce("answered", F.lit(False)).alias("answered"))).alias("calls")
+        F.collect_list(F.struct("place", "id", "copy", "name", "arguments", F.coalesce("needs", F.array().cast("array<string>")).alias("needs"), "content", F.coalesce("answered", F.lit(False)).alias("answered"))).alias("calls")
     )
     lone = orphans.groupBy("conv_id").agg(F.collect_list(F.struct("place", "id", "content")).alias("orphans"))
     lone = lone.withColumnRenamed("conv_id", "o_conv")
@@ -119,7 +123,7 @@ def format_chats(linked: DataFrame, orphans: DataFrame, schemas: dict[str, dict]
 
 
 def write(calls: list[dict], orphans: list[dict], schemas: dict[str, dict]) -> tuple[int, int, int, int, int, str]:
-    calls = sorted(calls, key=lambda c: (c["place"], c["id"]))
+    calls = sorted(calls, key=lambda c: (c["place"], c["id"], c["copy"]))
     order, cyclic = topological([(c["place"], c["id"], list(c["needs"])) for c in calls])
     out, linked, invalid = [], 0, 0
     for k in order:
@@ -130,6 +134,8 @@ def write(calls: list[dict], orphans: list[dict], schemas: dict[str, dict]) -> t
         except ValueError:
             value, wrong = c["arguments"], ["$:json"]
         row = {"id": c["id"], "name": c["name"], "arguments": value}
+        if c["copy"] > 1:
+            row["copy"] = int(c["copy"])
         if c["answered"]:
             linked += 1
             row["result"] = c["content"]
@@ -157,18 +163,19 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Every turn that isn't the assistant's calls `respond` with what it says and needs the call two turns before; the
     assistant's turn is the result of the turn before it. Turns that hold {"tool_calls": [...]} or {"tool_call_id": ..., "content": ...}
-    as JSON are calls and results under their own identifiers.
+    as JSON are calls and results under their own identifiers; a list without calls is a plain turn.
     """
     t = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text")).distinct()
     tool = F.from_json(F.when(F.col("text").startswith("{"), F.col("text")), "tool_calls array<struct<id: string, name: string, arguments: string, needs: array<string>>>, tool_call_id string, content string")
     t = t.withColumn("tool", tool)
-    spoken = t.where(F.col("tool.tool_calls").isNull() & F.col("tool.tool_call_id").isNull())
+    calls = F.coalesce(F.size("tool.tool_calls"), F.lit(0)) > 0
+    spoken = t.where(~calls & F.col("tool.tool_call_id").isNull())
     place = F.coalesce("turn", F.lit(-1))
     said = spoken.where(~F.col("role").eqNullSafe("assistant"))
     arguments = F.to_json(F.struct("role", "text", "turn"))
     asked = said.select("conv_id", place.cast("string").alias("id"), place.alias("place"), F.lit("respond").alias("name"), arguments.alias("arguments"), F.array((place - 2).cast("string")).alias("needs"))
     answered = spoken.where(F.col("role").eqNullSafe("assistant")).select("conv_id", (place - 1).cast("string").alias("id"), place.alias("place"), F.col("text").alias("content"))
-    called = t.where(F.col("tool.tool_calls").isNotNull()).select("conv_id", place.alias("place"), F.explode("tool.tool_calls").alias("c"))
+    called = t.where(calls).select("conv_id", place.alias("place"), F.explode("tool.tool_calls").alias("c"))
     called = called.select("conv_id", F.coalesce("c.id", F.lit("")).alias("id"), "place", "c.name", "c.arguments", "c.needs")
     given = t.where(F.col("tool.tool_call_id").isNotNull()).select("conv_id", F.col("tool.tool_call_id").alias("id"), place.alias("place"), F.coalesce("tool.content", F.lit("")).alias("content"))
     return asked.unionByName(called), answered.unionByName(given)

@@ -375,3 +375,14 @@ def test_chats(spark):
     assert got[1].chat == '{"calls":[{"arguments":{"role":"user","text":"hi","turn":0},"id":"0","name":"respond","result":"hello"},{"arguments":{"turn":1},"errors":["$.role:required","$.text:required"],"id":"c1","name":"respond","result":"done"}],"orphans":[{"id":"zz","result":""}]}'
     assert (got[2].n_calls, got[2].n_orphans) == (0, 1) and got[None].n_calls == 1
     assert chat.format_chats(*chat.link(*chat.from_turns(turns.limit(0))), chat.TURN_SCHEMAS).count() == 0
+
+
+def test_every_call_is_kept(spark):
+    """Null conversations and turns, shared turn numbers, calls without an id and empty lists of calls."""
+    call = '{"tool_calls": [{"name": "respond", "arguments": "{}"}, {"name": "other", "arguments": "{}"}]}'
+    rows = [(None, 0, "user", f"q{i}") for i in range(5)] + [(None, None, "user", f"n{i}") for i in range(3)] + [(1, None, "system", "a"), (1, None, "user", "b"), (1, 0, "user", "x"), (1, 0, "user", "y"), (1, 1, "assistant", "z"), (2, 0, "assistant", call), (2, 1, "assistant", call), (2, 3, "user", '{"tool_calls": []}')]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.format_chats(*chat.link(*chat.from_turns(turns)), chat.TURN_SCHEMAS).collect()}
+    assert {k: (r.n_calls, r.n_linked, r.n_orphans) for k, r in got.items()} == {None: (8, 0, 0), 1: (4, 1, 0), 2: (5, 0, 0)}
+    assert all(f'"{t}"' in got[None].chat for t in ["q0", "q1", "q2", "q3", "q4", "n0", "n1", "n2"])
+    assert '"turn":0},"id":"0","name":"respond","result":"z"' in got[1].chat and '"copy":2,"id":"0"' in got[1].chat
