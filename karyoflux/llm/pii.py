@@ -11,9 +11,10 @@ It is trained here on drawn examples (train()), which need no labelled text: spa
 know and in forms they don't (quoted tokens, keys, account numbers, phones without a plus, addresses spelled out), between
 neutral words and near misses.
 
-A token that has no digit, at sign or long mixed run, and no trigger word near it, can't start or end an entity, so only
-windows around candidates are decoded; the rest is outside in every labelling that counts. Added kinds: secret, account,
-contact. Added spans that overlap a pattern's span give way to it.
+Every entity holds a digit or an at sign (may()) and has at most MAX_TOKENS tokens, so only windows of that many tokens around
+each digit run and at sign are decoded, with the words before them that features look at. All else is outside in every
+labelling, and the spans are those of decoding the whole text. Added kinds: secret, account, contact. Added spans that overlap
+a pattern's span give way to it.
 
 Null counts as empty text and has no spans. Texts are read whole; repeated rows get equal results; an empty table gives no rows.
 """
@@ -36,7 +37,8 @@ from karyoflux.llm.common import small_batches
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("secret", "account", "contact")
 LABELS = ("O", *ADDED)
-MAX_TOKENS = 6
+#: Enough for account numbers in groups of four and phones in pairs with signs between.
+MAX_TOKENS = 12
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -94,7 +96,7 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
 
 
 # -- the random field -----------------------------------------------------------------------------------------------------
-_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_")
+_TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 _MIXED = re.compile(r"[A-Za-z0-9_-]{16,}")
 # Words that announce an entity, in the languages of the examples.
 TRIGGERS = {
@@ -103,9 +105,9 @@ TRIGGERS = {
     "contact": "phone tel telefon téléphone teléfono mobile call fax email mail contact",
 }
 _TRIGGER = {w: k for k, words in TRIGGERS.items() for w in words.split()}
-#: Windows of text around candidates: characters before and after.
-BEFORE, AFTER = 48, 64
-_CANDIDATE = re.compile(r"[A-Za-z0-9_-]{4,}|[(\[]at[)\]]")
+#: Tokens before a span that its features look at.
+CONTEXT = 4
+_CANDIDATE = re.compile(r"\d|@|\(at\)|\[at\]")
 
 
 def tokens(text: str) -> list[tuple[int, int]]:
@@ -153,18 +155,21 @@ class Field:
         """Entities start and end in a letter or digit, hold a digit or an at sign, and stay in a line."""
         a, b = toks[i][0], toks[j - 1][1]
         s = text[a:b]
-        return s[0].isalnum() and s[-1].isalnum() and len(s) >= 6 and "\n" not in s and any(c.isdecimal() for c in s)
+        return s[0].isalnum() and s[-1].isalnum() and len(s) >= 6 and "\n" not in s and _CANDIDATE.search(s) is not None
 
     def arcs(self, text: str, toks: list[tuple[int, int]]) -> list[tuple[int, int, int, list[str]]]:
         """(i, j, label, features) of every segment that may be one."""
-        out = []
-        for i in range(len(toks)):
-            out.append((i, i + 1, 0, [f"o:{f}" for f in span_features(text, toks, i, i + 1)] if any(c.isdecimal() for c in text[toks[i][0] : toks[i][1]]) else ["o:plain"]))
+        return [(i, j, k, f) for i, j, kinds, f in self.segments(text, toks) for k in kinds]
+
+    def segments(self, text: str, toks: list[tuple[int, int]]) -> Iterator[tuple[int, int, range, list[str]]]:
+        """(i, j, labels, features), by start, so that no more than one span's features are held at a time."""
+        for i, (a, b) in enumerate(toks):
+            yield i, i + 1, range(1), [f"o:{f}" for f in span_features(text, toks, i, i + 1)] if any(c.isdecimal() for c in text[a:b]) else ["o:plain"]
+            if not text[a].isalnum() or not _CANDIDATE.search(text, a, toks[min(len(toks), i + MAX_TOKENS) - 1][1]):
+                continue
             for j in range(i + 1, min(len(toks), i + MAX_TOKENS) + 1):
                 if self.may(text, toks, i, j):
-                    features = span_features(text, toks, i, j)
-                    out += [(i, j, k, features) for k in range(1, len(LABELS))]
-        return out
+                    yield i, j, range(1, len(LABELS)), span_features(text, toks, i, j)
 
     def score(self, label: int, features: list[str]) -> float:
         name = LABELS[label]
@@ -173,15 +178,20 @@ class Field:
     def best(self, text: str, toks: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
         """The spans of the labelling with the greatest score; ties go to the earlier arc, so to outside."""
         n, size = len(toks), len(LABELS)
-        top = np.full((n + 1, size), -np.inf)
-        top[0, 0] = 0.0
+        move = [[self.w.get((p, f"next:{k}"), 0.0) for p in LABELS] for k in LABELS]
+        top = np.full((n + 1, size), -np.inf).tolist()
+        top[0][0] = 0.0
         back: dict[tuple[int, int], tuple[int, int]] = {}
-        for i, j, k, f in self.arcs(text, toks):
-            s = self.score(k, f)
-            for p in range(size):
-                if top[i, p] > -np.inf and (x := top[i, p] + s + self.w.get((LABELS[p], f"next:{LABELS[k]}"), 0.0)) > top[j, k]:
-                    top[j, k], back[j, k] = x, (i, p)
-        at, out = (n, int(top[n].argmax())), []
+        into, at = [], -1
+        for i, j, kinds, f in self.segments(text, toks):
+            if i > at:  # segments come in order of their start, so top[i] is complete
+                at = i
+                into = [max((top[i][p] + move[k][p], -p) for p in range(size)) for k in range(size)]
+            for k in kinds:
+                x, p = into[k]
+                if (x := x + self.score(k, f)) > top[j][k]:
+                    top[j][k], back[j, k] = x, (i, -p)
+        at, out = (n, top[n].index(max(top[n]))), []
         while at[0] > 0:
             i, p = back[at]
             if at[1]:
@@ -245,9 +255,10 @@ def examples(n: int, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int
             q = r.choice(['"', '"', "'", ""])
             return r.choice([f"{trigger(kind)} = {q}", f"{trigger(kind)}: {q}", f"{trigger(kind)}={q}", q]), kind, v, q
         if kind == "account":
-            v = r.choice([r.choice(["DE", "FR", "ES", "GB"]) + digits(20), f"{digits(3)}-{digits(2)}-{digits(4)}", digits(r.randint(8, 12))])
+            v = r.choice([r.choice(["DE", "FR", "ES", "GB"]) + digits(20), r.choice(["DE", "FR", "ES", "GB"]) + f"{digits(2)} " + " ".join(digits(4) for _ in range(r.randint(4, 6))) + f" {digits(2)}", f"{digits(3)}-{digits(2)}-{digits(4)}", digits(r.randint(8, 12))])
             return r.choice([f"{trigger(kind)} ", f"{trigger(kind)}: ", f"{trigger(kind)} no. "]), kind, v, ""
-        v = r.choice([f"{digits(3)}-{digits(3)}-{digits(4)}", f"0{digits(3)} {digits(3)} {digits(4)}", f"{word()}{digits(2)}(at){word()}"])
+        pairs = r.choice(" .-").join(["0" + digits(1), *(digits(2) for _ in range(4))])
+        v = r.choice([f"{digits(3)}-{digits(3)}-{digits(4)}", f"0{digits(3)} {digits(3)} {digits(4)}", f"0{digits(2)} {digits(3)} {digits(3)}", pairs, f"{word()}{r.choice(['', digits(2)])}{r.choice(['(at)', '[at]'])}{word()}"])
         return r.choice([f"{trigger(kind)} ", f"{trigger(kind)}: ", f"{trigger(kind)}. "]), kind, v, ""
 
     def near_miss():
@@ -287,36 +298,31 @@ def train(n: int = 260, rounds: int = 4, seed: int = 11) -> Field:
     return field
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches around candidates that the field decodes, cut at white space and merged where they meet."""
+def windows(text: str, toks: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of tokens around candidates that the field decodes, merged where they meet.
+
+    A span that holds a candidate starts fewer than MAX_TOKENS tokens before it and ends fewer than that after it; one more token
+    on each side, where there is one, is outside.
+    """
     out: list[list[int]] = []
+    k = 0
     for m in _CANDIDATE.finditer(text):
-        if m[0][0] not in "([" and not _DIGIT.search(m[0]):
-            continue
-        a, b = max(0, m.start() - BEFORE), min(len(text), m.end() + AFTER)
-        while a > 0 and not text[a - 1].isspace() and m.start() - a < 2 * BEFORE:
-            a -= 1
-        while b < len(text) and not text[b].isspace() and b - m.end() < 2 * AFTER:
-            b += 1
+        while k < len(toks) and toks[k][1] <= m.start():
+            k += 1
+        a, b = max(0, k - MAX_TOKENS - CONTEXT), min(len(toks), k + MAX_TOKENS + 3)
         if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
+            out[-1][1] = b
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
 
 
 def added_spans(text: str, field: Field, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """What the field finds besides base. Windows longer than 4000 characters are worked in pieces at white space."""
-    found = []
-    for a, b in windows(text) if _DIGIT.search(text) else []:
-        at = a
-        while at < b:
-            end = min(b, at + 4000)
-            while end < b and end > at + 2000 and not text[end - 1].isspace():
-                end -= 1
-            part = text[at:end]
-            found += [(k, x + at, y + at) for k, x, y in field.best(part, tokens(part))]
-            at = end
+    """What the field finds besides base."""
+    if not _CANDIDATE.search(text):
+        return []
+    toks = tokens(text)
+    found = [s for a, b in windows(text, toks) for s in field.best(text, toks[a:b])]
     return [s for s in found if not any(s[1] < b and a < s[2] for _, a, b in base)]
 
 

@@ -287,6 +287,23 @@ def test_field_best_is_best():
     assert of(field.best(text, toks)) == pytest.approx(score(0, 0))
 
 
+def test_field_windows_are_whole():
+    """Decoding windows gives what decoding the whole text gives, in forms without long runs of digits too."""
+    field, r = pii.train(), random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(1, 12)))
+    drawn = ["tel 06 12 34 56 78", "tel 06.12.34.56.78", "030 123 456", "mail john(at)example", "IBAN DE89 3704 0044 0532 0130 00", "7 8 9 " * 1200, "٣٤ ٥٦"]
+    drawn += [t for t, _ in pii.examples(40, seed=5)]
+    drawn += [" ".join(r.choice([word(), word(), word(), r.choice(drawn)]) for _ in range(60)) for _ in range(12)]
+    for text in drawn:
+        assert pii.added_spans(text, field, []) == field.best(text, pii.tokens(text))
+
+
+@pytest.mark.parametrize("lead, value", [("phone ", "06 12 34 56 78"), ("phone ", "06-12-34-56-78"), ("contact: ", "john(at)example"), ("IBAN ", "DE89 3704 0044 0532 0130 00")])
+def test_field_finds_grouped_forms(lead, value):
+    text = f"the reader on the re {lead}{value} and then on"
+    assert [text[a:b] for _, a, b in pii.all_spans(text, pii.train())[1]] == [value]
+
+
 def test_pii_rows(docs, empty):
     assert pii.find(docs).count() == docs.count() and pii.find(empty).count() == 0
     (row,) = pii.redact(docs.limit(1).withColumn("text", F.lit("mail a.b@c.de now")), out="r").select("r").collect()
