@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from karyoflux.functions.stats import correlation_pvalue
+from karyoflux.operators.intervals import join_overlapping
 from karyoflux.operators.variants import inter, intra
 
 KEYS = ["sample_id", "chrom"]
@@ -101,7 +102,7 @@ def regions(cnv: DataFrame, cutoff: float = 0.8, **frame) -> DataFrame:
 def region_variants(regions: DataFrame, sv: DataFrame) -> DataFrame:
     """Variants with both ends in a region: sample_id, region_id, sv_no, svtype, pos1, pos2."""
     r = regions.select("sample_id", "region_id", F.col("chrom").alias("chrom1"), F.col("start").alias("r1"), F.col("end").alias("r2"))
-    j = intra(sv).join(r, ["sample_id", "chrom1"]).where(F.col("pos1").between(F.col("r1"), F.col("r2")) & F.col("pos2").between(F.col("r1"), F.col("r2")))
+    j = join_overlapping(intra(sv), r, ["sample_id", "chrom1"], (F.col("pos1"), F.col("pos1")), (F.col("r1"), F.col("r2"))).where(F.col("pos2").between(F.col("r1"), F.col("r2")))
     return j.select("sample_id", "region_id", "sv_no", "svtype", "pos1", "pos2")
 
 
@@ -138,8 +139,10 @@ def topology(regions: DataFrame, sv: DataFrame) -> DataFrame:
     )
     r = regions.select("sample_id", "region_id", "chrom", "start", "end")
     s = inter(sv)
-    hit = lambda n: (F.col(f"chrom{n}") == F.col("chrom")) & F.col(f"pos{n}").between(F.col("start"), F.col("end"))
-    one = s.join(r, "sample_id").where(hit(1) | hit(2)).groupBy("sample_id", "region_id").agg(F.count("*").alias("n_inter_chr_svs"))
+    ends = F.explode(F.array(*[F.struct(F.col(f"chrom{n}").alias("chrom"), F.col(f"pos{n}").alias("pos")) for n in (1, 2)]))
+    s = s.select("sample_id", F.monotonically_increasing_id().alias("variant"), ends.alias("e")).select("sample_id", "variant", "e.*")
+    one = join_overlapping(s, r, ["sample_id", "chrom"], (F.col("pos"), F.col("pos")), (F.col("start"), F.col("end")))
+    one = one.groupBy("sample_id", "region_id").agg(F.countDistinct("variant").alias("n_inter_chr_svs"))
     out = regions
     for other in (t, linked_chains(inside), one):
         out = out.join(other, ["sample_id", "region_id"], "left")

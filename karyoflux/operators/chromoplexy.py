@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from karyoflux.functions.stats import adjacency_pvalue, fisher_combine
 from karyoflux.model import GENOME_SIZE
+from karyoflux.operators.intervals import join_overlapping
 from karyoflux.operators.variants import breakpoints, inter, nodes
 
 TRA, BRIDGE, ADJACENT = "TRANSLOCATION", "DELETION_BRIDGE", "ADJACENCY"
@@ -36,7 +37,8 @@ def deletion_bridges(sv: DataFrame, cnv: DataFrame, max_distance: int = 1_000_00
     b = breakpoints(inter(sv)).drop("strand")
     d = cnv.where("total_cn < 2").select("sample_id", "chrom", F.col("start").alias("deletion_start"), F.col("end").alias("deletion_end"), F.col("total_cn").alias("deletion_cn"))
     near = F.when(F.col("pos").between(F.col("deletion_start"), F.col("deletion_end")), F.lit(0)).otherwise(F.least(F.abs(F.col("deletion_start") - F.col("pos")), F.abs(F.col("deletion_end") - F.col("pos"))))
-    j = b.join(d, ["sample_id", "chrom"]).withColumn("distance_to_breakpoint", near).where(F.col("distance_to_breakpoint") <= max_distance)
+    reach = (F.col("pos") - max_distance, F.col("pos") + max_distance)
+    j = join_overlapping(b, d, ["sample_id", "chrom"], reach, (F.col("deletion_start"), F.col("deletion_end")), 4 * max_distance).withColumn("distance_to_breakpoint", near)
     j = j.withColumn("deletion_size", F.col("deletion_end") - F.col("deletion_start"))
     return j.withColumn("confidence", bridge_confidence(F.col("distance_to_breakpoint"), F.col("deletion_size"), F.col("deletion_cn")))
 
@@ -53,7 +55,8 @@ def bridge_edges(sv: DataFrame, cnv: DataFrame, max_distance: int = 1_000_000, p
     """From a breakpoint to each other breakpoint in the padded lost segment beside it."""
     b = deletion_bridges(sv, cnv, max_distance)
     n = nodes(sv).select("sample_id", "chrom", F.col("pos").alias("other"))
-    j = b.join(n, ["sample_id", "chrom"]).where(F.col("other").between(F.col("deletion_start") - padding, F.col("deletion_end") + padding) & (F.col("other") != F.col("pos")))
+    lost = (F.col("deletion_start") - padding, F.col("deletion_end") + padding)
+    j = join_overlapping(b, n, ["sample_id", "chrom"], lost, (F.col("other"), F.col("other"))).where(F.col("other") != F.col("pos"))
     return j.select(
         "sample_id", node_name(F.col("chrom"), F.col("pos")).alias("from_node"), node_name(F.col("chrom"), F.col("other")).alias("to_node"), F.lit(BRIDGE).alias("edge_type"), "sv_no",
         F.col("deletion_size").alias("distance"), F.col("confidence").alias("evidence_strength"), F.array(F.lit(1), F.col("sv_no"), F.col("bp_no"), F.col("deletion_start"), F.col("other")).alias("place"),

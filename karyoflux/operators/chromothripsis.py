@@ -6,56 +6,100 @@ chromosome's cluster is every component of that graph that has the chromosome's
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from karyoflux.functions import stats
+from karyoflux.operators.intervals import join_overlapping
 from karyoflux.operators.segments import longest_runs, segments_of
 from karyoflux.operators.variants import inter, intra
+from karyoflux.runtime import materialize
 
 KEYS = ["sample_id", "chrom"]
 
 
 def interleaving_pairs(sv: DataFrame) -> DataFrame:
-    """(sample_id, chrom, a, b): pairs of variants that interleave. The equi part of the join is the sample and chromosome."""
+    """(sample_id, chrom, a, b): pairs of variants that interleave, through position bins."""
     s = intra(sv).select("sample_id", F.col("chrom1").alias("chrom"), "sv_id", "pos1", "pos2")
     a = s.select("sample_id", "chrom", F.col("sv_id").alias("a"), F.col("pos1").alias("a1"), F.col("pos2").alias("a2"))
     b = s.select("sample_id", "chrom", F.col("sv_id").alias("b"), F.col("pos1").alias("b1"), F.col("pos2").alias("b2"))
-    return a.join(b, KEYS).where("a1 < b1 AND b1 - 1 <= a2 + 1 AND a2 < b2").select("sample_id", "chrom", "a", "b")
+    # of two that interleave the second starts in the first, or at most two bases behind its end
+    j = join_overlapping(a, b, KEYS, (F.col("a1"), F.col("a2") + 2), (F.col("b1"), F.col("b1")))
+    return j.where("a1 < b1 AND a2 < b2").select("sample_id", "chrom", "a", "b")
 
 
-def components(sv: DataFrame) -> DataFrame:
-    """(sample_id, chrom, sv_id, component, n): the component (its least variant) of every variant within a chromosome, and its size.
+def sweep(pos1: list[int], pos2: list[int]) -> list[int]:
+    """For each interval a number that those of its component share, in one sweep over the sorted ends, without any pairs.
 
-    Components are found in each sample's chromosome by union-find over its edges, which are few.
+    Open intervals lie on a stack of groups in order of start. What still is open and started behind an interval when that one
+    ends interleaves with it, so the groups above its own join it; each group is joined once, which makes the sweep linear.
     """
-    s = intra(sv).select("sample_id", F.col("chrom1").alias("chrom"), F.col("sv_id").alias("a"))
-    edges = interleaving_pairs(sv).unionByName(s.withColumn("b", F.col("a")))
+    n = len(pos1)
+    starts = sorted(range(n), key=lambda k: (pos1[k], -pos2[k], k))
+    rank = [0] * n
+    for r, k in enumerate(starts):
+        rank[k] = r
+    parent, still_open, stack, at = list(range(n)), [0] * n, [], 0
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for k in sorted(range(n), key=lambda k: (max(pos1[k], pos2[k]), -rank[k])):
+        while at < n and pos1[starts[at]] <= max(pos1[k], pos2[k]) + 2:
+            stack.append(starts[at])
+            still_open[starts[at]] = 1
+            at += 1
+        own = find(k)
+        while stack[-1] != own:
+            top = stack.pop()
+            parent[top] = own
+            still_open[own] += still_open[top]
+        still_open[own] -= 1
+        if not still_open[own]:
+            stack.pop()
+    return [find(k) for k in range(n)]
 
-    def union(pdf: pd.DataFrame) -> pd.DataFrame:
-        root: dict[str, str] = {}
 
-        def find(x: str) -> str:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
+def components(sv: DataFrame) -> DataFrame:
+    """(sample_id, chrom, sv_id, component, n, top): the component (its least variant) of every variant within a chromosome, its
+    size, and the greatest size on the chromosome.
 
-        for x in pd.unique(pdf["a"]):
-            root[x] = x
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            a, b = find(a), find(b)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-        out = pd.DataFrame({"sv_id": list(root), "component": [find(x) for x in root]})
-        out.insert(0, "chrom", pdf["chrom"].iloc[0])
-        out.insert(0, "sample_id", pdf["sample_id"].iloc[0])
-        return out
+    Chromosomes are swept one after another in sorted partitions, many in a batch; a task holds the variants of one at a time.
+    """
+    s = intra(sv).select("sample_id", F.col("chrom1").alias("chrom"), "sv_id", "pos1", "pos2")
 
-    found = edges.groupBy(*KEYS).applyInPandas(union, "sample_id string, chrom string, sv_id string, component string")
-    return found.withColumn("n", F.count("*").over(Window.partitionBy("sample_id", "chrom", "component")))
+    def of(rows: list[tuple]) -> list[tuple]:
+        found = sweep([r[3] for r in rows], [r[4] for r in rows])
+        least: dict[int, str] = {}
+        sizes: dict[int, int] = {}
+        for r, g in zip(rows, found, strict=True):
+            least[g] = min(least.get(g, r[2]), r[2])
+            sizes[g] = sizes.get(g, 0) + 1
+        top = max(sizes.values())
+        return [(r[0], r[1], r[2], least[g], sizes[g], top) for r, g in zip(rows, found, strict=True)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["sample_id", "chrom", "sv_id", "component", "n", "top"]
+        rows: list[tuple] = []
+        for pdf in batches:
+            out = []
+            for r in zip(*(pdf[c] for c in pdf.columns), strict=True):
+                if rows and r[:2] != rows[-1][:2]:
+                    out += of(rows)
+                    rows = []
+                rows.append(r)
+            yield pd.DataFrame(out, columns=names)
+        if rows:
+            yield pd.DataFrame(of(rows), columns=names)
+
+    return s.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInPandas(run, "sample_id string, chrom string, sv_id string, component string, n long, top long")
 
 
 def degrees(sv: DataFrame) -> DataFrame:
@@ -67,23 +111,27 @@ def degrees(sv: DataFrame) -> DataFrame:
 
 def members(sv: DataFrame, min_size: int = 1) -> DataFrame:
     """The variants of each chromosome's cluster, with its size."""
-    c = components(sv).withColumn("top", F.max("n").over(Window.partitionBy(*KEYS)))
-    m = c.where(F.col("n") == F.col("top")).where(F.col("n") >= min_size).select(*KEYS, "sv_id", "n")
+    m = components(sv).where((F.col("n") == F.col("top")) & (F.col("n") >= min_size)).select(*KEYS, "sv_id", "n")
     return m.join(intra(sv).select("sample_id", "sv_id", "pos1", "pos2", "strand1", "strand2", "svtype"), ["sample_id", "sv_id"])
 
 
-def clusters(sv: DataFrame, min_size: int = 1) -> DataFrame:
-    """A row for each sample's chromosome with a cluster: its size, bounds, and counts by type over the pooled components."""
+def clusters(sv: DataFrame, min_size: int = 1, m: DataFrame | None = None) -> DataFrame:
+    """A row for each sample's chromosome with a cluster: its size, bounds, and counts by type over the pooled components.
+
+    Here and below m is the table of members(sv), if it is there already.
+    """
     count = lambda t: F.count_if(F.col("svtype") == t)
-    return members(sv, min_size).groupBy(*KEYS).agg(
+    return (members(sv) if m is None else m).where(F.col("n") >= min_size).groupBy(*KEYS).agg(
         F.max("n").alias("cluster_size"), F.min(F.least("pos1", "pos2")).alias("start"), F.max(F.greatest("pos1", "pos2")).alias("end"),
         count("DEL").alias("number_del"), count("DUP").alias("number_dup"), count("h2hINV").alias("number_h2hinv"), count("t2tINV").alias("number_t2tinv"),
     )
 
 
-def cluster_summary(sv: DataFrame, cnv: DataFrame, min_size: int = 1) -> DataFrame:
+def cluster_summary(sv: DataFrame, cnv: DataFrame, min_size: int = 1, m: DataFrame | None = None) -> DataFrame:
     """Clusters with oscillating segments in the cluster's region and on the whole chromosome."""
-    c = clusters(sv, min_size)
+    if m is None:
+        m = materialize(members(sv), "members")
+    c = clusters(sv, min_size, m)
     region = longest_runs(segments_of(c, cnv)).select(*KEYS, F.col("n_segments").alias("number_cnv_segments"), F.col("osc2").alias("osc2_cluster"), F.col("osc3").alias("osc3_cluster"))
     whole = longest_runs(cnv).select(*KEYS, F.col("osc2").alias("osc2_chr"), F.col("osc3").alias("osc3_chr"))
     return c.join(region, KEYS, "left").join(whole, KEYS, "left")
@@ -104,9 +152,11 @@ def sides(sv: DataFrame) -> DataFrame:
     return one.unionByName(two)
 
 
-def join_counts(sv: DataFrame, min_size: int = 1) -> DataFrame:
+def join_counts(sv: DataFrame, min_size: int = 1, m: DataFrame | None = None) -> DataFrame:
     """Counts of join types in each cluster with and without the translocations that end in it, and the chi-square against ¼ each."""
-    c = clusters(sv, min_size)
+    if m is None:
+        m = materialize(members(sv), "members")
+    c = clusters(sv, min_size, m)
     t = sides(sv).join(c.select(*KEYS, "start", "end"), KEYS).where("pos BETWEEN start AND end")
     pair = F.concat("strand1", "strand2")
     t = t.groupBy(*KEYS).agg(F.countDistinct("sv_id").alias("number_tra"), *[F.count_if(pair == p).alias(f"t_{n}") for n, p in (("del", "+-"), ("h2hinv", "++"), ("t2tinv", "--"), ("dup", "-+"))])
@@ -139,16 +189,17 @@ def linked_sides(sv: DataFrame, c: DataFrame, margin: int = 10_000) -> DataFrame
     return t.where(F.col("near") | ~F.col("any_near"))
 
 
-def cluster_gaps(sv: DataFrame) -> DataFrame:
+def cluster_gaps(sv: DataFrame, m: DataFrame | None = None) -> DataFrame:
     """Gaps between the breakpoints of each cluster, translocation ends inside it included."""
-    m = members(sv)
+    if m is None:
+        m = materialize(members(sv), "members")
     own = m.select(*KEYS, F.explode(F.array("pos1", "pos2")).alias("pos"))
-    t = sides(sv).join(clusters(sv).select(*KEYS, "start", "end"), KEYS).where("pos BETWEEN start AND end").select(*KEYS, "pos")
+    t = sides(sv).join(clusters(sv, m=m).select(*KEYS, "start", "end"), KEYS).where("pos BETWEEN start AND end").select(*KEYS, "pos")
     return _gaps(own.unionByName(t))
 
 
-def chromosome_gaps(sv: DataFrame) -> DataFrame:
-    return _gaps(linked_sides(sv, clusters(sv)).select(*KEYS, "pos"))
+def chromosome_gaps(sv: DataFrame, m: DataFrame | None = None) -> DataFrame:
+    return _gaps(linked_sides(sv, clusters(sv, m=m)).select(*KEYS, "pos"))
 
 
 @F.pandas_udf(DoubleType())
@@ -166,12 +217,14 @@ def _binomial_p(x: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series([None if k != k or not k else stats.binomial_two_sided(int(i), int(k), q) for i, k, q in zip(x.astype(float), n.astype(float), p, strict=True)], dtype=float)
 
 
-def inter_joins(sv: DataFrame, margin: int = 10_000) -> DataFrame:
+def inter_joins(sv: DataFrame, margin: int = 10_000, m: DataFrame | None = None) -> DataFrame:
     """Chromosomes that each cluster is linked to by two or more translocation ends near their own clusters, with join counts.
 
     Counted are the linked chromosomes' cluster variants and the translocations between them and the cluster's chromosome.
     """
-    c, m = clusters(sv), members(sv)
+    if m is None:
+        m = materialize(members(sv), "members")
+    c = clusters(sv, m=m)
     t = sides(sv).join(c.select(*KEYS, "start", "end"), KEYS).where(F.col("pos").between(F.col("start") - margin, F.col("end") + margin)).drop("start", "end", "pos")
     far = sides(sv).select("sample_id", "sv_id", F.col("chrom").alias("other"), F.col("pos").alias("far_pos"))
     links = t.join(far, ["sample_id", "sv_id", "other"])
@@ -194,18 +247,19 @@ def criteria(sv: DataFrame, cnv: DataFrame, genome: DataFrame) -> DataFrame:
     p-values use seeded null tables that depend on sizes alone: gaps against the exponential law, joins against equal shares; the
     enrichment test is the exact binomial with chromosome lengths as weights.
     """
-    s = cluster_summary(sv, cnv)
-    j = join_counts(sv).select(*KEYS, "number_tra", "cluster_size_including_tra", "join_del", "join_h2hinv", "join_t2tinv", "join_dup")
-    g = cluster_gaps(sv).select(*KEYS, _ks_p("ks_d", "n_gaps").alias("pval_exp_cluster"))
-    h = chromosome_gaps(sv).select(*KEYS, _ks_p("ks_d", "n_gaps").alias("pval_exp_chr"))
-    near = linked_sides(sv, clusters(sv))
+    m = materialize(members(sv), "members")
+    s = cluster_summary(sv, cnv, m=m)
+    j = join_counts(sv, m=m).select(*KEYS, "number_tra", "cluster_size_including_tra", "join_del", "join_h2hinv", "join_t2tinv", "join_dup")
+    g = cluster_gaps(sv, m).select(*KEYS, _ks_p("ks_d", "n_gaps").alias("pval_exp_cluster"))
+    h = chromosome_gaps(sv, m).select(*KEYS, _ks_p("ks_d", "n_gaps").alias("pval_exp_chr"))
+    near = linked_sides(sv, clusters(sv, m=m))
     hits = near.groupBy(*KEYS).agg(F.countDistinct("sv_id").alias("n_here"), F.bool_or("near").alias("windowed"))
     total = inter(sv).groupBy("sample_id").agg(F.count("*").alias("n_inter"))
     weights = genome.select("chrom", (F.col("size") / F.sum("size").over(Window.partitionBy(F.lit(1)))).alias("weight"))
     hits = hits.join(total, "sample_id").join(F.broadcast(weights), "chrom").withColumn("n_all", F.when(F.col("windowed"), F.col("n_here")).otherwise(F.col("n_inter")))
     hits = hits.select(*KEYS, _binomial_p("n_here", "n_all", "weight").alias("chr_breakpoint_enrichment"))
     n = sv.groupBy("sample_id").agg(F.count("*").alias("number_svs_sample"))
-    x = inter_joins(sv)
+    x = inter_joins(sv, m=m)
     x = x.withColumn("inter_pval_fragment_joins", _joins_p("inter_number_del", "inter_number_h2hinv", "inter_number_t2tinv", "inter_number_dup"))
     out = s.join(j, KEYS).withColumn("pval_fragment_joins", _joins_p("join_del", "join_h2hinv", "join_t2tinv", "join_dup")).drop("join_del", "join_h2hinv", "join_t2tinv", "join_dup")
     for other in (g, h, hits, x):

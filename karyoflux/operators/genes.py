@@ -6,16 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from karyoflux.model import DEFAULT_DRIVERS
+from karyoflux.operators.intervals import join_overlapping
 from karyoflux.operators.variants import plain_chrom
 
-#: Gene tables up to so many rows are broadcast; larger ones meet in a shuffle join on the chromosome.
-BROADCAST_GENES = 200_000
-
 
 def gene_side(gene: DataFrame) -> DataFrame:
-    """The gene table as a join side: hinted for broadcast only when a count proves it small."""
-    g = gene.withColumn("chrom", plain_chrom(F.col("chrom")))
-    return F.broadcast(g) if g.limit(BROADCAST_GENES + 1).count() <= BROADCAST_GENES else g
+    """The gene table as a side of binned joins, which Spark broadcasts if it measures it small and shuffles if not."""
+    return gene.withColumn("chrom", plain_chrom(F.col("chrom")))
 
 
 def with_drivers(gene: DataFrame, drivers: list[str] | None = None) -> DataFrame:
@@ -27,8 +24,8 @@ def with_drivers(gene: DataFrame, drivers: list[str] | None = None) -> DataFrame
 
 def at_breakpoints(points: DataFrame, gene: DataFrame, padding: int = 1000) -> DataFrame:
     """points (chrom, pos, ...) with each gene within padding and its distance (0 inside)."""
-    g = gene_side(with_drivers(gene)).select("symbol", "gene_id", "gene_type", "is_driver", F.col("chrom").alias("gene_chrom"), F.col("start").alias("gene_start"), F.col("end").alias("gene_end"))
-    j = points.join(g, (F.col("chrom") == F.col("gene_chrom")) & (F.col("pos") + padding >= F.col("gene_start")) & (F.col("pos") - padding <= F.col("gene_end")))
+    g = gene_side(with_drivers(gene)).select("symbol", "gene_id", "gene_type", "is_driver", "chrom", F.col("start").alias("gene_start"), F.col("end").alias("gene_end"))
+    j = join_overlapping(points, g, ["chrom"], (F.col("pos") - padding, F.col("pos") + padding), (F.col("gene_start"), F.col("gene_end")))
     return j.withColumn("distance_to_breakpoint", F.greatest(F.lit(0), F.col("gene_start") - F.col("pos"), F.col("pos") - F.col("gene_end")))
 
 
@@ -47,14 +44,14 @@ def event_genes(event: DataFrame, detail: DataFrame) -> DataFrame:
 def gene_events(detail: DataFrame) -> DataFrame:
     """A row a gene: the events that hit it."""
     return detail.groupBy("sample_id", "symbol").agg(
-        F.first("gene_id").alias("gene_id"), F.bool_or("is_driver").alias("is_driver"), F.countDistinct("collapsed_event_id").alias("n_events"), F.array_join(F.sort_array(F.collect_set("collapsed_event_id")), ",").alias("events"), F.min("distance_to_breakpoint").alias("min_distance")
+        F.min("gene_id").alias("gene_id"), F.bool_or("is_driver").alias("is_driver"), F.countDistinct("collapsed_event_id").alias("n_events"), F.array_join(F.sort_array(F.collect_set("collapsed_event_id")), ",").alias("events"), F.min("distance_to_breakpoint").alias("min_distance")
     )
 
 
 def in_regions(region: DataFrame, gene: DataFrame) -> DataFrame:
     """region (chrom, start, end, ...) with each gene that overlaps it."""
-    g = gene_side(with_drivers(gene)).select("symbol", "gene_type", "is_driver", F.col("chrom").alias("gene_chrom"), F.col("start").alias("gene_start"), F.col("end").alias("gene_end"))
-    return region.join(g, (F.col("chrom") == F.col("gene_chrom")) & (F.col("gene_end") >= F.col("start")) & (F.col("gene_start") <= F.col("end")))
+    g = gene_side(with_drivers(gene)).select("symbol", "gene_type", "is_driver", "chrom", F.col("start").alias("gene_start"), F.col("end").alias("gene_end"))
+    return join_overlapping(region, g, ["chrom"], (F.col("start"), F.col("end")), (F.col("gene_start"), F.col("gene_end")))
 
 
 def consistency(gene_type, impact):
@@ -79,12 +76,13 @@ def impact(ct_high: DataFrame, cp_points: DataFrame, cs_likely: DataFrame, gene:
 
 
 def _side_hits(sv: DataFrame, gene: DataFrame, n: int, max_distance: int) -> DataFrame:
-    g = gene_side(gene).select(F.col("symbol").alias(f"gene{n}"), F.col("strand").alias(f"gene{n}_strand"), F.col("start").alias(f"gene{n}_start"), F.col("end").alias(f"gene{n}_end"), F.col("type").alias(f"gene{n}_type"), F.col("chrom").alias("g_chrom"))
+    g = gene_side(gene).select(F.col("symbol").alias(f"gene{n}"), F.col("strand").alias(f"gene{n}_strand"), F.col("start").alias(f"gene{n}_start"), F.col("end").alias(f"gene{n}_end"), F.col("type").alias(f"gene{n}_type"), F.col("chrom").alias("s_chrom"))
     s = sv.select("sample_id", "sv_id", F.col(f"chrom{n}").alias("s_chrom"), F.col(f"pos{n}").alias("s_pos"), F.col(f"strand{n}").alias("s_strand"))
-    near = (F.col("g_chrom") == F.col("s_chrom")) & (F.col(f"gene{n}_start") - F.col("s_pos") - 1 <= max_distance) & (F.col("s_pos") - F.col(f"gene{n}_end") - 1 <= max_distance)
+    reach = max_distance + 1
     same = (F.col(f"gene{n}_strand") == F.col("s_strand")) | (F.col(f"gene{n}_strand") == "*") | (F.col("s_strand") == "*")
     at = F.when(F.col(f"gene{n}_strand") == "-", F.col(f"gene{n}_end") - F.col("s_pos")).otherwise(F.col("s_pos") - F.col(f"gene{n}_start")) / (F.col(f"gene{n}_end") - F.col(f"gene{n}_start"))
-    j = s.join(g, near & same).withColumn(f"gene{n}_pos_pct", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), at)) * 100, 1))
+    j = join_overlapping(s, g, ["s_chrom"], (F.col("s_pos") - reach, F.col("s_pos") + reach), (F.col(f"gene{n}_start"), F.col(f"gene{n}_end"))).where(same)
+    j = j.withColumn(f"gene{n}_pos_pct", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), at)) * 100, 1))
     j = j.withColumn(f"exon{n}", F.max((F.col(f"gene{n}_type") == "exon").cast("int")).over(Window.partitionBy("sample_id", "sv_id")) == 1)
     return j.where(F.coalesce(F.col(f"gene{n}_type"), F.lit("gene")).isin("gene", "mRNA")).select("sample_id", "sv_id", f"gene{n}", f"gene{n}_strand", f"gene{n}_pos_pct", f"exon{n}")
 

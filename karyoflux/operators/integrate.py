@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from karyoflux.functions.stats import with_bh
 from karyoflux.operators import chromoplexy as cp
+from karyoflux.operators.intervals import join_overlapping
 
 ORDER = {"chromothripsis": 1, "chromoplexy": 2, "chromoanasynthesis": 3}
 
@@ -43,7 +44,7 @@ def locations(ct: DataFrame | None, chain: DataFrame | None, cs: DataFrame | Non
 def overlaps(loc: DataFrame, threshold: int = 1_000_000) -> DataFrame:
     """Pairs of calls of different mechanisms that share at least threshold bases of a chromosome; the earlier mechanism first."""
     side = lambda n: loc.select("sample_id", "chrom", *[F.col(c).alias(f"{c}{n}") for c in ("mechanism", "start", "end", "confidence", "event_id")])
-    j = side(1).join(side(2), ["sample_id", "chrom"]).where((_rank(F.col("mechanism1")) < _rank(F.col("mechanism2"))) & (F.col("start1") <= F.col("end2")) & (F.col("start2") <= F.col("end1")))
+    j = join_overlapping(side(1), side(2), ["sample_id", "chrom"], (F.col("start1"), F.col("end1")), (F.col("start2"), F.col("end2"))).where(_rank(F.col("mechanism1")) < _rank(F.col("mechanism2")))
     size = F.least("end1", "end2") - F.greatest("start1", "start2") + 1
     j = j.withColumn("overlap_size", size).where(F.col("overlap_size") >= threshold)
     return j.select("sample_id", "chrom", "mechanism1", "mechanism2", "event_id1", "event_id2", "overlap_size", "confidence1", "confidence2", F.concat_ws(" + ", "mechanism1", "mechanism2").alias("mechanism_pair"))

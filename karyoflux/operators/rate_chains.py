@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from karyoflux.functions.stats import fisher_combine
 from karyoflux.operators import chromoplexy as cp
+from karyoflux.operators.intervals import join_overlapping
 from karyoflux.operators.variants import breakpoints, inter, nodes
 
 STAT = "STAT_ADJACENCY"
@@ -37,7 +38,8 @@ def stat_edges(sv: DataFrame, genome: DataFrame, alpha: float = 0.01, max_distan
     n = n.withColumn("bound", F.least(F.lit(float(max_distance)), F.lit(math.log1p(-alpha)) / base))
     other = nodes(sv).select("sample_id", "chrom", F.col("pos").alias("to_pos"))
     gap = F.col("to_pos") - F.col("pos")
-    j = n.join(other, ["sample_id", "chrom"]).where((F.col("to_pos") > F.col("pos")) & (gap <= F.col("bound")))
+    reach = (F.col("pos") + 1, F.col("pos") + F.floor("bound"))
+    j = join_overlapping(n, other, ["sample_id", "chrom"], reach, (F.col("to_pos"), F.col("to_pos")))
     j = j.withColumn("distance", gap).withColumn("pvalue", -F.expm1(F.col("distance") * base)).where(F.col("pvalue") < alpha)
     return j.select("sample_id", "chrom", "pos", "to_pos", "distance", "pvalue")
 

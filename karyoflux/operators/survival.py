@@ -13,14 +13,15 @@ from karyoflux.functions import stats
 from karyoflux.functions.stats import with_bh
 
 # Words that stand for an event and for none.
-EVENT_WORDS = ("1", "true", "yes", "dead", "deceased", "event", "relapse", "progression")
-NO_EVENT_WORDS = ("0", "false", "no", "alive", "living", "censored", "none")
+EVENT_WORDS = ("1", "true", "t", "yes", "y", "event", "dead", "deceased", "progressed", "progression", "relapsed")
+NO_EVENT_WORDS = ("0", "false", "f", "no", "n", "censored", "alive", "none", "no event")
 
 
 def event_flag(c: Column) -> Column:
-    """0 or 1 from text or numbers; null for anything else."""
+    """0 or 1 from a boolean, a number or text, words or numbers; null for anything else."""
     t = F.lower(F.trim(c.cast("string")))
-    return F.when(t.isin(*EVENT_WORDS), 1).when(t.isin(*NO_EVENT_WORDS), 0)
+    number = t.try_cast("double")
+    return F.when(t.isin(*EVENT_WORDS) | (number == 1), 1).when(t.isin(*NO_EVENT_WORDS) | (number == 0), 0)
 
 
 def feature_name(name: str) -> str:

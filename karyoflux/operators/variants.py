@@ -20,21 +20,19 @@ def type_from_strands(chrom1, chrom2, strand1, strand2) -> Column:
     )
 
 
-#: Raw names and what they stand for; INV needs strands to be told apart and defaults to head to head.
-RAW_TYPES = {
-    "DEL": "DEL", "DELETION": "DEL", "DUP": "DUP", "DUPLICATION": "DUP", "TANDEM_DUP": "DUP", "INV": "h2hINV", "INVERSION": "h2hINV", "H2HINV": "h2hINV",
-    "T2TINV": "t2tINV", "BND": "TRA", "TRA": "TRA", "CTX": "TRA", "INS": "DUP",
-}
+# Raw names whose variants within a chromosome get the type of their strands.
+STRAND_TYPES = ("DEL", "DELETION", "DUP", "DUPLICATION", "DUP:TANDEM", "TANDEM_DUP", "INV", "INVERSION", "INS", "INSERTION", "BND", "TRA", "TRANSLOCATION")
 
 
-def standard_type(raw: Column, strand1: Column, strand2: Column) -> Column:
-    """The standard type of a raw name; valid strand pairs win over the label except for translocations."""
+def standard_type(raw: Column, chrom1: Column, chrom2: Column, strand1: Column, strand2: Column) -> Column:
+    """The standard type of a raw name: TRA between chromosomes; within one the strands decide, but for names with a suffix
+    (DEL:ME), which keep the type of their prefix, an inversion's by its strands if those agree."""
     up = F.upper(F.regexp_replace(raw, "[<>]", ""))
-    named = F.create_map(*[x for k, v in RAW_TYPES.items() for x in (F.lit(k), F.lit(v))])[up]
-    prefix = F.when(up.startswith("DEL"), "DEL").when(up.startswith("DUP"), "DUP").when(up.startswith("INV"), "h2hINV").when(up.startswith("INS"), "DUP").when(up.startswith("BND") | up.startswith("TRA"), "TRA")
-    label = F.coalesce(named, prefix, F.lit("UNKNOWN"))
-    by_strand = type_from_strands(F.lit("1"), F.lit("1"), strand1, strand2)
-    return F.when(label == "TRA", label).when(by_strand != "UNKNOWN", by_strand).otherwise(label)
+    by_strand = type_from_strands(chrom1, chrom2, strand1, strand2)
+    inv = F.when(by_strand.isin("h2hINV", "t2tINV"), by_strand).otherwise("INV")
+    starts = lambda p: up.startswith(p)
+    prefix = F.when(starts("DEL"), "DEL").when(starts("DUP"), "DUP").when(starts("INV"), inv).when(starts("INS"), "DUP").when(starts("BND") | starts("TRA"), "TRA")
+    return F.when(chrom1 != chrom2, "TRA").when(up.isin(*STRAND_TYPES), by_strand).otherwise(F.coalesce(prefix, by_strand))
 
 
 def plain_chrom(chrom: Column) -> Column:
@@ -71,9 +69,9 @@ def rename_aliases(df: DataFrame, required: list[str]) -> DataFrame:
 
 
 def check_strands(sv: DataFrame) -> DataFrame:
-    """sv unchanged; the job fails on the first strand other than + or -."""
-    bad = ~F.col("strand1").isin("+", "-") | ~F.col("strand2").isin("+", "-")
-    return sv.withColumn("strand1", F.when(bad, F.raise_error(F.concat(F.lit("strands must be + or -: "), F.col("sv_id"))).cast("string")).otherwise(F.col("strand1")))
+    """sv unchanged; the job fails on the first strand other than + or -. The check is a filter, so no pruning of columns drops it."""
+    good = F.coalesce(F.col("strand1").isin("+", "-") & F.col("strand2").isin("+", "-"), F.lit(False))
+    return sv.where(F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("strands must be + or -: "), F.coalesce("sv_id", F.lit("?")))).cast("boolean")))
 
 
 def correct_types(sv: DataFrame) -> DataFrame:

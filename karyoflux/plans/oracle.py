@@ -79,6 +79,8 @@ def with_tables(body: str, *names: str) -> str:
 
     for n in names:
         need(n)
+    if not order:
+        return body
     head = ",\n".join(f"{n} AS MATERIALIZED ({_TABLES[n]})" for n in order)
     more = body.lstrip()
     if more.upper().startswith("WITH "):
@@ -107,9 +109,9 @@ _CLUSTER_SEGS = """SELECT c.* FROM cnv c JOIN (
     coalesce(min(seg_no) FILTER (c."end" >= k."end"), max(seg_no) FILTER (c."end" <= k."end")) AS b
   FROM cnv c JOIN cluster k USING (sample_id, chrom) GROUP BY ALL) r USING (sample_id, chrom) WHERE c.seg_no BETWEEN r.a AND r.b"""
 
-_CALLS = """SELECT 'S' || (n % 20) AS sample_id, CASE n % 3 WHEN 0 THEN 'chromothripsis' WHEN 1 THEN 'chromoplexy' ELSE 'chromoanasynthesis' END AS mechanism, n % 3 AS rank,
-  chrom, start, "end" + 4000000 AS "end", round(0.3 + (n % 7) / 10.0, 2) AS confidence, CASE WHEN n % 4 = 0 THEN 'Possible call' ELSE 'Likely call' END AS classification, 'E' || n AS event_id
-FROM (SELECT *, CAST(substr(symbol, 2) AS INT) AS n FROM gene)"""
+_CALLS = """SELECT sample_id, CASE sv_no // 6 % 3 WHEN 0 THEN 'chromothripsis' WHEN 1 THEN 'chromoplexy' ELSE 'chromoanasynthesis' END AS mechanism, sv_no // 6 % 3 AS rank,
+  chrom1 AS chrom, pos1 AS start, pos1 + 500000 + (sv_no * 7919 % 4000) * 1000 - 1 AS "end", round(0.3 + (sv_no % 7) / 10.0, 2) AS confidence,
+  CASE WHEN sv_no % 4 = 0 THEN 'Possible call' ELSE 'Likely call' END AS classification, 'E' || (sv_no // 36) || '.' || (sv_no // 6 % 3) AS event_id FROM sv"""
 
 _OVERLAPS = """SELECT a.sample_id, a.chrom, a.mechanism AS mechanism1, b.mechanism AS mechanism2, a.event_id AS event_id1, b.event_id AS event_id2,
   least(a."end", b."end") - greatest(a.start, b.start) + 1 AS overlap_size, a.confidence AS confidence1, b.confidence AS confidence2, a.mechanism || ' + ' || b.mechanism AS mechanism_pair
@@ -156,7 +158,7 @@ WHERE d.total_cn < 2 AND CASE WHEN pos BETWEEN d.start AND d."end" THEN 0 ELSE l
 FROM bps b JOIN gene g ON b.chrom = g.chrom AND b.pos + 1000 >= g.start AND b.pos - 1000 <= g."end" """,
 }
 _NEEDS |= {
-    "bps": ["sv"], "sides": ["sv"], "calls": ["gene"], "overlap": ["calls"], "mh": ["flank", "sv"], "repair": ["mh"], "points": ["sides"], "feat": ["sv"], "long": ["feat", "clinical"], "cluster_segs": ["cnv", "cluster"],
+    "bps": ["sv"], "sides": ["sv"], "calls": ["sv"], "overlap": ["calls"], "mh": ["flank", "sv"], "repair": ["mh"], "points": ["sides"], "feat": ["sv"], "long": ["feat", "clinical"], "cluster_segs": ["cnv", "cluster"],
     "osc": ["cnv"], "osc_cluster": ["cluster_segs"], "linear": ["genome"], "jc": ["cluster", "sides"], "bridge": ["bps", "sv", "cnv"], "bridged": ["bridge"], "adjacent": ["bp"], "hit": ["bps", "gene"],
 }
 
@@ -248,8 +250,8 @@ FROM (SELECT *, n_events / sum(n_events) OVER (PARTITION BY sample_id) AS p FROM
         """SELECT s.sample_id, g.chrom, m.mechanism, (SELECT count(*) FROM calls c WHERE c.sample_id = s.sample_id AND c.chrom = g.chrom AND c.mechanism = m.mechanism) AS n_events
 FROM (SELECT DISTINCT sample_id FROM calls) s, genome g, (SELECT DISTINCT mechanism FROM calls) m""", "calls", "genome"),
     "bh_adjust": (
-        """SELECT sample_id, sv_id, p, round(least(1.0, min(p * m / r) OVER (PARTITION BY sample_id ORDER BY p DESC)), 6) AS fdr FROM (SELECT *, count(*) OVER (PARTITION BY sample_id) AS m, count(*) OVER (PARTITION BY sample_id ORDER BY p) AS r
-  FROM (SELECT sample_id, sv_id, round(((sv_no * 7919) % 10007 + 1) / 10008.0, 6) AS p FROM sv))""", "sv"),
+        """SELECT sample_id, sv_id, round(p, 9) AS p, round(least(1.0, min(p * m / r) OVER (PARTITION BY sample_id ORDER BY p DESC)), 9) AS fdr FROM (SELECT *, count(*) OVER (PARTITION BY sample_id) AS m, count(*) OVER (PARTITION BY sample_id ORDER BY p) AS r
+  FROM (SELECT sample_id, sv_id, CAST((sv_no * 7919) % 10007 + 1 AS DOUBLE) / CAST(10008.0 AS DOUBLE) AS p FROM sv))""", "sv"),
     "microhomology": ("SELECT sample_id, sv_id, CAST(run_length AS BIGINT) AS run_length, CAST(longest AS BIGINT) AS longest, reverse(translate(s1_kept, 'ACGT', 'TGCA')) AS rc FROM mh", "mh"),
     "repair_class": ("SELECT * FROM repair", "repair"),
     "repair_summary": (
@@ -322,5 +324,33 @@ FROM bps b JOIN gene g ON g.chrom = b.chrom AND g.strand = b.strand AND g.start
 _NEEDS |= {"lr": ["long"], "bt": ["bps"], "gs": ["bps", "gene"], "frame": ["cnv"]}
 
 
+_KEPT = "WHERE chrom1 <> chrom2 OR pos2 - pos1 >= 50"
+_MATED = """CASE WHEN chrom1 <= chrom2 THEN sv_id || 'o' ELSE sv_id || 'h' END AS sv_id, least(chrom1, chrom2) AS chrom1, CASE WHEN chrom1 <= chrom2 THEN pos1 ELSE pos2 END AS pos1,
+  CASE WHEN chrom1 <= chrom2 THEN strand1 ELSE strand2 END AS strand1, greatest(chrom1, chrom2) AS chrom2, CASE WHEN chrom1 <= chrom2 THEN pos2 ELSE pos1 END AS pos2, CASE WHEN chrom1 <= chrom2 THEN strand2 ELSE strand1 END AS strand2, svtype"""
+_OWN = "sv_id, chrom1, pos1, strand1, chrom2, pos2, strand2, svtype"
+_SQL |= {
+    "vcf_gridss_parse": (f"SELECT sample_id, {_MATED} FROM sv {_KEPT}", "sv"),
+    "vcf_manta_parse": (f"SELECT sample_id, {_OWN} FROM sv WHERE chrom1 = chrom2 AND pos2 - pos1 >= 50 UNION ALL SELECT sample_id, {_MATED} FROM sv WHERE chrom1 <> chrom2", "sv"),
+    "vcf_lumpy_parse": (f"SELECT sample_id, {_OWN} FROM sv {_KEPT}", "sv"),
+    "vcf_generic_parse": (
+        f"""SELECT sample_id, sv_id, chrom1, pos1, CASE WHEN svtype = 'DUP' THEN '-' ELSE '+' END AS strand1, chrom2, pos2, CASE WHEN svtype IN ('DUP', 'h2hINV', 't2tINV') THEN '+' ELSE '-' END AS strand2,
+  CASE WHEN svtype LIKE '%INV' THEN 'h2hINV' ELSE svtype END AS svtype FROM sv {_KEPT}""", "sv"),
+    "vcf_auto_parse": (
+        f"""SELECT sample_id, {_OWN} FROM sv WHERE (chrom1 <> chrom2 OR pos2 - pos1 >= 50) AND CAST(substr(sample_id, 2) AS INT) % 2 = 0
+UNION ALL SELECT sample_id, {_MATED} FROM sv WHERE (chrom1 <> chrom2 OR pos2 - pos1 >= 50) AND CAST(substr(sample_id, 2) AS INT) % 2 = 1""", "sv"),
+    "vcf_copy_numbers": ('SELECT sample_id, chrom, start, "end", total_cn, CAST(seg_no AS BIGINT) AS seg_no FROM cnv', "cnv"),
+    "standard_types": (
+        """SELECT * EXCLUDE (sv_no_, by_strand), CASE WHEN chrom1 <> chrom2 THEN 'TRA' WHEN sv_no_ IN (0, 1, 2, 3, 4, 5, 11, 12, 13) THEN by_strand WHEN sv_no_ = 6 THEN 'DEL' WHEN sv_no_ = 7 THEN 'DUP'
+  WHEN sv_no_ = 8 THEN CASE by_strand WHEN 'h2hINV' THEN 'h2hINV' WHEN 't2tINV' THEN 't2tINV' ELSE 'INV' END WHEN sv_no_ = 9 THEN 'DUP' ELSE 'TRA' END AS svtype
+FROM (SELECT *, CASE strand1 || strand2 WHEN '+-' THEN 'DEL' WHEN '-+' THEN 'DUP' WHEN '++' THEN 'h2hINV' WHEN '--' THEN 't2tINV' ELSE 'UNKNOWN' END AS by_strand FROM (
+  SELECT sample_id, sv_id, ['DEL', '<DUP:TANDEM>', 'dup', 'INV', 'INS', 'BND', 'DEL:ME', 'DUP:INT', 'INV:X', 'INS:ME', 'BND2', 'TRANSLOCATION', 'CNV', ''][sv_no % 14 + 1] AS raw, sv_no % 14 AS sv_no_,
+    chrom1, chrom2, ['+', '-', '+', '.', '-'][sv_no % 7 % 5 + 1] AS strand1, ['+', '-', '+', '.', '-'][sv_no % 11 % 5 + 1] AS strand2 FROM sv))""", "sv"),
+    "event_flags": (
+        """SELECT c_custkey, word, CASE WHEN k < 11 OR k IN (20, 21, 23) THEN 1 WHEN k < 20 OR k = 22 THEN 0 END AS event, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS by_truth, CASE c_custkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 END AS by_number
+FROM (SELECT c_custkey, c_custkey % 27 AS k, ['1', 'true', 't', 'yes', 'y', 'event', 'dead', 'deceased', 'progressed', 'progression', 'relapsed', '0', 'false', 'f', 'no', 'n', 'censored', 'alive', 'none', 'no event',
+  ' Dead ', '1.0', '0.0', '1e0', '2', 'maybe', ''][c_custkey % 27 + 1] AS word FROM customer)""",),
+}
+
+
 def queries() -> dict[str, str]:
     return {name: with_tables(*spec) for name, spec in _SQL.items()}

@@ -120,7 +120,7 @@ def ct_interleaving_pairs(s, d):
 
 @query
 def ct_components(s, d):
-    return ct.components(fx.sv(s, d))
+    return ct.components(fx.sv(s, d)).drop("top")
 
 
 @query
@@ -291,61 +291,69 @@ def _locations(s, d):
     return integrate.locations(*_modules(s, d))
 
 
-def _synthetic_locations(s, d):
-    """Calls laid out from the genes: a table with all mechanisms whose integration SQL can follow."""
-    g = fx.gene(s, d).withColumn("n", F.expr("int(substring(symbol, 2))"))
-    mech = F.expr("CASE n % 3 WHEN 0 THEN 'chromothripsis' WHEN 1 THEN 'chromoplexy' ELSE 'chromoanasynthesis' END")
-    return g.select(
-        F.expr("concat('S', n % 20)").alias("sample_id"), mech.alias("mechanism"), "chrom", "start", (F.col("end") + 4_000_000).alias("end"), F.expr("round(0.3 + (n % 7) / 10.0, 2)").cast("double").alias("confidence"),
-        F.expr("if(n % 4 = 0, 'Possible call', 'Likely call')").alias("classification"), F.concat(F.lit("E"), F.col("n").cast("string")).alias("event_id"),
-    )
-
-
 @query
 def mechanism_locations(s, d):
     return _locations(s, d)
 
 
+@query
+def called_overlaps(s, d):
+    """Overlaps of the calls that the three modules make."""
+    return integrate.overlaps(_locations(s, d))
+
+
+@query
+def called_sample_class(s, d):
+    loc = _locations(s, d)
+    return longs(integrate.sample_class(loc, integrate.overlaps(loc)))
+
+
+@query
+def called_complexity(s, d):
+    loc = _locations(s, d)
+    return integrate.complexity(loc, integrate.overlaps(loc))
+
+
 @query
 def mechanism_overlaps(s, d):
-    return integrate.overlaps(_synthetic_locations(s, d))
+    return integrate.overlaps(fx.calls(s, d))
 
 
 @query
 def chrom_class(s, d):
-    return longs(integrate.by_chromosome(_synthetic_locations(s, d)))
+    return longs(integrate.by_chromosome(fx.calls(s, d)))
 
 
 @query
 def chrom_status(s, d):
-    return longs(integrate.chromosome_summary(_synthetic_locations(s, d), genome_table(s)).select("sample_id", "chrom", "status"))
+    return longs(integrate.chromosome_summary(fx.calls(s, d), genome_table(s)).select("sample_id", "chrom", "status"))
 
 
 @query
 def sample_class(s, d):
-    loc = _synthetic_locations(s, d)
+    loc = fx.calls(s, d)
     return longs(integrate.sample_class(loc, integrate.overlaps(loc)))
 
 
 @query
 def complexity(s, d):
-    loc = _synthetic_locations(s, d)
+    loc = fx.calls(s, d)
     return rounded(longs(integrate.complexity(loc, integrate.overlaps(loc))).select("sample_id", "n_mechanisms", "n_chromosomes", "n_events", "n_overlaps", "score", "level"), "score")
 
 
 @query
 def dominance(s, d):
-    return rounded(integrate.dominance(_synthetic_locations(s, d)), "proportion")
+    return rounded(integrate.dominance(fx.calls(s, d)), "proportion")
 
 
 @query
 def dominance_labels(s, d):
-    return rounded(layouts.dominance_labels(integrate.dominance(_synthetic_locations(s, d))).select("sample_id", "mechanism", "label_at"), "label_at")
+    return rounded(layouts.dominance_labels(integrate.dominance(fx.calls(s, d))).select("sample_id", "mechanism", "label_at"), "label_at")
 
 
 @query
 def mechanism_matrix(s, d):
-    return layouts.mechanism_matrix(_synthetic_locations(s, d), genome_table(s))
+    return layouts.mechanism_matrix(fx.calls(s, d), genome_table(s))
 
 
 @query
@@ -355,8 +363,8 @@ def global_fdr(s, d):
 
 @query
 def bh_adjust(s, d):
-    x = fx.sv(s, d).select("sample_id", "sv_id", F.round(((F.col("sv_no") * 7919) % 10007 + 1) / 10008.0, 6).alias("p"))
-    return rounded(with_bh(x, "p", "fdr", ["sample_id"]), "fdr")
+    x = fx.sv(s, d).select("sample_id", "sv_id", (((F.col("sv_no") * 7919) % 10007 + 1).cast("double") / F.lit(10008.0)).alias("p"))
+    return rounded(with_bh(x, "p", "fdr", ["sample_id"]), "p", "fdr", digits=9)
 
 
 def _summary(s, d):
@@ -463,13 +471,13 @@ def sample_burden(s, d):
 
 @query
 def mechanism_crosstab(s, d):
-    x = _synthetic_locations(s, d).join(fx.clinical(s, d), "sample_id")
+    x = fx.calls(s, d).join(fx.clinical(s, d), "sample_id")
     return cohort.crosstab(x, "grp", "mechanism")
 
 
 @query
 def cooccurrence(s, d):
-    return cohort.cooccurrence(_synthetic_locations(s, d))
+    return cohort.cooccurrence(fx.calls(s, d))
 
 
 @query
@@ -493,12 +501,12 @@ def gene_enrichment(s, d):
 
 @query
 def group_tests(s, d):
-    return cohort.compare_groups(_synthetic_locations(s, d).select("sample_id", "mechanism"), fx.clinical(s, d))[1]
+    return cohort.compare_groups(fx.calls(s, d).select("sample_id", "mechanism"), fx.clinical(s, d))[1]
 
 
 @query
 def group_counts(s, d):
-    return rounded(cohort.compare_groups(_synthetic_locations(s, d).select("sample_id", "mechanism"), fx.clinical(s, d))[0], "fraction")
+    return rounded(cohort.compare_groups(fx.calls(s, d).select("sample_id", "mechanism"), fx.clinical(s, d))[0], "fraction")
 
 
 def _gene_sets(s, d):
@@ -591,6 +599,60 @@ def vcf_delly_parse(s, d):
     return vcf.sv_from_lines(fx.vcf_line(s, d), caller="delly").select("sample_id", "sv_id", "chrom1", "pos1", "strand1", "chrom2", "pos2", "strand2", "svtype")
 
 
+_COLUMNS = ["sample_id", "sv_id", "chrom1", "pos1", "strand1", "chrom2", "pos2", "strand2", "svtype"]
+
+
+@query
+def vcf_gridss_parse(s, d):
+    return vcf.sv_from_lines(fx.vcf_lines_of(s, d, "gridss"), caller="gridss").select(*_COLUMNS)
+
+
+@query
+def vcf_manta_parse(s, d):
+    return vcf.sv_from_lines(fx.vcf_lines_of(s, d, "manta"), caller="manta").select(*_COLUMNS)
+
+
+@query
+def vcf_lumpy_parse(s, d):
+    return vcf.sv_from_lines(fx.vcf_lines_of(s, d, "lumpy"), caller="lumpy").select(*_COLUMNS)
+
+
+@query
+def vcf_generic_parse(s, d):
+    return vcf.sv_from_lines(fx.vcf_lines_of(s, d, "generic"), caller="generic").select(*_COLUMNS)
+
+
+@query
+def vcf_auto_parse(s, d):
+    """Callers told by INFO keys: samples with even numbers as lumpy writes them, others as gridss does."""
+    lines = lambda c, k, ids: fx.vcf_lines_of(s, d, c).where(f"int(substring(sample_id, 2)) % 2 = {k}").unionByName(
+        fx.sv(s, d).select("sample_id").distinct().where(f"int(substring(sample_id, 2)) % 2 = {k}").select("sample_id", F.explode(F.array(*[F.lit(f"##INFO=<ID={i},Number=1,Type=String>") for i in ids])).alias("line"))
+    )
+    return vcf.sv_from_lines(lines("lumpy", 0, ["STRANDS", "SVTYPE"]).unionByName(lines("gridss", 1, ["MATEID", "SVTYPE"]))).select(*_COLUMNS)
+
+
+@query
+def vcf_copy_numbers(s, d):
+    return longs(vcf.cnv_from_lines(fx.cnv_line(s, d), merge=False))
+
+
+@query
+def standard_types(s, d):
+    names = ["DEL", "<DUP:TANDEM>", "dup", "INV", "INS", "BND", "DEL:ME", "DUP:INT", "INV:X", "INS:ME", "BND2", "TRANSLOCATION", "CNV", ""]
+    raw = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("sv_no") % len(names) + 1).cast("int"))
+    pair = [F.element_at(F.array(F.lit("+"), F.lit("-"), F.lit("+"), F.lit("."), F.lit("-")), (F.col("sv_no") % n % 5 + 1).cast("int")) for n in (7, 11)]
+    x = fx.sv(s, d).select("sample_id", "sv_id", raw.alias("raw"), "chrom1", "chrom2", pair[0].alias("strand1"), pair[1].alias("strand2"))
+    return x.withColumn("svtype", variants.standard_type(F.col("raw"), F.col("chrom1"), F.col("chrom2"), F.col("strand1"), F.col("strand2")))
+
+
+@query
+def event_flags(s, d):
+    """Every customer's event as a word, a number or nonsense, in turn."""
+    words = [*survival.EVENT_WORDS, *survival.NO_EVENT_WORDS, " Dead ", "1.0", "0.0", "1e0", "2", "maybe", ""]
+    c = s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("c_custkey") % len(words) + 1).cast("int")).alias("word"))
+    return c.select("c_custkey", "word", survival.event_flag(F.col("word")).cast("long").alias("event"), survival.event_flag(F.col("c_custkey") % 3 == 0).cast("long").alias("by_truth"), survival.event_flag((F.col("c_custkey") % 3).cast("double")).cast("long").alias("by_number"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -71,3 +71,53 @@ def vcf_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     ct = "CASE concat(strand1, strand2) WHEN '+-' THEN '3to5' WHEN '-+' THEN '5to3' WHEN '++' THEN '3to3' ELSE '5to5' END"
     info = F.expr(f"CASE WHEN svtype = 'TRA' THEN 'SVTYPE=BND' ELSE concat('SVTYPE=', if(svtype LIKE '%INV', 'INV', svtype), ';END=', pos2, ';CT=', {ct}) END")
     return s.select("sample_id", F.concat_ws("\t", F.concat(F.lit("chr"), "chrom1"), F.col("pos1").cast("string"), "sv_id", F.lit("N"), alt, F.lit("60"), F.lit("PASS"), info).alias("line"))
+
+
+def _mate(own: str, far: str, chrom: str, pos: str) -> str:
+    """SQL of the ALT text of a breakend with strand own, joined to one with strand far at chrom:pos."""
+    there = f"concat('chr', {chrom}, ':', {pos})"
+    return f"""CASE WHEN {own} = '+' AND {far} = '-' THEN concat('N[', {there}, '[') WHEN {own} = '+' THEN concat('N]', {there}, ']')
+                    WHEN {far} = '+' THEN concat(']', {there}, ']N') ELSE concat('[', {there}, '[N') END"""
+
+
+def vcf_lines_of(spark: SparkSession, sf_dir: str, caller: str) -> DataFrame:
+    """(sample_id, line): the variants as this caller writes them, without header.
+
+    gridss: two mates for every variant. manta: mates between chromosomes, INV3 and INV5 flags. lumpy: STRANDS. generic: CHR2 and END.
+    """
+    s = sv(spark, sf_dir).withColumn("pair", F.concat("strand1", "strand2"))
+    plain = "if(svtype LIKE '%INV', 'INV', svtype)"
+    o, h = _mate("strand1", "strand2", "chrom2", "pos2"), _mate("strand2", "strand1", "chrom1", "pos1")
+    mates = lambda some: some.select(
+        "sample_id", F.explode(F.array(
+            F.struct(F.col("chrom1").alias("chrom"), F.col("pos1").alias("pos"), F.concat("sv_id", F.lit("o")).alias("id"), F.expr(o).alias("alt"), F.expr("concat('SVTYPE=BND;MATEID=', sv_id, 'h')").alias("info")),
+            F.struct(F.col("chrom2").alias("chrom"), F.col("pos2").alias("pos"), F.concat("sv_id", F.lit("h")).alias("id"), F.expr(h).alias("alt"), F.expr("concat('SVTYPE=BND;MATEID=', sv_id, 'o')").alias("info")),
+        )).alias("r")).select("sample_id", "r.*")
+    own = lambda some, info: some.select("sample_id", F.col("chrom1").alias("chrom"), F.col("pos1").alias("pos"), F.col("sv_id").alias("id"), F.expr(f"concat('<', {plain}, '>')").alias("alt"), F.expr(info).alias("info"))
+    near, far = s.where("chrom1 = chrom2"), s.where("chrom1 <> chrom2")
+    if caller == "gridss":
+        r = mates(s)
+    elif caller == "manta":
+        r = own(near, f"concat('SVTYPE=', {plain}, ';END=', pos2, CASE pair WHEN '++' THEN ';INV3' WHEN '--' THEN ';INV5' ELSE '' END)").unionByName(mates(far))
+    elif caller == "lumpy":
+        r = own(s, f"concat('SVTYPE=', if(svtype = 'TRA', 'BND', {plain}), ';CHR2=chr', chrom2, ';END=', pos2, ';STRANDS=', pair, ':7')")
+    else:
+        r = own(s, f"concat('SVTYPE=', {plain}, ';CHR2=chr', chrom2, ';END=', pos2)")
+    return r.select("sample_id", F.concat_ws("\t", F.concat(F.lit("chr"), "chrom"), F.col("pos").cast("string"), "id", F.lit("N"), "alt", F.lit("60"), F.lit("PASS"), "info").alias("line"))
+
+
+def cnv_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sample_id, line): the segments as VCF text, with the copy number in INFO or FORMAT in turn."""
+    c = cnv(spark, sf_dir)
+    info = F.expr("if(seg_no % 2 = 0, concat('END=', end, ';CN=', int(total_cn)), concat('END=', end))")
+    return c.select("sample_id", F.concat_ws("\t", F.concat(F.lit("chr"), "chrom"), F.col("start").cast("string"), F.concat(F.lit("seg"), F.col("seg_no").cast("string")), F.lit("N"), F.lit("<CNV>"), F.lit("."), F.lit("PASS"), info, F.lit("GT:CN"), F.expr("concat('0/1:', int(total_cn))")).alias("line"))
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of all mechanisms laid out from all variants, with overlaps of every kind: none, one-sided, nested, exactly at and just
+    under a million bases; event ids and confidences tie."""
+    mech = F.expr("CASE sv_no div 6 % 3 WHEN 0 THEN 'chromothripsis' WHEN 1 THEN 'chromoplexy' ELSE 'chromoanasynthesis' END")
+    return sv(spark, sf_dir).select(
+        "sample_id", mech.alias("mechanism"), F.col("chrom1").alias("chrom"), F.col("pos1").alias("start"), F.expr("pos1 + 500000 + (sv_no * 7919 % 4000) * 1000 - 1").alias("end"),
+        F.expr("round(0.3 + (sv_no % 7) / 10.0, 2)").cast("double").alias("confidence"), F.expr("if(sv_no % 4 = 0, 'Possible call', 'Likely call')").alias("classification"), F.expr("concat('E', sv_no div 36, '.', sv_no div 6 % 3)").alias("event_id"),
+    )

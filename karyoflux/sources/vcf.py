@@ -46,22 +46,23 @@ def callers(lines: DataFrame, names: tuple[str, ...] = SV_CALLERS) -> DataFrame:
 
 
 def records(lines: DataFrame) -> DataFrame:
-    """sample_id, chrom, pos, id, ref, alt, info (text), format, sample (first sample's field)."""
+    """sample_id, chrom, pos, id, ref, alt, info (its KEY=VALUE parts), format, sample (first sample's field)."""
     f = F.split("line", "\t")
     r = lines.where(~F.col("line").startswith("#") & (F.size(f) >= 8))
     return r.select(
-        "sample_id", F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).try_cast("long").alias("pos"), F.get(f, F.lit(2)).alias("id"), F.get(f, F.lit(3)).alias("ref"), F.get(f, F.lit(4)).alias("alt"), F.try_element_at(f, F.lit(8)).alias("info"),
+        "sample_id", F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).try_cast("long").alias("pos"), F.get(f, F.lit(2)).alias("id"), F.get(f, F.lit(3)).alias("ref"), F.get(f, F.lit(4)).alias("alt"), F.split(F.try_element_at(f, F.lit(8)), ";").alias("info"),
         F.try_element_at(f, F.lit(9)).alias("format"), F.try_element_at(f, F.lit(10)).alias("sample"),
     ).where("pos IS NOT NULL")
 
 
 def _key(*names: str) -> Column:
     """The value of the first of names that INFO has; of a repeated key the last."""
-    return F.coalesce(*[F.nullif(F.regexp_extract("info", f"^(?:.*;)?{n}=([^;]*)", 1), F.lit("")) for n in names])
+    last = lambda n: F.try_element_at(F.filter("info", lambda p: p.startswith(f"{n}=")), F.lit(-1))
+    return F.coalesce(*[F.nullif(F.substring(last(n), len(n) + 2, 1 << 30), F.lit("")) for n in names])
 
 
 def _flag(name: str) -> Column:
-    return F.col("info").rlike(f"(^|;){name}(;|=|$)")
+    return F.exists("info", lambda p: (p == name) | p.startswith(f"{name}="))
 
 
 def breakend(alt: Column) -> dict[str, Column]:
@@ -82,14 +83,14 @@ def parse_breakends(rec: DataFrame) -> DataFrame:
 
 
 def parse(rec: DataFrame, caller: Column) -> DataFrame:
-    """Every record as a variant, by its file's caller; ends from CHR2 and END, else the ALT breakend, else the record's own place.
+    """Every record as a variant, by its file's caller; ends from CHR2 and END, END2 or POS2, else the ALT breakend, else its own place.
 
     delly: strands from CT. manta, dragen: INV3 and INV5 flags. lumpy: STRANDS. Others: INV as head to head, INS as DUP, BND as TRA.
     """
     b = breakend(F.col("alt"))
     r = rec.select(
         "sample_id", F.col("id").alias("sv_id"), "chrom", "pos", caller.alias("who"), F.coalesce(_key("SVTYPE"), F.regexp_extract("alt", "<([^>:]+)", 1)).alias("raw"), _key("CHR2", "CHROM2", "chr2").alias("there"),
-        _key("POS2", "END2").alias("pos_key"), _key("END").alias("end_key"), _key("CT").alias("ct"), F.nullif(F.substring(_key("STRANDS"), 1, 2), F.lit("")).alias("strands"),
+        _key("POS2", "END2").alias("pos_key"), _key("END").alias("end_key"), _key("END", "END2", "POS2").alias("any_end"), _key("CT").alias("ct"), F.nullif(F.substring(_key("STRANDS"), 1, 2), F.lit("")).alias("strands"),
         F.when(_flag("INV3"), "++").when(_flag("INV5"), "--").alias("inv"), _key("MATEID").alias("mate"), b["chrom2"].alias("b_chrom"), b["pos2"].alias("b_pos"), F.concat(b["strand1"], b["strand2"]).alias("b_pair"),
         F.monotonically_increasing_id().alias("record"),  # keeps later filters from being pushed into, and copied all over, these expressions
     )
@@ -97,19 +98,30 @@ def parse(rec: DataFrame, caller: Column) -> DataFrame:
     by_type = F.create_map(*[x for k, v in CONNECTION.items() for x in (F.lit(k), F.lit(v))])[F.col("ct")]
     told = F.when(who == "delly", by_type).when(who == "lumpy", F.col("strands")).when(who.isin("manta", "dragen"), F.col("inv"))
     usual = F.when(raw.startswith("DEL"), "+-").when(raw.startswith("DUP") | raw.startswith("INS"), "-+").when(raw.startswith("INV"), "++")
-    pos2 = F.coalesce(F.when(F.col("pos_key").isNull(), F.col("b_pos")), F.coalesce("pos_key", "end_key").try_cast("long"), F.col("pos"))
-    r = r.withColumn("pair", F.coalesce(told, F.col("b_pair"), usual, F.lit("+-"))).withColumn("pos2", pos2).withColumn("far", F.coalesce("there", "b_chrom", "chrom"))
+    # delly writes POS2 beside an END of another meaning; others say the far end in END or ALT, and ALT counts where INFO says none
+    delly_pos = F.coalesce(F.when(F.col("pos_key").isNull(), F.col("b_pos")), F.coalesce("pos_key", "end_key").try_cast("long"), F.col("pos"))
+    said_chrom, said_pos = F.coalesce("there", "chrom"), F.coalesce(F.col("any_end").try_cast("long"), F.col("pos"))
+    by_alt = F.col("b_pos").isNotNull() & (F.coalesce("there", "any_end").isNull() | ((plain_chrom(said_chrom) == plain_chrom(F.col("chrom"))) & (said_pos == F.col("pos"))))
+    pos2 = F.when(who == "delly", delly_pos).when(by_alt, F.col("b_pos")).otherwise(said_pos)
+    far = F.when(who == "delly", F.coalesce("there", "b_chrom", "chrom")).when(by_alt, F.col("b_chrom")).otherwise(said_chrom)
+    r = r.withColumn("pair", F.coalesce(told, F.col("b_pair"), usual, F.lit("+-"))).withColumn("pos2", pos2).withColumn("far", far)
     r = r.select("sample_id", "sv_id", plain_chrom(F.col("chrom")).alias("chrom1"), F.col("pos").alias("pos1"), F.substring("pair", 1, 1).alias("strand1"), plain_chrom(F.col("far")).alias("chrom2"), "pos2", F.substring("pair", 2, 1).alias("strand2"), "raw", "mate", "record")
-    kind = F.when(F.col("chrom1") != F.col("chrom2"), "TRA").otherwise(standard_type(F.col("raw"), F.col("strand1"), F.col("strand2")))
-    return r.withColumn("svtype", kind).drop("raw")
+    kind = standard_type(F.col("raw"), F.col("chrom1"), F.col("chrom2"), F.col("strand1"), F.col("strand2"))
+    return r.withColumn("svtype", F.when(F.col("raw").isin("BND", "TRA"), "TRA").otherwise(kind))
 
 
 def pair_breakends(parsed: DataFrame) -> DataFrame:
-    """Mutual mates as one variant, the one that comes first; records whose mate is missing stay."""
-    m = parsed.select(F.col("sample_id").alias("m_sample"), F.col("sv_id").alias("m_id"), F.col("mate").alias("m_mate"))
+    """Mutual mates as one variant, the one that comes first, with the place and own strand of each and the type of both; records
+    whose mate is missing stay as they are. Of mates with one identifier the first record counts."""
+    once = Window.partitionBy("sample_id", "sv_id").orderBy("record")
+    m = parsed.where(F.col("mate").isNotNull()).withColumn("_k", F.row_number().over(once)).where("_k = 1")
+    m = m.select(F.col("sample_id").alias("m_sample"), F.col("sv_id").alias("m_id"), F.col("mate").alias("m_mate"), F.col("chrom1").alias("m_chrom"), F.col("pos1").alias("m_pos"), F.col("strand1").alias("m_strand"), F.col("record").alias("m_record"))
     j = parsed.join(m, (F.col("sample_id") == F.col("m_sample")) & (F.col("mate") == F.col("m_id")) & (F.col("m_mate") == F.col("sv_id")), "left")
-    first = F.struct("chrom1", "pos1", "sv_id") <= F.struct("chrom2", "pos2", "m_id")
-    return j.where(F.col("m_id").isNull() | first).drop("m_sample", "m_id", "m_mate", "mate")
+    paired = F.col("m_id").isNotNull()
+    j = j.where(~paired | (F.struct("chrom1", "pos1", "sv_id", "record") <= F.struct("m_chrom", "m_pos", "m_id", "m_record")))
+    j = j.withColumns({"chrom2": F.coalesce("m_chrom", "chrom2"), "pos2": F.coalesce("m_pos", "pos2"), "strand2": F.coalesce("m_strand", "strand2")})
+    kind = standard_type(F.col("raw"), F.col("chrom1"), F.col("chrom2"), F.col("strand1"), F.col("strand2"))
+    return j.withColumn("svtype", F.when(paired, kind).otherwise(F.col("svtype"))).drop("m_sample", "m_id", "m_mate", "m_chrom", "m_pos", "m_strand", "m_record", "mate", "raw")
 
 
 def sv_from_lines(lines: DataFrame, caller: str = "auto", min_sv_size: int = 50, include_tra: bool = True) -> DataFrame:
