@@ -1,32 +1,56 @@
 """Chat formatting with tool calls: link calls to results, order them, check arguments, write canonical JSON.
 
-1. Calls and results meet in a hash join by (conversation, identifier). Of each side the first row of an identifier, the least by
-   place and text, is linked. Further calls of one identifier stay as calls without a result and are marked with their number
-   ("copy": 2 and so on); further results of one identifier and results without a call are orphans.
-2. A call's arguments are checked against the schema of its tool's name (type, required, properties, additionalProperties, enum,
+1. A conversation's turns meet in one shuffle, which carries each text once. Turns that hold {"tool_calls": [...]} or
+   {"tool_call_id": ..., "content": ...} as JSON are calls and results under their own identifiers; every other turn that isn't the
+   assistant's calls `respond` with what it says and needs the call two turns before, and an assistant's turn is the result of the
+   turn before it. The identifiers of plain turns ("turn:3") are apart from those of tool calls, whatever those are.
+2. Calls and results meet in a hash join by identifier: results are the built side, calls probe it. Of each side the first row of an
+   identifier, the least by place and content, is linked. Further calls of one identifier stay as calls without a result and are
+   marked with their number ("copy": 2 and so on); further results of one identifier and results without a call are orphans. So
+   calls, linked results and orphans together are all that the turns hold, repeated rows included.
+3. A call's arguments are checked against the schema of its tool's name (type, required, properties, additionalProperties, enum,
    minimum, maximum, minLength, maxLength, items) and written as canonical JSON: keys in order of code point, no spaces,
    no escapes but those JSON needs.
-3. A conversation's calls are put in topological order of their dependencies, ties by place and then identifier. Calls in or
+4. A conversation's calls are put in topological order of their dependencies, ties by place and then identifier. Calls in or
    behind a cycle come last in that same order and are marked. Dependencies on unknown identifiers don't hold a call back.
 
-A conversation is one row of output, so its messages meet in one task: that group is as large as the example it makes. Null
-texts count as empty; rows without conversation form one conversation of their own. Arguments that aren't JSON are invalid and
-kept as a JSON string. An empty table gives no rows.
+A conversation is one row of output, so its messages meet in one task: that group is as large as the example it makes. A row
+without conversation is a conversation of its own, so such rows never form a group. Null texts count as empty, a null turn is
+before all others. Arguments that aren't JSON (or that JSON can't say: NaN, nesting past the reader's depth) are invalid and kept
+as a JSON string. Text that looks like a tool turn but isn't JSON is a plain turn. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import re
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from karyoflux.llm.common import small_batches
+
+_LONE = re.compile("[\ud800-\udfff]")
+
 
 def canonical(value) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    """Canonical JSON; lone surrogates, which UTF-8 can't hold, stay escaped."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False))
+
+
+def parsed(text: str):
+    """The value of JSON text that canonical() can write; ValueError otherwise."""
+    try:
+        value = json.loads(text)
+        canonical(value)
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+    return value
 
 
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
@@ -60,9 +84,9 @@ def problems(value, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
-def topological(calls: list[tuple[int, str, list[str]]]) -> tuple[list[int], set[int]]:
+def topological(calls: list[tuple[int, Id, list[Id]]]) -> tuple[list[int], set[int]]:
     """(order, cyclic) of calls (place, id, dependencies), as positions in the list. A repeated id means its first call."""
-    where: dict[str, int] = {}
+    where: dict[Id, int] = {}
     for k, c in enumerate(calls):
         where.setdefault(c[1], k)
     after: list[list[int]] = [[] for _ in calls]
@@ -86,96 +110,124 @@ def topological(calls: list[tuple[int, str, list[str]]]) -> tuple[list[int], set
     return order + left, set(left)
 
 
-def link(calls: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(linked, orphans) of calls (conv_id, id, place, name, arguments, needs) and results (conv_id, id, place, content).
-
-    linked has every call with content (null without a result) and copy, its number among the calls of its identifier, of which
-    the first takes the result; orphans the results that no call took.
-    """
-    one = Window.partitionBy("conv_id", "id")
-    calls = calls.withColumn("copy", F.row_number().over(one.orderBy("place", "name", "arguments", "needs")))
-    results = results.withColumn("_n", F.row_number().over(one.orderBy("place", "content")))
-    firsts, more = results.where("_n = 1").drop("_n"), results.where("_n > 1").drop("_n")
-    r = firsts.select(F.col("conv_id").alias("r_conv"), F.col("id").alias("r_id"), F.col("content"), F.lit(True).alias("answered"))
-    same = calls["conv_id"].eqNullSafe(F.col("r_conv")) & (calls["id"] == F.col("r_id")) & (calls["copy"] == 1)
-    linked = calls.join(r, same, "left").drop("r_conv", "r_id")
-    keys = calls.where("copy = 1").select(F.col("conv_id").alias("c_conv"), F.col("id").alias("c_id"))
-    lone = firsts.join(keys, firsts["conv_id"].eqNullSafe(F.col("c_conv")) & (firsts["id"] == F.col("c_id")), "left_anti")
-    return linked, lone.unionByName(more)
-
-
-def format_chats(linked: DataFrame, orphans: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """A row a conversation: conv_id, n_calls, n_linked, n_invalid, n_cyclic, n_orphans, chat (canonical JSON)."""
-    calls = linked.groupBy("conv_id").agg(
-        F.collect_list(F.struct("place", "id", "copy", "name", "arguments", F.coalesce("needs", F.array().cast("array<string>")).alias("needs"), "content", F.coalesce("answered", F.lit(False)).alias("answered"))).alias("calls")
-    )
-    lone = orphans.groupBy("conv_id").agg(F.collect_list(F.struct("place", "id", "content")).alias("orphans"))
-    lone = lone.withColumnRenamed("conv_id", "o_conv")
-    both = calls.join(lone, calls["conv_id"].eqNullSafe(F.col("o_conv")), "full").withColumn("conv_id", F.coalesce("conv_id", "o_conv"))
+#: Plain turns as calls.
+TURN_SCHEMAS = {
+    "respond": {
+        "type": "object", "additionalProperties": False, "required": ["role", "text", "turn"],
+        "properties": {"role": {"type": "string", "enum": ["system", "user"]}, "text": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}},
+    }
+}
+
+#: An identifier: whether it is a plain turn's, and its text.
+Id = tuple[bool, str]
 
-    @F.pandas_udf("struct<n_calls: long, n_linked: long, n_invalid: long, n_cyclic: long, n_orphans: long, chat: string>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for some, others in batches:
-            rows = [write(list(c) if c is not None else [], list(o) if o is not None else [], schemas) for c, o in zip(some, others, strict=True)]
-            yield pd.DataFrame(rows, columns=["n_calls", "n_linked", "n_invalid", "n_cyclic", "n_orphans", "chat"])
 
-    return both.select("conv_id", run("calls", "orphans").alias("_c")).select("conv_id", "_c.*")
+@dataclass
+class Call:
+    id: Id
+    place: int
+    name: str
+    arguments: object  # JSON text, or its value
+    needs: list[Id]
+    copy: int = 1
 
 
-def write(calls: list[dict], orphans: list[dict], schemas: dict[str, dict]) -> tuple[int, int, int, int, int, str]:
-    calls = sorted(calls, key=lambda c: (c["place"], c["id"], c["copy"]))
-    order, cyclic = topological([(c["place"], c["id"], list(c["needs"])) for c in calls])
-    out, linked, invalid = [], 0, 0
+@dataclass
+class Result:
+    id: Id
+    place: int
+    content: str
+
+
+def events(turn: int | None, role: str | None, text: str | None) -> list[Call | Result]:
+    """The calls or the result of one turn."""
+    place, text = -1 if turn is None else int(turn), text or ""
+    tool = None
+    if text.startswith("{"):
+        try:
+            tool = parsed(text)
+        except ValueError:
+            tool = None
+    if tool is not None:
+        calls = tool.get("tool_calls")
+        if isinstance(calls, list) and calls and all(isinstance(c, dict) for c in calls):
+            return [Call((False, _text(c.get("id"))), place, _text(c.get("name")), c.get("arguments"), _needs(c.get("needs"))) for c in calls]
+        if isinstance(tool.get("tool_call_id"), str):
+            return [Result((False, tool["tool_call_id"]), place, _text(tool.get("content")))]
+    if role == "assistant":
+        return [Result((True, f"turn:{place - 1}"), place, text)]
+    said = {k: v for k, v in (("role", role), ("text", text), ("turn", turn if turn is None else int(turn))) if v is not None}
+    return [Call((True, f"turn:{place}"), place, "respond", said, [(True, f"turn:{place - 2}")])]
+
+
+def _text(value) -> str:
+    return value if isinstance(value, str) else "" if value is None else canonical(value)
+
+
+def _needs(value) -> list[Id]:
+    """A need names a tool call, or a plain turn as "turn:3" where no call has that identifier."""
+    return [(False, _text(x)) for x in value] if isinstance(value, list) else []
+
+
+def link(found: list[Call | Result]) -> tuple[list[tuple[Call, Result | None]], list[Result]]:
+    """(calls with their results, orphans) of one conversation's calls and results, by hash join on the identifier."""
+    calls = sorted((x for x in found if isinstance(x, Call)), key=lambda c: (c.place, c.id, c.name, _text(c.arguments), c.needs))
+    results = sorted((x for x in found if isinstance(x, Result)), key=lambda r: (r.place, r.id, r.content))
+    built: dict[Id, Result] = {}
+    orphans = []
+    for r in results:
+        if built.setdefault(r.id, r) is not r:
+            orphans.append(r)
+    copies: dict[Id, int] = defaultdict(int)
+    linked = []
+    for c in calls:
+        copies[c.id] += 1
+        c.copy = copies[c.id]
+        linked.append((c, built.pop(c.id, None) if c.copy == 1 else None))
+    for c in calls:
+        c.needs = [(True, x[1]) if x not in copies and (True, x[1]) in copies else x for x in c.needs]
+    return linked, sorted([*orphans, *built.values()], key=lambda r: (r.place, r.id, r.content))
+
+
+def write(turns: list[tuple[int | None, str | None, str | None]], schemas: dict[str, dict]) -> tuple[int, int, int, int, int, str]:
+    """(calls, linked, invalid, cyclic, orphans, JSON) of one conversation's turns (turn, role, text), whatever their order."""
+    linked, orphans = link([e for t in turns for e in events(*t)])
+    order, cyclic = topological([(c.place, c.id, c.needs) for c, _ in linked])
+    out, answered, invalid = [], 0, 0
     for k in order:
-        c = calls[k]
+        c, r = linked[k]
         try:
-            value = json.loads(c["arguments"] or "")
-            wrong = problems(value, schemas[c["name"]]) if c["name"] in schemas else ["$:tool"]
+            value = c.arguments if not isinstance(c.arguments, str) else parsed(c.arguments)
+            wrong = problems(value, schemas[c.name]) if c.name in schemas else ["$:tool"]
         except ValueError:
-            value, wrong = c["arguments"], ["$:json"]
-        row = {"id": c["id"], "name": c["name"], "arguments": value}
-        if c["copy"] > 1:
-            row["copy"] = int(c["copy"])
-        if c["answered"]:
-            linked += 1
-            row["result"] = c["content"]
+            value, wrong = c.arguments, ["$:json"]
+        row = {"id": c.id[1], "name": c.name, "arguments": value}
+        if c.copy > 1:
+            row["copy"] = c.copy
+        if r is not None:
+            answered += 1
+            row["result"] = r.content
         if wrong:
             invalid += 1
             row["errors"] = wrong
         if k in cyclic:
             row["cyclic"] = True
         out.append(row)
-    lone = [{"id": o["id"], "result": o["content"]} for o in sorted(orphans, key=lambda o: (o["place"], o["id"], o["content"] or ""))]
-    return len(calls), linked, invalid, len(cyclic), len(lone), canonical({"calls": out, "orphans": lone})
+    lone = [{"id": o.id[1], "result": o.content} for o in orphans]
+    return len(out), answered, invalid, len(cyclic), len(lone), canonical({"calls": out, "orphans": lone})
 
 
-#: Turns of plain conversations as calls: what is asked, answered by the turn after it.
-TURN_SCHEMAS = {
-    "respond": {
-        "type": "object", "additionalProperties": False, "required": ["role", "text", "turn"],
-        "properties": {"role": {"type": "string", "enum": ["system", "user"]}, "text": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}},
-    }
-}
+def format_chats(turns: DataFrame, schemas: dict[str, dict], conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """A row a conversation of turns: conv_id, n_calls, n_linked, n_invalid, n_cyclic, n_orphans, chat (canonical JSON)."""
 
+    @F.pandas_udf("struct<n_calls: long, n_linked: long, n_invalid: long, n_cyclic: long, n_orphans: long, chat: string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for some in batches:
+            rows = [write([(t["turn"], t["role"], t["text"]) for t in c], schemas) for c in some]
+            yield pd.DataFrame(rows, columns=["n_calls", "n_linked", "n_invalid", "n_cyclic", "n_orphans", "chat"])
 
-def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(calls, results) of conversations (conv_id, turn, role, text) without tool syntax.
-
-    Every turn that isn't the assistant's calls `respond` with what it says and needs the call two turns before; the
-    assistant's turn is the result of the turn before it. Turns that hold {"tool_calls": [...]} or {"tool_call_id": ..., "content": ...}
-    as JSON are calls and results under their own identifiers; a list without calls is a plain turn.
-    """
-    t = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text")).distinct()
-    tool = F.from_json(F.when(F.col("text").startswith("{"), F.col("text")), "tool_calls array<struct<id: string, name: string, arguments: string, needs: array<string>>>, tool_call_id string, content string")
-    t = t.withColumn("tool", tool)
-    calls = F.coalesce(F.size("tool.tool_calls"), F.lit(0)) > 0
-    spoken = t.where(~calls & F.col("tool.tool_call_id").isNull())
-    place = F.coalesce("turn", F.lit(-1))
-    said = spoken.where(~F.col("role").eqNullSafe("assistant"))
-    arguments = F.to_json(F.struct("role", "text", "turn"))
-    asked = said.select("conv_id", place.cast("string").alias("id"), place.alias("place"), F.lit("respond").alias("name"), arguments.alias("arguments"), F.array((place - 2).cast("string")).alias("needs"))
-    answered = spoken.where(F.col("role").eqNullSafe("assistant")).select("conv_id", (place - 1).cast("string").alias("id"), place.alias("place"), F.col("text").alias("content"))
-    called = t.where(calls).select("conv_id", place.alias("place"), F.explode("tool.tool_calls").alias("c"))
-    called = called.select("conv_id", F.coalesce("c.id", F.lit("")).alias("id"), "place", "c.name", "c.arguments", "c.needs")
-    given = t.where(F.col("tool.tool_call_id").isNotNull()).select("conv_id", F.col("tool.tool_call_id").alias("id"), place.alias("place"), F.coalesce("tool.content", F.lit("")).alias("content"))
-    return asked.unionByName(called), answered.unionByName(given)
+    small_batches(turns.sparkSession)
+    own = F.when(F.col(conv_id).isNull(), F.monotonically_increasing_id())
+    slim = turns.select(F.col(conv_id).alias("conv_id"), own.alias("own"), F.struct(F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).alias("t"))
+    met = slim.groupBy("conv_id", "own").agg(F.collect_list("t").alias("turns"))
+    return met.select("conv_id", run("turns").alias("_c")).select("conv_id", "_c.*")

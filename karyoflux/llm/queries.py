@@ -29,7 +29,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation; its JSON as length and digest."""
-    chats = chat.format_chats(*chat.link(*chat.from_turns(table(spark, sf_dir, "conversations"))), chat.TURN_SCHEMAS)
+    chats = chat.format_chats(table(spark, sf_dir, "conversations"), chat.TURN_SCHEMAS)
     return chats.select("conv_id", "n_calls", "n_linked", "n_invalid", "n_cyclic", "n_orphans", F.length("chat").cast("long").alias("chat_chars"), F.sha2("chat", 256).alias("chat_sha256"))
 
 

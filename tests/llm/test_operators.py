@@ -2,10 +2,12 @@
 
 import hashlib
 import itertools
+import json
 import math
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -233,6 +235,67 @@ def test_lattice_scores(docs, empty):
     assert lattice.score(empty.drop("score", "rid"), held, PATH, rounds=1).count() == 0
 
 
+def test_lattice_scores_by_brute_force(spark):
+    """Marginals with whole-word arcs, summed over tokens, at the vocabulary's own scores."""
+    rows = [(1, "The thing the thing zq"), (2, "a thing of né"), (3, None), (4, "unseen of the zqx"), (5, " \t"), (6, "zqx zqx the")]
+    held = F.col("doc_id") > 3
+    got = {r.doc_id: r for r in lattice.score(spark.createDataFrame(rows, "doc_id long, text string"), held, PATH, rounds=0, head=3).collect()}
+    v = lattice.vocabulary(PATH)
+    logs = v.start()
+    tokens = lambda t: (t or "").encode().lower().split() + [None]
+    c = {}
+    for i, t in rows:
+        for w in tokens(t) if i <= 3 else []:
+            c[w] = c.get(w, 0) + 1
+    n = sum(c.values())
+    u = sum(x == 1 for x in c.values()) / n
+    u = min(0.5, max(1e-6, u))
+    piece = lambda w: math.exp(logs[-1] if w is None else brute_marginal(v, logs, w))
+    for i, t in rows:
+        assert got[i].score == pytest.approx(sum(math.log10((1 - u) * c.get(w, 0) / n + u * piece(w)) for w in tokens(t)))
+        assert got[i].piece_score == pytest.approx(sum(math.log10(piece(w)) for w in tokens(t)))
+
+
+def test_lattice_expected_uses():
+    """Expected uses against all paths of short words, and sums of lengths for words of many lengths together."""
+    v = lattice.vocabulary(PATH)
+    logs = v.start()
+
+    def paths(w, at=0):
+        if at == len(w):
+            yield []
+        for j in range(at + 1, len(w) + 1):
+            k = (v.final if j == len(w) else v.inner).get(w[at:j])
+            for rest in paths(w, j) if k is not None else []:
+                yield [k, *rest]
+
+    words, counts = [b"the", b"thing", b"zq", "né".encode(), b"abcdef"], [2.0, 1.0, 3.0, 1.0, 5.0]
+    want = np.zeros(v.end + 1)
+    for w, n in zip(words, counts, strict=True):
+        every = list(paths(w))
+        share = np.exp([sum(logs[k] for k in p) for p in every])
+        for p, x in zip(every, share / share.sum(), strict=True):
+            for k in p:
+                want[k] += n * x
+    assert lattice.expected(v, logs, words, np.array(counts)) == pytest.approx(want, abs=1e-9)
+    sizes = np.zeros(v.end + 1)
+    for w, k in [*v.inner.items(), *v.final.items()]:
+        sizes[k] = len(w)
+    r = random.Random(4)
+    words = [bytes(r.choice(b"abcdethin") for _ in range(n)) for n in (1, 2, 7, 33, 64, 65, 300, 5000) for _ in range(3)]
+    assert lattice.expected(v, logs, words, np.ones(len(words))) @ sizes == pytest.approx(sum(map(len, words)))
+
+
+def test_lattice_very_long_word():
+    """A million bytes without white space: linear time, and far less memory than all its windows would take."""
+    tracemalloc.start()
+    v = lattice.vocabulary(PATH)
+    word = bytes(random.Random(5).choice(b"abcdefgh") for _ in range(1_000_000))
+    whole = lattice.word_scores(v, v.start(), [word])[0]
+    assert np.isfinite(whole) and tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+
+
 def test_lattice_fits_four_rounds(docs):
     held = F.coalesce(F.col("doc_id"), F.lit(0)) % 3 == 0
     scores = lambda **how: sorted((str(r.doc_id), round(r.score, 6), round(r.piece_score, 6)) for r in lattice.score(docs.drop("score", "rid"), held, PATH, **how).collect())
@@ -384,22 +447,66 @@ def test_topological(needs):
 
 
 def test_chats(spark):
-    call = '{"tool_calls": [{"id": "c1", "name": "respond", "arguments": "{\\"turn\\": 1}", "needs": ["0"]}]}'
-    rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 2, "assistant", call), (1, 3, "tool", '{"tool_call_id": "c1", "content": "done"}'), (1, 4, "tool", '{"tool_call_id": "zz", "content": null}'), (None, None, None, None), (2, 5, "assistant", "alone")]
+    call = '{"tool_calls": [{"id": "c1", "name": "respond", "arguments": "{\\"turn\\": 1}", "needs": ["turn:0"]}]}'
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 2, "assistant", call), (1, 3, "tool", '{"tool_call_id": "c1", "content": "done"}'), (1, 4, "tool", '{"tool_call_id": "zz", "content": null}'), (None, None, None, None), (2, 5, "assistant", "alone")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.conv_id: r for r in chat.format_chats(*chat.link(*chat.from_turns(turns)), chat.TURN_SCHEMAS).collect()}
+    got = {r.conv_id: r for r in chat.format_chats(turns, chat.TURN_SCHEMAS).collect()}
     assert (got[1].n_calls, got[1].n_linked, got[1].n_invalid, got[1].n_orphans) == (2, 2, 1, 1)
-    assert got[1].chat == '{"calls":[{"arguments":{"role":"user","text":"hi","turn":0},"id":"0","name":"respond","result":"hello"},{"arguments":{"turn":1},"errors":["$.role:required","$.text:required"],"id":"c1","name":"respond","result":"done"}],"orphans":[{"id":"zz","result":""}]}'
+    assert got[1].chat == '{"calls":[{"arguments":{"role":"user","text":"hi","turn":0},"id":"turn:0","name":"respond","result":"hello"},{"arguments":{"turn":1},"errors":["$.role:required","$.text:required"],"id":"c1","name":"respond","result":"done"}],"orphans":[{"id":"zz","result":""}]}'
     assert (got[2].n_calls, got[2].n_orphans) == (0, 1) and got[None].n_calls == 1
-    assert chat.format_chats(*chat.link(*chat.from_turns(turns.limit(0))), chat.TURN_SCHEMAS).count() == 0
+    assert chat.format_chats(turns.limit(0), chat.TURN_SCHEMAS).count() == 0
 
 
 def test_every_call_is_kept(spark):
     """Null conversations and turns, shared turn numbers, calls without an id and empty lists of calls."""
     call = '{"tool_calls": [{"name": "respond", "arguments": "{}"}, {"name": "other", "arguments": "{}"}]}'
-    rows = [(None, 0, "user", f"q{i}") for i in range(5)] + [(None, None, "user", f"n{i}") for i in range(3)] + [(1, None, "system", "a"), (1, None, "user", "b"), (1, 0, "user", "x"), (1, 0, "user", "y"), (1, 1, "assistant", "z"), (2, 0, "assistant", call), (2, 1, "assistant", call), (2, 3, "user", '{"tool_calls": []}')]
+    rows = [(None, 0, "user", f"q{i}") for i in range(5)] + [(1, None, "system", "a"), (1, None, "user", "b"), (1, 0, "user", "x"), (1, 0, "user", "y"), (1, 1, "assistant", "z"), (2, 0, "assistant", call), (2, 1, "assistant", call), (2, 3, "user", '{"tool_calls": []}')]
+    rows += [(3, 0, "user", "p"), (3, 1, "assistant", '{"tool_calls": [{"id": "turn:0", "name": "other", "arguments": "{}"}]}'), (3, 2, "tool", '{"tool_call_id": "turn:0", "content": "r"}'), (3, 3, "assistant", "s"), (3, 3, "assistant", "s")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.conv_id: r for r in chat.format_chats(*chat.link(*chat.from_turns(turns)), chat.TURN_SCHEMAS).collect()}
-    assert {k: (r.n_calls, r.n_linked, r.n_orphans) for k, r in got.items()} == {None: (8, 0, 0), 1: (4, 1, 0), 2: (5, 0, 0)}
-    assert all(f'"{t}"' in got[None].chat for t in ["q0", "q1", "q2", "q3", "q4", "n0", "n1", "n2"])
-    assert '"turn":0},"id":"0","name":"respond","result":"z"' in got[1].chat and '"copy":2,"id":"0"' in got[1].chat
+    got = chat.format_chats(turns, chat.TURN_SCHEMAS).collect()
+    assert sorted(str((r.conv_id, r.n_calls, r.n_linked, r.n_orphans)) for r in got) == sorted(str(x) for x in [*[(None, 1, 0, 0)] * 5, (1, 4, 1, 0), (2, 5, 0, 0), (3, 2, 1, 2)])
+    by = {r.conv_id: r.chat for r in got}
+    assert '"turn":0},"id":"turn:0","name":"respond","result":"z"' in by[1] and '"copy":2,"id":"turn:0"' in by[1]
+    assert '"id":"turn:0","name":"other","result":"r"' in by[3]  # a tool's identifier that looks like a plain turn's
+
+
+_IDS = st.sampled_from(["a", "b", "c", "turn:0", ""])
+_TURNS = st.one_of(
+    st.tuples(st.one_of(st.none(), st.integers(0, 4)), st.sampled_from(["user", "assistant", "system", None]), st.sampled_from(["x", "y", "", None, "{", "{}"])),
+    st.builds(lambda n, ids, needs: (n, "assistant", chat.canonical({"tool_calls": [{"id": i, "name": "t", "arguments": "{}", "needs": needs} for i in ids]})), st.integers(0, 4), st.lists(_IDS, min_size=1, max_size=3), st.lists(_IDS, max_size=2)),
+    st.builds(lambda n, i, c: (n, "tool", chat.canonical({"tool_call_id": i, "content": c})), st.integers(0, 4), _IDS, st.sampled_from(["u", "v", None])),
+)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(_TURNS, max_size=8), st.randoms(use_true_random=False))
+def test_chats_by_brute_force(turns, r):
+    """Links by search over all pairs; calls, linked results and orphans are all events; order respects needs."""
+    n_calls, n_linked, _, n_cyclic, n_orphans, text = chat.write(turns, {"t": {"type": "object"}})
+    shuffled = list(turns)
+    r.shuffle(shuffled)
+    assert chat.write(shuffled, {"t": {"type": "object"}})[5] == text
+    every = [e for t in turns for e in chat.events(*t)]
+    calls, results = [e for e in every if isinstance(e, chat.Call)], [e for e in every if isinstance(e, chat.Result)]
+    assert (n_calls, n_linked + n_orphans) == (len(calls), len(results))
+    assert n_linked == len({c.id for c in calls if any(x.id == c.id for x in results)})
+    got = json.loads(text)["calls"]
+    assert sorted(c.get("copy", 1) for c in got) == sorted(k for i in {c.id for c in calls} for k in range(1, 1 + sum(c.id == i for c in calls)))
+    if not n_cyclic:
+        plain = {c.id[1] for c in calls if c.id[0]}
+        tool = {c.id[1] for c in calls if not c.id[0]}
+        if not plain & tool and "turn:0" not in tool:
+            place = {}
+            for k, c in enumerate(got):
+                place.setdefault(c["id"], k) if c.get("copy", 1) == 1 else None
+            for k, c in enumerate(got):
+                own = [x for x in calls if x.id[1] == c["id"]]
+                if len(own) == 1:
+                    assert all(place[d] < k for _, d in own[0].needs if d in place)
+
+
+def test_chat_arguments_that_json_cannot_say(spark):
+    deep = '{"a":' * 100_000 + "1" + "}" * 100_000
+    rows = [(k, 0, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "t", "arguments": x}]})) for k, x in enumerate(["NaN", "1e999", deep, '"\\ud800"', "{"])] + [(9, 0, "user", deep)]
+    got = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), {"t": {}}).collect()}
+    assert [got[k].n_invalid for k in range(5)] == [1, 1, 1, 0, 1] and got[9].n_calls == 1 and "\\ud800" in got[3].chat
