@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: list[str] = []
+_scopes: list[list[DataFrame]] = []
+#: Codec of scratch tables. Its buffers are of a fixed size on the heap; snappy's are as large as a page, outside the heap, and a
+#: page of long texts is large.
+_CODEC = "zstd"
 
 
 def session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -46,7 +52,18 @@ def scratch(spark: SparkSession) -> str:
     return f"file://{_own_folder[0]}"
 
 
-def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+@contextlib.contextmanager
+def cleaned() -> Iterator[None]:
+    """Deletes at its end what materialize wrote inside it, but for tables written with keep."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for df in _scopes.pop():
+            discard(df)
+
+
+def materialize(df: DataFrame, name: str, by: str | None = None, keep: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
     The written files cut the lineage, survive lost executors and fix what is nondeterministic (row ids). With by, the table is
@@ -55,11 +72,14 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     if by is None:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=_CODEC)
         out = spark.read.schema(df.schema).parquet(path)
     else:
         out = _bucketed(df, path, by)
     out._scratch_path = path
+    scopes = _scopes[:-1] if keep else _scopes
+    if scopes:
+        scopes[-1].append(out)
     return out
 
 
@@ -70,7 +90,7 @@ def _bucketed(df: DataFrame, path: str, by: str) -> DataFrame:
     before = spark.conf.get(writers)
     spark.conf.set(writers, str(max(int(before), 64)))  # several open files in place of a sort of the rows by bucket
     try:
-        df.write.option("path", path).bucketBy(_buckets(df), by).saveAsTable(name, format="parquet")
+        df.write.options(path=path, compression=_CODEC).bucketBy(_buckets(df), by).saveAsTable(name, format="parquet")
     finally:
         spark.conf.set(writers, before)
     try:
