@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from karyoflux.functions.stats import adjacency_pvalue, fisher_combine
 from karyoflux.model import GENOME_SIZE
 from karyoflux.operators.intervals import join_overlapping
-from karyoflux.operators.variants import breakpoints, inter, nodes
+from karyoflux.operators.variants import breakpoints, inter, nodes, without_local_clusters
 
 TRA, BRIDGE, ADJACENT = "TRANSLOCATION", "DELETION_BRIDGE", "ADJACENCY"
 LIKELY, POSSIBLE, UNLIKELY, NOT = "Likely chromoplexy", "Possible chromoplexy", "Unlikely chromoplexy", "Not chromoplexy"
@@ -236,6 +236,12 @@ def detect(sv: DataFrame, cnv: DataFrame | None = None, statistical: bool = True
     return classify(evaluate(found, sv, cnv, statistical, genome_size, threshold), statistical, cnv is None, likely, possible)
 
 
+def detect_germline(sv: DataFrame, cnv: DataFrame | None = None, window: int = 1000, min_svs: int = 2, min_chromosomes: int = 4, neighbors: int = 2, **how) -> DataFrame:
+    """detect() for germline samples: without the variants of local clusters, which are mostly mapping artifacts, and with stricter
+    defaults than tumours need."""
+    return detect(without_local_clusters(sv, window, min_svs), cnv, neighbors=neighbors, min_chromosomes=min_chromosomes, **how)
+
+
 def ordered(c: DataFrame) -> DataFrame:
     return c.orderBy("sample_id", F.desc("combined_score"), "chain_id")
 

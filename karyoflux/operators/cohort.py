@@ -156,3 +156,52 @@ def over_representation(genes: DataFrame, gene_sets: DataFrame, universe: int, t
     x = x.withColumn("pvalue", fisher_greater_p("hits", F.col("n_genes") - F.col("hits"), F.col("set_size") - F.col("hits"), F.lit(universe) - F.col("n_genes") - F.col("set_size") + F.col("hits")))
     x = with_bh(x, "pvalue", "fdr", ["source"])
     return x.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("pvalue", "set_name"))).where(F.col("place") <= top)
+
+
+def results(summary: DataFrame, fusion: DataFrame | None = None) -> DataFrame:
+    """One row a sample: its class, the sure calls of each module and its fusions; what wasn't run counts as 0."""
+    num = lambda c: (F.coalesce(F.col(c), F.lit(0)) if c in summary.columns else F.lit(0)).cast("double")
+    s = summary if fusion is None else summary.join(fusion.groupBy("sample_id").agg(F.count("*").alias("_fusions")), "sample_id", "left")
+    n = F.lit(0).cast("long") if fusion is None else F.coalesce("_fusions", F.lit(0).cast("long"))
+    return s.select(
+        "sample_id", F.coalesce("overall_classification", F.lit("Unknown")).alias("classification"), num("chromothripsis_high_confidence").alias("ct_hc"), num("chromoplexy_likely").alias("cp_likely"), num("chromoanasynthesis_likely").alias("cs_likely"), n.alias("n_fusions"),
+    )
+
+
+def score_distribution(df: DataFrame, metrics: list[str]) -> DataFrame:
+    """(metric, n, mean, sd, min, max) of each metric over all rows, nulls left out."""
+    x = df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("m")).select("m.*")
+    return x.groupBy("metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"))
+
+
+def top_genes(hits: DataFrame, n: int = 20) -> DataFrame:
+    """The n genes with most hits (sample_id, symbol), ties by name."""
+    g = hits.groupBy("symbol").agg(F.count("*").alias("n_hits"), F.countDistinct("sample_id").alias("n_samples"))
+    return g.orderBy(F.desc("n_hits"), "symbol").limit(n)
+
+
+def gene_symbols(df: DataFrame, driver_only: bool = False) -> DataFrame:
+    """(symbol): the distinct genes of a table, from its symbol column or its lists of genes (genes, driver_genes)."""
+    if "symbol" in df.columns:
+        found = df.where("is_driver").select("symbol") if driver_only and "is_driver" in df.columns else df.select("symbol")
+    else:
+        lists = [c for c in (["driver_genes"] if driver_only else ["genes", "affected_chromoplexy_genes"]) if c in df.columns]
+        if not lists:
+            raise ValueError("the table has neither a symbol column nor a list of genes")
+        found = df.select(F.explode(F.split(lists[0], "[,;]")).alias("symbol"))
+    return found.select(F.trim(F.col("symbol").cast("string")).alias("symbol")).where(F.length("symbol") > 0).distinct()
+
+
+#: Orders of the cohort's tables.
+ORDERS = {
+    "gene": [F.desc, "n_samples", F.desc, "n_collapsed_events", F.desc, "is_driver", F.asc, "symbol"],
+    "chromosome": [F.desc, "n_samples", F.asc, "chrom"],
+    "region": [F.desc, "n_samples", F.desc, "n_collapsed_events", F.asc, "chrom", F.asc, "window_start"],
+    "event": [F.desc, "cohort_priority_score", F.asc, "sample_id"],
+}
+
+
+def ordered(df: DataFrame, kind: str) -> DataFrame:
+    """A recurrence table in its order, by a range sort."""
+    o = ORDERS[kind]
+    return df.orderBy(*[f(c) for f, c in zip(o[::2], o[1::2], strict=True)])

@@ -30,19 +30,61 @@ def feature_name(name: str) -> str:
     return re.sub("_+", "_", re.sub("[^A-Za-z0-9]+", "_", name)).strip("_").lower()
 
 
-def features(summary: DataFrame, event: DataFrame | None = None, fusion: DataFrame | None = None) -> DataFrame:
-    """One row a sample of numeric features from the integrated summary, the events and the fusions; absent counts are 0."""
-    f = summary.select(
-        "sample_id", *[F.coalesce(F.col(c), F.lit(0)).alias(n) for c, n in (("chromothripsis_high_confidence", "ct_high"), ("chromothripsis_low_confidence", "ct_low"), ("chromoplexy_likely", "cp_likely"), ("chromoplexy_possible", "cp_possible"), ("chromoplexy_chains", "cp_chains"), ("chromoanasynthesis_likely", "cs_likely"), ("chromoanasynthesis_possible", "cs_possible")) if c in summary.columns]
-    )
-    f = f.withColumns({"has_ct": (F.col("ct_high") > 0).cast("int"), "has_cp": (F.col("cp_likely") > 0).cast("int"), "has_cs": (F.col("cs_likely") > 0).cast("int")})
-    f = f.withColumn("n_mechanisms", F.col("has_ct") + F.col("has_cp") + F.col("has_cs"))
-    if event is not None:
-        e = event.groupBy("sample_id").agg(F.count("*").alias("n_events"), *[F.count_if(F.col("event_confidence") == c).alias(f"n_{c.lower()}_events") for c in ("High", "Moderate", "Low")], F.max("event_qc_score").alias("max_qc"), F.avg("event_qc_score").alias("mean_qc"), F.sum("n_unique_svs").alias("total_svs"), F.max("n_chromosomes").alias("max_chromosomes"))
-        f = f.join(e, "sample_id", "left").na.fill(0)
-    if fusion is not None:
-        f = f.join(fusion.groupBy("sample_id").agg(F.count_if(F.col("type") == "Fusion").alias("n_fusions")), "sample_id", "left").na.fill(0)
-    return f
+def features(summary: DataFrame, event: DataFrame | None = None, fusion: DataFrame | None = None, detail: DataFrame | None = None) -> DataFrame:
+    """One row a sample: the integrated summary's counts, the chain events, the genes at them (detail) and the fusions.
+
+    Counts of what is absent are 0; scores of samples without events are null, and skipped like other nulls.
+    """
+    num = lambda c: F.coalesce(F.col(c), F.lit(0)) if c in summary.columns else F.lit(0)
+    flag = lambda c: c.cast("int")
+    mode = F.col("analysis_mode") if "analysis_mode" in summary.columns else F.lit(None).cast("string")
+    s = summary.select(
+        "sample_id", mode.alias("analysis_mode"), num("chromothripsis_high_confidence").alias("ct_high_confidence"), num("chromothripsis_low_confidence").alias("ct_low_confidence"),
+        num("chromoplexy_likely").alias("cp_likely_chains"), num("chromoplexy_possible").alias("cp_possible_chains"), (F.col("chromoplexy_chains") if "chromoplexy_chains" in summary.columns else F.lit(None).cast("long")).alias("cp_total_chains"),
+        num("chromoanasynthesis_likely").alias("cs_likely_events"), num("chromoanasynthesis_possible").alias("cs_possible_events"),
+    )
+    counts = {"High": "n_high_confidence_chromoplexy_events", "Moderate": "n_moderate_confidence_chromoplexy_events", "Low": "n_low_confidence_chromoplexy_events"}
+    zero = ["n_chromoplexy_events", *counts.values(), "total_event_svs", "total_event_breakpoints", "max_n_svs", "max_n_breakpoints", "max_n_chromosomes", "cycles"]
+    if event is None:
+        s = s.select("*", *[F.lit(0).alias(c) for c in zero], F.lit(None).cast("double").alias("mean_event_qc_score"), F.lit(None).cast("double").alias("max_event_qc_score"))
+    else:
+        e = event.groupBy("sample_id").agg(
+            F.count("*").alias("n_chromoplexy_events"), *[F.count_if(F.col("event_confidence") == k).alias(v) for k, v in counts.items()], F.sum("n_unique_svs").alias("total_event_svs"), F.sum("n_breakpoints").alias("total_event_breakpoints"),
+            F.max("n_unique_svs").alias("max_n_svs"), F.max("n_breakpoints").alias("max_n_breakpoints"), F.max("n_chromosomes").alias("max_n_chromosomes"), F.count_if(F.col("has_cycle")).alias("cycles"),
+            F.avg("event_qc_score").alias("mean_event_qc_score"), F.max("event_qc_score").alias("max_event_qc_score"),
+        )
+        s = s.join(e, "sample_id", "left").na.fill(0, zero)
+    if detail is None:
+        s = s.select("*", F.lit(0).alias("n_chromoplexy_genes"), F.lit(0).alias("n_chromoplexy_driver_genes"), F.lit("").alias("affected_chromoplexy_genes"), F.lit("").alias("chromoplexy_driver_genes"))
+    else:
+        names = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
+        driver = F.when(F.col("is_driver"), F.col("symbol"))
+        g = detail.groupBy("sample_id").agg(F.countDistinct("symbol").alias("n_chromoplexy_genes"), F.countDistinct(driver).alias("n_chromoplexy_driver_genes"), names("symbol").alias("affected_chromoplexy_genes"), names(driver).alias("chromoplexy_driver_genes"))
+        s = s.join(g, "sample_id", "left").na.fill(0, ["n_chromoplexy_genes", "n_chromoplexy_driver_genes"]).na.fill("", ["affected_chromoplexy_genes", "chromoplexy_driver_genes"])
+    if fusion is None:
+        s = s.withColumn("n_fusions", F.lit(0))
+    else:
+        s = s.join(fusion.groupBy("sample_id").agg(F.count("*").alias("n_fusions")), "sample_id", "left").na.fill(0, ["n_fusions"])
+    ct, cp, cs = F.col("ct_high_confidence") + F.col("ct_low_confidence"), F.col("cp_likely_chains") + F.col("cp_possible_chains"), F.col("cs_likely_events") + F.col("cs_possible_events")
+    some = F.col("n_chromoplexy_events") > 0
+    return s.select(
+        "sample_id", "analysis_mode", flag(F.coalesce(F.col("analysis_mode").contains("SV-only"), F.lit(False))).alias("is_sv_only"), "ct_high_confidence", "ct_low_confidence", flag(ct > 0).alias("has_chromothripsis"),
+        "cp_likely_chains", "cp_possible_chains", F.coalesce("cp_total_chains", cp).alias("cp_total_chains"), flag((cp > 0) | some).alias("has_chromoplexy"), "cs_likely_events", "cs_possible_events", flag(cs > 0).alias("has_chromoanasynthesis"),
+        flag((ct + cp + cs > 0) | some).alias("has_chromoanagenesis"), "n_chromoplexy_events", *counts.values(), flag(F.col(counts["High"]) > 0).alias("has_high_confidence_chromoplexy_event"), "mean_event_qc_score", "max_event_qc_score",
+        "total_event_svs", "total_event_breakpoints", "max_n_svs", "max_n_breakpoints", "max_n_chromosomes", flag(F.col("max_n_chromosomes") >= 2).alias("has_multichromosomal_chromoplexy_event"), flag(F.col("cycles") > 0).alias("has_cycle_chromoplexy_event"),
+        "n_chromoplexy_genes", "n_chromoplexy_driver_genes", flag(F.col("n_chromoplexy_driver_genes") > 0).alias("has_chromoplexy_driver_gene"), "n_fusions", "affected_chromoplexy_genes", "chromoplexy_driver_genes",
+    )
+
+
+def two_levels(f: DataFrame, columns: list[str]) -> DataFrame:
+    """f with text columns of exactly two values as 0 and 1 in order of the values; empty text is missing. Other text stays."""
+    if not columns:
+        return f
+    clean = {c: F.nullif(F.col(c), F.lit("")) for c in columns}
+    ends = f.agg(*[F.min(v).alias(f"lo{k}") for k, v in enumerate(clean.values())], *[F.max(v).alias(f"hi{k}") for k, v in enumerate(clean.values())]).first()
+    lo, hi = ends[: len(columns)], ends[len(columns) :]
+    only = f.agg(*[F.coalesce(F.bool_and(clean[c].isin(lo[k], hi[k])), F.lit(False)).alias(f"c{k}") if lo[k] is not None and lo[k] < hi[k] else F.lit(False).alias(f"c{k}") for k, c in enumerate(columns)]).first()
+    return f.withColumns({c: F.when(clean[c].isNotNull(), (clean[c] == hi[k]).cast("int")) for k, c in enumerate(columns) if only[k]})
 
 
 def pathway_hits(genes: DataFrame, gene_sets: DataFrame) -> DataFrame:
@@ -52,7 +94,9 @@ def pathway_hits(genes: DataFrame, gene_sets: DataFrame) -> DataFrame:
 
 
 def long_form(f: DataFrame, clinical: DataFrame, columns: list[str] | None = None, time: str = "os_time", event: str = "os_event") -> DataFrame:
-    """(sample_id, time, event, feature, value) of samples with a positive time and a known event."""
+    """(sample_id, time, event, feature, value) of samples with a positive time and a known event; numbers, truth values and text of
+    two values are features."""
+    f = two_levels(f, [c for c, t in f.dtypes if c != "sample_id" and t == "string" and (columns is None or c in columns)])
     names = columns or [c for c, t in f.dtypes if c != "sample_id" and t in ("int", "bigint", "double", "boolean")]
     c = clinical.select("sample_id", F.col(time).cast("double").alias("time"), event_flag(F.col(event)).alias("event")).where("time > 0 AND event IS NOT NULL")
     x = f.select("sample_id", F.explode(F.array(*[F.struct(F.lit(feature_name(n)).alias("feature"), F.col(n).cast("double").alias("value")) for n in names])).alias("f")).select("sample_id", "f.*")

@@ -324,6 +324,16 @@ FROM bps b JOIN gene g ON g.chrom = b.chrom AND g.strand = b.strand AND g.start
 _NEEDS |= {"lr": ["long"], "bt": ["bps"], "gs": ["bps", "gene"], "frame": ["cnv"]}
 
 
+_SQL["germline_filter"] = (
+    f"""SELECT sv.* FROM sv ANTI JOIN (SELECT sample_id, unnest(string_split(sv_ids, ',')) AS sv_id FROM ({_SQL["flag_clustered_breakpoints"][0]})) USING (sample_id, sv_id)""", "bps")
+_SQL["recurrent_genes"] = (
+    """SELECT symbol, min(gene_id) AS gene_id, min(gene_type) AS gene_type, bool_or(is_driver) AS is_driver, count(DISTINCT sample_id) AS n_samples, count(DISTINCT cohort_event_id) AS n_collapsed_events, string_agg(DISTINCT sample_id, ',' ORDER BY sample_id) AS samples,
+  string_agg(DISTINCT cohort_event_id, ',' ORDER BY cohort_event_id) AS cohort_event_ids, string_agg(DISTINCT chrom, ',' ORDER BY chrom) AS chromosomes, round(avg(pos % 100 / 100.0), 6) AS mean_event_qc_score, round(max(pos % 100 / 100.0), 6) AS max_event_qc_score,
+  round(count(DISTINCT sample_id) / (SELECT count(DISTINCT sample_id) FROM sv), 6) AS recurrence_fraction, round(least(count(DISTINCT sample_id) / 3, 1.0), 6) AS recurrence_score
+FROM (SELECT p.*, g.* EXCLUDE (chrom) FROM points p JOIN gene g ON p.chrom = g.chrom AND p.pos + 1000 >= g.start AND p.pos - 1000 <= g."end") GROUP BY symbol""", "points", "gene", "sv")
+_SQL["score_distribution"] = (
+    f"""SELECT metric, count(value) AS n, round(avg(value), 6) AS mean, round(stddev(value), 6) AS sd, round(min(value), 6) AS min, round(max(value), 6) AS max FROM (
+  SELECT unnest(['slope', 'variation_score', 'cn_mean']) AS metric, unnest([slope, variation_score, cn_mean]) AS value FROM ({_SQL["cs_windows"][0].replace("round(slope, 6) + 0.0 AS slope", "slope").replace("round(CASE WHEN cn_mean > 0 THEN jumps / cn_mean ELSE 0.0 END, 6)", "CASE WHEN cn_mean > 0 THEN jumps / cn_mean ELSE 0.0 END").replace("round(cn_mean, 6) AS cn_mean", "cn_mean")})) GROUP BY metric""", *_SQL["cs_windows"][1:])
 _KEPT = "WHERE chrom1 <> chrom2 OR pos2 - pos1 >= 50"
 _MATED = """CASE WHEN chrom1 <= chrom2 THEN sv_id || 'o' ELSE sv_id || 'h' END AS sv_id, least(chrom1, chrom2) AS chrom1, CASE WHEN chrom1 <= chrom2 THEN pos1 ELSE pos2 END AS pos1,
   CASE WHEN chrom1 <= chrom2 THEN strand1 ELSE strand2 END AS strand1, greatest(chrom1, chrom2) AS chrom2, CASE WHEN chrom1 <= chrom2 THEN pos2 ELSE pos1 END AS pos2, CASE WHEN chrom1 <= chrom2 THEN strand2 ELSE strand1 END AS strand2, svtype"""

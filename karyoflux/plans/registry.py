@@ -14,7 +14,7 @@ from karyoflux.operators import chromoanasynthesis as cs
 from karyoflux.operators import chromoplexy as cp
 from karyoflux.operators import chromothripsis as ct
 from karyoflux.operators import cohort, genes, integrate, layouts, rate_chains, repair, segments, survival, variants
-from karyoflux.plans import oracle
+from karyoflux.plans import oracle, rules
 from karyoflux.sources import fixtures as fx
 from karyoflux.sources import vcf
 
@@ -555,7 +555,8 @@ def cox_tests(s, d):
 
 @query
 def survival_features(s, d):
-    return survival.features(_summary(s, d), _events(s, d), genes.fusions(fx.sv(s, d), fx.gene(s, d)))
+    e, _, g = _detail(s, d)
+    return survival.features(_summary(s, d), e, genes.fusions(fx.sv(s, d), fx.gene(s, d)), g)
 
 
 @query
@@ -653,9 +654,23 @@ def event_flags(s, d):
     return c.select("c_custkey", "word", survival.event_flag(F.col("word")).cast("long").alias("event"), survival.event_flag(F.col("c_custkey") % 3 == 0).cast("long").alias("by_truth"), survival.event_flag((F.col("c_custkey") % 3).cast("double")).cast("long").alias("by_number"))
 
 
+@query
+def cohort_results(s, d):
+    return cohort.results(_summary(s, d), genes.fusions(fx.sv(s, d), fx.gene(s, d)))
+
+
+@query
+def cp_germline_chains(s, d):
+    return cp.detect_germline(fx.sv(s, d), fx.cnv(s, d), window=200_000)
+
+
+for _q in rules.QUERIES:
+    query(_q)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.queries()
+    return oracle.queries() | {name: oracle.with_tables(*spec) for name, spec in rules.SQL.items()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,13 +48,19 @@ def clean_sample_id(c):
     return F.regexp_replace(F.regexp_replace(c, r"\.(rds|parquet)$", ""), r"(_chromoanagenesis|_result)+$", "")
 
 
-def write_cache(df: DataFrame, path: str) -> None:
-    """Results by sample; samples that are written again replace their own files only."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample_id").parquet(path)
+def write_cache(df: DataFrame, path: str, batch: int | None = None) -> None:
+    """Appends results by sample; what is written later replaces a sample's earlier rows when read.
+
+    A batch is a folder of as many files as df has tasks, so their number doesn't grow with the samples.
+    """
+    df.withColumn("_batch", F.lit(time.time_ns() if batch is None else batch)).write.mode("append").partitionBy("_batch").parquet(path)
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("inferSchema", "false").parquet(path)
+    """Each sample's rows of its last batch."""
+    df = spark.read.parquet(path)
+    last = df.groupBy("sample_id").agg(F.max("_batch").alias("_batch"))
+    return df.join(last, ["sample_id", "_batch"], "left_semi").drop("_batch")
 
 
 def not_cached(sheet: DataFrame, cache: DataFrame) -> DataFrame:
