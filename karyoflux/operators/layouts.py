@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from karyoflux.operators.intervals import join_overlapping
 from karyoflux.operators.segments import with_linear
+from karyoflux.operators.variants import inter
 
 
 def arcs(sv: DataFrame, genome: DataFrame) -> DataFrame:
@@ -85,3 +87,27 @@ def microhomology_histogram(repair: DataFrame) -> DataFrame:
 def format_position(pos):
     """Text in Mb, kb or bases."""
     return F.when(pos >= 1_000_000, F.format_string("%.2f Mb", pos / 1e6)).when(pos >= 1000, F.format_string("%.1f Kb", pos / 1e3)).otherwise(F.concat(pos.cast("string"), F.lit(" bp")))
+
+
+def circular_arcs(sv: DataFrame, genome: DataFrame) -> DataFrame:
+    """Interchromosomal variants as arcs of a circle: the angle of each end in turns, and the share of the circle between them."""
+    size = genome.agg(F.sum("size").alias("whole"))
+    a = arcs(inter(sv), genome).crossJoin(F.broadcast(size)).select("sample_id", "sv_id", (F.col("x1") / F.col("whole")).alias("turn1"), (F.col("x2") / F.col("whole")).alias("turn2"))
+    gap = F.abs(F.col("turn2") - F.col("turn1"))
+    return a.withColumn("between", F.least(gap, 1 - gap))
+
+
+def region_links(sv: DataFrame, loc: DataFrame) -> DataFrame:
+    """Interchromosomal variants with an end in a called region: (sample_id, sv_id, mechanism, ends), ends the number of ends inside."""
+    s = inter(sv)
+    ends = F.explode(F.array(*[F.struct(F.lit(n).alias("end_no"), F.col(f"chrom{n}").alias("chrom"), F.col(f"pos{n}").alias("pos")) for n in (1, 2)]))
+    s = s.select("sample_id", "sv_id", ends.alias("e")).select("sample_id", "sv_id", "e.*")
+    r = loc.select("sample_id", "chrom", "mechanism", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    j = join_overlapping(s, r, ["sample_id", "chrom"], (F.col("pos"), F.col("pos")), (F.col("r_start"), F.col("r_end")))
+    return j.groupBy("sample_id", "sv_id", "mechanism").agg(F.countDistinct("end_no").alias("ends"))
+
+
+def fusion_repair(fusion: DataFrame, repair: DataFrame) -> DataFrame:
+    """Fusions with how their junction was repaired."""
+    r = repair.select("sample_id", "sv_id", "repair_mechanism", "mh_length")
+    return fusion.select("sample_id", "sv_id", "fusion_name", "type", "status").join(r, ["sample_id", "sv_id"], "left")

@@ -334,6 +334,13 @@ FROM (SELECT p.*, g.* EXCLUDE (chrom) FROM points p JOIN gene g ON p.chrom = g.c
 _SQL["score_distribution"] = (
     f"""SELECT metric, count(value) AS n, round(avg(value), 6) AS mean, round(stddev(value), 6) AS sd, round(min(value), 6) AS min, round(max(value), 6) AS max FROM (
   SELECT unnest(['slope', 'variation_score', 'cn_mean']) AS metric, unnest([slope, variation_score, cn_mean]) AS value FROM ({_SQL["cs_windows"][0].replace("round(slope, 6) + 0.0 AS slope", "slope").replace("round(CASE WHEN cn_mean > 0 THEN jumps / cn_mean ELSE 0.0 END, 6)", "CASE WHEN cn_mean > 0 THEN jumps / cn_mean ELSE 0.0 END").replace("round(cn_mean, 6) AS cn_mean", "cn_mean")})) GROUP BY metric""", *_SQL["cs_windows"][1:])
+_SQL["circular_arcs"] = (
+    """SELECT sample_id, sv_id, round(a, 9) AS turn1, round(b, 9) AS turn2, round(least(abs(b - a), 1 - abs(b - a)), 9) AS between FROM (
+  SELECT sample_id, sv_id, (pos1 + l1.shift) / (SELECT sum(size) FROM genome) AS a, (pos2 + l2.shift) / (SELECT sum(size) FROM genome) AS b FROM sv JOIN linear l1 ON l1.chrom = chrom1 JOIN linear l2 ON l2.chrom = chrom2 WHERE chrom1 <> chrom2)""", "sv", "genome", "linear")
+_SQL["region_links"] = (
+    """SELECT b.sample_id, b.sv_id, c.mechanism, count(DISTINCT bp_no) AS ends FROM bps b JOIN sv USING (sample_id, sv_id) JOIN calls c ON c.sample_id = b.sample_id AND c.chrom = b.chrom AND b.pos BETWEEN c.start AND c."end" WHERE chrom1 <> chrom2 GROUP BY ALL""", "bps", "sv", "calls")
+_SQL["fusion_repair"] = (
+    f"""SELECT f.sample_id, f.sv_id, fusion_name, type, status, repair_mechanism, mh_length FROM ({_SQL["fusions"][0]}) f LEFT JOIN repair r ON r.sample_id = f.sample_id AND r.sv_id = f.sv_id""", *_SQL["fusions"][1:], "repair")
 _KEPT = "WHERE chrom1 <> chrom2 OR pos2 - pos1 >= 50"
 _MATED = """CASE WHEN chrom1 <= chrom2 THEN sv_id || 'o' ELSE sv_id || 'h' END AS sv_id, least(chrom1, chrom2) AS chrom1, CASE WHEN chrom1 <= chrom2 THEN pos1 ELSE pos2 END AS pos1,
   CASE WHEN chrom1 <= chrom2 THEN strand1 ELSE strand2 END AS strand1, greatest(chrom1, chrom2) AS chrom2, CASE WHEN chrom1 <= chrom2 THEN pos2 ELSE pos1 END AS pos2, CASE WHEN chrom1 <= chrom2 THEN strand2 ELSE strand1 END AS strand2, svtype"""

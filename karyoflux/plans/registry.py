@@ -664,6 +664,26 @@ def cp_germline_chains(s, d):
     return cp.detect_germline(fx.sv(s, d), fx.cnv(s, d), window=200_000)
 
 
+@query
+def circular_arcs(s, d):
+    return rounded(layouts.circular_arcs(fx.sv(s, d), genome_table(s)), "turn1", "turn2", "between", digits=9)
+
+
+@query
+def region_links(s, d):
+    return layouts.region_links(fx.sv(s, d), fx.calls(s, d))
+
+
+@query
+def fusion_repair(s, d):
+    return layouts.fusion_repair(genes.fusions(fx.sv(s, d), fx.gene(s, d)), _repair(s, d))
+
+
+@query
+def hazard_forest(s, d):
+    return survival.top_hazards(survival.cox_tests(survival.long_form(_features(s, d), fx.clinical(s, d))))
+
+
 for _q in rules.QUERIES:
     query(_q)
 
