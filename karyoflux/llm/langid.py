@@ -9,19 +9,20 @@ switch, is found by Viterbi. Most texts need no walk: where no run of words gain
 (the greatest sub-sum of the gains, exact and vectorised), the best single language is the Viterbi answer.
 
 Result: the language with most letters in its spans, and as score its share of all letters, times the share of letters in
-words of a known script. Text that is null or has no letter is `und` with score 0. Nulls in lang are never learned; without
-any labelled row every text is `und`. Texts are read whole; repeated rows get equal results; an empty table gives no rows.
+words of a known script. Where no word's script is known to any language that is the first language, with score 0. Text that is
+null or has no letter (of category L) is `und` with score 0. Nulls in lang are never learned; without any labelled row every text
+is `und`. Texts are read whole; repeated rows get equal results; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,8 @@ ROWS_A_LANGUAGE, LETTERS_A_ROW = 250, 20_000
 #: What a switch costs, in natural log units.
 SWITCH = 12.0
 ORDER = 4
-REMEMBERED = 300_000
+#: Words that a task remembers; workers outlive their tasks, so a task forgets them at its end.
+REMEMBERED = 200_000
 
 # First and last code point of the main letter blocks of each script (Unicode).
 SCRIPTS = (
@@ -43,7 +45,8 @@ SCRIPTS = (
     ("Han", 0x3400, 0x9FFF), ("Hangul", 0xAC00, 0xD7AF), ("Han", 0x20000, 0x2FFFF),
 )
 _STARTS = np.array([s[1] for s in SCRIPTS])
-_WORD = re.compile(r"[^\W\d_]+")
+#: A letter by its Unicode category, then letters and the marks on them.
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def script(ch: str) -> str:
@@ -117,7 +120,7 @@ class Model:
         s, size = s[:, :-1], s[:, -1]
         known = s.any(axis=1)
         if not known.any():
-            return UND, 0.0
+            return self.langs[0], 0.0
         got = np.bincount(viterbi(s, self.switch)[known], size[known], len(self.langs))
         best = int(got.argmax())
         return self.langs[best], float(got[best] / size.sum())
@@ -159,20 +162,23 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     """A model from at most `rows` labelled rows of each language, those with the least hash of key and text.
 
     The languages themselves are found over all rows. Rows of more than `letters` characters are learned, whole, only of languages
-    that lack shorter ones.
+    that lack shorter ones. A threshold on the hash leaves a few times the rows needed before anything is ranked; a language of
+    which it leaves none (few distinct rows) is ranked without it.
     """
     from pyspark.sql import Window
 
     labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(key).alias("key"), F.col(text).alias("text"))
-    labelled = labelled.withColumn("hash", F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), F.length("text")))
-    # the threshold leaves a few times the rows needed even of rare languages before anything is ranked
+    labelled = labelled.withColumn("hash", F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), "text"))
     counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
     if not counts:
         return Model([], {}, {}, np.zeros((1, 0)), switch)
     share = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 4.0 * rows / n)))]), F.col("lang"))
-    some = labelled.where(F.pmod("hash", F.lit(1 << 20)) < share * (1 << 20))
-    ranked = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.length("text") > letters, "hash", "key", "text"))).where(F.col("place") <= rows)
-    return fit(((r.lang, r.text) for r in ranked.select("lang", "text").orderBy("lang", "place").toLocalIterator()), switch)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.length("text") > letters, "hash", "key", "text"))
+    first = lambda some: some.withColumn("place", place).where(F.col("place") <= rows).select("lang", "text").orderBy("lang", "place").toLocalIterator()
+    drawn = [(r.lang, r.text) for r in first(labelled.where(F.pmod("hash", F.lit(1 << 20)) < share * (1 << 20)))]
+    if missed := sorted(counts.keys() - {lang for lang, _ in drawn}):
+        drawn += [(r.lang, r.text) for r in first(labelled.where(F.col("lang").isin(missed)))]
+    return fit(drawn, switch)
 
 
 def fit(rows, switch: float = SWITCH) -> Model:
@@ -226,8 +232,11 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     @F.pandas_udf("struct<lang_pred: string, score: double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = sent.value
-        for s in batches:
-            yield pd.DataFrame([m.predict(t) for t in s], columns=["lang_pred", "score"])
+        try:
+            for s in batches:
+                yield pd.DataFrame([m.predict(t) for t in s], columns=["lang_pred", "score"])
+        finally:
+            m.known, m.table = {}, None
 
     kept = [c for c in df.columns if c.lower() not in ("lang_pred", "score")]
     return df.select(*[df[c] for c in kept], run(F.col(text)).alias(out)).select(*kept, f"{out}.lang_pred", f"{out}.score")
@@ -238,7 +247,9 @@ LEAST_SCORE = 0.2
 
 
 def keep_identified(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
-    """df without the rows whose language can't be told, all columns as they were."""
+    """df without the rows whose language can't be told, all columns as they were: those without letters, and those of which less
+    than LEAST_SCORE of the letters is of the main language, because most are of scripts that no language was learned in. With up
+    to four languages of one script no mix of them falls below it, so mixed texts stay."""
     model = train(df.where(remainder(F.col(doc_id), 4) != 2), text, lang, doc_id)
     out = identify(df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.col(text).alias("text")), model)
     return out.where((F.col("lang_pred") != UND) & (F.col("score") >= LEAST_SCORE)).select("row.*")
