@@ -24,7 +24,10 @@ def fisher_combine(sum_log: Column, k: Column) -> Column:
 
 
 def with_bh(df: DataFrame, p: str, out: str, partition: list[str]) -> DataFrame:
-    """df with `out`: Benjamini-Hochberg adjusted p over the partition; null p stay null and don't count."""
+    """df with `out`: Benjamini-Hochberg adjusted p over the partition; null p stay null and don't count.
+
+    A partition is ordered in one task, and without partition all of df is: that is for tables of tests, whose number is bounded.
+    """
     keys = [*partition, F.col(p).isNull()]
     group = Window.partitionBy(*keys)
     df = df.withColumn("_r", F.count("*").over(group.orderBy(p).rangeBetween(Window.unboundedPreceding, 0)) / F.lit(1.0)).withColumn("_m", F.count("*").over(group))

@@ -149,14 +149,14 @@ def search(edges: list[tuple[str, str, str, int | None]], order: list[str], min_
 CHAIN_SCHEMA = "sample_id string, chain_id long, nodes array<string>, edge_types array<string>, sv_nos array<long>, chromosomes array<string>, n_chromosomes long, n_translocations long, n_deletion_bridges long, n_adjacency_edges long, is_cycle boolean"
 
 
-def chains(edges: DataFrame, min_chromosomes: int = 3, min_translocations: int = 3, max_paths: int = 50, max_depth: int = 10, max_streak: int = 3) -> DataFrame:
+def chains(edges: DataFrame, min_chromosomes: int = 3, min_translocations: int = 3, max_paths: int = 50, max_depth: int = 10, max_streak: int = 3, cap: int = 20_000) -> DataFrame:
     """The chains of every sample's graph."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(key=[tuple(p) for p in pdf["place"]]).sort_values("key", kind="stable")
         rows = [(a, b, k, None if s != s else int(s)) for a, b, k, s in zip(pdf["from_node"], pdf["to_node"], pdf["edge_type"], pdf["sv_no"].astype(float), strict=True)]
         order = sorted({x for a, b, _, _ in rows for x in (a, b)}, key=lambda n: (n.split(":")[0], int(n.split(":")[1])))
-        found = search(rows, order, min_chromosomes, min_translocations, max_paths, max_depth, max_streak)
+        found = search(rows, order, min_chromosomes, min_translocations, max_paths, max_depth, max_streak, cap)
         names = [c.split()[0] for c in CHAIN_SCHEMA.split(", ")]
         out = pd.DataFrame(found, columns=names[1:])
         out.insert(0, "sample_id", pdf["sample_id"].iloc[0])

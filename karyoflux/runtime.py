@@ -52,14 +52,25 @@ def scratch(spark: SparkSession) -> str:
     return f"file://{_own_folder[0]}"
 
 
+@contextlib.contextmanager
+def collected(tables: list[DataFrame]) -> Iterator[None]:
+    """Adds to tables what materialize writes inside it, but for tables written with keep."""
+    _scopes.append(tables)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+
+
 @contextlib.contextmanager
 def cleaned() -> Iterator[None]:
     """Deletes at its end what materialize wrote inside it, but for tables written with keep."""
-    _scopes.append([])
+    tables: list[DataFrame] = []
     try:
-        yield
+        with collected(tables):
+            yield
     finally:
-        for df in _scopes.pop():
+        for df in tables:
             discard(df)
 
 
@@ -109,10 +120,10 @@ def _buckets(df: DataFrame) -> int:
     return min(100_000, max(int(conf.get("spark.sql.shuffle.partitions")), known // split))
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what materialize wrote for df, once nothing will read it again."""
+def discard(df: DataFrame, spark: SparkSession | None = None) -> None:
+    """Delete what materialize wrote for df, once nothing will read it again; spark: where df's own session may have ended."""
     path = getattr(df, "_scratch_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        spark = spark or df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
