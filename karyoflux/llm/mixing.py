@@ -21,8 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from karyoflux.llm.common import with_row_ids, word_count
-from karyoflux.runtime import discard, materialize
+from karyoflux.llm.common import repeat_rows, with_row_ids, word_count
+from karyoflux.runtime import materialize
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -91,18 +91,17 @@ def budget_cut(queue: DataFrame, max_repeats: int = MAX_REPEATS) -> tuple[float,
     while rows > CUT_ROWS and width / CUT_RANGES > 0:
         width /= CUT_RANGES
         turns = turns.withColumn("slot", F.least(F.greatest(F.floor((F.col("finish") - low) / width), F.lit(0)), F.lit(CUT_RANGES - 1)))
-        for slot, total, n in sorted(tuple(r) for r in turns.groupBy("slot").agg(F.sum("size"), F.count("*")).collect()):
+        for slot, total, n, least, most in sorted(tuple(r) for r in turns.groupBy("slot").agg(F.sum("size"), F.count("*"), F.min("finish"), F.max("finish")).collect()):
             if total > budget:
                 break
             budget -= total
         else:
             return math.inf, 0
-        if n == rows:
-            rows = n
-            low, turns = low + slot * width, turns.where(F.col("slot") == slot).drop("slot")
-            if slot == 0 and width < 1e-300:
-                break
-            continue
+        if least == most:  # turns that finish together go by source, of which each has one
+            for rank, total in sorted(tuple(r) for r in turns.where(F.col("slot") == slot).groupBy("source_rank").agg(F.sum("size")).collect()):
+                if total > budget:
+                    return least, rank
+                budget -= total
         low, rows, turns = low + slot * width, n, turns.where(F.col("slot") == slot).drop("slot")
     running = F.sum("size").over(Window.orderBy("finish", "source_rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     first = turns.withColumn("running", running).where(F.col("running") > budget).orderBy("finish", "source_rank").select("finish", "source_rank").first()
@@ -128,7 +127,4 @@ def mix_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     """The mix itself: each row of df as often as it is taken, with df's columns."""
     numbered, rid = with_row_ids(df, "mix")
     slim = slim_rows(numbered, rid, doc_id, text, source)
-    taken = mix(slim).where("times > 0").select(F.col("rid").alias(rid), F.col("times").alias(f"{rid}times"))
-    out = numbered.join(taken.hint("shuffle_hash"), rid)
-    discard(slim)
-    return out.withColumn(f"{rid}times", F.explode(F.sequence(F.lit(1), F.col(f"{rid}times")))).drop(rid, f"{rid}times")
+    return repeat_rows(numbered, rid, mix(slim).where("times > 0").select(F.col("rid").alias(rid), "times"), MAX_REPEATS)

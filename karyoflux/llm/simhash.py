@@ -94,14 +94,14 @@ def links(fps: DataFrame, blocks: int = BLOCKS, distance: int = DISTANCE, hot_ke
     return pairs.unionByName(near)
 
 
-def groups(rows: DataFrame, linked: DataFrame | None = None, **how) -> DataFrame:
+def groups(rows: DataFrame, found: DataFrame | None = None, **how) -> DataFrame:
     """rows (rid, doc_id, fp) with component_id and keep_rid: the least doc_id of its group, and the row that has it.
 
-    linked: links (a, b) between fingerprints, in place of those of links().
+    found: components (node, component) of fingerprints, in place of those of links().
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid"))
     nodes = materialize(rows.groupBy("fp").agg(first.alias("first")), "nodes")
-    found = connected_components(links(nodes.select("fp"), **how) if linked is None else linked)
+    found = connected_components(links(nodes.select("fp"), **how)) if found is None else found
     rooted = nodes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = rooted.groupBy("component").agg(F.min("first").alias("least"))
     names = rooted.select("fp", "component").join(named, "component").select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("keep_rid"))

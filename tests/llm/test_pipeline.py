@@ -1,13 +1,17 @@
-"""The pipeline on small documents against a plain version of its stages."""
+"""The pipeline and its stages on small documents against plain versions."""
 
+import hashlib
 import itertools
 import random
 import re
+import struct
+import zlib
 
 import pytest
 
 import corpus_pipeline
-from karyoflux.llm import langid, minhash, simhash
+from karyoflux.llm import langid, minhash
+from karyoflux.llm.queries import tokenizer_path
 
 
 def test_stages(spark, tmp_path):
@@ -28,14 +32,101 @@ def test_stages(spark, tmp_path):
     ids = {n: sorted(r.doc_id for r in x) for n, x in after.items()}
     assert {102, 103} & set(ids["language"]) == set() and set(range(60)) <= set(ids["language"])
     assert len({re.sub(r"\s", "", r.text) for r in after["language"]}) == len(ids["exact"]) and 0 not in ids["exact"]
-    fps = [simhash.fingerprint(r.text) for r in after["near"]]
-    assert all(((a ^ b) & (2**64 - 1)).bit_count() > 2 for i, a in enumerate(fps) for b in fps[:i])
+    sets = [set(minhash.shingles(r.text).tolist()) for r in after["near"]]
+    assert all(len(a & b) < 0.8 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
     assert set(ids["mixture"]) <= set(ids["near"]) and max(map(ids["mixture"].count, ids["mixture"])) <= 3
     assert ids["tokens"] == ids["mixture"] and all(len(r.ids_le) == 4 * r.n_tokens for r in after["tokens"])
     assert langid.UND not in {r.lang for r in after["language"]}
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == ids["tokens"]
 
 
+def plain_pipeline(rows, path):
+    """run() over (doc_id, text, lang, source) in plain Python: {doc_id: [ids as bytes, ...]}, once for each time it is taken."""
+    from tokenizers import Tokenizer
+
+    model = langid.fit([(lang, text) for i, text, lang, _ in rows if lang is not None and text is not None and zlib.crc32(str(i).encode()) % 4 != 2])
+    kept = [r for r in rows if (p := model.predict(r[1]))[0] != "und" and p[1] >= 0.2]
+    same = {}
+    for r in kept:
+        same.setdefault(re.sub("[\x20\x09-\x0d]", "", r[1]), []).append(r)
+    kept = [min(g, key=lambda r: (-len(r[1]), r[0])) for g in same.values()]
+    words = [[w for w in re.split("[\x20\x09-\x0d]+", r[1].lower()) if w] for r in kept]
+    sets = [set(zip(*(w[i:] for i in range(5)), strict=False)) or {tuple(w)} for w in words]
+    label = list(range(len(kept)))
+    for b, a in itertools.combinations(range(len(kept)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            label = [label[b] if x == label[a] else x for x in label]
+    groups = {}
+    for r, k in zip(kept, label, strict=True):
+        groups.setdefault(k, []).append(r)
+    kept = [min(g) for g in groups.values()]
+    size = {r[0]: len(re.findall("[^\x20\x09-\x0d]+", r[1])) for r in kept}
+    sources = sorted({r[3] for r in kept}, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
+    own = {s: sum(size[r[0]] for r in kept if r[3] == s) for s in sources}
+    total, target, free = sum(own.values()), {}, set(sources)
+    while free:
+        level = (total - sum(target.values())) / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > 3 * own[s]}
+        target |= {s: 3 * own[s] for s in over} if over else {s: level * weight[s] for s in free}
+        free = free - over if over else set()
+    turns = []
+    for k, s in enumerate(sources):
+        queue, served = sorted((hashlib.md5(f"mix-1:{r[0]}".encode()).hexdigest(), r[0]) for r in kept if r[3] == s), 0
+        for epoch in range(3):
+            for _, i in queue:
+                served += size[i]
+                turns.append((served / target[s], k, i))
+    spent, out, text = 0, {}, {r[0]: r[1] for r in kept}
+    tokenizer = Tokenizer.from_file(path)
+    for _, _, i in sorted(turns):
+        spent += size[i]
+        if spent > total:
+            break
+        ids = tokenizer.encode(text[i], add_special_tokens=False).ids
+        out.setdefault(i, []).append(struct.pack(f"<{len(ids)}I", *ids))
+    return out
+
+
+def test_run_by_brute_force(spark, tmp_path):
+    """All five stages at once: unknown languages, copies but for white space, near copies in chains, sources of unlike sizes."""
+    r = random.Random(11)
+    parts = {"xx": ["ba", "do", "ki", "lu"], "yy": ["ze", "vro", "sna", "pli"], "zz": ["та", "ро", "не"]}
+    make = lambda lang, n: [" ".join("".join(r.choice(parts[lang]) for _ in range(r.randint(2, 4))) for _ in range(1)) for _ in range(n)]
+    rows = []
+    for i in range(90):
+        lang = r.choice(list(parts))
+        words = make(lang, r.randint(3, 60))
+        rows.append((i, " ".join(words), lang if i % 9 else None, r.choice(["a", "a", "a", "b", "c", None])))
+        if i % 6 == 0 and len(words) > 30:
+            for k in range(3):  # each one word further from the last
+                words[7 * k + 3] = make(lang, 1)[0]
+                rows.append((1000 + 10 * i + k, " ".join(words), lang, "b"))
+        if i % 7 == 0:
+            rows.append((2000 + i, "  ".join(words) + "\n", lang, "c"))
+    rows += [(3000, None, "xx", "a"), (3001, "12 -- 3", "xx", "a"), (3002, "", None, None), (3003, "日本語" * 30, None, "a")]
+    docs = spark.createDataFrame([(*x, len(x[1] or "")) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for x in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got.setdefault(x.doc_id, []).append(bytes(x.ids_le))
+    want = plain_pipeline(rows, tokenizer_path())
+    assert got == want and len(want) > 40 and max(map(len, want.values())) > 1
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_clashing_columns_and_repeated_rows(docs, spark):
+    """Extra columns with the operators' own names, null and repeated ids: every stage but the last returns the table's columns."""
+    now = docs
+    for name, stage in corpus_pipeline.STAGES:
+        before, now = now, stage(spark, now, "").cache()
+        assert now.count() > 0 and (name == "tokens" or now.columns == before.columns)
+
+
 @pytest.mark.parametrize("hot_key", [64, 3])
 def test_near_finds_similar_sets(spark, hot_key):
     """Components against all pairs, compared by brute force on sets of five words."""
@@ -62,7 +153,7 @@ def test_near_finds_similar_sets(spark, hot_key):
             old, new = max(label[a], label[b]), min(label[a], label[b])
             label = [new if x == old else x for x in label]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {x.doc_id: x.component_id for x in minhash.near_dedup(docs, "doc_id", hot_key=hot_key).collect()}
+    got = {x.doc_id: x.component_id for x in minhash.near_dedup(docs, hot_key=hot_key).collect()}
     assert pairs > 1000 and got == dict(enumerate(label))
     kept = corpus_pipeline.near(spark, docs, "").collect() if hot_key == 64 else []
     assert not kept or sorted(x.doc_id for x in kept) == sorted(set(label))
