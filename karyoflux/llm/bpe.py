@@ -29,8 +29,8 @@ from karyoflux.llm.common import small_batches
 
 #: Symbols of a word that are encoded at once.
 LEAF = 24
-#: Words that a Python worker remembers; then it starts afresh.
-REMEMBERED = 150_000
+#: Words that a task remembers; then it starts afresh. Workers outlive their tasks, so a task forgets them at its end.
+REMEMBERED = 50_000
 #: Words of these characters are normalized and pre-tokenized here, by the file's own rules, which for them are simple: they have
 #: no marks to compose, and lower case goes letter by letter. All other words go through the library's own normalizer.
 _PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
@@ -155,6 +155,9 @@ class Encoder:
             back += [f[1] for f in found if f[1]]
         return b"".join(out), " ".join(back)
 
+    def forget(self) -> None:
+        self.known, self.parts = {}, {}
+
     def decode(self, ids) -> str:
         return " ".join(map(self.pieces.__getitem__, ids))
 
@@ -182,8 +185,11 @@ def encode(df: DataFrame, path: str, text: str = "text", leaf: int = LEAF, keep:
     @F.pandas_udf("struct<ids_le: binary, decoded: string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         e = encoder(path, leaf)
-        for s in batches:
-            yield pd.DataFrame([e.encode(t) for t in s], columns=["ids_le", "decoded"])
+        try:
+            for s in batches:
+                yield pd.DataFrame([e.encode(t) for t in s], columns=["ids_le", "decoded"])
+        finally:
+            e.forget()
 
     small_batches(df.sparkSession)
     coded = df.select(*keep, run(F.col(text)).alias("_coded"))
