@@ -1,9 +1,9 @@
-"""Quality by co-training of two views: a classifier of the text's words and one of the page's metadata and layout.
+"""Quality by co-training of two views: a classifier of the text's words and layout, and one of the page's metadata alone.
 
 Both are logistic regressions on a bounded sample of labelled rows. Over some rounds each labels a bounded pool of unlabelled
 rows, and the rows it is most sure of, as many good as bad in proportion to the labelled ones, join the other's training rows.
-Each view is then calibrated (Platt) on labelled rows that neither was trained on, and a third regression on the two calibrated
-log-odds gives the score of every row.
+How sure a view is counts after calibration, so a view that knows little has no say. At the end each view is calibrated (Platt)
+on labelled rows that neither was trained on, and a third regression on the two calibrated log-odds gives the score of every row.
 
 Only the sample and the pool are bounded, by LABELLED and POOL; features come from whole texts, and every row is scored. Null
 text counts as empty, null metadata as a value of its own. Without labels of both kinds the score is the share of good labels
@@ -27,33 +27,43 @@ from karyoflux.llm.common import small_batches
 #: Labelled and unlabelled rows that training uses at most; hashed buckets of words and of metadata values.
 LABELLED, POOL = 3000, 3000
 WORDS, META = 2048, 64
+#: Numbers of the text's layout, and classes of stated lengths.
+LAYOUT, LENGTHS = 7, 24
 ROUNDS, GAIN, SURE = 4, 200, 0.9
 
 
 def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, values): square roots of the shares of hashed words, of length 1."""
-    words = (text or "").split()
+    """(places, values) of the text view: square roots of the shares of hashed words, of length 1, then the layout: lengths in
+    characters and lines, characters a line, and the shares of kinds of characters."""
+    t = text or ""
+    raw = np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)
+    n = max(1, len(raw))
+    kinds = np.bincount(_TABLE[raw], minlength=6) if len(raw) else np.zeros(6, np.int64)
+    layout = np.array([np.log1p(len(t)) / 10, np.log1p(kinds[4]) / 10, np.log1p(n / (1 + kinds[4])) / 10, 4 * kinds[1] / n, 4 * kinds[2] / n, 4 * kinds[3] / n, 4 * kinds[0] / n])
+    words = t.split()
     if not words:
-        return np.empty(0, np.int64), np.empty(0)
+        return WORDS + np.arange(LAYOUT), layout
     seen = Counter(words)
     at = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORDS for w in seen), np.int64, len(seen))
     share = np.fromiter(seen.values(), np.float64, len(seen)) / len(words)
     total = np.bincount(at, share, WORDS)
     at = np.flatnonzero(total)
-    return at, np.sqrt(total[at])
-
-
-def meta_features(text: str | None, lang, source, n_chars) -> np.ndarray:
-    """Hashed language and source, then length, lines and the shares of kinds of characters."""
-    out = np.zeros(META + 8)
-    out[zlib.crc32(f"lang={lang}".encode()) % META] = 1.0
-    out[zlib.crc32(f"source={source}".encode()) % META] = 1.0
-    t = text or ""
-    raw = np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)
-    n = max(1, len(raw))
-    kinds = _kind_counts(raw)
-    size = len(t) if n_chars is None or n_chars != n_chars else n_chars
-    out[META:] = [np.log1p(max(0, size)) / 10, np.log1p(kinds[4]) / 10, np.log1p(n / (1 + kinds[4])) / 10, 4 * kinds[1] / n, 4 * kinds[2] / n, 4 * kinds[3] / n, 4 * kinds[0] / n, 1.0]
+    return np.append(at, WORDS + np.arange(LAYOUT)), np.append(np.sqrt(total[at]), layout)
+
+
+def meta_features(lang, source, n_chars) -> np.ndarray:
+    """The metadata view, which never sees the text: hashed language, source and both together, then the stated length, as a number
+    and by powers of two, or that it is missing."""
+    out = np.zeros(META + LENGTHS + 3)
+    for word in (f"lang={lang}", f"source={source}", f"both={lang}\0{source}"):
+        out[zlib.crc32(word.encode("utf-8", "surrogatepass")) % META] = 1.0
+    if n_chars is None or n_chars != n_chars:
+        out[-2] = 1.0
+    else:
+        size = max(0.0, float(n_chars))
+        out[META + min(LENGTHS - 1, int(np.log2(1 + size)))] = 1.0
+        out[-3] = np.log1p(size) / 10
+    out[-1] = 1.0
     return out
 
 
@@ -69,10 +79,6 @@ def _kind_table() -> np.ndarray:
 _TABLE = _kind_table()
 
 
-def _kind_counts(raw: np.ndarray) -> np.ndarray:
-    return np.bincount(_TABLE[raw], minlength=6) if len(raw) else np.zeros(6, np.int64)
-
-
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 150, l2: float = 1e-4, rate: float = 0.3) -> np.ndarray:
     """Weights of a logistic regression by Adam steps over all rows; x ends in a column of ones, w weighs rows."""
     beta, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
@@ -89,6 +95,11 @@ def _odds(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
     return np.clip(x @ beta, -30, 30)
 
 
+def _calibrated(odds: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slope and shift (Platt) that make odds those of y."""
+    return logistic(np.column_stack([odds, np.ones(len(y))]), y, np.ones(len(y)), 300, 1e-3, 0.1)
+
+
 @dataclass
 class Views:
     """The two views' weights with their calibrations (slope, shift), and the combination's weights."""
@@ -126,15 +137,18 @@ def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, ut: np.ndarray, um:
     for _ in range(rounds):
         beta = {k: logistic(*own[k]) for k in own}
         for k, other in (("t", "m"), ("m", "t")):
-            p = 1 / (1 + np.exp(-_odds(pool[k], beta[k]))) if len(ut) else np.empty(0)
-            for label, order, most in ((1.0, np.argsort(-p, kind="stable"), round(gain * share)), (0.0, np.argsort(p, kind="stable"), round(gain * (1 - share)))):
-                chosen = [i for i in order if free[other][i] and (p[i] >= sure if label else p[i] <= 1 - sure)][:most]
+            slope, shift = _calibrated(_odds(base[k][hold], beta[k]), y[hold])
+            p = 1 / (1 + np.exp(-(_odds(pool[k], beta[k]) * slope + shift)))
+            good = [i for i in np.argsort(-p, kind="stable") if free[other][i] and p[i] >= sure]
+            bad = [i for i in np.argsort(p, kind="stable") if free[other][i] and p[i] <= 1 - sure]
+            total = min(float(gain), len(good) / share, len(bad) / (1 - share))
+            for label, chosen in ((1.0, good[: round(total * share)]), (0.0, bad[: round(total * (1 - share))])):
                 free[other][chosen] = False
                 x, yy, w = own[other]
                 own[other] = np.vstack([x, pool[other][chosen]]), np.append(yy, np.full(len(chosen), label)), np.append(w, np.full(len(chosen), 0.5))
     beta = {k: logistic(*own[k]) for k in own}
     odds = {k: _odds(base[k][hold], beta[k]) for k in own}
-    scale = {k: logistic(np.column_stack([odds[k], np.ones(hold.sum())]), y[hold], np.ones(hold.sum()), 300, 1e-3, 0.1) for k in own}
+    scale = {k: _calibrated(odds[k], y[hold]) for k in own}
     z = np.column_stack([odds["t"] * scale["t"][0] + scale["t"][1], odds["m"] * scale["m"][0] + scale["m"][1], np.ones(hold.sum())])
     both = logistic(z, y[hold], np.ones(hold.sum()), 300, 1e-3, 0.1)
     return Views(beta["t"], beta["m"], scale["t"], scale["m"], both, share)
@@ -148,7 +162,7 @@ def _sample(docs: DataFrame, ids: DataFrame) -> pd.DataFrame:
 
     @F.pandas_udf(_FEATURES)
     def features(text: pd.Series, lang: pd.Series, source: pd.Series, n: pd.Series) -> pd.DataFrame:
-        rows = [(*text_features(t), meta_features(t, a, s, c)) for t, a, s, c in zip(text, lang, source, n, strict=True)]
+        rows = [(*text_features(t), meta_features(a, s, c)) for t, a, s, c in zip(text, lang, source, n, strict=True)]
         return pd.DataFrame(rows, columns=["at", "share", "meta"])
 
     found = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "label", features("text", "lang", "source", "n_chars").alias("f"))
@@ -156,19 +170,19 @@ def _sample(docs: DataFrame, ids: DataFrame) -> pd.DataFrame:
 
 
 def _matrices(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    x = np.zeros((len(pdf), WORDS + 1))
+    x = np.zeros((len(pdf), WORDS + LAYOUT + 1))
     x[:, -1] = 1.0
     for k, (at, share) in enumerate(zip(pdf["at"], pdf["share"], strict=True)):
         x[k, np.asarray(at, np.int64)] = share
-    return x, np.array([np.asarray(m) for m in pdf["meta"]]).reshape(len(pdf), META + 8)
+    return x, np.array([np.asarray(m) for m in pdf["meta"]]).reshape(len(pdf), META + LENGTHS + 3)
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Views:
     """Views from docs (doc_id, text, lang, source, n_chars) and labels (doc_id, label 0 or 1): the rows with the least hashes."""
     known = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("double").alias("label"))
     first = known.orderBy(F.xxhash64("doc_id", F.lit("labelled")), "doc_id", "label").limit(labelled)
-    others = docs.where(F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit("pool")), "doc_id").limit(pool)
-    others = others.join(known.select("doc_id"), "doc_id", "left_anti").withColumn("label", F.lit(None).cast("double"))
+    others = docs.where(F.col("doc_id").isNotNull()).select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti")
+    others = others.orderBy(F.xxhash64("doc_id", F.lit("pool")), "doc_id").limit(pool).withColumn("label", F.lit(None).cast("double"))
     a = _sample(docs, first)
     b = _sample(docs, others)
     xt, xm = _matrices(a)
@@ -185,7 +199,7 @@ def score(docs: DataFrame, views: Views) -> DataFrame:
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         v = sent.value
         for text, lang, source, n in batches:
-            rows = [v.predict(*text_features(t), meta_features(t, a, s, c)) for t, a, s, c in zip(text, lang, source, n, strict=True)]
+            rows = [v.predict(*text_features(t), meta_features(a, s, c)) for t, a, s, c in zip(text, lang, source, n, strict=True)]
             yield pd.DataFrame(rows, columns=["p_text", "p_meta", "score"])
 
     return docs.select("doc_id", run("text", "lang", "source", "n_chars").alias("_p")).select("doc_id", "_p.*")
