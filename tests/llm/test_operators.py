@@ -139,6 +139,32 @@ def test_mixing_follows_targets(spark):
     assert len(by) == 7 and all(abs(taken - target) <= 21 for (target, _), taken in by.items())
 
 
+@pytest.mark.parametrize("cut_rows", [20_000, 3])
+def test_mixing_with_tied_finish_times(spark, monkeypatch, cut_rows):
+    """Many sources of one document each finish together; the cut is the same however few rows are put in order."""
+    monkeypatch.setattr(mixing, "CUT_ROWS", cut_rows)
+    df = spark.createDataFrame([(i, "w " * 10, f"s{i:03d}") for i in range(60)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.times for r in mixing.mix(mixing.slim_rows(df)).collect()}
+    assert sum(got.values()) <= 60 and all(got[i] >= got[j] for i in range(0, 60, 3) for j in range(1, 60, 3))
+    if cut_rows == 3:
+        monkeypatch.setattr(mixing, "CUT_ROWS", 20_000)
+        assert got == {r.doc_id: r.times for r in mixing.mix(mixing.slim_rows(df)).collect()}
+
+
+def test_planted_secrets(spark):
+    """Recall over the documents' own planted secrets, by spans, and over passwords that people choose."""
+    field, rows = pii.train(), spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    want = found = 0
+    for r in rows:
+        planted = [m.span(1) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r.text or "")]
+        got = [(a, b) for k, a, b in pii.all_spans(r.text, field)[1] if k in pii.ADDED]
+        want, found = want + len(planted), found + sum(p in got for p in planted)
+        assert len(got) <= len(planted) + 1
+    assert want >= 10 and found >= 0.9 * want
+    for text, value in (("password: hunter2horse", "hunter2horse"), ("the password is Tr0ub4dor&3 ok", "Tr0ub4dor&3"), ("Passwort: sonne99", "sonne99")):
+        assert value in [text[a:b] for _, a, b in pii.all_spans(text, field)[1]]
+
+
 PATH = tokenizer_path()
 
 
@@ -189,6 +215,19 @@ def test_viterbi(rows, switch):
     assert sum(s[i, p] for i, p in enumerate(path)) - switch * int((np.diff(path) != 0).sum()) == pytest.approx(best)
 
 
+def test_letters_and_unknown_scripts():
+    model = langid.fit([("en", "the thing and the other"), ("es", "la cosa y la otra")])
+    assert [model.predict(t) for t in ("\u00b2\u00bd 12", "", None, "_ \u0301")] == [("und", 0.0)] * 4
+    assert model.predict("\u65e5\u672c\u8a9e\u306e\u30c6\u30ad\u30b9\u30c8") == ("en", 0.0)  # letters of a script never learned: a learned value, score 0
+    assert model.predict("\u0e01\u0e34\u0e19 the thing")[0] == "en" and langid._WORD.findall("\u0939\u093f\u0928\u094d\u0926\u0940") == ["\u0939\u093f\u0928\u094d\u0926\u0940"]
+
+
+def test_every_language_is_learned(spark):
+    """All rows of one language alike, without ids: the threshold on their one hash can't lose it."""
+    rows = [(None, "the thing", "en")] * 3000 + [(i, f"la cosa {i}", "es") for i in range(40)]
+    assert langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=5).langs == ["en", "es"]
+
+
 def test_language_rows(docs, empty):
     model = langid.train(docs, rows=50)
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, model).select("doc_id", "lang_pred", "score").collect()}
@@ -423,6 +462,32 @@ def test_co_training():
     assert quality.co_train(view(y, 3), view(y, 3), np.ones(160), view(u, 3), view(u, 3)).predict(np.empty(0, int), np.empty(0), np.zeros(4)) == (1.0, 1.0, 1.0)
 
 
+@pytest.mark.parametrize("strong", [0.0, 0.4, 1.5])
+def test_rounds_do_not_hurt(strong):
+    """A view that knows nothing sends no labels; the area under the curve stays within a hundredth and a weak view gains."""
+    r = np.random.default_rng(3)
+    y, u, t = (r.integers(0, 2, n).astype(float) for n in (200, 1500, 1500))
+    view = lambda y, s: np.column_stack([y[:, None] * s + r.normal(size=(len(y), 4)), np.ones(len(y))])
+    sides = [(view(a, 2.0), view(a, strong)) for a in (y, u, t)]
+
+    def area(p):
+        rank = np.argsort(np.argsort(p)) + 1
+        return (rank[t == 1].sum() - t.sum() * (t.sum() + 1) / 2) / (t.sum() * (len(t) - t.sum()))
+
+    got = {n: quality.co_train(*sides[0], y, *sides[1], rounds=n) for n in (0, 4)}
+    for k, beta in ((0, "text"), (1, "meta")):
+        before, after = (area(sides[2][k] @ getattr(got[n], beta)) for n in (0, 4))
+        assert after >= before - 0.01
+
+
+def test_metadata_view_never_sees_the_text(spark):
+    rows = [(1, "good words", "en", "a", 10), (2, "12 !! OTHER\nlines", "en", "a", 10), (3, None, "en", "a", 10)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, label int")
+    train = spark.createDataFrame([(i, f"word{i % 2} " * 5, "en" if i % 2 else "de", "s", i) for i in range(1, 40)], "doc_id long, text string, lang string, source string, n_chars long")
+    views = quality.train(train, labels)
+    assert len({r.p_meta for r in quality.score(spark.createDataFrame(rows, train.schema), views).collect()}) == 1
+
+
 def test_quality_rows(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1), (7, 0), (9, None)], "doc_id long, label int")
     views = quality.train(docs.drop("score"), labels)
