@@ -1,12 +1,14 @@
-"""Near-duplicates by the similarity of shingle sets: MinHash bands propose pairs, the sets themselves decide.
+"""Near-duplicates by the similarity of shingle sets: SimHash blocks and MinHash bands propose pairs, the sets themselves decide.
 
 A text is the set of the hashes of its runs of SHINGLE words (A-Z in lower case; a text with fewer words is one run). Two texts
 are linked if their sets have a Jaccard similarity of SIMILARITY or more, and components of links are near-duplicate groups.
-Texts with equal sets are one node, so copies never multiply. SimHash can't do this: at that similarity fingerprints of 64 bits
-mostly lie 3 to 11 bits apart, and no choice of blocks that finds all pairs within 11 bits has keys of more than a few bits.
+Texts with equal sets are one node, so copies never multiply.
 
-Candidates share a band, ROWS_OF_BAND least values of their sets under BANDS * ROWS_OF_BAND hash functions. A pair of similarity s
-shares one of the bands with probability 1 - (1 - s ** ROWS_OF_BAND) ** BANDS, which is 0.99992 at 0.8 and more above it.
+Candidates come from two sources. SimHashes of the sets within simhash.DISTANCE bits are linked by pigeonhole blocks (simhash_pairs,
+through simhash.links). That can't find all alone: at that similarity fingerprints of 64 bits mostly lie 3 to 11 bits apart, and no
+choice of blocks that finds all pairs within 11 bits has keys of more than a few bits. For the rest, candidates share a band,
+ROWS_OF_BAND least values of their sets under BANDS * ROWS_OF_BAND hash functions. A pair of similarity s shares one of the bands
+with probability 1 - (1 - s ** ROWS_OF_BAND) ** BANDS, which is 0.99992 at 0.8 and more above it.
 Candidates are pruned by the sizes of their sets, which loses none, and by sketches, and then their sets are compared in full.
 
 In a band's key that more than HOT_KEY nodes share, pairs are left out only if their nodes are in one component already or can't
@@ -76,6 +78,11 @@ def band_keys(sets: list[np.ndarray]) -> list[np.ndarray]:
     return _by_set(sets, lambda some: _keys(_least(some, SHINGLE, BANDS * ROWS_OF_BAND)))
 
 
+def simhashes(sets: list[np.ndarray]) -> list[int]:
+    """For each set the SimHash of its shingles as a signed 64-bit integer: a bit is 1 if set in over half; an empty set has zero."""
+    return [int(x[0]) if len(x) else 0 for x in _by_set(sets, _majorities)]
+
+
 def sketches(sets: list[np.ndarray]) -> list[np.ndarray]:
     """For each set the low bytes of its least values under SKETCH other hash functions, eight to a long."""
     return _by_set(sets, lambda some: _least(some, SHINGLE + BANDS * ROWS_OF_BAND, SKETCH).astype(np.uint8).T.copy().view(np.int64))
@@ -107,6 +114,16 @@ def _least(sets: list[np.ndarray], first: int, count: int) -> np.ndarray:
     return least
 
 
+def _majorities(sets: list[np.ndarray]) -> np.ndarray:
+    flat, starts, half = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])]), np.array([len(x) // 2 for x in sets])
+    out, room = np.zeros(len(sets), np.uint64), np.empty_like(flat)
+    for bit in map(np.uint64, range(64)):
+        np.right_shift(flat, bit, out=room)
+        np.bitwise_and(room, np.uint64(1), out=room)
+        out |= (np.add.reduceat(room, starts) > half).astype(np.uint64) << bit
+    return out.view(np.int64)[:, None]
+
+
 def _keys(least: np.ndarray) -> np.ndarray:
     rows = least.reshape(BANDS, ROWS_OF_BAND, -1)
     keys = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], rows.shape[2], axis=1)
@@ -116,13 +133,13 @@ def _keys(least: np.ndarray) -> np.ndarray:
 
 
 def with_signatures(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with _s: fp (hash of the whole set) and keys."""
+    """df with _s: fp (hash of the whole set), sim (its SimHash) and keys."""
 
-    @F.pandas_udf("struct<fp: long, keys: array<long>>")
+    @F.pandas_udf("struct<fp: long, sim: long, keys: array<long>>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             sets = [shingles(t) for t in s]
-            yield pd.DataFrame({"fp": [fingerprint(x) for x in sets], "keys": band_keys(sets)})
+            yield pd.DataFrame({"fp": [fingerprint(x) for x in sets], "sim": simhashes(sets), "keys": band_keys(sets)})
 
     small_batches(df.sparkSession)
     return df.withColumn("_s", of(F.col(text)))
@@ -284,11 +301,12 @@ def decide(numbered: DataFrame, rid: str, doc_id: str = "doc_id", text: str = "t
 
 
 def candidates(numbered: DataFrame, rid: str, text: str, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs, members, sets) of components(): nodes that are alone with one other under a key, those of larger keys, all their sets."""
+    """(pairs, members, sets) of components(): nodes that are alone with one other under a key or linked by their SimHashes, nodes of
+    larger keys, all their sets."""
     keyed = rows.select("fp", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.max("fp").alias("a"), F.min("fp").alias("b")).where("a > b")
     shared = materialize(shared, "shared")
-    pairs = shared.where("size = 2").select("a", "b")
+    pairs = materialize(shared.where("size = 2").select("a", "b").unionByName(simhash_pairs(rows)), "pairs")
     members = materialize(keyed.join(shared.where("size > 2").select("key"), "key", "left_semi").distinct(), "members")
     met = pairs.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(members.select("fp")).distinct()
     wanted = rows.select("fp", "rid").join(met, "fp", "left_semi").groupBy("fp").agg(F.min("rid").alias(rid)).select(rid)
@@ -296,6 +314,17 @@ def candidates(numbered: DataFrame, rid: str, text: str, rows: DataFrame) -> tup
     return pairs, members, sets
 
 
+def simhash_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (fp, sim), repeated or not, that join all whose SimHashes are within simhash.DISTANCE bits: by links() of
+    the distinct SimHashes, each standing for the least of its nodes, and from the other nodes of one SimHash to that."""
+    ends = materialize(rows.groupBy("sim").agg(F.min("fp").alias("b"), F.max("fp").alias("top")), "sims")
+    same = rows.select("sim", F.col("fp").alias("a")).join(ends.where("b < top"), "sim").where("a > b").select("a", "b").distinct()
+    found = simhash.links(ends.select(F.col("sim").alias("fp")))
+    for side in "ab":
+        found = found.withColumnRenamed(side, "sim").join(ends.select("sim", F.col("b").alias(f"{side}_fp")), "sim").drop("sim")
+    return same.unionByName(found.select(F.greatest("a_fp", "b_fp").alias("a"), F.least("a_fp", "b_fp").alias("b")))
+
+
 def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """decide() over a table without row ids."""
     return decide(*with_row_ids(df.select(doc_id, text), "near"), doc_id, text, **how).drop("rid", "keep_rid")

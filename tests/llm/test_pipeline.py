@@ -8,9 +8,11 @@ import struct
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from karyoflux.llm import langid, minhash
+from karyoflux.llm.common import with_row_ids
 from karyoflux.llm.queries import tokenizer_path
 
 
@@ -158,3 +160,35 @@ def test_near_finds_similar_sets(spark, monkeypatch, hot_key, known):
     assert pairs > 1000 and got == dict(enumerate(label))
     kept = corpus_pipeline.near(spark, docs, "").collect() if hot_key == 64 else []
     assert not kept or sorted(x.doc_id for x in kept) == sorted(set(label))
+
+
+def test_near_takes_candidates_by_simhash(spark):
+    """Without any band, texts whose SimHashes are within two bits and whose sets are similar are linked, as by brute force."""
+    r = random.Random(5)
+    word = lambda: f"w{r.randrange(9000)}"
+    texts = ["", None, "one two"]
+    for size in (60, 300, 900):
+        for _ in range(3):
+            base = [word() for _ in range(size)]
+            texts += [" ".join(base), " ".join([*base, word()]), *(" ".join([*base[:at], word(), *base[at + 1 :]]) for at in range(0, size, size // 12))]
+    texts += texts[3:9]
+    sets = [set(minhash.shingles(t).tolist()) for t in texts]
+    sims = [sum(1 << bit for bit in range(64) if sum(x >> bit & 1 for x in s) * 2 > len(s)) for s in sets]
+    label, linked, apart = list(range(len(texts))), 0, 0
+    for b, a in itertools.combinations(range(len(texts)), 2):
+        close, alike = (sims[a] ^ sims[b]).bit_count() <= 2, sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+        apart += alike and not close
+        if close and alike:
+            linked += sets[a] != sets[b]
+            label = [label[b] if x == label[a] else x for x in label]
+    numbered, rid = with_row_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "test")
+    rows = minhash.with_signatures(numbered).select(numbered[rid].alias("rid"), "doc_id", "_s.*").withColumn("keys", F.expr("slice(keys, 1, 0)"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    found = {x.node: x.component for x in minhash.components(*minhash.candidates(numbered, rid, "text", rows)).collect()}
+    got = {}
+    for x in rows.collect():
+        got.setdefault(found.get(x.fp, x.fp), set()).add(x.doc_id)
+    want = {}
+    for i, k in enumerate(label):
+        want.setdefault(k, set()).add(i)
+    assert linked > 20 and apart > 20 and sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
