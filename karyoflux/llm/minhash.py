@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,8 @@ HOT_KEY, STARS = 64, 3
 SKETCH, LEAST_EQUAL = 256, 173
 #: Shingles whose uses are broadcast at most, to order the others' sets by.
 KNOWN = 200_000
+#: Shingles whose uses a task counts at once, which bounds its memory.
+COUNTED = 1 << 20
 #: Shingles whose least values are taken at once, which keeps them in a processor's cache.
 AT_ONCE = 1 << 15
 
@@ -238,6 +241,20 @@ class Order:
         return n, places.astype(np.int32), found[order[places]]
 
 
+def use_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, uses) over a task's sets, counted before any row is made: near copies share most shingles, so a large group of them
+    makes few rows. A shingle may come again after every COUNTED shingles read."""
+    held, size = [], 0
+    for flat in itertools.chain((b.column(0).flatten().to_numpy(zero_copy_only=False) for b in batches), [None]):
+        if flat is not None:
+            held.append(flat)
+            size += len(flat)
+        if size and (flat is None or size >= COUNTED):
+            found, uses = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"shingle": found.astype(np.int64), "uses": uses.astype(np.int64)})
+            held, size = [], 0
+
+
 def prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of members (fp, component) of two components that may be similar enough, by prefix filters, which lose none.
 
@@ -247,7 +264,7 @@ def prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     but are less than similar have their own words in those places, however many they are.
     """
     open_sets = materialize(sets.select("fp", "set").join(members, "fp"), "open-sets")
-    uses = open_sets.select(F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("uses")).where("uses > 1")
+    uses = open_sets.select("set").mapInArrow(use_counts, "shingle long, uses long").groupBy("shingle").agg(F.sum("uses").alias("uses")).where("uses > 1")
     known = uses.orderBy(F.desc("uses"), "shingle").limit(KNOWN + 1).toArrow()
     sent = sets.sparkSession.sparkContext.broadcast(Order(known["shingle"].to_numpy(), known["uses"].to_numpy()))
 

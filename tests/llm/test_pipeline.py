@@ -6,7 +6,9 @@ import random
 import re
 import struct
 import zlib
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,3 +194,22 @@ def test_near_takes_candidates_by_simhash(spark):
     for i, k in enumerate(label):
         want.setdefault(k, set()).add(i)
     assert linked > 20 and apart > 20 and sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_uses_are_counted_before_rows_are_made(spark, monkeypatch):
+    """A thousand near copies make hardly more rows than one text, and the counts are those of all shingles."""
+    sets = [[*range(k % 7, 140), 1000 + k] for k in range(1000)] + [[], [5]]
+    plain = Counter(x for s in sets for x in s)
+    table = spark.createDataFrame([(s,) for s in sets], "set array<long>").coalesce(2)
+    rows = table.mapInArrow(minhash.use_counts, "shingle long, uses long").collect()
+    summed = Counter()
+    for x in rows:
+        summed[x.shingle] += x.uses
+    assert summed == plain and len(rows) <= 1000 + 2 * 140 and sum(plain.values()) > 100_000
+    monkeypatch.setattr(minhash, "COUNTED", 300)
+    parts = [pa.RecordBatch.from_pydict({"set": pa.array(sets[at : at + 3], pa.list_(pa.int64()))}) for at in range(0, len(sets), 3)]
+    found = list(minhash.use_counts(iter(parts)))
+    summed = Counter()
+    for part in found:
+        summed.update(dict(zip(part["shingle"].to_pylist(), part["uses"].to_pylist(), strict=True)))
+    assert summed == plain and len(found) > 100 and not list(minhash.use_counts(iter([])))
