@@ -195,13 +195,18 @@ def components(pairs: DataFrame, members: DataFrame, sets: DataFrame, hot_key: i
     """(node, component) over the similar ones of pairs (a, b) and of all pairs of members (key, fp) that share a key."""
     sizes = materialize(members.groupBy("key").agg(F.count("*").alias("size")), "sizes")
     few = members.join(sizes.where(F.col("size") <= hot_key).select("key"), "key", "left_semi")
-    named = connected_components(verified(pairs.unionByName(_paired(few)), sets))
     hot = materialize(members.join(sizes.where(F.col("size") > hot_key).select("key"), "key", "left_semi"), "hot")
     if hot.isEmpty():
-        return named
+        return connected_components(verified(pairs.unionByName(_paired(few.withColumn("component", F.col("fp")))), sets))
+    # large groups fall into one component here, so the small keys of their members make fewer pairs
+    stars_of = hot.groupBy("key").agg(F.min_by("fp", F.xxhash64("fp")).alias("star"))
+    met = hot.join(stars_of, "key").where("fp <> star").select(F.greatest("fp", "star").alias("a"), F.least("fp", "star").alias("b"))
+    named = materialize(connected_components(verified(pairs.unionByName(met), sets)), "named")
+    found = verified(_paired(_placed(few, named)), sets)
+    named = connected_components(named.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
     for k in range(stars + 1):
         named = materialize(named, "named")
-        now = materialize(hot.join(named.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "open")
+        now = materialize(_placed(hot, named), "open")
         ends = now.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.min_by(F.struct("fp", "component"), F.xxhash64("fp", F.lit(k))).alias("star"))
         ends = materialize(ends.where("first < last").select("key", "star"), "ends")
         if ends.isEmpty():
@@ -302,10 +307,15 @@ def prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("i_fp", "p_fp").alias("a"), F.least("i_fp", "p_fp").alias("b"))
 
 
+def _placed(members: DataFrame, named: DataFrame) -> DataFrame:
+    """members (key, fp) with the component of each, which is the node itself where it has no link."""
+    return members.join(named.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def _paired(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a key."""
-    left, right = (members.select("key", F.col("fp").alias(f"{side}_fp")) for side in "xy")
-    return left.join(right, "key").where("x_fp > y_fp").select(F.col("x_fp").alias("a"), F.col("y_fp").alias("b"))
+    """Pairs (a, b) of members (key, fp, component) that share a key and are in two components."""
+    left, right = (members.select("key", F.col("fp").alias(f"{side}_fp"), F.col("component").alias(f"{side}_component")) for side in "xy")
+    return left.join(right, "key").where("x_fp > y_fp and x_component <> y_component").select(F.col("x_fp").alias("a"), F.col("y_fp").alias("b"))
 
 
 def decide(numbered: DataFrame, rid: str, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:

@@ -213,3 +213,8 @@ def test_uses_are_counted_before_rows_are_made(spark, monkeypatch):
     for part in found:
         summed.update(dict(zip(part["shingle"].to_pylist(), part["uses"].to_pylist(), strict=True)))
     assert summed == plain and len(found) > 100 and not list(minhash.use_counts(iter([])))
+
+
+def test_small_keys_pair_no_members_of_one_component(spark):
+    members = spark.createDataFrame([(1, 10, 10), (1, 11, 10), (1, 12, 12), (2, 11, 10), (2, 10, 10)], "key long, fp long, component long")
+    assert sorted(tuple(x) for x in minhash._paired(members).collect()) == [(12, 10), (12, 11)]
