@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karyoflux.llm import audio, bpe, chat, exact_dedup, langid, lattice, mixing, pii, quality, simhash
+from karyoflux.llm import audio, bpe, chat, exact_dedup, filter_audit, langid, lattice, mixing, pii, quality, simhash, urls, whitening
 from karyoflux.llm.common import remainder, table
 
 
@@ -72,6 +72,28 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: (host, path, verdict) of the rules that op12_url_filter applies.
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page by the rules, else by a list of canonical URLs: those of pages whose document (the number in the path) is labelled toxic."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    toxic = labels.where("toxic = 1").select(F.col("doc_id").alias("number")).distinct()
+    number = F.try_to_number(F.regexp_extract(urls.path_of(F.col("url")), "/([0-9]{1,18})", 1), F.lit("9" * 18)).cast("long")
+    blocked = pages.select("url", number.alias("number")).join(toxic, "number").select("url")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(pages, rules, blocked).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(table(spark, sf_dir, "embeddings"))
+
+
 OP6_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
@@ -103,6 +125,54 @@ g AS (SELECT *, sha256(flat) AS text_sha256, first_value(doc_id) OVER w AS keep_
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM g
 """
 
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, CAST(bool_or(quality = 1) AS INT) AS good, CAST(bool_or(toxic = 1) AS INT) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT t.doc_id, part, coalesce(good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+        len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b,
+        100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+        coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false) AS e
+      FROM t LEFT JOIN l ON t.doc_id = l.doc_id),
+m AS (SELECT part, CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END
+        || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END AS fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+      FROM d GROUP BY ALL),
+f(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, CAST(step AS INT) AS step, substr(filter_order, step, 1) AS x, substr(filter_order, 1, step - 1) AS before FROM o, range(1, 6) r(step)),
+k AS (SELECT part, filter_order, step, x,
+        sum(n) FILTER (WHERE translate(fails, before || x, '') = fails) AS kept,
+        sum(n) FILTER (WHERE contains(fails, x) AND translate(fails, before, '') = fails) AS removed,
+        sum(n) FILTER (WHERE contains(fails, x) AND translate(fails, before, '') <> fails) AS redundant,
+        sum(n) FILTER (WHERE fails = x) AS unique_fails,
+        sum(good) FILTER (WHERE contains(fails, x) AND translate(fails, before, '') = fails) AS good_lost,
+        sum(toxic) FILTER (WHERE contains(fails, x) AND translate(fails, before, '') = fails) AS toxic_lost
+      FROM m, s GROUP BY ALL)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, x), 0) AS BIGINT) AS shapley
+FROM k
+"""
+
+OP12_SQL = r"""
+WITH p AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+             coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+             list_sort(list_filter(string_split(regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*\?([^#]*)', 1), '&'),
+               lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|gclid|fbclid|ref)(=|\z)'))) AS params
+           FROM pages),
+c AS (SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)\z', '') || rtrim(path, '/')
+             || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS canonical,
+             TRY_CAST(regexp_extract(path, '/([0-9]{1,18})', 1) AS BIGINT) AS number FROM p),
+b AS (SELECT DISTINCT canonical FROM c WHERE number IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+r(h, q, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block'))
+SELECT page_id, host, path,
+  (SELECT arg_max(h || q, length(h || q)) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)) AS rule,
+  coalesce((SELECT arg_max(v, length(h || q)) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)),
+    CASE WHEN canonical IN (SELECT canonical FROM b WHERE canonical IS NOT NULL) THEN 'block' ELSE 'allow' END) AS verdict
+FROM c
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -116,8 +186,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_bpe": op9_bpe,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_url_filter": op12_url_filter,
+        "op13_whitening": op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op6_mixing": OP6_SQL, "op10_exact_dedup": OP10_SQL, "op11_filter_audit": OP11_SQL, "op12_url_filter": OP12_SQL}
