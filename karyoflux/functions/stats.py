@@ -1,10 +1,8 @@
-"""Special statistics: column expressions where they have a closed form, numpy kernels where they don't."""
+"""Special statistics: column expressions where they have a closed form, numpy kernels where they don't. tails and nulls hold the exact
+tests."""
 
 from __future__ import annotations
 
-import math
-from functools import lru_cache
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +24,7 @@ def fisher_combine(sum_log: Column, k: Column) -> Column:
 def with_bh(df: DataFrame, p: str, out: str, partition: list[str]) -> DataFrame:
     """df with `out`: Benjamini-Hochberg adjusted p over the partition; null p stay null and don't count.
 
-    A partition is ordered in one task, and without partition all of df is: that is for tables of tests, whose number is bounded.
+    A partition is ordered in one task: for the tests of one sample. ranked.with_bh takes tables of any size.
     """
     keys = [*partition, F.col(p).isNull()]
     group = Window.partitionBy(*keys)
@@ -40,173 +38,52 @@ def adjacency_pvalue(distance: Column, mu: Column) -> Column:
 
 
 # -- numpy kernels ----------------------------------------------------------------------------------------------------------
-def log_choose(n: int, k: int) -> float:
-    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-
-
-def binomial_two_sided(x: int, n: int, p: float) -> float:
-    """Exact test: the sum of all probabilities at most that of x, with the usual relative tolerance."""
-    if n == 0 or p <= 0 or p >= 1:
-        return 1.0 if (p <= 0) == (x == 0) or (p >= 1) == (x == n) else 0.0
-    k = np.arange(n + 1)
-    logs = np.array([log_choose(n, int(i)) for i in k]) + k * math.log(p) + (n - k) * math.log1p(-p)
-    probs = np.exp(logs)
-    return float(min(1.0, probs[probs <= probs[x] * (1 + 1e-7)].sum()))
-
-
-def fisher_greater(a: int, b: int, c: int, d: int) -> float:
-    """Upper tail of the hypergeometric distribution of the first cell of a 2 x 2 table."""
-    m, n, k = a + b, c + d, a + c
-    return float(min(1.0, sum(math.exp(log_choose(m, i) + log_choose(n, k - i) - log_choose(m + n, k)) for i in range(a, min(m, k) + 1))))
-
-
-def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
-    m, n, k = a + b, c + d, a + c
-    probs = {i: math.exp(log_choose(m, i) + log_choose(n, k - i) - log_choose(m + n, k)) for i in range(max(0, k - n), min(m, k) + 1)}
-    return float(min(1.0, sum(p for p in probs.values() if p <= probs[a] * (1 + 1e-7))))
-
-
-def conditional_odds_ratio(a: int, b: int, c: int, d: int) -> float:
-    """The odds ratio under which the mean of the noncentral hypergeometric distribution is the first cell."""
-    m, n, k = a + b, c + d, a + c
-    lo, hi = max(0, k - n), min(m, k)
-    if a == lo:
-        return 0.0
-    if a == hi:
-        return math.inf
-    i = np.arange(lo, hi + 1)
-    logs = np.array([log_choose(m, int(x)) + log_choose(n, k - int(x)) for x in i])
-
-    def mean(log_or: float) -> float:
-        w = logs + i * log_or
-        w = np.exp(w - w.max())
-        return float((w * i).sum() / w.sum())
-
-    low, high = -50.0, 50.0
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if mean(mid) < a else (low, mid)
-    return math.exp((low + high) / 2)
-
-
-def ks_statistic(x: np.ndarray) -> float:
-    """Distance of sorted positive x from the exponential distribution with their mean."""
-    x = np.sort(x)
-    n, cdf = len(x), 1 - np.exp(-x / x.mean())
-    i = np.arange(1, n + 1)
-    return float(max((i / n - cdf).max(), (cdf - (i - 1) / n).max()))
-
-
-@lru_cache(maxsize=4096)
-def ks_null(n: int, sims: int = 1000, seed: int = 1) -> np.ndarray:
-    """Sorted statistics of samples of n under the null. They depend on n alone, since the statistic doesn't change with scale."""
-    x = np.sort(np.random.default_rng((seed, n)).exponential(size=(sims, n)), axis=1)
-    cdf = 1 - np.exp(-x / x.mean(axis=1, keepdims=True))
-    i = np.arange(1, n + 1)
-    return np.sort(np.maximum((i / n - cdf).max(axis=1), (cdf - (i - 1) / n).max(axis=1)))
-
-
-def ks_pvalue(d: float, n: int, sims: int = 1000, seed: int = 1) -> float:
-    null = ks_null(n, sims, seed)
-    return float((sims - np.searchsorted(null, d, "left") + 1) / (sims + 1))
-
-
-@lru_cache(maxsize=4096)
-def multinomial_null(n: int, cells: int = 4, sims: int = 2000, seed: int = 1) -> np.ndarray:
-    x = np.random.default_rng((seed, n, cells)).multinomial(n, [1 / cells] * cells, size=sims)
-    return np.sort(((x - n / cells) ** 2).sum(axis=1) / (n / cells))
-
-
-def joins_pvalue(counts: list[int], sims: int = 2000, seed: int = 1) -> float | None:
-    """Simulated p-value of equal shares; null without counts."""
-    n = sum(counts)
-    if n == 0:
-        return None
-    e = n / len(counts)
-    stat = sum((c - e) ** 2 for c in counts) / e
-    null = multinomial_null(n, len(counts), sims, seed)
-    return float((sims - np.searchsorted(null, stat - 1e-9, "left") + 1) / (sims + 1))
-
-
-def _beta_cf(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny, c = 1e-300, 1.0
-    d = 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 300):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + num * d
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = 1 + num / c
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1) < 1e-14:
-            break
-    return h
-
-
-def beta_inc(a: float, b: float, x: float) -> float:
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    return front * _beta_cf(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_cf(b, a, 1 - x) / b
-
-
-def t_two_sided(t: float, df: float) -> float:
-    return beta_inc(df / 2, 0.5, df / (df + t * t))
-
-
-def correlation_pvalue(rho: float, n: int) -> float:
-    """Two-sided p of a rank correlation by the t approximation with n - 2 degrees of freedom."""
-    if n < 3:
-        return 1.0
-    if abs(rho) >= 1:
-        return 0.0
-    return t_two_sided(rho * math.sqrt((n - 2) / (1 - rho * rho)), n - 2)
-
-
-def normal_two_sided(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
-
-
-def chi2_1_upper(x: float) -> float:
-    return math.erfc(math.sqrt(max(x, 0.0) / 2))
+def cox_step(beta: np.ndarray, u: np.ndarray, info: np.ndarray) -> tuple[np.ndarray, bool]:
+    """(next coefficients, whether they have settled) of Newton's method; NaN where the information can't be inverted."""
+    try:
+        step = np.linalg.solve(info, u)
+    except np.linalg.LinAlgError:
+        return np.full(len(beta), np.nan), True
+    return beta + np.clip(step, -5, 5), bool(np.abs(step).max() < 1e-9)
+
+
+def cox_result(beta: np.ndarray, info: np.ndarray, sd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients, standard errors) on the scale of the values from those of standardised ones; NaN where they ran away."""
+    none = np.full(len(beta), np.nan), np.full(len(beta), np.nan)
+    if not np.isfinite(beta).all() or np.abs(beta).max() > 30:
+        return none
+    try:
+        variance = np.diag(np.linalg.inv(info))
+    except np.linalg.LinAlgError:
+        return none
+    return (beta / sd, np.sqrt(variance) / sd) if (variance > 0).all() else none
 
 
 def cox(time: np.ndarray, event: np.ndarray, x: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
     """(coefficients, standard errors) of proportional hazards by Newton steps, ties by Efron's method; NaN if it doesn't settle."""
-    order = np.lexsort((-event, time))
-    time, event, x = time[order], event[order].astype(bool), x[order]
-    mean, sd = x.mean(axis=0), x.std(axis=0)
+    order = np.argsort(-time, kind="stable")
+    time, dead, x = time[order], event[order].astype(bool), x[order]
+    sd = x.std(axis=0)
     if (sd == 0).any():
         return np.full(x.shape[1], np.nan), np.full(x.shape[1], np.nan)
-    z, beta = (x - mean) / sd, np.zeros(x.shape[1])
-    times = np.unique(time[event])
-    info = np.eye(x.shape[1])
+    z, beta, info = (x - x.mean(axis=0)) / sd, np.zeros(x.shape[1]), np.eye(x.shape[1])
+    first = np.flatnonzero(np.r_[True, time[1:] != time[:-1]])  # of each time, latest times first
+    last, d = np.r_[first[1:], len(time)] - 1, np.add.reduceat(dead.astype(np.int64), first)
+    some = d > 0
+    ties = np.repeat(np.arange(some.sum()), d[some])  # a row for each death
+    share = (np.arange(len(ties)) - np.r_[0, np.cumsum(d[some])[:-1]][ties]) / d[some][ties]
+    u0 = z[dead].sum(axis=0)
     for _ in range(rounds):
         r = np.exp(np.clip(z @ beta, -50, 50))
-        u, info = np.zeros(len(beta)), np.zeros((len(beta), len(beta)))
-        for t in times:
-            risk, dead = time >= t, (time == t) & event
-            s0, s1, s2 = r[risk].sum(), r[risk] @ z[risk], (z[risk] * r[risk, None]).T @ z[risk]
-            d0, d1, d2 = r[dead].sum(), r[dead] @ z[dead], (z[dead] * r[dead, None]).T @ z[dead]
-            u += z[dead].sum(axis=0)
-            for k in range(int(dead.sum())):
-                f = k / dead.sum()
-                a, b, c = s0 - f * d0, s1 - f * d1, s2 - f * d2
-                u -= b / a
-                info += c / a - np.outer(b, b) / (a * a)
-        try:
-            step = np.linalg.solve(info, u)
-        except np.linalg.LinAlgError:
-            return np.full(len(beta), np.nan), np.full(len(beta), np.nan)
-        beta = beta + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
+        rows = np.c_[r, r[:, None] * z, (r[:, None, None] * z[:, :, None] * z[:, None, :]).reshape(len(z), -1)]
+        at_risk, of_dead = np.cumsum(rows, axis=0)[last][some], np.add.reduceat(rows * dead[:, None], first)[some]
+        m = at_risk[ties] - share[:, None] * of_dead[ties]
+        mean = m[:, 1 : 1 + z.shape[1]] / m[:, :1]
+        info = (m[:, 1 + z.shape[1] :] / m[:, :1]).sum(axis=0).reshape(info.shape) - mean.T @ mean
+        beta, settled = cox_step(beta, u0 - mean.sum(axis=0), info)
+        if settled:
             break
-    if np.abs(beta).max() > 30:
-        return np.full(len(beta), np.nan), np.full(len(beta), np.nan)
-    return beta / sd, np.sqrt(np.diag(np.linalg.inv(info))) / sd
+    return cox_result(beta, info, sd)
 
 
 def longest_run(v: np.ndarray) -> int:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
-from karyoflux.functions.stats import correlation_pvalue
+from karyoflux.functions.tails import correlation_pvalue
 from karyoflux.operators.intervals import join_overlapping
 from karyoflux.operators.variants import inter, intra
 
@@ -45,14 +45,9 @@ def windows(cnv: DataFrame, max_size: int = 10_000_000, **frame) -> DataFrame:
     )
 
 
-@F.pandas_udf(DoubleType())
-def _rho_p(rho: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([1.0 if r != r else correlation_pvalue(r, int(k)) for r, k in zip(rho.astype(float), n, strict=True)])
-
-
 def candidates(cnv: DataFrame, **frame) -> DataFrame:
     """Windows with a rising gradient or strong variation."""
-    w = windows(cnv, **frame).withColumn("pvalue", _rho_p("gradient_correlation", "n_segments"))
+    w = windows(cnv, **frame).withColumn("pvalue", F.coalesce(correlation_pvalue(F.col("gradient_correlation"), F.col("n_segments")), F.lit(1.0)))
     rho, var = F.col("gradient_correlation"), F.col("variation_score")
     rising = ((F.col("n_segments") >= 6) & (F.col("pvalue") < 0.05) & (rho > 0.3)) | (rho >= 0.8) | ((rho > 0.3) & (var > 1.8))
     return w.where(rising & ((F.col("slope") > 0.05) | (var > 2.0)))

@@ -208,8 +208,7 @@ def evaluate(chain: DataFrame, sv: DataFrame, cnv: DataFrame | None = None, stat
     parts = [(F.col("cn_stability_score"), 0.3), (F.col("complexity_score"), 0.3), (F.col("deletion_bridge_fraction"), 0.2), (stat, 0.2)]
     top = sum((F.coalesce(s * w, F.lit(0.0)) for s, w in parts[1:]), F.coalesce(parts[0][0] * parts[0][1], F.lit(0.0)))
     weight = sum((F.when(s.isNotNull(), w).otherwise(0.0) for s, w in parts[1:]), F.when(parts[0][0].isNotNull(), parts[0][1]).otherwise(0.0))
-    mode = "SV+CNV integrated" if cnv is not None else "SV-only chromoplexy"
-    return c.withColumn("combined_score", top / weight).withColumn("evidence_mode", F.lit(mode))
+    return c.withColumn("combined_score", top / weight).withColumn("evidence_mode", F.lit("SV+CNV" if cnv is not None else "SV-only"))
 
 
 def classify(c: DataFrame, statistical: bool = True, sv_only: bool = False, likely: int = 5, possible: int = 4) -> DataFrame:
@@ -329,18 +328,27 @@ def event_edges(c: DataFrame, member: DataFrame) -> DataFrame:
 
 
 def local_variation(c: DataFrame, cnv: DataFrame, reach: int = 5_000_000) -> DataFrame:
-    """(sample_id, chain_id, local_cn_change): mean standard deviation of copy number around the chain's nodes, halved, at most 1."""
+    """(sample_id, chain_id, local_cn_change): the mean standard deviation of copy number around the chain's nodes, halved, at most 1.
+
+    Around a node lie the segments that start or end within reach of it, two at least; one that spans the whole window tells nothing.
+    A chain without such a node has 0. Each place of a sample is looked at once, however many chains share it, in an interval join.
+    """
     n = c.select("sample_id", "chain_id", F.explode("nodes").alias("node"))
     parts = F.split("node", ":")
-    n = n.withColumn("chrom", parts[0]).withColumn("pos", parts[1].cast("long"))
-    j = n.join(cnv.select("sample_id", "chrom", "start", "end", "total_cn"), ["sample_id", "chrom"]).where((F.col("end") >= F.col("pos") - reach) & (F.col("start") <= F.col("pos") + reach))
-    sd = j.groupBy("sample_id", "chain_id", "node").agg(F.stddev_samp("total_cn").alias("sd"))
-    return sd.groupBy("sample_id", "chain_id").agg(F.least(F.avg("sd") / 2, F.lit(1.0)).alias("local_cn_change"))
+    places = n.select("sample_id", "node").distinct().withColumn("chrom", parts[0]).withColumn("pos", parts[1].cast("long"))
+    window = (F.col("pos") - reach, F.col("pos") + reach)
+    segments = cnv.select("sample_id", "chrom", "start", "end", "total_cn")
+    j = join_overlapping(places, segments, ["sample_id", "chrom"], window, (F.col("start"), F.col("end")), 4 * reach).where(F.col("start").between(*window) | F.col("end").between(*window))
+    sd = j.groupBy("sample_id", "node").agg(F.stddev_samp("total_cn").alias("sd"))  # null for one segment
+    x = n.join(sd, ["sample_id", "node"], "left").groupBy("sample_id", "chain_id").agg(F.avg("sd").alias("mean"))
+    return x.select("sample_id", "chain_id", F.coalesce(F.least(F.col("mean") / 2, F.lit(1.0)), F.lit(0.0)).alias("local_cn_change"))
 
 
 def bridge_enrichment(c: DataFrame, bridges: DataFrame) -> DataFrame:
-    """(sample_id, chain_id, bridge_enrichment): 0.6 of the share of nodes with a bridge, 0.4 of their mean confidence."""
-    n = c.select("sample_id", "chain_id", F.explode("nodes").alias("node"))
-    b = bridges.groupBy("sample_id", node_name(F.col("chrom"), F.col("pos")).alias("node")).agg(F.max("confidence").alias("confidence"))
-    j = n.join(b, ["sample_id", "node"], "left").groupBy("sample_id", "chain_id").agg(F.avg(F.col("confidence").isNotNull().cast("double")).alias("share"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("mean"))
-    return j.select("sample_id", "chain_id", (0.6 * F.col("share") + 0.4 * F.col("mean")).alias("bridge_enrichment"))
+    """(sample_id, chain_id, n_bridges, bridge_proportion, bridge_enrichment): bridges of the chain's variants over its translocations,
+    and 0.6 of that with 0.4 of their mean confidence; 0 without any."""
+    used = c.select("sample_id", "chain_id", "n_translocations", F.explode_outer("sv_nos").alias("sv_no"))
+    per = bridges.groupBy("sample_id", "sv_no").agg(F.count("*").alias("n"), F.sum("confidence").alias("confidence"))
+    j = used.join(per, ["sample_id", "sv_no"], "left").groupBy("sample_id", "chain_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_bridges"), F.sum("confidence").alias("confidence"), F.max("n_translocations").alias("t"))
+    some, share = F.col("n_bridges") > 0, F.col("n_bridges") / F.col("t")
+    return j.select("sample_id", "chain_id", "n_bridges", F.when(some, share).otherwise(0.0).alias("bridge_proportion"), F.when(some, share * 0.6 + F.col("confidence") / F.col("n_bridges") * 0.4).otherwise(0.0).alias("bridge_enrichment"))

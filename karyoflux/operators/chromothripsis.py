@@ -6,14 +6,15 @@ chromosome's cluster is every component of that graph that has the chromosome's
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from karyoflux.functions import stats
+from karyoflux.functions.nulls import with_equal_shares_p, with_gaps_p
+from karyoflux.functions.tails import binomial_two_sided
 from karyoflux.operators.intervals import join_overlapping
 from karyoflux.operators.segments import longest_runs, segments_of
 from karyoflux.operators.variants import inter, intra
@@ -67,26 +68,47 @@ def sweep(pos1: list[int], pos2: list[int]) -> list[int]:
     return [find(k) for k in range(n)]
 
 
-def components(sv: DataFrame) -> DataFrame:
-    """(sample_id, chrom, sv_id, component, n, top): the component (its least variant) of every variant within a chromosome, its
-    size, and the greatest size on the chromosome.
+def crossings(pos1: list[int], pos2: list[int]) -> list[int]:
+    """For each interval how many others it interleaves with, by counting in one pass over starts, without any pairs.
 
-    Chromosomes are swept one after another in sorted partitions, many in a batch; a task holds the variants of one at a time.
+    Later ones start inside it (or at most two bases behind) and end behind it; earlier ones end inside it and start before it. Each
+    is a difference of two counts of intervals that start by some place and end by another, which a Fenwick tree over the ends
+    answers in log n steps.
     """
-    s = intra(sv).select("sample_id", F.col("chrom1").alias("chrom"), "sv_id", "pos1", "pos2")
+    n = len(pos1)
+    starts, ends = sorted(pos1), sorted(set(pos2))
+    tree, found = [0] * (len(ends) + 1), [0] * n
+    # (start bound, 1 if it is included, end bound, interval, sign): intervals that start by the bound and end under the end bound
+    asked: list[tuple[int, int, int, int, int]] = []
+    for k, (s, e) in enumerate(zip(pos1, pos2, strict=True)):
+        if e + 2 >= s:  # else nothing can cross it
+            asked += [(e + 2, 1, e + 1, k, -1), (s, 1, e + 1, k, 1), (s, 0, e, k, 1), (s, 0, s - 2, k, -1)]
+            found[k] = bisect_right(starts, e + 2) - bisect_right(starts, s)
+    asked.sort()
+    order, at = sorted(range(n), key=lambda k: pos1[k]), 0
+    for start, included, end, k, sign in asked:
+        while at < n and (pos1[order[at]] < start or included and pos1[order[at]] == start):
+            i = bisect_left(ends, pos2[order[at]]) + 1
+            while i <= len(ends):
+                tree[i] += 1
+                i += i & -i
+            at += 1
+        i = bisect_left(ends, end)
+        while i:
+            found[k] += sign * tree[i]
+            i -= i & -i
+    return found
 
-    def of(rows: list[tuple]) -> list[tuple]:
-        found = sweep([r[3] for r in rows], [r[4] for r in rows])
-        least: dict[int, str] = {}
-        sizes: dict[int, int] = {}
-        for r, g in zip(rows, found, strict=True):
-            least[g] = min(least.get(g, r[2]), r[2])
-            sizes[g] = sizes.get(g, 0) + 1
-        top = max(sizes.values())
-        return [(r[0], r[1], r[2], least[g], sizes[g], top) for r, g in zip(rows, found, strict=True)]
+
+def _by_chromosome(sv: DataFrame, of: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """of applied to the variants (sample_id, chrom, sv_id, pos1, pos2) within each chromosome of each sample.
+
+    Chromosomes come one after another in sorted partitions, many in a batch; a task holds the variants of one at a time.
+    """
+    s = intra(sv).select("sample_id", F.col("chrom1").alias("chrom"), "sv_id", "pos1", "pos2")
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["sample_id", "chrom", "sv_id", "component", "n", "top"]
         rows: list[tuple] = []
         for pdf in batches:
             out = []
@@ -99,14 +121,30 @@ def components(sv: DataFrame) -> DataFrame:
         if rows:
             yield pd.DataFrame(of(rows), columns=names)
 
-    return s.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInPandas(run, "sample_id string, chrom string, sv_id string, component string, n long, top long")
+    return s.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInPandas(run, schema)
+
+
+def components(sv: DataFrame) -> DataFrame:
+    """(sample_id, chrom, sv_id, component, n, top): the component (its least variant) of every variant within a chromosome, its
+    size, and the greatest size on the chromosome."""
+
+    def of(rows: list[tuple]) -> list[tuple]:
+        found = sweep([r[3] for r in rows], [r[4] for r in rows])
+        least: dict[int, str] = {}
+        sizes: dict[int, int] = {}
+        for r, g in zip(rows, found, strict=True):
+            least[g] = min(least.get(g, r[2]), r[2])
+            sizes[g] = sizes.get(g, 0) + 1
+        top = max(sizes.values())
+        return [(r[0], r[1], r[2], least[g], sizes[g], top) for r, g in zip(rows, found, strict=True)]
+
+    return _by_chromosome(sv, of, "sample_id string, chrom string, sv_id string, component string, n long, top long")
 
 
 def degrees(sv: DataFrame) -> DataFrame:
-    """(sample_id, sv_id, degree): how many variants each one interleaves with."""
-    p = interleaving_pairs(sv)
-    ends = p.select("sample_id", F.explode(F.array("a", "b")).alias("sv_id")).groupBy("sample_id", "sv_id").agg(F.count("*").alias("degree"))
-    return intra(sv).select("sample_id", "sv_id").join(ends, ["sample_id", "sv_id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    """(sample_id, chrom, sv_id, degree): how many variants of its chromosome each one interleaves with."""
+    of = lambda rows: [(*r[:3], n) for r, n in zip(rows, crossings([r[3] for r in rows], [r[4] for r in rows]), strict=True)]
+    return _by_chromosome(sv, of, "sample_id string, chrom string, sv_id string, degree long")
 
 
 def members(sv: DataFrame, min_size: int = 1) -> DataFrame:
@@ -202,21 +240,6 @@ def chromosome_gaps(sv: DataFrame, m: DataFrame | None = None) -> DataFrame:
     return _gaps(linked_sides(sv, clusters(sv, m=m)).select(*KEYS, "pos"))
 
 
-@F.pandas_udf(DoubleType())
-def _ks_p(d: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([None if x != x or k != k else stats.ks_pvalue(x, int(k)) for x, k in zip(d.astype(float), n.astype(float), strict=True)], dtype=float)
-
-
-@F.pandas_udf(DoubleType())
-def _joins_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    return pd.Series([stats.joins_pvalue([int(x) for x in r]) for r in zip(a, b, c, d, strict=True)], dtype=float)
-
-
-@F.pandas_udf(DoubleType())
-def _binomial_p(x: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
-    return pd.Series([None if k != k or not k else stats.binomial_two_sided(int(i), int(k), q) for i, k, q in zip(x.astype(float), n.astype(float), p, strict=True)], dtype=float)
-
-
 def inter_joins(sv: DataFrame, margin: int = 10_000, m: DataFrame | None = None) -> DataFrame:
     """Chromosomes that each cluster is linked to by two or more translocation ends near their own clusters, with join counts.
 
@@ -244,25 +267,27 @@ def inter_joins(sv: DataFrame, margin: int = 10_000, m: DataFrame | None = None)
 def criteria(sv: DataFrame, cnv: DataFrame, genome: DataFrame) -> DataFrame:
     """One row for each sample's chromosome, clusters or not: all counts and p-values the rules need.
 
-    p-values use seeded null tables that depend on sizes alone: gaps against the exponential law, joins against equal shares; the
-    enrichment test is the exact binomial with chromosome lengths as weights.
+    Gaps are held against a seeded null table of the exponential law, which depends on sizes alone; joins against equal shares and
+    the enrichment with chromosome lengths as weights have exact tests.
     """
     m = materialize(members(sv), "members")
     s = cluster_summary(sv, cnv, m=m)
-    j = join_counts(sv, m=m).select(*KEYS, "number_tra", "cluster_size_including_tra", "join_del", "join_h2hinv", "join_t2tinv", "join_dup")
-    g = cluster_gaps(sv, m).select(*KEYS, _ks_p("ks_d", "n_gaps").alias("pval_exp_cluster"))
-    h = chromosome_gaps(sv, m).select(*KEYS, _ks_p("ks_d", "n_gaps").alias("pval_exp_chr"))
+    joins = ["join_del", "join_h2hinv", "join_t2tinv", "join_dup"]
+    j = join_counts(sv, m=m).select(*KEYS, "number_tra", "cluster_size_including_tra", *joins)
+    g = cluster_gaps(sv, m).withColumn("of", F.lit("pval_exp_cluster")).unionByName(chromosome_gaps(sv, m).withColumn("of", F.lit("pval_exp_chr")))
+    p_of = lambda name: F.max(F.when(F.col("of") == name, F.col("p"))).alias(name)  # noqa: E731  one row each
+    g = with_gaps_p(materialize(g, "gaps"), "ks_d", "n_gaps", "p").groupBy(*KEYS).agg(p_of("pval_exp_cluster"), p_of("pval_exp_chr"))
     near = linked_sides(sv, clusters(sv, m=m))
     hits = near.groupBy(*KEYS).agg(F.countDistinct("sv_id").alias("n_here"), F.bool_or("near").alias("windowed"))
     total = inter(sv).groupBy("sample_id").agg(F.count("*").alias("n_inter"))
     weights = genome.select("chrom", (F.col("size") / F.sum("size").over(Window.partitionBy(F.lit(1)))).alias("weight"))
     hits = hits.join(total, "sample_id").join(F.broadcast(weights), "chrom").withColumn("n_all", F.when(F.col("windowed"), F.col("n_here")).otherwise(F.col("n_inter")))
-    hits = hits.select(*KEYS, _binomial_p("n_here", "n_all", "weight").alias("chr_breakpoint_enrichment"))
+    hits = hits.select(*KEYS, binomial_two_sided(F.col("n_here"), F.col("n_all"), F.col("weight")).alias("chr_breakpoint_enrichment"))
     n = sv.groupBy("sample_id").agg(F.count("*").alias("number_svs_sample"))
     x = inter_joins(sv, m=m)
-    x = x.withColumn("inter_pval_fragment_joins", _joins_p("inter_number_del", "inter_number_h2hinv", "inter_number_t2tinv", "inter_number_dup"))
-    out = s.join(j, KEYS).withColumn("pval_fragment_joins", _joins_p("join_del", "join_h2hinv", "join_t2tinv", "join_dup")).drop("join_del", "join_h2hinv", "join_t2tinv", "join_dup")
-    for other in (g, h, hits, x):
+    x = with_equal_shares_p(x, ["inter_number_del", "inter_number_h2hinv", "inter_number_t2tinv", "inter_number_dup"], "inter_pval_fragment_joins")
+    out = s.join(with_equal_shares_p(j, joins, "pval_fragment_joins").drop(*joins), KEYS)
+    for other in (g, hits, x):
         out = out.join(other, KEYS, "left")
     frame = sv.select("sample_id").distinct().crossJoin(F.broadcast(genome.select("chrom")))
     out = frame.join(out, KEYS, "left").join(n, "sample_id")
@@ -305,35 +330,43 @@ def ordered(c: DataFrame) -> DataFrame:
     return c.orderBy("sample_id", rank, F.desc("confidence_score"), "chrom")
 
 
-def diagnose(c: DataFrame) -> DataFrame:
-    """Why each chromosome is or isn't called: which tests it meets, which classes are in reach, and what stands in the way."""
-    n = F.col("cluster_size")
+def diagnose(c: DataFrame, joins_p: float = 0.05, clustering_p: float = 0.05) -> DataFrame:
+    """Why each chromosome with a cluster is or isn't called: which tests it meets, which classes are in reach, what stands in the way,
+    and the class by what is in reach (final_classification)."""
+    n, p, p2 = F.col("cluster_size"), F.col("pval_fragment_joins"), F.col("inter_pval_fragment_joins")
+    two, three = F.col("osc2_cluster"), F.col("osc3_cluster")
     no = lambda x: F.coalesce(x, F.lit(False))
     meets = {
-        "meets_size_high1": no(n >= 6), "meets_size_high2": no(n >= 3), "meets_tra": no(F.col("number_tra") >= 4),
-        "meets_oscillation_high": no(F.col("osc2_cluster") >= 7) | no(F.col("osc3_cluster") >= 7),
-        "meets_oscillation_low": no(F.col("osc2_cluster").between(4, 6)) | no(F.col("osc3_cluster").between(4, 6)),
-        "meets_joins": no(F.col("pval_fragment_joins") > 0.05), "meets_inter_joins": no(F.col("inter_pval_fragment_joins") > 0.05),
-        "meets_clustering": no(F.col("pval_exp_cluster") < 0.05), "meets_enrichment": no(F.col("chr_breakpoint_enrichment") < 0.05),
+        "meets_size_high1": no(n >= 6), "meets_size_high2": no(n >= 3), "meets_tra": no(F.col("number_tra") >= 4), "meets_oscillation_high": no(two >= 7) | no(three >= 7), "meets_oscillation_low": no(two.between(4, 6)) | no(three.between(4, 6)),
+        "meets_joins": no(p > joins_p), "meets_inter_joins": F.when(p2.isNotNull(), p2 > joins_p).otherwise(no(p > joins_p)), "meets_clustering": no(F.col("pval_exp_cluster") < clustering_p) | no(F.col("chr_breakpoint_enrichment") < clustering_p),
     }
-    d = classify(c).withColumns(meets)
-    either = F.col("meets_clustering") | F.col("meets_enrichment")
+    d = classify(c.where(n > 0)).withColumns(meets)
     d = d.withColumns({
-        "could_be_high1": F.col("meets_size_high1") & F.col("meets_oscillation_high") & F.col("meets_joins") & either,
-        "could_be_high2": F.col("meets_size_high2") & F.col("meets_tra") & F.col("meets_oscillation_high") & (F.col("meets_joins") | F.col("meets_inter_joins")),
-        "could_be_low": F.col("meets_size_high1") & F.col("meets_oscillation_low") & F.col("meets_joins") & either,
+        "could_be_high1": F.col("meets_size_high1") & F.col("meets_oscillation_high") & F.col("meets_joins") & F.col("meets_clustering"),
+        "could_be_high2": F.col("meets_size_high2") & F.col("meets_tra") & F.col("meets_oscillation_high") & F.col("meets_inter_joins"),
+        "could_be_low": F.col("meets_size_high1") & F.col("meets_oscillation_low") & F.col("meets_joins") & F.col("meets_clustering"),
     })
-    reasons = F.array_compact(F.array(
-        F.when(~F.col("meets_size_high2"), F.concat(F.lit("cluster of "), n.cast("string"), F.lit(" variants is too small"))), F.when(~(F.col("meets_oscillation_high") | F.col("meets_oscillation_low")), "too few oscillating segments"),
-        F.when(~F.col("meets_joins"), "joins are not random"), F.when(~either, "breakpoints are neither clustered nor enriched"),
-    ))
-    return d.withColumn("blocking_reasons", F.array_join(reasons, "; "))
+    final = F.when(F.col("could_be_high1") | F.col("could_be_high2"), "High confidence").when(F.col("could_be_low"), "Low confidence").otherwise("Not chromothripsis")
+    number = lambda x: F.coalesce(F.format_string("%.3f", x), F.lit("NA"))
+    shown = F.coalesce(two, three)
+    by_inter = F.col("meets_tra") & p2.isNotNull()
+    # The wording of reasons.
+    joins = F.when(by_inter, F.when(~F.col("meets_inter_joins"), F.concat(F.lit("Fragment joins FAILED (intra+TRA p="), number(p2), F.lit(f", need >{joins_p:.2f})")))).otherwise(
+        F.when(~F.col("meets_joins"), F.concat(F.lit("Fragment joins FAILED (p="), F.when(p.isNull(), "NA").otherwise(number(p)), F.lit(f", need >{joins_p:.2f})")))
+    )
+    oscillation = F.when(~F.col("meets_oscillation_high") & ~F.col("meets_oscillation_low"), F.concat(F.lit("CN oscillations insufficient ("), F.coalesce(shown.cast("string"), F.lit("NA")), F.lit(", need >=4)"))).when(
+        ~F.col("meets_oscillation_high"), F.concat(F.lit("CN oscillations="), shown.cast("string"), F.lit(" (in low conf range 4-6, not high >=7)"))
+    )
+    size = F.when(~F.col("meets_size_high1"), F.concat(F.lit("Too few intrachromosomal SVs ("), n.cast("string"), F.lit(", need >=6)")))
+    clustering = F.when(~F.col("meets_clustering"), F.lit("Clustering tests FAILED (both p>=0.05)"))
+    return d.withColumns({"blocking_reasons": F.array_join(F.array_compact(F.array(joins, oscillation, size, clustering)), "; "), "final_classification": final})
 
 
 def summarize(c: DataFrame) -> DataFrame:
-    """A row a sample: calls by class, the best score and the chromosomes called."""
-    called = F.col("classification") != "Not chromothripsis"
+    """A row a sample: chromosomes by class, the best score, and the chromosomes called, in order of score."""
+    kind = F.col("classification")
+    by_score = lambda k: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(kind == k, F.struct((-F.col("confidence_score")).alias("s"), "chrom")))), lambda x: x["chrom"]), ",")
     return classify(c).groupBy("sample_id").agg(
-        F.count_if(F.col("classification") == "High confidence").alias("n_high"), F.count_if(F.col("classification") == "Low confidence").alias("n_low"),
-        F.max("confidence_score").alias("max_score"), F.array_join(F.sort_array(F.collect_set(F.when(called, F.col("chrom")))), ",").alias("chromosomes"),
+        F.count_if(kind == "High confidence").alias("n_high"), F.count_if(kind == "Low confidence").alias("n_low"), F.count_if(kind == "Not chromothripsis").alias("n_not"),
+        F.max("confidence_score").alias("max_score"), by_score("High confidence").alias("high_chromosomes"), by_score("Low confidence").alias("low_chromosomes"),
     )

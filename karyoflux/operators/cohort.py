@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from karyoflux.functions import stats
-from karyoflux.functions.stats import with_bh
+from karyoflux.functions.ranked import with_bh
+from karyoflux.functions.tails import fisher_greater, fisher_two_sided, with_odds_ratio
 
 
 def _names(c: str):
@@ -62,13 +63,18 @@ def cohort_priority(event: DataFrame, region: DataFrame) -> DataFrame:
     return e.withColumn("cohort_priority_score", 0.70 * F.col("event_qc_score") + 0.20 * F.col("driver_impact_score") + 0.10 * F.least(F.col("max_recurrence") / 3, F.lit(1.0)))
 
 
-def sample_burden(event: DataFrame, points: DataFrame) -> DataFrame:
-    """A row a sample: events by confidence, breakpoints, drivers, best scores."""
-    e = event.groupBy("sample_id").agg(
-        F.count("*").alias("n_events"), *[F.count_if(F.col("event_confidence") == c).alias(f"n_{c.lower()}") for c in ("High", "Moderate", "Low")],
-        F.max("event_qc_score").alias("max_qc"), F.avg("event_qc_score").alias("mean_qc"), F.sum("n_unique_svs").alias("n_svs"),
-    )
-    return e.join(points.groupBy("sample_id").agg(F.count("*").alias("n_breakpoints")), "sample_id", "left")
+def sample_burden(summary: DataFrame, event: DataFrame, detail: DataFrame | None = None) -> DataFrame:
+    """A row for every sample of the integrated summary: chains by class, events by confidence and quality, and the genes at them."""
+    e = event.groupBy("sample_id").agg(F.count("*").alias("n_collapsed_events"), F.count_if(F.col("event_confidence") == "High").alias("n_high_confidence_events"), F.avg("event_qc_score").alias("mean_event_qc_score"), F.max("event_qc_score").alias("max_event_qc_score"))
+    num = lambda c: (F.coalesce(F.col(c), F.lit(0)) if c in summary.columns else F.lit(0)).cast("long")
+    mode = F.col("analysis_mode") if "analysis_mode" in summary.columns else F.lit(None).cast("string")
+    out = summary.select("sample_id", mode.alias("analysis_mode"), num("chromoplexy_chains").alias("total_chains"), num("chromoplexy_likely").alias("likely_chains"), num("chromoplexy_possible").alias("possible_chains"))
+    out = out.join(e, "sample_id", "left").na.fill(0, ["n_collapsed_events", "n_high_confidence_events"])
+    if detail is None:
+        return out.withColumns({"n_genes": F.lit(0).cast("long"), "n_driver_genes": F.lit(0).cast("long"), "driver_genes": F.lit("")})
+    driver = F.when(F.col("is_driver"), F.col("symbol"))
+    g = detail.groupBy("sample_id").agg(F.countDistinct("symbol").alias("n_genes"), F.countDistinct(driver).alias("n_driver_genes"), F.array_join(F.sort_array(F.collect_set(driver)), ",").alias("driver_genes"))
+    return out.join(g, "sample_id", "left").na.fill(0, ["n_genes", "n_driver_genes"]).na.fill("", ["driver_genes"])
 
 
 def prevalence(summary: DataFrame) -> DataFrame:
@@ -92,57 +98,68 @@ def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
     return n.select(row).distinct().crossJoin(F.broadcast(n.select(column).distinct())).join(n, [row, column], "left").na.fill(0, ["n"])
 
 
-@F.pandas_udf(DoubleType())
-def fisher_greater_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    return pd.Series([stats.fisher_greater(*map(int, r)) for r in zip(a, b, c, d, strict=True)], dtype=float)
-
-
-@F.pandas_udf(DoubleType())
-def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    return pd.Series([stats.fisher_two_sided(*map(int, r)) for r in zip(a, b, c, d, strict=True)], dtype=float)
-
-
-@F.pandas_udf(DoubleType())
-def odds_ratio(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    return pd.Series([stats.conditional_odds_ratio(*map(int, r)) for r in zip(a, b, c, d, strict=True)], dtype=float)
-
-
 def gene_enrichment(hits: DataFrame, positive: DataFrame, samples: DataFrame) -> DataFrame:
     """Per gene, hits (distinct sample_id, symbol) among positive samples and the others: one-sided Fisher, odds ratio, adjusted p."""
     s = samples.select("sample_id").distinct().join(positive.select("sample_id").distinct().withColumn("pos", F.lit(True)), "sample_id", "left").withColumn("pos", F.coalesce("pos", F.lit(False)))
     total = s.agg(F.count_if("pos").alias("n_pos"), F.count_if(~F.col("pos")).alias("n_neg"))
     g = hits.select("sample_id", "symbol").distinct().join(s, "sample_id").groupBy("symbol").agg(F.count_if("pos").alias("mech_pos_hits"), F.count_if(~F.col("pos")).alias("mech_neg_hits"))
     g = g.crossJoin(F.broadcast(total))
-    cells = ["mech_pos_hits", "mech_neg_hits", F.col("n_pos") - F.col("mech_pos_hits"), F.col("n_neg") - F.col("mech_neg_hits")]
+    cells = [F.col("mech_pos_hits"), F.col("mech_neg_hits"), F.col("n_pos") - F.col("mech_pos_hits"), F.col("n_neg") - F.col("mech_neg_hits")]
     g = g.withColumn("mech_pos_freq", F.when(F.col("n_pos") > 0, F.col("mech_pos_hits") / F.col("n_pos"))).withColumn("mech_neg_freq", F.when(F.col("n_neg") > 0, F.col("mech_neg_hits") / F.col("n_neg")))
-    g = g.withColumn("odds_ratio", odds_ratio(*cells)).withColumn("pvalue", fisher_greater_p(*cells))
-    return with_bh(g, "pvalue", "fdr", []).drop("n_pos", "n_neg")
+    g = with_odds_ratio(g, "odds_ratio", *cells).withColumn("pvalue", fisher_greater(*cells)).drop("n_pos", "n_neg")
+    return with_bh(g, "pvalue", "fdr")
+
+
+def mechanism_status(summary: DataFrame, stringency: str = "strict") -> DataFrame:
+    """(sample_id, mechanism) of the mechanisms that each sample of the integrated summary has: strict counts sure calls, inclusive
+    those of less confidence too."""
+    if stringency not in ("strict", "inclusive"):
+        raise ValueError("stringency must be 'strict' or 'inclusive'")
+    columns = {
+        "chromothripsis": ("chromothripsis_high_confidence", "chromothripsis_low_confidence"), "chromoplexy": ("chromoplexy_likely", "chromoplexy_possible"),
+        "chromoanasynthesis": ("chromoanasynthesis_likely", "chromoanasynthesis_possible"),
+    }
+    calls = {m: [F.coalesce(F.col(c), F.lit(0)) for c in pair[: 1 if stringency == "strict" else 2] if c in summary.columns] for m, pair in columns.items()}
+    has = F.array_compact(F.array(*[F.when(sum(c, F.lit(0)) > 0, m) for m, c in calls.items()]))
+    return summary.select("sample_id", F.explode(has).alias("mechanism"))
 
 
 def compare_groups(has: DataFrame, clinical: DataFrame, group: str = "grp") -> tuple[DataFrame, DataFrame]:
-    """(counts, tests) of mechanisms by clinical group; two-sided Fisher for two groups, a simulated chi-square for more."""
+    """(counts, tests) of mechanisms (sample_id, mechanism) by clinical group; samples without a group are left out.
+
+    Two groups are held against each other by Fisher's exact test, more by a chi-square whose p comes from 2000 seeded tables with the
+    same margins. A mechanism that all samples have, or one group alone, has no test.
+    """
     mech = has.select("mechanism").distinct()
-    frame = clinical.select("sample_id", F.col(group).alias("grp")).crossJoin(F.broadcast(mech)).join(has.select("sample_id", "mechanism").distinct().withColumn("has", F.lit(1)), ["sample_id", "mechanism"], "left").na.fill(0, ["has"])
+    grouped = clinical.select("sample_id", F.col(group).cast("string").alias("grp")).where("grp IS NOT NULL")
+    frame = grouped.crossJoin(F.broadcast(mech)).join(has.select("sample_id", "mechanism").distinct().withColumn("has", F.lit(1)), ["sample_id", "mechanism"], "left").na.fill(0, ["has"])
     counts = frame.groupBy("mechanism", "grp").agg(F.sum("has").alias("n_positive"), F.count("*").alias("n_samples"), F.avg("has").alias("fraction"))
+    per = counts.groupBy("mechanism").agg(F.sort_array(F.collect_list(F.struct("grp", "n_positive", "n_samples"))).alias("g"))  # a cell a group
+    total = lambda c: F.aggregate("g", F.lit(0).cast("long"), lambda s, x: s + x[c])
+    per = per.where((F.size("g") > 1) & (total("n_positive") > 0) & (total("n_positive") < total("n_samples")))
+    yes, no = (lambda i: F.get("g", F.lit(i))["n_positive"]), (lambda i: F.get("g", F.lit(i))["n_samples"] - F.get("g", F.lit(i))["n_positive"])
+    two = per.where(F.size("g") == 2).select("mechanism", F.lit("Fisher's Exact").alias("test"), fisher_two_sided(yes(0), yes(1), no(0), no(1)).alias("pvalue"))
+    more = per.where(F.size("g") > 2).select("mechanism", F.lit("Chi-squared").alias("test"), _simulated(F.col("g.n_positive"), F.col("g.n_samples")).alias("pvalue"))
+    p = F.col("pvalue")
+    return counts, two.unionByName(more).withColumn("stars", F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise(""))
+
+
+@F.pandas_udf(DoubleType())
+def _simulated(positive: pd.Series, size: pd.Series) -> pd.Series:
+    """Share of 2000 seeded tables with the margins of a table of groups that are as far from independence, the seen one counted in."""
+
+    def p(y: np.ndarray, n: np.ndarray) -> float:
+        expected = n * (y.sum() / n.sum())
+        chi = lambda v: ((v - expected) ** 2 * (1 / expected + 1 / (n - expected))).sum(-1)
+        draws = np.random.default_rng(1).multivariate_hypergeometric(n, int(y.sum()), size=2000)
+        return float(((chi(draws) >= chi(y) * (1 - 1e-12)).sum() + 1) / 2001)
 
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("grp")
-        yes, no = pdf["n_positive"].to_numpy(), (pdf["n_samples"] - pdf["n_positive"]).to_numpy()
-        if len(pdf) == 2:
-            p, name = stats.fisher_two_sided(int(yes[0]), int(yes[1]), int(no[0]), int(no[1])), "Fisher"
-        else:
-            import numpy as np
+    return pd.Series([p(np.asarray(y, dtype=np.int64), np.asarray(n, dtype=np.int64)) for y, n in zip(positive, size, strict=True)])
 
-            n, k = pdf["n_samples"].to_numpy(), int(yes.sum())
-            chi = lambda y: (((y - n * k / n.sum()) ** 2) / np.maximum(n * k / n.sum(), 1e-12)).sum(-1) + ((((n - y) - n * (n.sum() - k) / n.sum()) ** 2) / np.maximum(n * (n.sum() - k) / n.sum(), 1e-12)).sum(-1)
-            if k in (0, n.sum()) or len(pdf) < 2:
-                p, name = 1.0, "simulated chi-square"
-            else:
-                draws = np.random.default_rng(1).multivariate_hypergeometric(n.astype(int), k, size=2000)
-                p, name = float(((chi(draws) >= chi(yes) - 1e-9).sum() + 1) / 2001), "simulated chi-square"
-        return pd.DataFrame({"mechanism": [pdf["mechanism"].iloc[0]], "test": [name], "pvalue": [p], "stars": ["***" if p < 0.001 else "**" if p < 0.01 else "*" if p < 0.05 else "ns"]})
 
-    return counts, counts.groupBy("mechanism").applyInPandas(test, "mechanism string, test string, pvalue double, stars string")
+def compare_mechanisms(summary: DataFrame, clinical: DataFrame, group: str = "grp", stringency: str = "strict") -> tuple[DataFrame, DataFrame]:
+    """compare_groups of the samples of the integrated summary, by how sure their calls are."""
+    return compare_groups(mechanism_status(summary, stringency), clinical.join(summary.select("sample_id"), "sample_id", "left_semi"), group)
 
 
 def over_representation(genes: DataFrame, gene_sets: DataFrame, universe: int, top: int = 10) -> DataFrame:
@@ -153,7 +170,7 @@ def over_representation(genes: DataFrame, gene_sets: DataFrame, universe: int, t
     n = g.agg(F.count("*").alias("n_genes"))
     k = hit.join(g, "symbol").groupBy("source", "set_name").agg(F.count("*").alias("hits"), F.array_join(F.sort_array(F.collect_list("symbol")), "/").alias("symbols"))
     x = k.join(size, ["source", "set_name"]).crossJoin(F.broadcast(n))
-    x = x.withColumn("pvalue", fisher_greater_p("hits", F.col("n_genes") - F.col("hits"), F.col("set_size") - F.col("hits"), F.lit(universe) - F.col("n_genes") - F.col("set_size") + F.col("hits")))
+    x = x.withColumn("pvalue", fisher_greater(F.col("hits"), F.col("n_genes") - F.col("hits"), F.col("set_size") - F.col("hits"), F.lit(universe) - F.col("n_genes") - F.col("set_size") + F.col("hits")))
     x = with_bh(x, "pvalue", "fdr", ["source"])
     return x.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("pvalue", "set_name"))).where(F.col("place") <= top)
 

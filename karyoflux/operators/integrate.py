@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from karyoflux.functions.stats import with_bh
+from karyoflux.model import CHROMOSOMES
 from karyoflux.operators import chromoplexy as cp
 from karyoflux.operators.intervals import join_overlapping
 
@@ -42,95 +45,183 @@ def locations(ct: DataFrame | None, chain: DataFrame | None, cs: DataFrame | Non
 
 
 def overlaps(loc: DataFrame, threshold: int = 1_000_000) -> DataFrame:
-    """Pairs of calls of different mechanisms that share at least threshold bases of a chromosome; the earlier mechanism first."""
+    """Pairs of calls of different mechanisms that share at least threshold bases of a chromosome; the earlier mechanism first.
+
+    mechanism_pair has both names in alphabetical order.
+    """
     side = lambda n: loc.select("sample_id", "chrom", *[F.col(c).alias(f"{c}{n}") for c in ("mechanism", "start", "end", "confidence", "event_id")])
     j = join_overlapping(side(1), side(2), ["sample_id", "chrom"], (F.col("start1"), F.col("end1")), (F.col("start2"), F.col("end2"))).where(_rank(F.col("mechanism1")) < _rank(F.col("mechanism2")))
     size = F.least("end1", "end2") - F.greatest("start1", "start2") + 1
     j = j.withColumn("overlap_size", size).where(F.col("overlap_size") >= threshold)
-    return j.select("sample_id", "chrom", "mechanism1", "mechanism2", "event_id1", "event_id2", "overlap_size", "confidence1", "confidence2", F.concat_ws(" + ", "mechanism1", "mechanism2").alias("mechanism_pair"))
+    pair = F.array_join(F.array_sort(F.array("mechanism1", "mechanism2")), "+")
+    return j.select("sample_id", "chrom", "mechanism1", "mechanism2", "event_id1", "event_id2", "overlap_size", "confidence1", "confidence2", pair.alias("mechanism_pair"))
 
 
 def by_chromosome(loc: DataFrame) -> DataFrame:
     """Mechanisms on each chromosome; dominant is the one with the greatest confidence, the first by name on ties."""
-    m = loc.groupBy("sample_id", "chrom", "mechanism").agg(F.max("confidence").alias("best"), F.count("*").alias("n_events"))
+    m = loc.groupBy("sample_id", "chrom", "mechanism").agg(F.max("confidence").alias("best"))
     first = F.min(F.struct((-F.col("best")).alias("b"), "mechanism"))["mechanism"]
-    g = m.groupBy("sample_id", "chrom").agg(F.array_join(F.sort_array(F.collect_list("mechanism")), ",").alias("mechanisms"), first.alias("dominant_mechanism"), F.count("*").alias("n_mechanisms"), F.max("best").alias("max_confidence"), F.sum("n_events").alias("n_events"))
+    g = m.groupBy("sample_id", "chrom").agg(F.array_join(F.sort_array(F.collect_list("mechanism")), "+").alias("mechanisms"), first.alias("dominant_mechanism"), F.count("*").alias("n_mechanisms"), F.max("best").alias("max_confidence"))
     return g.withColumn("is_mixed", F.col("n_mechanisms") > 1)
 
 
 def chromosome_summary(loc: DataFrame, genome: DataFrame) -> DataFrame:
-    """Every chromosome of every sample that has calls: none, mixed, or its one mechanism."""
-    frame = loc.select("sample_id").distinct().crossJoin(F.broadcast(genome.select("chrom", "chrom_no")))
-    j = frame.join(by_chromosome(loc).drop("n_events"), ["sample_id", "chrom"], "left")
-    return j.withColumn("status", F.when(F.col("n_mechanisms").isNull(), "none").when(F.col("is_mixed"), "mixed").otherwise(F.col("dominant_mechanism")))
+    """(sample_id, chrom, dominant_mechanism, n_events, mechanisms_list) of each chromosome with calls: mixed, or its one mechanism.
+
+    Clusters and regions count each, chains once, however many run through the chromosome.
+    """
+    m = loc.groupBy("sample_id", "chrom", "mechanism").agg(F.count("*").alias("n"))
+    n = F.when(F.col("mechanism") == "chromoplexy", F.lit(1).cast("long")).otherwise(F.col("n"))
+    g = m.join(F.broadcast(genome.select("chrom")), "chrom").groupBy("sample_id", "chrom").agg(F.sum(n).alias("n_events"), F.sort_array(F.collect_list(F.struct(_rank(F.col("mechanism")).alias("r"), "mechanism"))).alias("m"))
+    names = F.transform("m", lambda x: x["mechanism"])
+    return g.select("sample_id", "chrom", F.when(F.size("m") > 1, "mixed").otherwise(names[0]).alias("dominant_mechanism"), "n_events", F.array_join(names, ", ").alias("mechanisms_list"))
+
+
+# -- a sample's class, from the counts of its summary ------------------------------------------------------------------------
+#: Columns of the summary with the sure and the less sure calls of each mechanism.
+COUNTS = {
+    "chromothripsis": ("chromothripsis_high_confidence", "chromothripsis_low_confidence"), "chromoplexy": ("chromoplexy_likely", "chromoplexy_possible"),
+    "chromoanasynthesis": ("chromoanasynthesis_likely", "chromoanasynthesis_possible"),
+}
+
+
+def _count(name: str) -> Column:
+    """A module that wasn't run counts nothing."""
+    return F.coalesce(F.col(name), F.lit(0)).cast("long")
+
+
+def present(mechanism: str) -> Column:
+    """Whether a sample has the mechanism: clusters of either confidence, likely chains, likely regions."""
+    sure, less = COUNTS[mechanism]
+    return (_count(sure) > 0) | (_count(less) > 0) if mechanism == "chromothripsis" else _count(sure) > 0
+
+
+def mechanisms_present() -> Column:
+    return F.array_compact(F.array(*[F.when(present(m), m) for m in COUNTS]))
+
 
+def _events(mechanism: str) -> Column:
+    return _count(COUNTS[mechanism][0]) + _count(COUNTS[mechanism][1])
 
-def sample_class(loc: DataFrame, pairs: DataFrame) -> DataFrame:
-    """A sample's class from its likely calls: none, one mechanism, or several with or without overlap."""
-    sure = loc.where(~F.col("classification").startswith("Possible"))
-    names = F.array_join(F.transform(F.sort_array(F.collect_set(F.struct(_rank(F.col("mechanism")).alias("r"), "mechanism"))), lambda x: x["mechanism"]), ", ")
-    s = sure.groupBy("sample_id").agg(F.countDistinct("mechanism").alias("n_mechanisms"), names.alias("names"))
+
+def _with_places(summary: DataFrame, loc: DataFrame, pairs: DataFrame) -> DataFrame:
+    """summary with n_overlaps, n_chromosomes and n_mixed_chromosomes, zero for samples without calls."""
+    c = by_chromosome(loc).groupBy("sample_id").agg(F.count("*").alias("n_chromosomes"), F.count_if("is_mixed").alias("n_mixed_chromosomes"))
     o = pairs.groupBy("sample_id").agg(F.count("*").alias("n_overlaps"))
-    j = loc.select("sample_id").distinct().join(s, "sample_id", "left").join(o, "sample_id", "left").na.fill(0, ["n_mechanisms", "n_overlaps"])
-    n, spatial = F.col("n_mechanisms"), F.col("n_overlaps") > 0
-    text = F.when(n == 0, "No chromoanagenesis").when(n == 1, F.concat(F.lit("Pure "), "names")).when(spatial, F.concat(F.lit("Mixed mechanisms with spatial overlap ("), "names", F.lit(")"))).otherwise(F.concat(F.lit("Multiple independent mechanisms ("), "names", F.lit(")")))
+    return summary.join(c, "sample_id", "left").join(o, "sample_id", "left").na.fill(0, ["n_chromosomes", "n_mixed_chromosomes", "n_overlaps"])
+
+
+def sample_class(summary: DataFrame, loc: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The class of every sample of the summary: no mechanism, one, or several with or without overlaps (pairs) of their places (loc)."""
+    j = _with_places(summary, loc, pairs).withColumn("_m", mechanisms_present())
+    n, spatial, names = F.size("_m"), F.col("n_overlaps") > 0, F.array_join("_m", "+")
+    text = F.when(n == 0, "No chromoanagenesis").when(n == 1, F.concat(F.lit("Pure "), names)).when(spatial, F.concat(F.lit("Mixed mechanisms with spatial overlap ("), names, F.lit(")"))).otherwise(F.concat(F.lit("Multiple independent mechanisms ("), names, F.lit(")")))
     kind = F.when(n == 0, "normal").when(n == 1, "single_mechanism").when(spatial, "mixed_overlapping").otherwise("mixed_independent")
-    return j.select("sample_id", "n_mechanisms", "n_overlaps", text.alias("classification"), kind.alias("category"))
+    return j.select("sample_id", text.alias("classification"), kind.alias("category"), n.alias("n_mechanisms"), "n_mixed_chromosomes", spatial.alias("has_spatial_overlap"), "n_overlaps")
 
 
-def complexity(loc: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Score and level from mechanisms (likely ones), overlaps, chromosomes and events."""
+def complexity(summary: DataFrame, loc: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Score and level of every sample of the summary, from its mechanisms, overlaps, chromosomes and events."""
     one = F.lit(1.0)
-    sure = ~F.col("classification").startswith("Possible")
-    c = loc.groupBy("sample_id").agg(F.countDistinct(F.when(sure, F.col("mechanism"))).alias("n_mechanisms"), F.countDistinct("chrom").alias("n_chromosomes"), F.countDistinct("mechanism", "event_id").alias("n_events"))
-    c = c.join(pairs.groupBy("sample_id").agg(F.count("*").alias("n_overlaps")), "sample_id", "left").na.fill(0, ["n_overlaps"])
+    c = _with_places(summary, loc, pairs)
+    c = c.select("sample_id", F.size(mechanisms_present()).alias("n_mechanisms"), "n_chromosomes", "n_mixed_chromosomes", "n_overlaps", sum((_events(m) for m in list(COUNTS)[1:]), _events("chromothripsis")).alias("n_events"))
     c = c.withColumns({"mechanism_component": F.col("n_mechanisms") / 3, "overlap_component": F.least(F.col("n_overlaps") / 5, one), "chromosome_component": F.least(F.col("n_chromosomes") / 10, one), "event_component": F.least(F.col("n_events") / 10, one)})
-    c = c.withColumn("score", 0.30 * F.col("mechanism_component") + 0.25 * F.col("overlap_component") + 0.25 * F.col("chromosome_component") + 0.20 * F.col("event_component"))
+    c = c.withColumn("score", F.col("mechanism_component") * 0.30 + F.col("overlap_component") * 0.25 + F.col("chromosome_component") * 0.25 + F.col("event_component") * 0.20)
     return c.withColumn("level", F.when(F.col("score") < 0.3, "Low").when(F.col("score") < 0.6, "Moderate").when(F.col("score") < 0.8, "High").otherwise("Very High"))
 
 
-def dominance(loc: DataFrame) -> DataFrame:
-    """Events and their share by mechanism, and the sample's dominant one: over half of the events, else balanced."""
-    m = loc.groupBy("sample_id", "mechanism").agg(F.countDistinct("event_id").alias("n_events"))
-    w = Window.partitionBy("sample_id")
-    m = m.withColumn("proportion", F.col("n_events") / F.sum("n_events").over(w))
-    top = F.first("mechanism").over(w.orderBy(F.desc("n_events"), _rank(F.col("mechanism"))).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return m.withColumn("dominant", F.when(F.max("proportion").over(w) > 0.5, top).otherwise("balanced"))
+def dominance(summary: DataFrame) -> DataFrame:
+    """Three rows a sample: events of each mechanism, their share, and the sample's dominant one: over half of the events, else
+    balanced; none without events."""
+    n = {m: _events(m) for m in COUNTS}
+    total, most = sum(list(n.values())[1:], n["chromothripsis"]), F.greatest(*n.values())
+    top = F.coalesce(*[F.when(c == most, m) for m, c in n.items()])
+    kind = F.when(total == 0, "none").when(most / total <= 0.5, "balanced").otherwise(top)
+    rows = F.inline(F.array(*[F.struct(F.lit(m).alias("mechanism"), c.alias("n_events"), F.when(total > 0, c / total).otherwise(0.0).alias("proportion")) for m, c in n.items()]))
+    return summary.select("sample_id", kind.alias("dominant"), rows)
+
+
+def global_fdr(ct: DataFrame | None, chain: DataFrame | None) -> DataFrame:
+    """(sample_id, mechanism, event_id, original_pvalue, adjusted_pvalue, is_significant_fdr) over all tests of a sample.
+
+    Every chromosome of the classification is a test, with its least p of four (null as 1); so is every chain with a p.
+    """
+    parts = []
+    if ct is not None:
+        p = [F.coalesce(F.col(c), F.lit(1.0)) for c in ("pval_fragment_joins", "pval_exp_chr", "pval_exp_cluster", "chr_breakpoint_enrichment") if c in ct.columns]
+        parts.append(ct.select("sample_id", F.lit("chromothripsis").alias("mechanism"), F.concat(F.lit("CT_"), "chrom").alias("event_id"), (F.least(*p) if len(p) > 1 else p[0]).alias("original_pvalue")))
+    if chain is not None:
+        parts.append(chain.select("sample_id", F.lit("chromoplexy").alias("mechanism"), F.concat(F.lit("CP_"), F.col("chain_id").cast("string")).alias("event_id"), F.col("pvalue").alias("original_pvalue")))
+    tests = with_bh(reduce(DataFrame.unionByName, parts), "original_pvalue", "adjusted_pvalue", ["sample_id"])
+    return tests.withColumn("is_significant_fdr", F.col("adjusted_pvalue") < 0.05)
+
 
+# -- one row a sample -------------------------------------------------------------------------------------------------------
+#: Names of the analysis with and without copy numbers.
+WITH_CNV, SV_ONLY = "SV+CNV integrated", "SV-only chromoplexy"
 
-def global_fdr(ct: DataFrame, chain: DataFrame) -> DataFrame:
-    """Adjusted p over all tests of both modules in a sample; a cluster's p is its least (1 without any)."""
-    p = [F.col(c) for c in ("pval_fragment_joins", "pval_exp_cluster", "pval_exp_chr", "chr_breakpoint_enrichment", "inter_pval_fragment_joins") if c in ct.columns]
-    a = ct.where("cluster_size > 0").select("sample_id", F.lit("chromothripsis").alias("mechanism"), F.col("chrom").alias("item"), F.coalesce(F.least(*p), F.lit(1.0)).alias("pvalue"))
-    b = chain.select("sample_id", F.lit("chromoplexy").alias("mechanism"), F.col("chain_id").cast("string").alias("item"), "pvalue")
-    return with_bh(a.unionByName(b), "pvalue", "global_fdr", ["sample_id"])
 
+def _in_order(name: Column, *order: Column, of: Column | None = None) -> Column:
+    """Distinct names, in the order of their first rows, joined."""
+    rows = F.sort_array(F.collect_list(F.when(F.lit(True) if of is None else of, F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)], name.alias("name")))))
+    return F.array_distinct(F.transform(rows, lambda x: x["name"]))
 
-def summary(sv: DataFrame, ct: DataFrame | None, chain: DataFrame | None, event: DataFrame | None, cs: DataFrame | None) -> DataFrame:
-    """One row a sample with the counts of every module; a module that wasn't run has nulls."""
-    names = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
-    out = sv.select("sample_id").distinct()
-    fill: dict[str, object] = {}
+
+def summary(sv: DataFrame, ct: DataFrame | None, chain: DataFrame | None, event: DataFrame | None, cs: DataFrame | None, detail: DataFrame | None = None) -> DataFrame:
+    """One row a sample with the counts of every module, the chromosomes of its calls and its class.
+
+    A module that wasn't run has null counts and "Not analyzed". Chromosomes with clusters are listed by score; those of likely chains by
+    the chains' scores; those of likely regions in order. detail: genes at the events' breakpoints, with is_driver.
+    """
+    out = sv.select("sample_id").distinct().withColumn("analysis_mode", F.lit(SV_ONLY if ct is None and cs is None else WITH_CNV))
+    null, skipped = F.lit(None).cast("long"), F.lit("Not analyzed")
+    listed = lambda names: F.when(F.size(names) > 0, F.array_join(names, ", ")).otherwise("None")
     if ct is not None:
-        hit = F.col("classification").isin("High confidence", "Low confidence")
-        c = ct.groupBy("sample_id").agg(F.count_if(F.col("classification") == "High confidence").alias("chromothripsis_high_confidence"), F.count_if(F.col("classification") == "Low confidence").alias("chromothripsis_low_confidence"), names(F.when(hit, F.col("chrom"))).alias("chromothripsis_chromosomes"))
-        out = out.join(c, "sample_id", "left")
-        fill |= {"chromothripsis_high_confidence": 0, "chromothripsis_low_confidence": 0, "chromothripsis_chromosomes": ""}
+        kind = F.col("classification")
+        place = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, c in enumerate(CHROMOSOMES) for x in (c, i)]), "chrom"), F.lit(len(CHROMOSOMES)))
+        by_score = lambda of: _in_order(F.col("chrom"), -F.coalesce("confidence_score", F.lit(0.0)), place, of=of)
+        c = ct.groupBy("sample_id").agg(
+            F.count_if(kind == "High confidence").alias("chromothripsis_high_confidence"), F.count_if(kind == "Low confidence").alias("chromothripsis_low_confidence"),
+            by_score(kind == "High confidence").alias("_high"), by_score(kind == "Low confidence").alias("_low"),
+        )
+        high, low = (F.array_join(F.coalesce(n, F.array().cast("array<string>")), ", ") for n in ("_high", "_low"))
+        text = F.when((high != "") & (low != ""), F.concat(high, F.lit(" (high); "), low, F.lit(" (low)"))).when(high != "", high).when(low != "", F.concat(low, F.lit(" (low confidence)"))).otherwise("None")
+        out = out.join(c, "sample_id", "left").na.fill(0, list(COUNTS["chromothripsis"])).withColumn("chromothripsis_chromosomes", text).drop("_high", "_low")
+    else:
+        out = out.withColumns({**dict.fromkeys(COUNTS["chromothripsis"], null), "chromothripsis_chromosomes": skipped})
     if chain is not None:
-        likely = F.col("classification") == cp.LIKELY
-        c = chain.groupBy("sample_id").agg(F.count_if(likely).alias("chromoplexy_likely"), F.count_if(F.col("classification") == cp.POSSIBLE).alias("chromoplexy_possible"), F.count("*").alias("chromoplexy_chains"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(likely, F.col("chromosomes")))))), ",").alias("chromoplexy_chromosomes"))
-        out = out.join(c, "sample_id", "left")
-        fill |= {"chromoplexy_likely": 0, "chromoplexy_possible": 0, "chromoplexy_chains": 0, "chromoplexy_chromosomes": ""}
+        kind = F.col("classification")
+        likely = F.sort_array(F.collect_list(F.when(kind == cp.LIKELY, F.struct((-F.col("combined_score")).alias("s"), "chain_id", "chromosomes"))))
+        c = chain.groupBy("sample_id").agg(
+            F.count_if(kind == cp.LIKELY).alias("chromoplexy_likely"), F.count_if(kind == cp.POSSIBLE).alias("chromoplexy_possible"), F.count("*").alias("chromoplexy_chains"),
+            F.array_distinct(F.flatten(F.transform(likely, lambda x: x["chromosomes"]))).alias("_names"),
+        )
+        out = out.join(c, "sample_id", "left").na.fill(0, ["chromoplexy_likely", "chromoplexy_possible", "chromoplexy_chains"]).withColumn("chromoplexy_chromosomes", listed(F.coalesce("_names", F.array().cast("array<string>")))).drop("_names")
+    else:
+        out = out.withColumns({"chromoplexy_likely": null, "chromoplexy_possible": null, "chromoplexy_chains": null, "chromoplexy_chromosomes": skipped})
     if event is not None:
-        e = event.groupBy("sample_id").agg(F.count("*").alias("chromoplexy_collapsed_events"))
-        out = out.join(e, "sample_id", "left")
-        fill |= {"chromoplexy_collapsed_events": 0}
+        out = out.join(event.groupBy("sample_id").agg(F.count("*").alias("chromoplexy_collapsed_events")), "sample_id", "left").na.fill(0, ["chromoplexy_collapsed_events"])
+        if detail is not None:
+            d = detail.where("is_driver").groupBy("sample_id").agg(F.array_join(F.sort_array(F.collect_set("symbol")), ", ").alias("_drivers"))
+            drivers = F.when(F.col("chromoplexy_collapsed_events") == 0, "Not annotated").otherwise(F.coalesce("_drivers", F.lit("None")))
+            out = out.join(d, "sample_id", "left").withColumn("chromoplexy_driver_genes", drivers).drop("_drivers")
+        else:
+            out = out.withColumn("chromoplexy_driver_genes", F.lit("Not annotated"))
+    else:
+        out = out.withColumns({"chromoplexy_collapsed_events": null, "chromoplexy_driver_genes": skipped})
     if cs is not None:
-        likely, possible = F.col("classification") == "Likely chromoanasynthesis", F.col("classification") == "Possible chromoanasynthesis"
-        c = cs.groupBy("sample_id").agg(F.count_if(likely).alias("chromoanasynthesis_likely"), F.count_if(possible).alias("chromoanasynthesis_possible"), F.count("*").alias("chromoanasynthesis_regions"), names(F.when(likely | possible, F.col("chrom"))).alias("chromoanasynthesis_chromosomes"))
-        out = out.join(c, "sample_id", "left")
-        fill |= {"chromoanasynthesis_likely": 0, "chromoanasynthesis_possible": 0, "chromoanasynthesis_regions": 0, "chromoanasynthesis_chromosomes": ""}
-    out = out.na.fill(fill)
-    has = [F.when(F.col(c) > 0, n) for c, n in (("chromothripsis_high_confidence", "Chromothripsis"), ("chromoplexy_likely", "Chromoplexy"), ("chromoanasynthesis_likely", "Chromoanasynthesis")) if c in out.columns]
-    found = F.array_compact(F.array(*has))
-    return out.withColumn("overall_classification", F.when(F.size(found) == 0, "No clear chromoanagenesis").otherwise(F.array_join(found, " + ")))
+        kind = F.col("classification")
+        c = cs.groupBy("sample_id").agg(
+            F.count_if(kind == "Likely chromoanasynthesis").alias("chromoanasynthesis_likely"), F.count_if(kind == "Possible chromoanasynthesis").alias("chromoanasynthesis_possible"), F.count("*").alias("chromoanasynthesis_regions"),
+            _in_order(F.col("chrom"), F.col("region_id"), of=kind == "Likely chromoanasynthesis").alias("_names"),
+        )
+        out = out.join(c, "sample_id", "left").na.fill(0, ["chromoanasynthesis_likely", "chromoanasynthesis_possible", "chromoanasynthesis_regions"]).withColumn("chromoanasynthesis_chromosomes", listed(F.coalesce("_names", F.array().cast("array<string>")))).drop("_names")
+    else:
+        out = out.withColumns({"chromoanasynthesis_likely": null, "chromoanasynthesis_possible": null, "chromoanasynthesis_regions": null, "chromoanasynthesis_chromosomes": skipped})
+    return out.withColumn("overall_classification", overall_class())
+
+
+def overall_class() -> Column:
+    """The summary's words for the mechanisms that a sample has."""
+    found = mechanisms_present()
+    return F.when(F.size(found) == 0, "No chromoanagenesis detected").when(F.size(found) == 1, F.concat(F.initcap(found[0]), F.lit(" only"))).otherwise(F.concat(F.lit("Multiple mechanisms: "), F.array_join(found, ", ")))

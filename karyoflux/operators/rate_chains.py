@@ -57,39 +57,42 @@ def graph(sv: DataFrame, genome: DataFrame, cnv: DataFrame | None = None, alpha:
     return edges.withColumn("place", F.transform("place", lambda x: x.cast("long"))).unionByName(s)
 
 
-def search(edges: list[tuple[str, str, str]], order: list[str], min_chromosomes: int, min_translocations: int, max_paths: int, max_depth: int) -> list[dict]:
-    """Chains by plain last-in search; a start's quota counts accepted chains, one for each set of nodes."""
-    around: dict[str, list[tuple[str, str]]] = defaultdict(list)
-    for a, b, kind in edges:
-        around[a].append((b, kind))
-        around[b].append((a, kind))
+def search(edges: list[tuple[str, str, str, int | None]], min_chromosomes: int, min_translocations: int, max_paths: int, max_depth: int) -> list[dict]:
+    """Chains by plain last-in search; a start's quota counts accepted chains, one for each set of nodes.
+
+    Starts come in the order in which the variants (the translocations among the edges) name their ends.
+    """
+    around: dict[str, list[tuple[str, str, int | None]]] = defaultdict(list)
+    for a, b, kind, sv_no in edges:
+        around[a].append((b, kind, sv_no))
+        around[b].append((a, kind, sv_no))
     out, seen = [], set()
-    for start in (n for n in order if any(k == cp.TRA for _, k in around[n])):
-        pending, accepted = [((start,), ())], 0
+    for start in dict.fromkeys(x for a, b, kind, _ in edges if kind == cp.TRA for x in (a, b)):
+        pending, accepted = [((start,), (), ())], 0
         while pending and accepted < max_paths:
-            path, kinds = pending.pop()
+            path, kinds, svs = pending.pop()
             chromosomes = list(dict.fromkeys(p.split(":")[0] for p in path))
             if len(path) >= min_translocations and len(chromosomes) >= min_chromosomes and kinds.count(cp.TRA) >= min_translocations and (key := frozenset(path)) not in seen:
                 seen.add(key)
                 accepted += 1
-                out.append({"chain_id": len(out) + 1, "nodes": list(path), "edge_types": list(kinds), "chromosomes": chromosomes, "n_chromosomes": len(chromosomes), "n_translocations": kinds.count(cp.TRA)})
+                used = sorted({s for s in svs if s is not None})
+                out.append({"chain_id": len(out) + 1, "nodes": list(path), "edge_types": list(kinds), "sv_nos": used, "chromosomes": chromosomes, "n_chromosomes": len(chromosomes), "n_translocations": kinds.count(cp.TRA)})
             if len(path) < max_depth:
-                pending += [((*path, n), (*kinds, k)) for n, k in around[path[-1]] if n not in path]
+                pending += [((*path, n), (*kinds, k), (*svs, s)) for n, k, s in around[path[-1]] if n not in path]
     return out
 
 
 def chains(edges: DataFrame, min_chromosomes: int = 3, min_translocations: int = 3, max_paths: int = 100, max_depth: int = 10) -> DataFrame:
-    schema = "sample_id string, chain_id long, nodes array<string>, edge_types array<string>, chromosomes array<string>, n_chromosomes long, n_translocations long"
+    schema = "sample_id string, chain_id long, nodes array<string>, edge_types array<string>, sv_nos array<long>, chromosomes array<string>, n_chromosomes long, n_translocations long"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(key=[tuple(p) for p in pdf["place"]]).sort_values("key", kind="stable")
-        rows = list(zip(pdf["from_node"], pdf["to_node"], pdf["edge_type"], strict=True))
-        order = sorted({x for a, b, _ in rows for x in (a, b)}, key=lambda n: (n.split(":")[0], int(n.split(":")[1])))
-        out = pd.DataFrame(search(rows, order, min_chromosomes, min_translocations, max_paths, max_depth), columns=[c.split()[0] for c in schema.split(", ")][1:])
+        rows = [(a, b, k, None if s != s else int(s)) for a, b, k, s in zip(pdf["from_node"], pdf["to_node"], pdf["edge_type"], pdf["sv_no"].astype(float), strict=True)]
+        out = pd.DataFrame(search(rows, min_chromosomes, min_translocations, max_paths, max_depth), columns=[c.split()[0] for c in schema.split(", ")][1:])
         out.insert(0, "sample_id", pdf["sample_id"].iloc[0])
         return out
 
-    return edges.select("sample_id", "from_node", "to_node", "edge_type", "place").groupBy("sample_id").applyInPandas(run, schema)
+    return edges.select("sample_id", "from_node", "to_node", "edge_type", "sv_no", "place").groupBy("sample_id").applyInPandas(run, schema)
 
 
 def evaluate(chain: DataFrame, edges: DataFrame, cnv: DataFrame | None = None) -> DataFrame:
@@ -117,33 +120,51 @@ def detect(sv: DataFrame, genome: DataFrame, cnv: DataFrame | None = None, **lim
 
 
 def match_chains(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:
-    """One-to-one matches of two methods' chains (sample_id, chain_id, nodes) by Jaccard similarity over `least`.
+    """One-to-one matches (sample_id, chain_a, chain_b, jaccard) of two methods' chains (sample_id, chain_id, sv_nos) by the Jaccard
+    similarity of their variants over `least`.
 
-    Chains that share a node are candidates; in each sample the first chain of a takes its best free partner, and so on.
+    In each sample the first chain of a takes the first free chain of b that is similar enough, and so on; the order is that of
+    combined_score, greatest first, where there is one, then of chain_id. Only chains that share a variant are compared.
     """
-    na = a.select("sample_id", F.col("chain_id").alias("chain_a"), F.array_distinct("nodes").alias("nodes_a"))
-    nb = b.select("sample_id", F.col("chain_id").alias("chain_b"), F.array_distinct("nodes").alias("nodes_b"))
-    xa, xb = na.select("sample_id", "chain_a", F.explode("nodes_a").alias("node")), nb.select("sample_id", "chain_b", F.explode("nodes_b").alias("node"))
-    shared = xa.join(xb, ["sample_id", "node"]).groupBy("sample_id", "chain_a", "chain_b").agg(F.count("*").alias("both"))
-    j = shared.join(na.select("sample_id", "chain_a", F.size("nodes_a").alias("sa")), ["sample_id", "chain_a"]).join(nb.select("sample_id", "chain_b", F.size("nodes_b").alias("sb")), ["sample_id", "chain_b"])
-    j = j.withColumn("jaccard", F.col("both") / (F.col("sa") + F.col("sb") - F.col("both"))).where(F.col("jaccard") > least).select("sample_id", "chain_a", "chain_b", "jaccard")
+
+    def side(d: DataFrame, n: str) -> DataFrame:
+        score = F.col("combined_score") if "combined_score" in d.columns else F.lit(0.0)
+        return d.select("sample_id", F.col("chain_id").alias(f"chain_{n}"), F.array_distinct("sv_nos").alias(f"svs_{n}"), F.coalesce(-score, F.lit(float("inf"))).alias(f"score_{n}"))
+
+    sa, sb = side(a, "a"), side(b, "b")
+    xa, xb = (d.select("sample_id", f"chain_{n}", f"score_{n}", F.size(f"svs_{n}").alias(f"n_{n}"), F.explode(f"svs_{n}").alias("sv_no")) for d, n in ((sa, "a"), (sb, "b")))
+    shared = xa.join(xb, ["sample_id", "sv_no"]).groupBy("sample_id", "chain_a", "chain_b", "score_a", "score_b", "n_a", "n_b").agg(F.count("*").alias("both"))
+    j = shared.withColumn("jaccard", F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).where(F.col("jaccard") > least).select("sample_id", "chain_a", "chain_b", "jaccard", "score_a", "score_b")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, keep = set(), []
-        for _, g in pdf.sort_values(["chain_a", "chain_b"]).groupby("chain_a", sort=True):
-            free = g[~g["chain_b"].isin(used)]
-            if len(free):
-                best = free.loc[free["jaccard"].idxmax()]
-                used.add(best["chain_b"])
-                keep.append(best)
-        return pd.DataFrame(keep, columns=pdf.columns)
-
-    return j.groupBy("sample_id").applyInPandas(greedy, j.schema)
-
-
-def compare_methods(a: DataFrame, b: DataFrame) -> DataFrame:
-    """A row a sample: chains and likely calls of both methods, matched chains and whether their best classes agree."""
-    side = lambda d, n: d.groupBy("sample_id").agg(F.count("*").alias(f"chains_{n}"), F.count_if(F.col("classification") == cp.LIKELY).alias(f"likely_{n}"))
-    m = match_chains(a, b).groupBy("sample_id").agg(F.count("*").alias("matched"))
-    j = side(a, "a").join(side(b, "b"), "sample_id", "full").join(m, "sample_id", "left").na.fill(0)
-    return j.withColumn("concordant", (F.col("likely_a") > 0) == (F.col("likely_b") > 0))
+        taken_a, taken_b, keep = set(), set(), []
+        for r in pdf.sort_values(["score_a", "chain_a", "score_b", "chain_b"]).itertuples(index=False):
+            if r.chain_a not in taken_a and r.chain_b not in taken_b:
+                taken_a.add(r.chain_a)
+                taken_b.add(r.chain_b)
+                keep.append((r.sample_id, r.chain_a, r.chain_b, r.jaccard))
+        return pd.DataFrame(keep, columns=["sample_id", "chain_a", "chain_b", "jaccard"])
+
+    return j.groupBy("sample_id").applyInPandas(greedy, "sample_id string, chain_a long, chain_b long, jaccard double")
+
+
+def compare_methods(samples: DataFrame, rate: DataFrame, fixed: DataFrame, rate_edges: DataFrame | None = None, fixed_edges: DataFrame | None = None) -> DataFrame:
+    """A row for every sample of samples: chains, likely and possible calls of the rate-based and the fixed method, adjacency edges of
+    their graphs if given, chains they share, chains that only one has, and shared over all."""
+
+    def side(d: DataFrame, n: str) -> DataFrame:
+        kind = F.col("classification")
+        return d.groupBy("sample_id").agg(F.count("*").alias(f"{n}_total_chains"), F.count_if(kind == cp.LIKELY).alias(f"{n}_likely"), F.count_if(kind == cp.POSSIBLE).alias(f"{n}_possible"))
+
+    out = samples.select("sample_id").distinct()
+    parts = [side(rate, "rate"), side(fixed, "fixed"), match_chains(rate, fixed).groupBy("sample_id").agg(F.count("*").alias("n_shared"))]
+    for name, kind, e in (("rate", STAT, rate_edges), ("fixed", cp.ADJACENT, fixed_edges)):
+        if e is not None:
+            parts.append(e.groupBy("sample_id").agg(F.count_if(F.col("edge_type") == kind).alias(f"{name}_adjacency_edges")))
+    for part in parts:
+        out = out.join(part, "sample_id", "left")
+    out = out.na.fill(0)
+    only = {f"n_{n}_only": F.col(f"{n}_total_chains") - F.col("n_shared") for n in ("rate", "fixed")}
+    out = out.withColumns(only)
+    every = F.col("n_shared") + F.col("n_rate_only") + F.col("n_fixed_only")
+    return out.withColumn("jaccard", F.when(every > 0, F.col("n_shared") / every).otherwise(0.0))

@@ -46,11 +46,14 @@ def classify(flank: DataFrame, sv: DataFrame, least: int = 2, longest: int = 25,
 
 
 def summary(repair: DataFrame) -> DataFrame:
-    """A row a sample: variants, those with microhomology, its mean, median and range, and the most frequent class (least name on ties)."""
-    mh = F.when(F.col("has_microhomology"), F.col("mh_length"))
+    """A row a sample: variants, those with microhomology and their share, mean, median and range of all known lengths, zeros
+    included, and the most frequent class (least name on ties)."""
+    mh = F.col("mh_length")
+    share = F.coalesce(F.avg(F.col("has_microhomology").cast("int")), F.lit(0.0))
     return repair.groupBy("sample_id").agg(
-        F.count("*").alias("n"), F.count(mh).alias("n_microhomology"), F.avg(mh).alias("mean_length"), F.median(mh).alias("median_length"), F.min(mh).alias("min_length"), F.max(mh).alias("max_length"), F.mode("repair_mechanism", True).alias("dominant_mechanism")
-    )
+        F.count("*").alias("n"), F.count_if("has_microhomology").alias("n_microhomology"), share.alias("proportion"), F.avg(mh).alias("mean_length"), F.median(mh).alias("median_length"), F.min(mh).alias("min_length"), F.max(mh).alias("max_length"),
+        F.coalesce(F.mode("repair_mechanism", True), F.lit("Unknown")).alias("dominant_mechanism"),
+    )
 
 
 def region_text(repair: DataFrame, keys: list[str], top: int = 2) -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from karyoflux.functions import stats
-from karyoflux.functions.stats import with_bh
+from karyoflux.functions.ranked import running, with_bh, with_range
+from karyoflux.functions.tails import chi2_1_upper
+from karyoflux.runtime import materialize
 
 # Words that stand for an event and for none.
 EVENT_WORDS = ("1", "true", "t", "yes", "y", "event", "dead", "deceased", "progressed", "progression", "relapsed")
@@ -104,9 +106,13 @@ def long_form(f: DataFrame, clinical: DataFrame, columns: list[str] | None = Non
 
 
 def groups(x: DataFrame) -> DataFrame:
-    """long_form with grp: Absent or Present for features of 0 and 1, else Low up to the median and High above it."""
-    w = Window.partitionBy("feature")
-    x = x.withColumn("binary", F.min(F.col("value").isin(0.0, 1.0).cast("int")).over(w)).withColumn("cutpoint", F.when(F.col("binary") == 0, F.percentile("value", F.lit(0.5)).over(w)))
+    """long_form with grp: Absent or Present for features of 0 and 1, else Low up to the median and High above it.
+
+    The exact median comes from counts of values, a row a feature, and meets the samples in a join.
+    """
+    per = x.groupBy("feature").agg(F.min(F.col("value").isin(0.0, 1.0).cast("int")).alias("binary"), F.percentile("value", F.lit(0.5)).alias("cutpoint"))
+    per = per.withColumn("cutpoint", F.when(F.col("binary") == 0, F.col("cutpoint")))
+    x = x.join(F.broadcast(per), "feature")  # features are columns of a table
     kind = F.when(F.col("binary") == 1, F.when(F.col("value") == 1, "Present").otherwise("Absent")).otherwise(F.when(F.col("value") > F.col("cutpoint"), "High").otherwise("Low"))
     return x.withColumn("grp", kind).drop("binary")
 
@@ -138,40 +144,108 @@ def logrank(g: DataFrame, min_group: int = 5, min_events: int = 3) -> DataFrame:
     return s.select("feature", "n", "n_events", "cutpoint", "chisq")
 
 
-@F.pandas_udf(DoubleType())
-def chi2_p(x: pd.Series) -> pd.Series:
-    return pd.Series([None if v != v else stats.chi2_1_upper(v) for v in x.astype(float)], dtype=float)
-
-
 def km_tests(g: DataFrame, **limits) -> DataFrame:
-    t = logrank(g, **limits).withColumn("pvalue", chi2_p("chisq"))
-    return with_bh(t, "pvalue", "fdr", [])
+    """logrank with p, adjusted p and groups: the samples and events of each group as text."""
+    per = g.groupBy("feature", "grp").agg(F.count("*").alias("n"), F.sum("event").cast("long").alias("e"))
+    text = F.concat(F.col("grp"), F.lit(" n="), F.col("n").cast("string"), F.lit(" events="), F.col("e").cast("string"))
+    per = per.groupBy("feature").agg(F.array_join(F.sort_array(F.collect_list(text)), "; ").alias("groups"))
+    t = logrank(g, **limits).join(per, "feature").withColumn("pvalue", chi2_1_upper(F.col("chisq")))
+    return with_bh(t, "pvalue", "fdr")
 
 
 COX = "feature string, model string, n long, n_events long, hazard_ratio double, conf_low double, conf_high double, pvalue double"
+_ESTIMATE = "feature string, model string, beta double, se double"
+#: Samples of one feature and model that a task fits; features of more are fitted by rounds of sums over all tasks.
+FITTED_IN_TASK = 200_000
 
 
-def cox_tests(x: DataFrame, covariates: DataFrame | None = None, min_events: int = 3) -> DataFrame:
-    """Proportional hazards of each feature alone, and with numeric covariates (sample_id, ...) if given; adjusted p by model."""
+def cox_tests(x: DataFrame, covariates: DataFrame | None = None, min_events: int = 3, fitted_in_task: int = FITTED_IN_TASK) -> DataFrame:
+    """Proportional hazards of each feature alone, and with numeric covariates (sample_id, ...) if given; adjusted p by model.
+
+    Rows with a missing value count for no model that needs it. Features with one value, or with fewer than min_events events, have
+    no row; models that don't settle have no estimates. covariates: their names, comma-joined.
+    """
     extra = [c for c in covariates.columns if c != "sample_id"] if covariates is not None else []
-    if covariates is not None:
-        x = x.join(covariates, "sample_id")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for model, cols in (("univariable", ["value"]), *([("multivariable", ["value", *extra])] if extra else [])):
-            p = pdf.dropna(subset=cols)
-            m = p[cols].to_numpy(float)
-            beta = se = math.nan
-            if p["event"].sum() >= min_events and len(p) > len(cols) + 1 and p["value"].nunique() > 1:
-                b, s = stats.cox(p["time"].to_numpy(float), p["event"].to_numpy(int), m)
-                beta, se = float(b[0]), float(s[0])
-            ok = math.isfinite(beta) and math.isfinite(se) and se > 0
-            safe = lambda z: math.exp(min(z, 700.0))
-            rows.append((pdf["feature"].iloc[0], model, len(p), int(p["event"].sum()), *((safe(beta), safe(beta - 1.959963984540054 * se), safe(beta + 1.959963984540054 * se), stats.normal_two_sided(beta / se)) if ok else (None,) * 4)))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in COX.split(", ")])
-
-    return with_bh(x.groupBy("feature").applyInPandas(fit, COX), "pvalue", "fdr", ["model"])
+    rows = x.select("feature", F.lit("univariable").alias("model"), "time", "event", F.array(F.col("value").cast("double")).alias("z"))
+    if extra:
+        both = x.join(covariates, "sample_id").select("feature", F.lit("multivariable").alias("model"), "time", "event", F.array(F.col("value").cast("double"), *[F.col(c).cast("double") for c in extra]).alias("z"))
+        rows = rows.unionByName(both)
+    rows = materialize(rows.where("time IS NOT NULL AND event IS NOT NULL").where(F.forall("z", lambda v: v.isNotNull() & ~F.isnan(v))), "cox-rows")
+    z = F.col("z")[0]
+    sizes = rows.groupBy("feature", "model").agg(F.count("*").alias("n"), F.sum("event").cast("long").alias("n_events"), (F.min(z) < F.max(z)).alias("varies"))
+    sizes = materialize(sizes.where((F.col("n") >= 2) & (F.col("n_events") >= min_events) & F.col("varies")).drop("varies"), "cox-sizes")  # a row a model
+    small, large = (sizes.where(F.col("n") <= fitted_in_task), sizes.where(F.col("n") > fitted_in_task))
+    found = rows.join(small.select("feature", "model"), ["feature", "model"], "left_semi").groupBy("feature", "model").applyInPandas(_fit, _ESTIMATE)
+    if not large.isEmpty():
+        found = found.unionByName(_fit_in_rounds(rows.join(large.select("feature", "model"), ["feature", "model"], "left_semi")))
+    b, se = F.col("beta"), F.col("se")
+    ratio = lambda v: F.exp(F.least(v, F.lit(700.0)))
+    out = sizes.join(found, ["feature", "model"], "left").select(
+        "feature", "model", "n", "n_events", ratio(b).alias("hazard_ratio"), ratio(b - _Z95 * se).alias("conf_low"), ratio(b + _Z95 * se).alias("conf_high"),
+        chi2_1_upper(b * b / (se * se)).alias("pvalue"), F.when(F.col("model") == "multivariable", ",".join(extra)).otherwise("").alias("covariates"),
+    )
+    return with_bh(out, "pvalue", "fdr", ["model"])
+
+
+#: Quantile of the normal distribution for an interval of 95 %.
+_Z95 = 1.959963984540054
+
+
+def _fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    b, s = stats.cox(pdf["time"].to_numpy(float), pdf["event"].to_numpy(int), np.stack(pdf["z"].to_numpy()))
+    return pd.DataFrame([(*key, *(float(v[0]) if np.isfinite(v[0]) else None for v in (b, s)))], columns=["feature", "model", "beta", "se"])
+
+
+def _fit_in_rounds(rows: DataFrame, rounds: int = 30) -> DataFrame:
+    """Estimates of models too large for a task: each Newton step is one aggregation of the sums over risk sets.
+
+    Samples of one time are added up first, so that times differ; sums over all later times are running sums in ranges of time. One row a
+    model, its sums, reaches the driver in each round.
+    """
+    spark, keys = rows.sparkSession, ["feature", "model"]
+    shape = {(r["feature"], r["model"]): r["p"] for r in rows.groupBy(*keys).agg(F.max(F.size("z")).alias("p")).collect()}
+    p = max(shape.values())
+    at = lambda c, i: F.coalesce(F.get(c, F.lit(i)), F.lit(0.0))
+    moments = rows.groupBy(*keys).agg(*[f(at("z", i)).alias(f"{n}{i}") for i in range(p) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).collect()
+    scale = {(r["feature"], r["model"]): ([r[f"m{i}"] for i in range(p)], [r[f"s{i}"] for i in range(p)]) for r in moments}
+    fits = {k: (np.zeros(n), np.eye(n), all(v > 0 for v in scale[k][1][:n])) for k, n in shape.items()}  # coefficients, information, whether to go on
+    base = materialize(with_range(rows, "time", "_range"), "cox-ranges")
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    for _ in range(rounds):
+        on = {k: f for k, f in fits.items() if f[2]}
+        if not on:
+            break
+        now = spark.createDataFrame([(*k, *scale[k], [float(v) for v in f[0]] + [0.0] * (p - len(f[0]))) for k, f in on.items()], "feature string, model string, m array<double>, s array<double>, b array<double>")
+        z = F.array(*[F.when(at("s", i) > 0, (at("z", i) - at("m", i)) / at("s", i)).otherwise(0.0) for i in range(p)])
+        r = base.join(F.broadcast(now), keys).withColumn("z", z)  # a row a model
+        risk = F.exp(F.greatest(F.lit(-50.0), F.least(F.lit(50.0), sum((at("z", i) * at("b", i) for i in range(1, p)), at("z", 0) * at("b", 0)))))
+        r = r.withColumn("r", risk)
+        sums = {"s": F.col("r"), **{f"s{i}": F.col("r") * at("z", i) for i in range(p)}, **{f"s{i}_{j}": F.col("r") * at("z", i) * at("z", j) for i, j in pairs}}
+        t = r.groupBy(*keys, "time", "_range").agg(F.sum("event").cast("long").alias("d"), *[F.sum(F.col("event") * at("z", i)).alias(f"z{i}") for i in range(p)], *[F.sum(c).alias(n) for n, c in sums.items()], *[F.sum(F.col("event") * c).alias(f"d{n}") for n, c in sums.items()])
+        t = running(t, keys, "time", {f"c{n}": F.col(n) for n in sums}, down=True).where("d > 0")
+        # each of d deaths at one time is at risk with the share of the others that Efron's method leaves
+        left = lambda n, k: F.col(f"c{n}") - k / F.col("d") * F.col(f"d{n}")
+        mean = lambda i, k: left(f"s{i}", k) / left("s", k)
+        deaths = F.sequence(F.lit(0).cast("long"), F.col("d") - 1)
+        over = lambda f: F.aggregate(deaths, F.lit(0.0), lambda acc, k: acc + f(k))
+        u = [F.sum(F.col(f"z{i}") - over(lambda k, i=i: mean(i, k))).alias(f"u{i}") for i in range(p)]
+        info = [F.sum(over(_covariance(left, mean, i, j))).alias(f"i{i}_{j}") for i, j in pairs]
+        for row in t.groupBy(*keys).agg(*u, *info).collect():
+            k = (row["feature"], row["model"])
+            n = shape[k]
+            matrix = np.array([[row[f"i{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)])
+            beta, settled = stats.cox_step(fits[k][0], np.array([row[f"u{i}"] for i in range(n)]), matrix)
+            fits[k] = (beta, matrix, not settled and np.isfinite(beta).all())
+    out = []
+    for k, (beta, matrix, _) in fits.items():
+        b, s = stats.cox_result(beta, matrix, np.array(scale[k][1][: shape[k]])) if all(v > 0 for v in scale[k][1][: shape[k]]) else ([math.nan], [math.nan])
+        out.append((*k, *(float(v[0]) if math.isfinite(v[0]) else None for v in (b, s))))
+    return spark.createDataFrame(out, _ESTIMATE)
+
+
+def _covariance(left, mean, i: int, j: int):
+    """Of values i and j over a risk set, as a function of the number of deaths taken off."""
+    return lambda k: left(f"s{i}_{j}", k) / left("s", k) - mean(i, k) * mean(j, k)
 
 
 def top_hazards(cox: DataFrame, n: int = 20) -> DataFrame:

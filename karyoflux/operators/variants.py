@@ -156,10 +156,10 @@ def adjacent_duplicates(cnv: DataFrame) -> DataFrame:
 
 
 def quality_warnings(sv: DataFrame, cnv: DataFrame) -> DataFrame:
-    """A row for each sample and warning: few variants, one type, few segments, repeated segments."""
+    """A row for each sample and warning: few variants, one type, no or few segments, repeated segments."""
     q = qc_metrics(sv, cnv).join(adjacent_duplicates(cnv), "sample_id", "left")
     issues = F.array_compact(F.array(
-        F.when(F.col("n_intra") < 5, "few_intra_svs"), F.when(F.col("n_types") == 1, "single_sv_type"), F.when(F.col("n_segments") < 10, "few_segments"),
+        F.when(F.col("n_intra") < 5, "few_intra_svs"), F.when(F.col("n_types") == 1, "single_sv_type"), F.when(F.col("n_segments") == 0, "no_segments").when(F.col("n_segments") < 10, "few_segments"),
         F.when(F.col("n_overlapping_same") > 0, "unmerged_segments"),
     ))
     return q.select("sample_id", F.explode(issues).alias("issue"))

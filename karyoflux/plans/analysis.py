@@ -23,17 +23,20 @@ def analyze(sv: DataFrame, cnv: DataFrame | None = None, gene: DataFrame | None
     chains = materialize(find(sv, cnv, neighbors=2 if germline else neighbors, genome_size=GENOME_SIZE[genome], **limits), "chains")
     events = materialize(cp.events(chains, sv), "events")
     out = {"chains": chains, "events": events, "event_edges": cp.event_edges(chains, cp.collapse(chains))}
-    shattered = regions = None
+    shattered = regions = where = None
     if cnv is not None:
         shattered = materialize(ct.classify(ct.criteria(sv, cnv, chromosomes)), "criteria")
         regions = materialize(cs.detect(sv, cnv), "regions")
         where = materialize(integrate.locations(shattered, chains, regions), "locations")
         met = integrate.overlaps(where)
-        out |= {"quality": variants.qc_metrics(sv, cnv), "clusters": shattered, "regions": regions, "locations": where, "overlaps": met, "sample_class": integrate.sample_class(where, met), "complexity": integrate.complexity(where, met)}
-    summary = materialize(integrate.summary(sv, shattered, chains, events, regions), "summary")
+        out |= {"quality": variants.qc_metrics(sv, cnv), "clusters": shattered, "regions": regions, "locations": where, "overlaps": met}
     fusions = hits = None
     if gene is not None:
         fusions = genes.fusions(sv, gene)
         hits = genes.at_breakpoints(cp.event_breakpoints(events), gene)
         out |= {"fusions": fusions, "gene_hits": hits, "event_genes": genes.event_genes(events, hits)}
+    summary = materialize(integrate.summary(sv, shattered, chains, events, regions, hits), "summary")
+    out |= {"dominance": integrate.dominance(summary), "fdr": integrate.global_fdr(shattered, chains)}
+    if where is not None:
+        out |= {"sample_class": integrate.sample_class(summary, where, met), "complexity": integrate.complexity(summary, where, met)}
     return out | {"summary": summary, "results": cohort.results(summary, fusions), "features": survival.features(summary, events, fusions, hits)}

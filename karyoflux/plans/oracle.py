@@ -114,7 +114,7 @@ _CALLS = """SELECT sample_id, CASE sv_no // 6 % 3 WHEN 0 THEN 'chromothripsis' W
   CASE WHEN sv_no % 4 = 0 THEN 'Possible call' ELSE 'Likely call' END AS classification, 'E' || (sv_no // 36) || '.' || (sv_no // 6 % 3) AS event_id FROM sv"""
 
 _OVERLAPS = """SELECT a.sample_id, a.chrom, a.mechanism AS mechanism1, b.mechanism AS mechanism2, a.event_id AS event_id1, b.event_id AS event_id2,
-  least(a."end", b."end") - greatest(a.start, b.start) + 1 AS overlap_size, a.confidence AS confidence1, b.confidence AS confidence2, a.mechanism || ' + ' || b.mechanism AS mechanism_pair
+  least(a."end", b."end") - greatest(a.start, b.start) + 1 AS overlap_size, a.confidence AS confidence1, b.confidence AS confidence2, least(a.mechanism, b.mechanism) || '+' || greatest(a.mechanism, b.mechanism) AS mechanism_pair
 FROM calls a JOIN calls b ON a.sample_id = b.sample_id AND a.chrom = b.chrom AND a.rank < b.rank WHERE least(a."end", b."end") - greatest(a.start, b.start) + 1 >= 1000000"""
 
 _GENOME = "SELECT CASE WHEN k = 23 THEN 'X' ELSE CAST(k AS VARCHAR) END AS chrom, k AS chrom_no, size FROM (SELECT unnest(range(1, 24)) AS k, unnest([{}]) AS size)".format(
@@ -225,27 +225,6 @@ WHERE o.pos BETWEEN b.deletion_start - 1000 AND b.deletion_end + 1000 AND o.pos
         """SELECT s.sample_id, g.chrom, coalesce(n, 0) AS n_bp, round(least(coalesce(n, 0) / 10, 1.0) * coalesce(n, 0) / (g.size / 1e6) + (1 - least(coalesce(n, 0) / 10, 1.0)) * total / ((SELECT sum(size) FROM genome) / 1e6), 9) AS mu
 FROM (SELECT sample_id, count(*) AS total FROM sides GROUP BY ALL) s CROSS JOIN genome g LEFT JOIN (SELECT sample_id, chrom, count(*) AS n FROM sides GROUP BY ALL) c ON c.sample_id = s.sample_id AND c.chrom = g.chrom""", "sides", "genome"),
     "mechanism_overlaps": ("SELECT * FROM overlap", "overlap"),
-    "chrom_class": (
-        """SELECT sample_id, chrom, string_agg(mechanism, ',' ORDER BY mechanism) AS mechanisms, arg_min(mechanism, (-best, mechanism)) AS dominant_mechanism, count(*) AS n_mechanisms, max(best) AS max_confidence, CAST(sum(k) AS BIGINT) AS n_events, count(*) > 1 AS is_mixed
-FROM (SELECT sample_id, chrom, mechanism, max(confidence) AS best, count(*) AS k FROM calls GROUP BY ALL) GROUP BY ALL""", "calls"),
-    "chrom_status": (
-        """SELECT s.sample_id, g.chrom, coalesce(status, 'none') AS status FROM (SELECT DISTINCT sample_id FROM calls) s CROSS JOIN genome g LEFT JOIN (
-  SELECT sample_id, chrom, CASE WHEN count(DISTINCT mechanism) > 1 THEN 'mixed' ELSE max(mechanism) END AS status FROM calls GROUP BY ALL) c ON c.sample_id = s.sample_id AND c.chrom = g.chrom""", "calls", "genome"),
-    "sample_class": (
-        """SELECT sample_id, n_mechanisms, n_overlaps, CASE WHEN n_mechanisms = 0 THEN 'No chromoanagenesis' WHEN n_mechanisms = 1 THEN 'Pure ' || names WHEN n_overlaps > 0 THEN 'Mixed mechanisms with spatial overlap (' || names || ')'
-  ELSE 'Multiple independent mechanisms (' || names || ')' END AS classification, CASE WHEN n_mechanisms = 0 THEN 'normal' WHEN n_mechanisms = 1 THEN 'single_mechanism' WHEN n_overlaps > 0 THEN 'mixed_overlapping' ELSE 'mixed_independent' END AS category
-FROM (SELECT s.sample_id, coalesce(n, 0) AS n_mechanisms, coalesce(o.k, 0) AS n_overlaps, names FROM (SELECT DISTINCT sample_id FROM calls) s
-  LEFT JOIN (SELECT sample_id, count(*) AS n, string_agg(mechanism, ', ' ORDER BY rank) AS names FROM (SELECT DISTINCT sample_id, mechanism, rank FROM calls WHERE classification NOT LIKE 'Possible%') GROUP BY ALL) USING (sample_id)
-  LEFT JOIN (SELECT sample_id, count(*) AS k FROM overlap GROUP BY ALL) o USING (sample_id))""", "calls", "overlap"),
-    "complexity": (
-        """SELECT * EXCLUDE (s), CASE WHEN s < 0.3 THEN 'Low' WHEN s < 0.6 THEN 'Moderate' WHEN s < 0.8 THEN 'High' ELSE 'Very High' END AS level, round(s, 6) AS score FROM (SELECT *, 0.30 * (n_mechanisms / 3) + 0.25 * least(n_overlaps / 5, 1.0) + 0.25 * least(n_chromosomes / 10, 1.0) + 0.20 * least(n_events / 10, 1.0) AS s
-FROM (SELECT sample_id, count(DISTINCT mechanism) FILTER (classification NOT LIKE 'Possible%') AS n_mechanisms, count(DISTINCT chrom) AS n_chromosomes, count(DISTINCT event_id) AS n_events,
-  (SELECT count(*) FROM overlap o WHERE o.sample_id = c.sample_id) AS n_overlaps FROM calls c GROUP BY sample_id))""", "calls", "overlap"),
-    "dominance": (
-        """SELECT sample_id, mechanism, n_events, round(p, 6) AS proportion, CASE WHEN max(p) OVER (PARTITION BY sample_id) > 0.5 THEN first_value(mechanism) OVER (PARTITION BY sample_id ORDER BY n_events DESC, rank) ELSE 'balanced' END AS dominant
-FROM (SELECT *, n_events / sum(n_events) OVER (PARTITION BY sample_id) AS p FROM (SELECT sample_id, mechanism, rank, count(DISTINCT event_id) AS n_events FROM calls GROUP BY ALL))""", "calls"),
-    "dominance_labels": (
-        """SELECT sample_id, mechanism, round(sum(p) OVER (PARTITION BY sample_id ORDER BY mechanism) - p / 2, 6) AS label_at FROM (SELECT *, n / sum(n) OVER (PARTITION BY sample_id) AS p FROM (SELECT sample_id, mechanism, count(DISTINCT event_id) AS n FROM calls GROUP BY ALL))""", "calls"),
     "mechanism_matrix": (
         """SELECT s.sample_id, g.chrom, m.mechanism, (SELECT count(*) FROM calls c WHERE c.sample_id = s.sample_id AND c.chrom = g.chrom AND c.mechanism = m.mechanism) AS n_events
 FROM (SELECT DISTINCT sample_id FROM calls) s, genome g, (SELECT DISTINCT mechanism FROM calls) m""", "calls", "genome"),
@@ -254,9 +233,6 @@ FROM (SELECT DISTINCT sample_id FROM calls) s, genome g, (SELECT DISTINCT mechan
   FROM (SELECT sample_id, sv_id, CAST((sv_no * 7919) % 10007 + 1 AS DOUBLE) / CAST(10008.0 AS DOUBLE) AS p FROM sv))""", "sv"),
     "microhomology": ("SELECT sample_id, sv_id, CAST(run_length AS BIGINT) AS run_length, CAST(longest AS BIGINT) AS longest, reverse(translate(s1_kept, 'ACGT', 'TGCA')) AS rc FROM mh", "mh"),
     "repair_class": ("SELECT * FROM repair", "repair"),
-    "repair_summary": (
-        """SELECT sample_id, count(*) AS n, count(l) AS n_microhomology, round(avg(l), 6) AS mean_length, round(median(l), 6) AS median_length, min(l) AS min_length, max(l) AS max_length,
-  (SELECT repair_mechanism FROM repair q WHERE q.sample_id = r.sample_id GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS dominant_mechanism FROM (SELECT *, CASE WHEN has_microhomology THEN mh_length END AS l FROM repair) r GROUP BY sample_id""", "repair"),
     "repair_text": (
         """SELECT sample_id, string_agg(repair_mechanism || ' (' || CAST(round_even(100 * n / total, 0) AS INT) || '%)', ', ' ORDER BY k) AS repair_summary FROM (
   SELECT *, sum(n) OVER (PARTITION BY sample_id) AS total, row_number() OVER (PARTITION BY sample_id ORDER BY n DESC, repair_mechanism) AS k FROM (SELECT sample_id, repair_mechanism, count(*) AS n FROM repair GROUP BY ALL)) WHERE k <= 2 GROUP BY sample_id""", "repair"),
@@ -369,5 +345,10 @@ FROM (SELECT c_custkey, c_custkey % 27 AS k, ['1', 'true', 't', 'yes', 'y', 'eve
 }
 
 
+def text(name: str) -> str:
+    """The body of a query's SQL, to build others on."""
+    return _SQL[name][0]
+
+
 def queries() -> dict[str, str]:
     return {name: with_tables(*spec) for name, spec in _SQL.items()}

@@ -8,13 +8,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karyoflux.functions.stats import with_bh
-from karyoflux.model import genome_table
+from karyoflux.functions import ranked, stats
+from karyoflux.functions.nulls import equal_shares, with_equal_shares_p, with_gaps_p
+from karyoflux.functions.tails import binomial_two_sided, correlation_pvalue
+from karyoflux.model import CHROM_SIZES, genome_table
 from karyoflux.operators import chromoanasynthesis as cs
 from karyoflux.operators import chromoplexy as cp
 from karyoflux.operators import chromothripsis as ct
 from karyoflux.operators import cohort, genes, integrate, layouts, rate_chains, repair, segments, survival, variants
-from karyoflux.plans import oracle, rules
+from karyoflux.plans import oracle, oracle_tests, rules
 from karyoflux.sources import fixtures as fx
 from karyoflux.sources import vcf
 
@@ -143,6 +145,43 @@ def ct_breakpoint_gaps(s, d):
     return rounded(longs(ct.cluster_gaps(fx.sv(s, d))), "mean_gap", "ks_d")
 
 
+@query
+def ct_gap_tests(s, d):
+    """Gaps of each cluster with their p under the exponential law."""
+    return rounded(with_gaps_p(ct.cluster_gaps(fx.sv(s, d)), "ks_d", "n_gaps", "pvalue").select("sample_id", "chrom", "n_gaps", "ks_d", "pvalue"), "ks_d", "pvalue")
+
+
+@query
+def ct_join_tests(s, d):
+    """Join counts of each cluster with their exact p under equal shares."""
+    j = ["join_del", "join_h2hinv", "join_t2tinv", "join_dup"]
+    x = with_equal_shares_p(ct.join_counts(fx.sv(s, d)), j, "pvalue")
+    return rounded(x.select("sample_id", "chrom", *j, F.log("pvalue").alias("log_pvalue")), "log_pvalue", digits=9)
+
+
+@query
+def equal_shares_null(s, d):
+    """The exact null of every cluster size up to that of all variants of a sample, at most 60."""
+    n = fx.sv(s, d).groupBy("sample_id").agg(F.count("*").alias("k")).agg(F.least(F.max("k"), F.lit(60)).alias("k"))
+    x = equal_shares(n.select(F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("n")))
+    return rounded(x.select("n", "squares", F.log("pvalue").alias("log_pvalue")), "log_pvalue", digits=9)
+
+
+@query
+def ct_enrichment_tests(s, d):
+    """Exact binomial tests of the ends of each sample's translocations on each chromosome, by chromosome length."""
+    n = ct.sides(fx.sv(s, d)).groupBy("sample_id", "chrom").agg(F.countDistinct("sv_id").alias("n_here"))
+    total = variants.inter(fx.sv(s, d)).groupBy("sample_id").agg(F.count("*").alias("n_all"))
+    g = genome_table(s).withColumn("weight", F.col("size") / F.lit(float(sum(CHROM_SIZES["hg19"]))))
+    x = n.join(total, "sample_id").join(F.broadcast(g.select("chrom", "weight")), "chrom")
+    return rounded(x.withColumn("pvalue", binomial_two_sided(F.col("n_here"), F.col("n_all"), F.col("weight"))).drop("weight"), "pvalue", digits=9)
+
+
+@query
+def ct_degrees(s, d):
+    return ct.degrees(fx.sv(s, d))
+
+
 @query
 def ct_inter_joins(s, d):
     return ct.inter_joins(fx.sv(s, d))
@@ -159,7 +198,7 @@ def ct_classification(s, d):
 
 @query
 def ct_diagnostics(s, d):
-    return ct.diagnose(_criteria(s, d)).where("cluster_size > 0")
+    return ct.diagnose(_criteria(s, d))
 
 
 @query
@@ -268,7 +307,8 @@ def cp_rate_chains(s, d):
 
 @query
 def cp_method_comparison(s, d):
-    return rate_chains.compare_methods(_chains(s, d), rate_chains.detect(fx.sv(s, d), genome_table(s), fx.cnv(s, d)))
+    sv, cnv, g = fx.sv(s, d), fx.cnv(s, d), genome_table(s)
+    return rate_chains.compare_methods(sv, rate_chains.detect(sv, g, cnv), _chains(s, d), rate_chains.graph(sv, g, cnv), cp.graph(sv, cnv))
 
 
 # -- gradients --------------------------------------------------------------------------------------------------------------
@@ -277,6 +317,14 @@ def cs_windows(s, d):
     return rounded(longs(cs.windows(fx.cnv(s, d))), "gradient_correlation", "slope", "variation_score", "cn_mean")
 
 
+@query
+def cs_window_tests(s, d):
+    """Rank correlation of copy number and place of each window, with its p."""
+    w = cs.windows(fx.cnv(s, d)).select("sample_id", "chrom", "win_size", "start_idx", "n_segments", "gradient_correlation")
+    p = correlation_pvalue(F.col("gradient_correlation"), F.col("n_segments"))
+    return rounded(longs(w.withColumn("pvalue", p)), "gradient_correlation", "pvalue", digits=9)
+
+
 @query
 def cs_regions(s, d):
     return cs.detect(fx.sv(s, d), fx.cnv(s, d))
@@ -305,13 +353,13 @@ def called_overlaps(s, d):
 @query
 def called_sample_class(s, d):
     loc = _locations(s, d)
-    return longs(integrate.sample_class(loc, integrate.overlaps(loc)))
+    return longs(integrate.sample_class(_summary(s, d), loc, integrate.overlaps(loc)))
 
 
 @query
 def called_complexity(s, d):
     loc = _locations(s, d)
-    return integrate.complexity(loc, integrate.overlaps(loc))
+    return integrate.complexity(_summary(s, d), loc, integrate.overlaps(loc))
 
 
 @query
@@ -326,29 +374,33 @@ def chrom_class(s, d):
 
 @query
 def chrom_status(s, d):
-    return longs(integrate.chromosome_summary(fx.calls(s, d), genome_table(s)).select("sample_id", "chrom", "status"))
+    return longs(integrate.chromosome_summary(fx.calls(s, d), genome_table(s)))
+
+
+def _laid_out(s, d):
+    """(summary, calls, overlaps) of the calls that are laid out from all variants; every seventh sample has none."""
+    loc = fx.calls(s, d).where(fx.WITH_CALLS)
+    return fx.call_counts(s, d), loc, integrate.overlaps(loc)
 
 
 @query
 def sample_class(s, d):
-    loc = fx.calls(s, d)
-    return longs(integrate.sample_class(loc, integrate.overlaps(loc)))
+    return longs(integrate.sample_class(*_laid_out(s, d)))
 
 
 @query
 def complexity(s, d):
-    loc = fx.calls(s, d)
-    return rounded(longs(integrate.complexity(loc, integrate.overlaps(loc))).select("sample_id", "n_mechanisms", "n_chromosomes", "n_events", "n_overlaps", "score", "level"), "score")
+    return rounded(longs(integrate.complexity(*_laid_out(s, d))).select("sample_id", "n_mechanisms", "n_chromosomes", "n_mixed_chromosomes", "n_events", "n_overlaps", "score", "level"), "score")
 
 
 @query
 def dominance(s, d):
-    return rounded(integrate.dominance(fx.calls(s, d)), "proportion")
+    return rounded(integrate.dominance(fx.call_counts(s, d)), "proportion")
 
 
 @query
 def dominance_labels(s, d):
-    return rounded(layouts.dominance_labels(integrate.dominance(fx.calls(s, d))).select("sample_id", "mechanism", "label_at"), "label_at")
+    return rounded(layouts.dominance_labels(integrate.dominance(fx.call_counts(s, d))).select("sample_id", "mechanism", "label_at"), "label_at")
 
 
 @query
@@ -364,12 +416,21 @@ def global_fdr(s, d):
 @query
 def bh_adjust(s, d):
     x = fx.sv(s, d).select("sample_id", "sv_id", (((F.col("sv_no") * 7919) % 10007 + 1).cast("double") / F.lit(10008.0)).alias("p"))
-    return rounded(with_bh(x, "p", "fdr", ["sample_id"]), "p", "fdr", digits=9)
+    return rounded(stats.with_bh(x, "p", "fdr", ["sample_id"]), "p", "fdr", digits=9)
+
+
+@query
+def bh_adjust_all(s, d):
+    """All variants of the cohort as tests of one family, with ties, nulls and a p of 1 that many share."""
+    p = F.when(F.col("sv_no") % 17 == 0, None).when(F.col("sv_no") % 4 == 0, F.lit(1.0)).otherwise(((F.col("sv_no") * 7919) % 2003 + 1).cast("double") / F.lit(2004.0))
+    x = fx.sv(s, d).select("sample_id", "sv_id", "svtype", p.alias("p"))
+    return rounded(ranked.with_bh(ranked.with_bh(x, "p", "fdr"), "p", "fdr_by_type", ["svtype"]), "p", "fdr", "fdr_by_type", digits=9)
 
 
 def _summary(s, d):
     a, b, c = _modules(s, d)
-    return integrate.summary(fx.sv(s, d), a, b, cp.events(b, fx.sv(s, d)), c)
+    e = cp.events(b, fx.sv(s, d))
+    return integrate.summary(fx.sv(s, d), a, b, e, c, genes.at_breakpoints(cp.event_breakpoints(e), fx.gene(s, d)))
 
 
 @query
@@ -408,7 +469,7 @@ def repair_class(s, d):
 
 @query
 def repair_summary(s, d):
-    return rounded(repair.summary(_repair(s, d)), "mean_length", "median_length")
+    return rounded(repair.summary(_repair(s, d)), "proportion", "mean_length", "median_length")
 
 
 @query
@@ -465,8 +526,8 @@ def event_cohort_priority(s, d):
 
 @query
 def sample_burden(s, d):
-    e, b, _ = _detail(s, d)
-    return cohort.sample_burden(e, b)
+    e, _, g = _detail(s, d)
+    return cohort.sample_burden(_summary(s, d), e, g)
 
 
 @query
@@ -496,7 +557,7 @@ def _positive(s, d):
 
 @query
 def gene_enrichment(s, d):
-    return cohort.gene_enrichment(_hits(s, d), _positive(s, d), fx.sv(s, d))
+    return rounded(cohort.gene_enrichment(_hits(s, d), _positive(s, d), fx.sv(s, d)), "mech_pos_freq", "mech_neg_freq", "odds_ratio", "pvalue", "fdr")
 
 
 @query
@@ -504,6 +565,13 @@ def group_tests(s, d):
     return cohort.compare_groups(fx.calls(s, d).select("sample_id", "mechanism"), fx.clinical(s, d))[1]
 
 
+@query
+def group_pair_tests(s, d):
+    """Two groups of samples: those with an event and those without."""
+    pairs = fx.clinical(s, d).withColumn("grp", F.col("os_event").cast("string"))
+    return rounded(cohort.compare_groups(fx.calls(s, d).where(fx.WITH_CALLS).select("sample_id", "mechanism"), pairs)[1], "pvalue", digits=9)
+
+
 @query
 def group_counts(s, d):
     return rounded(cohort.compare_groups(fx.calls(s, d).select("sample_id", "mechanism"), fx.clinical(s, d))[0], "fraction")
@@ -518,7 +586,7 @@ def _gene_sets(s, d):
 @query
 def over_representation(s, d):
     picked = fx.gene(s, d).where("is_driver OR chrom = '2'")
-    return cohort.over_representation(picked.select("symbol"), _gene_sets(s, d), 20_000)
+    return rounded(longs(cohort.over_representation(picked.select("symbol"), _gene_sets(s, d), 20_000)), "pvalue", "fdr", digits=9)
 
 
 # -- survival ---------------------------------------------------------------------------------------------------------------
@@ -544,7 +612,7 @@ def logrank(s, d):
 
 @query
 def km_tests(s, d):
-    return survival.km_tests(survival.groups(survival.long_form(_features(s, d), fx.clinical(s, d))))
+    return rounded(survival.km_tests(survival.groups(survival.long_form(_features(s, d), fx.clinical(s, d)))), "chisq", "pvalue", "fdr")
 
 
 @query
@@ -693,4 +761,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.queries() | {name: oracle.with_tables(*spec) for name, spec in rules.SQL.items()}
+    return oracle.queries() | oracle_tests.queries() | {name: oracle.with_tables(*spec) for name, spec in rules.SQL.items()}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from karyoflux.operators import chromoanasynthesis as cs
 from karyoflux.operators import chromoplexy as cp
 from karyoflux.operators import chromothripsis as ct
-from karyoflux.operators import cohort, genes, layouts, survival, variants
+from karyoflux.operators import cohort, genes, integrate, layouts, survival, variants
 from karyoflux.sources import fixtures as fx
 
 _P = "CAST((sv_no * {}) % {} AS DOUBLE) / 1000"
@@ -39,11 +39,28 @@ EVENTS = {
     "sample_id": "sample_id", "collapsed_event_id": "concat('CE', chrom1, '.', sv_id)", "representative_combined_score": _or_null(7, _P.format(7919, 1001)), "n_unique_svs": "sv_no % 9", "n_chromosomes": "sv_no % 7", "n_chains": "sv_no % 5",
     "has_cycle": "sv_no % 3 = 0",
 }
+TESTS = {c: e for c, e in CRITERIA.items() if c in ("sample_id", "chrom", "pval_fragment_joins", "pval_exp_cluster", "pval_exp_chr", "chr_breakpoint_enrichment")}
+CHAIN_TESTS = {"sample_id": "sample_id", "chain_id": "sv_no", "pvalue": _or_null(8, _P.format(53, 900))}
+# one row a sample's chromosome; samples of a seventh have no calls at all, of others one or two kinds
+_NONE = "CAST(substr(sample_id, 2) AS INT) % 7"
+CALLED_CT = {
+    "sample_id": "sample_id", "chrom": "chrom1", "confidence_score": "CAST(min(sv_no) * 37 % 20 AS DOUBLE) / 20",
+    "classification": f"CASE WHEN {_NONE} IN (0, 1, 4, 5) THEN 'Not chromothripsis' WHEN {_NONE} <> 6 AND min(sv_no) % 3 = 0 THEN 'High confidence' WHEN {_NONE} <> 2 AND min(sv_no) % 2 = 0 THEN 'Low confidence' ELSE 'Not chromothripsis' END",
+}
+CALLED_CT_REST = "GROUP BY sample_id, chrom1"
+CALLED_CP = {
+    "sample_id": "sample_id", "chain_id": "sv_no", "c1": "chrom1", "c2": "chrom2", "combined_score": "CAST(sv_no * 41 % 13 AS DOUBLE) / 13",
+    "classification": f"CASE WHEN {_NONE} > 1 AND sv_no % 5 = 0 THEN 'Likely chromoplexy' WHEN sv_no % 5 = 1 THEN 'Possible chromoplexy' ELSE 'Unlikely chromoplexy' END",
+}
+CALLED_CS = {
+    "sample_id": "sample_id", "region_id": "sv_no * 31 % 1009", "chrom": "chrom1",
+    "classification": f"CASE WHEN {_NONE} IN (1, 3, 5) AND sv_no % 3 = 0 THEN 'Likely chromoanasynthesis' WHEN sv_no % 3 = 1 THEN 'Possible chromoanasynthesis' ELSE 'Unlikely chromoanasynthesis' END",
+}
 SUMMARY = {
     "sample_id": "sample_id", "chromothripsis_high_confidence": "count(CASE WHEN sv_no % 97 = 0 THEN 1 END)", "chromothripsis_low_confidence": "count(CASE WHEN sv_no % 53 = 0 THEN 1 END)",
     "chromoplexy_likely": "count(CASE WHEN sv_no % 61 = 0 THEN 1 END)", "chromoplexy_possible": "count(CASE WHEN sv_no % 41 = 0 THEN 1 END)", "chromoplexy_chains": "count(CASE WHEN sv_no % 29 = 0 THEN 1 END)",
     "chromoanasynthesis_likely": "count(CASE WHEN sv_no % 71 = 0 THEN 1 END)", "chromoanasynthesis_possible": "count(CASE WHEN sv_no % 43 = 0 THEN 1 END)",
-    "overall_classification": "CASE WHEN count(CASE WHEN sv_no % 97 = 0 THEN 1 END) > 0 THEN 'Chromothripsis' ELSE 'No clear chromoanagenesis' END",
+    "overall_classification": "CASE WHEN count(CASE WHEN sv_no % 97 = 0 THEN 1 END) > 0 THEN 'Chromothripsis only' ELSE 'No chromoanagenesis detected' END",
 }
 
 
@@ -73,7 +90,7 @@ def ct_rules(s, d):
 
 
 def ct_diagnosis_rules(s, d):
-    return ct.diagnose(_spark(s, d, CRITERIA)).select("sample_id", "chrom", "could_be_high1", "could_be_high2", "could_be_low", "blocking_reasons")
+    return ct.diagnose(_spark(s, d, CRITERIA)).select("sample_id", "chrom", "could_be_high1", "could_be_high2", "could_be_low", "final_classification", "blocking_reasons")
 
 
 def ct_sample_rules(s, d):
@@ -131,8 +148,23 @@ def priority_rules(s, d):
 
 
 def burden_rules(s, d):
-    x = _rounded(cohort.sample_burden(_scored(s, d), _event_points(s, d)), "max_qc")
-    return x.withColumn("mean_qc", F.round("mean_qc", 12))
+    few = _scored(s, d).where("n_chains > 3 AND n_unique_svs > 6")  # so that some samples have no event
+    x = _rounded(cohort.sample_burden(_summary(s, d), few, genes.at_breakpoints(_event_points(s, d), fx.gene(s, d))), "max_event_qc_score")
+    return x.withColumn("mean_event_qc_score", F.round("mean_event_qc_score", 9))
+
+
+def global_fdr_rules(s, d):
+    x = integrate.global_fdr(_spark(s, d, TESTS), _spark(s, d, CHAIN_TESTS))
+    return _rounded(x.withColumn("adjusted_pvalue", F.round("adjusted_pvalue", 9)), "original_pvalue")
+
+
+def summary_rules(s, d):
+    """The integrated summary of clusters, chains and regions laid out from the variants, so that every text occurs."""
+    fx.sv(s, d).createOrReplaceTempView("_rules_sv")
+    ct_calls = s.sql(_sql(CALLED_CT, "_rules_sv", CALLED_CT_REST))
+    chains = s.sql(_sql(CALLED_CP, "_rules_sv", "WHERE chrom1 <> chrom2")).withColumn("chromosomes", F.array("c1", "c2"))
+    regions = s.sql(_sql(CALLED_CS, "_rules_sv", "WHERE sv_no % 5 = 0"))
+    return integrate.summary(fx.sv(s, d), ct_calls, chains, fx.sv(s, d).where("sv_no % 19 = 0"), regions, genes.at_breakpoints(_event_points(s, d), fx.gene(s, d)))
 
 
 def prevalence_rules(s, d):
@@ -216,13 +248,18 @@ _FUSED = """SELECT sample_id, count(*) AS n FROM (SELECT s.sample_id, s.sv_id, h
 SQL = {
     "ct_rules": (f"SELECT sample_id, chrom, {', '.join(_SCORES[:-1])}, round(total, 6) AS confidence_score, CASE WHEN total >= 0.7 THEN 'High' WHEN total >= 0.4 THEN 'Moderate' ELSE 'Low' END AS confidence_category, classification FROM ({_CLASSED})", "sv"),
     "ct_sample_rules": (
-        f"""SELECT sample_id, count(*) FILTER (classification = 'High confidence') AS n_high, count(*) FILTER (classification = 'Low confidence') AS n_low, round(max(total), 6) AS max_score,
-  coalesce(string_agg(DISTINCT chrom, ',' ORDER BY chrom) FILTER (classification <> 'Not chromothripsis'), '') AS chromosomes FROM ({_CLASSED}) GROUP BY sample_id""", "sv"),
+        f"""SELECT sample_id, count(*) FILTER (classification = 'High confidence') AS n_high, count(*) FILTER (classification = 'Low confidence') AS n_low, count(*) FILTER (classification = 'Not chromothripsis') AS n_not, round(max(total), 6) AS max_score,
+  coalesce(string_agg(chrom, ',' ORDER BY total DESC, chrom) FILTER (classification = 'High confidence'), '') AS high_chromosomes, coalesce(string_agg(chrom, ',' ORDER BY total DESC, chrom) FILTER (classification = 'Low confidence'), '') AS low_chromosomes
+FROM ({_CLASSED}) GROUP BY sample_id""", "sv"),
+    # the wording is that of the reasons in operators/chromothripsis.py
     "ct_diagnosis_rules": (
-        f"""SELECT sample_id, chrom, cluster_size >= 6 AND o_high AND joins AND clustered AS could_be_high1, cluster_size >= 3 AND coalesce(number_tra >= 4, false) AND o_high AND (joins OR coalesce(inter_pval_fragment_joins > 0.05, false)) AS could_be_high2,
-  cluster_size >= 6 AND o_low AND joins AND clustered AS could_be_low,
-  concat_ws('; ', CASE WHEN cluster_size < 3 THEN 'cluster of ' || cluster_size || ' variants is too small' END, CASE WHEN NOT (o_high OR o_low) THEN 'too few oscillating segments' END,
-    CASE WHEN NOT joins THEN 'joins are not random' END, CASE WHEN NOT clustered THEN 'breakpoints are neither clustered nor enriched' END) AS blocking_reasons FROM ({_DIAGNOSED})""", "sv"),
+        f"""SELECT sample_id, chrom, high1 AS could_be_high1, high2 AS could_be_high2, low AS could_be_low, CASE WHEN high1 OR high2 THEN 'High confidence' WHEN low THEN 'Low confidence' ELSE 'Not chromothripsis' END AS final_classification,
+  concat_ws('; ', CASE WHEN tra AND inter_pval_fragment_joins IS NOT NULL THEN CASE WHEN NOT inter_joins THEN 'Fragment joins FAILED (intra+TRA p=' || printf('%.3f', inter_pval_fragment_joins) || ', need >0.05)' END
+    WHEN NOT joins THEN 'Fragment joins FAILED (p=' || coalesce(printf('%.3f', pval_fragment_joins), 'NA') || ', need >0.05)' END,
+    CASE WHEN NOT o_high AND NOT o_low THEN 'CN oscillations insufficient (' || coalesce(CAST(osc AS VARCHAR), 'NA') || ', need >=4)' WHEN NOT o_high THEN 'CN oscillations=' || osc || ' (in low conf range 4-6, not high >=7)' END,
+    CASE WHEN cluster_size < 6 THEN 'Too few intrachromosomal SVs (' || cluster_size || ', need >=6)' END, CASE WHEN NOT clustered THEN 'Clustering tests FAILED (both p>=0.05)' END) AS blocking_reasons
+FROM (SELECT *, cluster_size >= 6 AND o_high AND joins AND clustered AS high1, cluster_size >= 3 AND tra AND o_high AND inter_joins AS high2, cluster_size >= 6 AND o_low AND joins AND clustered AS low FROM (
+  SELECT *, coalesce(number_tra >= 4, false) AS tra, CASE WHEN inter_pval_fragment_joins IS NULL THEN joins ELSE inter_pval_fragment_joins > 0.05 END AS inter_joins FROM ({_DIAGNOSED}) WHERE cluster_size > 0))""", "sv"),
     "cp_rules": (
         f"""SELECT sample_id, chain_id, {_TESTED} AS with_test,
   CASE WHEN core + rest >= 4 THEN 'Likely chromoplexy' WHEN core + rest >= 3 THEN 'Possible chromoplexy' WHEN core + rest >= 2 THEN 'Unlikely chromoplexy' ELSE 'Not chromoplexy' END AS without_test,
@@ -251,8 +288,31 @@ SQL = {
   SELECT p.sample_id, collapsed_event_id, max(n) AS top FROM (SELECT *, {_WINDOWS.format(w=1000000)} AS w FROM ({_EPOINTS})) p JOIN (
     SELECT chrom, {_WINDOWS.format(w=1000000)} AS w, count(DISTINCT sample_id) AS n FROM ({_EPOINTS}) GROUP BY ALL) q USING (chrom, w) GROUP BY ALL) h USING (sample_id, collapsed_event_id)""", "sv", "bps", "gene"),
     "burden_rules": (
-        f"""SELECT e.sample_id, count(*) AS n_events, count(*) FILTER (confidence = 'High') AS n_high, count(*) FILTER (confidence = 'Moderate') AS n_moderate, count(*) FILTER (confidence = 'Low') AS n_low, round(max(qc), 6) AS max_qc, round(avg(qc), 12) AS mean_qc,
-  CAST(sum(n_unique_svs) AS BIGINT) AS n_svs, any_value(n_breakpoints) AS n_breakpoints FROM ({_EVENT}) e JOIN (SELECT sample_id, count(*) AS n_breakpoints FROM bps GROUP BY ALL) USING (sample_id) GROUP BY e.sample_id""", "sv", "bps"),
+        f"""SELECT s.sample_id, CAST(NULL AS VARCHAR) AS analysis_mode, chromoplexy_chains AS total_chains, chromoplexy_likely AS likely_chains, chromoplexy_possible AS possible_chains, coalesce(n, 0) AS n_collapsed_events, coalesce(n_high, 0) AS n_high_confidence_events,
+  round(mean_qc, 9) AS mean_event_qc_score, round(max_qc, 6) AS max_event_qc_score, coalesce(n_genes, 0) AS n_genes, coalesce(n_drivers, 0) AS n_driver_genes, coalesce(drivers, '') AS driver_genes FROM ({_SUMMED}) s
+LEFT JOIN (SELECT sample_id, count(*) AS n, count(*) FILTER (confidence = 'High') AS n_high, avg(qc) AS mean_qc, max(qc) AS max_qc FROM ({_EVENT}) WHERE n_chains > 3 AND n_unique_svs > 6 GROUP BY sample_id) e USING (sample_id)
+LEFT JOIN (SELECT sample_id, count(DISTINCT symbol) AS n_genes, count(DISTINCT symbol) FILTER (is_driver) AS n_drivers, string_agg(DISTINCT symbol, ',' ORDER BY symbol) FILTER (is_driver) AS drivers FROM ({_EHITS}) GROUP BY sample_id) g USING (sample_id)""", "sv", "bps", "gene"),
+    "global_fdr_rules": (
+        f"""SELECT sample_id, mechanism, event_id, round(p, 6) AS original_pvalue, CASE WHEN p IS NOT NULL THEN round(least(1.0, min(p * m / r) OVER (PARTITION BY sample_id, p IS NULL ORDER BY p DESC)), 9) END AS adjusted_pvalue,
+  CASE WHEN p IS NOT NULL THEN least(1.0, min(p * m / r) OVER (PARTITION BY sample_id, p IS NULL ORDER BY p DESC)) < 0.05 END AS is_significant_fdr FROM (SELECT *, count(p) OVER (PARTITION BY sample_id) AS m, count(p) OVER (PARTITION BY sample_id ORDER BY p) AS r FROM (
+  SELECT sample_id, 'chromothripsis' AS mechanism, 'CT_' || chrom AS event_id, least(coalesce(pval_fragment_joins, 1), coalesce(pval_exp_chr, 1), coalesce(pval_exp_cluster, 1), coalesce(chr_breakpoint_enrichment, 1)) AS p FROM ({_sql(TESTS)})
+  UNION ALL SELECT sample_id, 'chromoplexy', 'CP_' || chain_id, pvalue FROM ({_sql(CHAIN_TESTS)})))""", "sv"),
+    "summary_rules": (
+        f"""WITH ct AS ({_sql(CALLED_CT, rest=CALLED_CT_REST)}), cp AS ({_sql(CALLED_CP, rest="WHERE chrom1 <> chrom2")}), cs AS ({_sql(CALLED_CS, rest="WHERE sv_no % 5 = 0")}), ev AS (SELECT DISTINCT sample_id, sv_no FROM sv WHERE sv_no % 19 = 0),
+drivers AS (SELECT h.sample_id, string_agg(DISTINCT symbol, ', ' ORDER BY symbol) AS names FROM ({_EHITS}) h WHERE is_driver GROUP BY ALL),
+a AS (SELECT sample_id, count(*) FILTER (classification = 'High confidence') AS h, count(*) FILTER (classification = 'Low confidence') AS l, string_agg(chrom, ', ' ORDER BY confidence_score DESC, chrom) FILTER (classification = 'High confidence') AS hn,
+  string_agg(chrom, ', ' ORDER BY confidence_score DESC, chrom) FILTER (classification = 'Low confidence') AS ln FROM ct GROUP BY ALL),
+b AS (SELECT sample_id, count(*) FILTER (classification = 'Likely chromoplexy') AS k, count(*) FILTER (classification = 'Possible chromoplexy') AS p, count(*) AS n FROM cp GROUP BY ALL),
+bn AS (SELECT sample_id, string_agg(c, ', ' ORDER BY first) AS names FROM (SELECT sample_id, c, min((-combined_score, chain_id, i)) AS first FROM (SELECT *, unnest([c1, c2]) AS c, unnest([1, 2]) AS i FROM cp WHERE classification = 'Likely chromoplexy') GROUP BY ALL) GROUP BY ALL),
+d AS (SELECT sample_id, count(*) FILTER (classification LIKE 'Likely%') AS k, count(*) FILTER (classification LIKE 'Possible%') AS p, count(*) AS n FROM cs GROUP BY ALL),
+dn AS (SELECT sample_id, string_agg(chrom, ', ' ORDER BY first) AS names FROM (SELECT sample_id, chrom, min(region_id) AS first FROM cs WHERE classification LIKE 'Likely%' GROUP BY ALL) GROUP BY ALL),
+f AS (SELECT s.sample_id, coalesce(h, 0) AS h, coalesce(l, 0) AS l, hn, ln, coalesce(b.k, 0) AS bk, coalesce(b.p, 0) AS bp, coalesce(b.n, 0) AS bn_, bn.names AS bnames, coalesce(d.k, 0) AS dk, coalesce(d.p, 0) AS dp, coalesce(d.n, 0) AS dn_, dn.names AS dnames, coalesce(e.n, 0) AS e, drivers.names AS dr,
+    list_filter([CASE WHEN h + l > 0 THEN 'chromothripsis' END, CASE WHEN b.k > 0 THEN 'chromoplexy' END, CASE WHEN d.k > 0 THEN 'chromoanasynthesis' END], lambda x: x IS NOT NULL) AS m
+  FROM (SELECT DISTINCT sample_id FROM sv) s LEFT JOIN a USING (sample_id) LEFT JOIN b USING (sample_id) LEFT JOIN bn USING (sample_id) LEFT JOIN d USING (sample_id) LEFT JOIN dn USING (sample_id) LEFT JOIN drivers USING (sample_id) LEFT JOIN (SELECT sample_id, count(*) AS n FROM ev GROUP BY ALL) e USING (sample_id))
+SELECT sample_id, 'SV+CNV integrated' AS analysis_mode, h AS chromothripsis_high_confidence, l AS chromothripsis_low_confidence, CASE WHEN h > 0 AND l > 0 THEN hn || ' (high); ' || ln || ' (low)' WHEN h > 0 THEN hn WHEN l > 0 THEN ln || ' (low confidence)' ELSE 'None' END AS chromothripsis_chromosomes,
+  bk AS chromoplexy_likely, bp AS chromoplexy_possible, bn_ AS chromoplexy_chains, coalesce(bnames, 'None') AS chromoplexy_chromosomes, e AS chromoplexy_collapsed_events, CASE WHEN e = 0 THEN 'Not annotated' ELSE coalesce(dr, 'None') END AS chromoplexy_driver_genes,
+  dk AS chromoanasynthesis_likely, dp AS chromoanasynthesis_possible, dn_ AS chromoanasynthesis_regions, coalesce(dnames, 'None') AS chromoanasynthesis_chromosomes,
+  CASE len(m) WHEN 0 THEN 'No chromoanagenesis detected' WHEN 1 THEN upper(m[1][1]) || m[1][2:] || ' only' ELSE 'Multiple mechanisms: ' || array_to_string(m, ', ') END AS overall_classification FROM f""", "sv", "bps", "gene"),
     "prevalence_rules": (
         f"""SELECT mechanism, count(*) FILTER (n > 0) AS n_positive, count(*) AS n_samples, round(count(*) FILTER (n > 0) / count(*), 6) AS fraction FROM (
   SELECT sample_id, unnest(['chromothripsis', 'chromoplexy', 'chromoanasynthesis']) AS mechanism, unnest([chromothripsis_high_confidence, chromoplexy_likely, chromoanasynthesis_likely]) AS n FROM ({_SUMMED})) GROUP BY mechanism""", "sv"),
@@ -286,4 +346,4 @@ FROM (SELECT sample_id || '-' || chrom1 || '-' || svtype AS sample_id, count(*)
     WINDOW w AS (PARTITION BY sid ORDER BY start, seg_no)) x(sample_id0, chrom, start, "end", total_cn, seg_no, e, sample_id, nxt, nxt_cn) GROUP BY sample_id) USING (sample_id), LATERAL (SELECT coalesce(k, 0) AS n_segments)""", "sv", "cnv"),
 }
 
-QUERIES = [ct_rules, ct_diagnosis_rules, ct_sample_rules, cp_rules, cp_diagnosis_rules, cs_rules, event_rules, event_gene_rules, gene_event_rules, artifact_rules, priority_rules, burden_rules, prevalence_rules, landscape_rules, feature_rules, impact_rules, top_genes, gene_symbols, score_distribution, quality_warnings_by_type]
+QUERIES = [ct_rules, ct_diagnosis_rules, ct_sample_rules, cp_rules, cp_diagnosis_rules, cs_rules, event_rules, event_gene_rules, gene_event_rules, artifact_rules, priority_rules, burden_rules, global_fdr_rules, summary_rules, prevalence_rules, landscape_rules, feature_rules, impact_rules, top_genes, gene_symbols, score_distribution, quality_warnings_by_type]

@@ -113,6 +113,19 @@ def cnv_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("sample_id", F.concat_ws("\t", F.concat(F.lit("chr"), "chrom"), F.col("start").cast("string"), F.concat(F.lit("seg"), F.col("seg_no").cast("string")), F.lit("N"), F.lit("<CNV>"), F.lit("."), F.lit("PASS"), info, F.lit("GT:CN"), F.expr("concat('0/1:', int(total_cn))")).alias("line"))
 
 
+#: Samples that the laid-out calls are taken from where samples without calls are wanted too.
+WITH_CALLS = "int(substring(sample_id, 2)) % 7 > 0"
+
+
+def call_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sample with the distinct events of the laid-out calls, by mechanism and certainty, named as in the integrated summary."""
+    names = {"chromothripsis": ("high_confidence", "low_confidence"), "chromoplexy": ("likely", "possible"), "chromoanasynthesis": ("likely", "possible")}
+    possible = F.col("classification").startswith("Possible")
+    events = [F.countDistinct(F.when((F.col("mechanism") == m) & (possible if less else ~possible), F.col("event_id"))).alias(f"{m}_{n}") for m, pair in names.items() for less, n in enumerate(pair)]
+    n = calls(spark, sf_dir).where(WITH_CALLS).groupBy("sample_id").agg(*events)
+    return sv(spark, sf_dir).select("sample_id").distinct().join(n, "sample_id", "left").na.fill(0)
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of all mechanisms laid out from all variants, with overlaps of every kind: none, one-sided, nested, exactly at and just
     under a million bases; event ids and confidences tie."""

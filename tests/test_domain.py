@@ -35,10 +35,11 @@ def test_triangle_with_statistics(spark):
     sv = spark.createDataFrame(triangle(1_000_000, 1_200_000), SV)
     (row,) = chromoplexy.detect(sv).collect()
     assert row.pvalue == pytest.approx(6.497917824e-6, rel=1e-6) and row.fdr == pytest.approx(4.780935506e-4, rel=1e-6)
-    assert row.combined_score == pytest.approx(0.524348304) and row.evidence_mode == "SV-only chromoplexy" and row.classification == "Likely chromoplexy"
+    assert row.combined_score == pytest.approx(0.524348304) and row.evidence_mode == "SV-only" and row.classification == "Likely chromoplexy"
     cnv = spark.createDataFrame([("S1", c, 1 + k * 1_000_000, (k + 1) * 1_000_000, 2.0, k + 1) for c in "123" for k in range(4)], CNV)
     (row,) = chromoplexy.detect(sv, cnv).collect()
     assert row.cn_stability_score == pytest.approx(1) and row.combined_score == pytest.approx(0.667043813) and row.classification == "Likely chromoplexy"
+    assert row.evidence_mode == "SV+CNV"
 
 
 def test_interleaving(spark):
@@ -79,8 +80,6 @@ def test_statistics(spark):
     assert sorted(r.q for r in stats.with_bh(df, "p", "q", ["g"]).collect()) == pytest.approx([0.04, 0.04, 0.04, 0.5])
     (r,) = spark.range(1).select(stats.fisher_combine(F.lit(2 * math.log(0.05)), F.lit(2)).alias("p")).collect()
     assert r.p == pytest.approx(0.01747866, rel=1e-6)
-    assert stats.fisher_greater(3, 1, 1, 3) == pytest.approx(0.242857142857) and stats.fisher_two_sided(3, 1, 1, 3) == pytest.approx(0.485714285714)
-    assert stats.binomial_two_sided(7, 10, 0.5) == pytest.approx(0.34375) and stats.t_two_sided(2.0, 10) == pytest.approx(0.07338803, rel=1e-6)
     (r,) = spark.range(1).select(chromoplexy.bridge_confidence(F.lit(0), F.lit(1000), F.lit(0.0)).alias("a"), chromoplexy.bridge_confidence(F.lit(200000), F.lit(20000), F.lit(1.0)).alias("b")).collect()
     assert r.a == pytest.approx(1.0) and r.b == pytest.approx(math.exp(-1))
 

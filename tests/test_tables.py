@@ -131,7 +131,14 @@ def test_analysis_of_a_triangle(spark):
     gene = spark.createDataFrame([("TP53", "TP53", "1", 999_500, 1_000_500, "+", "gene")], "symbol string, gene_id string, chrom string, start long, end long, strand string, type string")
     found = analysis.analyze(sv, cnv, gene)
     (r,) = found["results"].collect()
-    assert (r.classification, r.cp_likely) == ("Chromoplexy", 1.0)
+    assert (r.classification, r.cp_likely) == ("Chromoplexy only", 1.0)
+    (m,) = found["summary"].collect()
+    assert (m.analysis_mode, m.chromothripsis_chromosomes, m.chromoplexy_chromosomes, m.chromoplexy_driver_genes, m.chromoanasynthesis_chromosomes) == ("SV+CNV integrated", "None", "1, 2, 3", "TP53", "None")
+    (k,), (w,) = found["sample_class"].collect(), found["complexity"].collect()
+    assert (k.classification, k.category, k.n_overlaps, w.level) == ("Pure chromoplexy", "single_mechanism", 0, "Low")
+    assert {(d.mechanism, d.n_events, d.dominant) for d in found["dominance"].collect()} == {("chromothripsis", 0, "chromoplexy"), ("chromoplexy", 1, "chromoplexy"), ("chromoanasynthesis", 0, "chromoplexy")}
+    (f,) = found["fdr"].where("mechanism = 'chromoplexy'").collect()
+    assert found["fdr"].count() == 24 and f.adjusted_pvalue == pytest.approx(24 * f.original_pvalue)  # 23 chromosomes are tests too
     (f,) = found["features"].collect()
     assert (f.has_chromoplexy, f.n_chromoplexy_genes, f.has_cycle_chromoplexy_event, len(f)) == (1, 1, 1, 34)
     assert found["overlaps"].count() == 0 and analysis.analyze(sv)["results"].count() == 1
