@@ -140,14 +140,14 @@ def erfc(x: Column) -> Column:
 
 
 def chi2_1_upper(x: Column) -> Column:
-    """Upper tail of chi-square with one degree of freedom."""
-    return erfc(F.sqrt(F.greatest(x, F.lit(0.0)) / 2))
+    """Upper tail of chi-square with one degree of freedom; null for null."""
+    return F.when(x > 0, erfc(F.sqrt(F.abs(x) / 2))).when(x <= 0, 1.0)
 
 
 def chi2_3_upper(x: Column) -> Column:
-    """Upper tail of chi-square with three degrees of freedom."""
-    x = F.greatest(x, F.lit(0.0))
-    return F.least(F.lit(1.0), erfc(F.sqrt(x / 2)) + F.sqrt(2 * x / math.pi) * F.exp(-x / 2))
+    """Upper tail of chi-square with three degrees of freedom; null for null."""
+    tail = erfc(F.sqrt(F.abs(x) / 2)) + F.sqrt(2 * F.abs(x) / math.pi) * F.exp(-x / 2)
+    return F.when(x > 0, F.least(F.lit(1.0), tail)).when(x <= 0, 1.0)
 
 
 def beta_inc(a: Column, b: Column, x: Column, rounds: int = 80) -> Column:

@@ -341,7 +341,7 @@ def local_variation(c: DataFrame, cnv: DataFrame, reach: int = 5_000_000) -> Dat
     j = join_overlapping(places, segments, ["sample_id", "chrom"], window, (F.col("start"), F.col("end")), 4 * reach).where(F.col("start").between(*window) | F.col("end").between(*window))
     sd = j.groupBy("sample_id", "node").agg(F.stddev_samp("total_cn").alias("sd"))  # null for one segment
     x = n.join(sd, ["sample_id", "node"], "left").groupBy("sample_id", "chain_id").agg(F.avg("sd").alias("mean"))
-    return x.select("sample_id", "chain_id", F.coalesce(F.least(F.col("mean") / 2, F.lit(1.0)), F.lit(0.0)).alias("local_cn_change"))
+    return x.select("sample_id", "chain_id", F.when(F.col("mean").isNotNull(), F.least(F.col("mean") / 2, F.lit(1.0))).otherwise(0.0).alias("local_cn_change"))
 
 
 def bridge_enrichment(c: DataFrame, bridges: DataFrame) -> DataFrame:

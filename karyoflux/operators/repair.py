@@ -34,15 +34,20 @@ def inserted(ref: Column, alt: Column, insseq: Column) -> Column:
 
 
 def classify(flank: DataFrame, sv: DataFrame, least: int = 2, longest: int = 25, mode: str = "run") -> DataFrame:
-    """Each variant's repair class: by microhomology if at least `least` bases, else end joining; with confidence and evidence."""
+    """Each variant's repair class: by microhomology if at least `least` bases, else end joining; with confidence and evidence.
+
+    Without sequences (has_sequence false, or null ones) the length of microhomology is null and counts as 0.
+    """
     s = sv.select("sample_id", "sv_id", "svtype", *[F.col(c) if c in sv.columns else F.lit(None).cast("string").alias(c) for c in ("ref", "alt", "insseq")])
-    x = flank.join(s, ["sample_id", "sv_id"]).withColumn("mh_length", microhomology_length(F.col("s1_disc"), F.col("s2_disc"), longest, mode)).withColumn("insertion", inserted(F.col("ref"), F.col("alt"), F.col("insseq")))
-    n, found = F.col("mh_length"), F.col("mh_length") >= least
-    has = F.length(F.coalesce("insertion", F.lit(""))) > 0
+    known = F.col("s1_disc").isNotNull() & F.col("s2_disc").isNotNull() & (F.coalesce("has_sequence", F.lit(False)) if "has_sequence" in flank.columns else F.lit(True))
+    x = flank.join(s, ["sample_id", "sv_id"]).withColumn("mh_length", F.when(known, microhomology_length(F.col("s1_disc"), F.col("s2_disc"), longest, mode))).withColumn("insertion", inserted(F.col("ref"), F.col("alt"), F.col("insseq")))
+    n, added = F.coalesce("mh_length", F.lit(0)), F.length(F.coalesce("insertion", F.lit("")))
+    found = n >= least
     kind = F.when(found & (F.col("svtype") == "DUP") & n.between(2, 5), "MMBIR/FoSTeS").when(found & (n > 20), "SSA").when(found, "MMEJ").otherwise("NHEJ")
-    sure = F.when(kind == "MMBIR/FoSTeS", "Moderate").when(found | has, "High").otherwise("Moderate")
-    why = F.when(found, F.format_string("%d bp microhomology", n)).when(has, F.format_string("%d bp insertion", F.length("insertion"))).otherwise("No microhomology")
-    return x.select("sample_id", "sv_id", "svtype", "mh_length", found.alias("has_microhomology"), kind.alias("repair_mechanism"), sure.alias("confidence"), why.alias("evidence"))
+    sure = F.when(kind == "MMBIR/FoSTeS", "Moderate").when(found | (added > 0), "High").otherwise("Moderate")
+    return x.select(
+        "sample_id", "sv_id", "svtype", "mh_length", (F.col("mh_length") >= least).alias("has_microhomology"), kind.alias("repair_mechanism"), sure.alias("confidence"), F.format_string("MH: %d bp, Ins: %d bp", n, added).alias("evidence")
+    )
 
 
 def summary(repair: DataFrame) -> DataFrame:
@@ -65,16 +70,35 @@ def region_text(repair: DataFrame, keys: list[str], top: int = 2) -> DataFrame:
 
 
 def junctions(sv: DataFrame, genome_seq: DataFrame, flank: int = 50, chunk: int = 100_000) -> DataFrame:
-    """Kept and discarded sequences on both sides of each junction, from a chunk table (chrom, bin, seq) of the genome.
+    """(sample_id, sv_id, has_sequence, s1_kept, s1_disc, s2_kept, s2_disc): the sequences beside each junction, from the chunks (chrom,
+    bin, seq) of the genome.
 
-    A + side keeps what lies before the breakpoint, a - side what lies after it; - sides are reverse complemented.
+    A + side keeps what lies before and at the breakpoint and discards what follows; a - side keeps what lies at and behind it. The
+    junction is read from side 1 to side 2, so sequences of a - first side and of a + second side are reverse complemented. A sequence
+    that would leave its chromosome is null. Variants on chromosomes that the genome lacks have has_sequence false and empty text.
     """
     sides = F.array(*[F.struct(F.lit(n).alias("side"), F.col(f"chrom{n}").alias("chrom"), F.col(f"pos{n}").alias("pos"), F.col(f"strand{n}").alias("strand")) for n in (1, 2)])
-    s = sv.select("sample_id", "sv_id", F.explode(sides).alias("s")).select("sample_id", "sv_id", "s.*").withColumn("bin", F.explode(F.array_distinct(F.array(F.expr(f"(pos - {flank} - 1) div {chunk}"), F.expr(f"(pos + {flank} - 1) div {chunk}")))))
-    j = s.join(genome_seq, ["chrom", "bin"]).groupBy("sample_id", "sv_id", "side", "pos", "strand").agg(F.min("bin").alias("bin"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bin", "seq"))), lambda x: x["seq"]), "").alias("seq"))
-    at = F.col("pos") - F.col("bin") * chunk
-    before, after = F.substring("seq", at - flank + 1, F.lit(flank)), F.substring("seq", at + 1, F.lit(flank))
-    plus = F.col("strand") == "+"
-    j = j.withColumn("kept", F.when(plus, before).otherwise(reverse_complement(after))).withColumn("disc", F.when(plus, after).otherwise(reverse_complement(before)))
+    s = sv.select("sample_id", "sv_id", F.explode(sides).alias("s")).select("sample_id", "sv_id", "s.*")
+    ends = genome_seq.groupBy("chrom").agg(F.max(F.col("bin") * chunk + F.length("seq")).alias("last"))
+    s = s.join(ends, "chrom", "left")
+    lo, hi = F.greatest(F.col("pos") - flank, F.lit(1)), F.least(F.col("pos") + flank, F.col("last"))
+    wanted = s.where(lo <= hi).withColumn("bin", F.explode(F.sequence(((lo - 1) / chunk).cast("long"), ((hi - 1) / chunk).cast("long"))))
+    first = F.greatest(lo - F.col("bin") * chunk, F.lit(1))  # of the chunk's part, from 1
+    part = F.substring("seq", first.cast("int"), (F.least(hi - F.col("bin") * chunk, F.lit(chunk)) - first + 1).cast("int"))
+    found = wanted.join(genome_seq, ["chrom", "bin"]).select("sample_id", "sv_id", "side", "bin", part.alias("part"))
+    found = found.groupBy("sample_id", "sv_id", "side").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bin", "part"))), lambda x: x["part"]), "").alias("around"))
+    j = s.join(found, ["sample_id", "sv_id", "side"], "left").withColumn("lo", lo)
+
+    def bases(start: Column, end: Column) -> Column:
+        inside = (start >= 1) & (end <= F.col("last"))
+        return F.when(inside, F.substring("around", (start - F.col("lo") + 1).cast("int"), (end - start + 1).cast("int")))
+
+    pos, plus = F.col("pos"), F.col("strand") == "+"
+    kept = F.when(plus, bases(pos - flank + 1, pos)).otherwise(bases(pos, pos + flank - 1))
+    disc = F.when(plus, bases(pos + 1, pos + flank)).otherwise(bases(pos - flank, pos - 1))
+    turned = plus == (F.col("side") == 2)
+    read = lambda seq: F.when(turned, reverse_complement(seq)).otherwise(seq)
+    j = j.withColumns({"kept": read(kept), "disc": read(disc)})
     pick = lambda n, c: F.max(F.when(F.col("side") == n, F.col(c)))
-    return j.groupBy("sample_id", "sv_id").agg(*[pick(n, c).alias(f"s{n}_{c}") for n in (1, 2) for c in ("kept", "disc")])
+    out = j.groupBy("sample_id", "sv_id").agg(F.bool_and(F.col("last").isNotNull()).alias("has_sequence"), *[pick(n, c).alias(f"s{n}_{c}") for n in (1, 2) for c in ("kept", "disc")])
+    return out.withColumns({c: F.when(F.col("has_sequence"), F.col(c)).otherwise("") for c in ("s1_kept", "s1_disc", "s2_kept", "s2_disc")})

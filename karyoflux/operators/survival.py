@@ -179,7 +179,7 @@ def cox_tests(x: DataFrame, covariates: DataFrame | None = None, min_events: int
     if not large.isEmpty():
         found = found.unionByName(_fit_in_rounds(rows.join(large.select("feature", "model"), ["feature", "model"], "left_semi")))
     b, se = F.col("beta"), F.col("se")
-    ratio = lambda v: F.exp(F.least(v, F.lit(700.0)))
+    ratio = lambda v: F.when(v.isNotNull(), F.exp(F.least(v, F.lit(700.0))))  # noqa: E731  least() skips nulls
     out = sizes.join(found, ["feature", "model"], "left").select(
         "feature", "model", "n", "n_events", ratio(b).alias("hazard_ratio"), ratio(b - _Z95 * se).alias("conf_low"), ratio(b + _Z95 * se).alias("conf_high"),
         chi2_1_upper(b * b / (se * se)).alias("pvalue"), F.when(F.col("model") == "multivariable", ",".join(extra)).otherwise("").alias("covariates"),

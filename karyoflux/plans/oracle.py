@@ -129,7 +129,7 @@ FROM flank f JOIN sv s USING (sample_id, sv_id)"""
 _REPAIR = """SELECT sample_id, sv_id, svtype, run_length AS mh_length, run_length >= 2 AS has_microhomology,
   CASE WHEN svtype = 'DUP' AND run_length BETWEEN 2 AND 5 THEN 'MMBIR/FoSTeS' WHEN run_length > 20 THEN 'SSA' WHEN run_length >= 2 THEN 'MMEJ' ELSE 'NHEJ' END AS repair_mechanism,
   CASE WHEN svtype = 'DUP' AND run_length BETWEEN 2 AND 5 THEN 'Moderate' WHEN run_length >= 2 THEN 'High' ELSE 'Moderate' END AS confidence,
-  CASE WHEN run_length >= 2 THEN run_length || ' bp microhomology' ELSE 'No microhomology' END AS evidence FROM mh"""
+  'MH: ' || run_length || ' bp, Ins: 0 bp' AS evidence FROM mh"""
 
 _POINTS = """SELECT sample_id, 'CE' || chrom AS collapsed_event_id, chrom, pos, sample_id || ':CE' || chrom AS cohort_event_id FROM sides"""
 

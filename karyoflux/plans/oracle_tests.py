@@ -30,7 +30,46 @@ _SHARES = f"""SELECT sample_id, unnest(['chromothripsis', 'chromoplexy', 'chromo
   CASE WHEN e1 + e2 + e3 = 0 THEN 'none' WHEN greatest(e1, e2, e3) / (e1 + e2 + e3) <= 0.5 THEN 'balanced' WHEN e1 >= e2 AND e1 >= e3 THEN 'chromothripsis' WHEN e2 >= e3 THEN 'chromoplexy' ELSE 'chromoanasynthesis' END AS dominant FROM ({_PRESENT})"""
 _GENE_SETS = "SELECT 'chromosome' AS source, 'chr' || chrom AS set_name, symbol FROM gene UNION ALL SELECT 'role', gene_type, symbol FROM gene"
 
+# Chains as all simple paths: edges of a part of translocations that the small graphs are made of, then a recursion over paths.
+_FEW = """few AS (SELECT sample_id, sv_no, chrom1, pos1, chrom2, pos2 FROM sv WHERE chrom1 <> chrom2 AND sv_no % {every} = 0),
+ends AS (SELECT sample_id, sv_no, chrom1 AS chrom, pos1 AS pos FROM few UNION ALL SELECT sample_id, sv_no, chrom2, pos2 FROM few), node AS (SELECT DISTINCT sample_id, chrom, pos FROM ends),
+lost AS (SELECT e.*, c.start AS a, c."end" AS b FROM ends e JOIN cnv c ON c.sample_id = e.sample_id AND c.chrom = e.chrom AND c.total_cn < 2 AND c.start <= e.pos + 1000000 AND c."end" >= e.pos - 1000000),
+tra AS (SELECT sample_id, chrom1 || ':' || pos1 AS x, chrom2 || ':' || pos2 AS y, 'T' AS kind, sv_no FROM few),
+bridge AS (SELECT l.sample_id, l.chrom || ':' || l.pos AS x, n.chrom || ':' || n.pos AS y, 'B' AS kind, l.sv_no FROM lost l JOIN node n ON n.sample_id = l.sample_id AND n.chrom = l.chrom AND n.pos <> l.pos AND n.pos BETWEEN a - {pad} AND b + {pad})"""
+_RATES = """total AS (SELECT sample_id, count(*) AS k FROM {ends} GROUP BY ALL),
+mu AS (SELECT t.sample_id, g.chrom, least(coalesce(n, 0) / 10, 1.0e0) * coalesce(n, 0) / (g.size / 1e6) + (1 - least(coalesce(n, 0) / 10, 1.0e0)) * k / ((SELECT sum(size) FROM genome) / 1e6) AS mu
+  FROM total t CROSS JOIN genome g LEFT JOIN (SELECT sample_id, chrom, count(*) AS n FROM {ends} GROUP BY ALL) c ON c.sample_id = t.sample_id AND c.chrom = g.chrom),
+close AS (SELECT * FROM (SELECT a.sample_id, a.chrom, a.pos, b.pos AS to_pos, b.pos - a.pos AS distance, 1 - exp((b.pos - a.pos) * -(2 * mu / 1e6 + 2 * mu * mu / 1e12 + 8 * mu * mu * mu / 3e18)) AS p FROM {node} a JOIN {node} b ON b.sample_id = a.sample_id AND b.chrom = a.chrom AND b.pos > a.pos AND b.pos - a.pos <= 10000000
+  JOIN mu m ON m.sample_id = a.sample_id AND m.chrom = a.chrom) WHERE p < 0.01)"""
+_PATHS = """steps AS (SELECT * FROM edge UNION SELECT sample_id, y, x, kind, sv_no FROM edge),
+path AS (WITH RECURSIVE walk(sample_id, nodes, svs, tra, streak) AS (
+    SELECT DISTINCT sample_id, [chrom || ':' || pos], CAST([] AS BIGINT[]), 0, 0 FROM node UNION ALL
+    SELECT w.sample_id, list_append(nodes, y), CASE WHEN sv_no IS NULL THEN svs ELSE list_append(svs, sv_no) END, tra + CAST(kind = 'T' AS INT), CASE WHEN kind = 'A' THEN streak + 1 ELSE 0 END
+    FROM walk w JOIN steps e ON e.sample_id = w.sample_id AND e.x = w.nodes[-1] WHERE len(nodes) < 10 AND NOT list_contains(nodes, y) AND NOT (kind = 'A' AND streak >= 3))
+  SELECT * FROM walk WHERE tra >= 3 AND len(list_distinct(list_transform(nodes, lambda n: string_split(n, ':')[1]))) >= 3)"""
+
 _SQL = {
+    "stat_adjacency_edges": (
+        f"""WITH ends AS (SELECT sample_id, chrom, pos FROM sides), node AS (SELECT DISTINCT sample_id, chrom, pos FROM ends), {_RATES.format(ends="ends", node="node")}
+SELECT sample_id, chrom, pos, to_pos, distance, round(p, 9) AS pvalue FROM close""", "sides", "genome"),
+    "cp_chains_small": (
+        f"""WITH {_FEW.format(pad=1000, every=4)}, near AS (SELECT sample_id, chrom, pos, unnest([lead(pos, 1) OVER w, lead(pos, 2) OVER w, lead(pos, 3) OVER w]) AS to_pos FROM node WINDOW w AS (PARTITION BY sample_id, chrom ORDER BY pos)),
+edge AS (FROM tra UNION FROM bridge UNION SELECT sample_id, chrom || ':' || pos, chrom || ':' || to_pos, 'A', NULL FROM near WHERE to_pos - pos - 1 <= 10000000), {_PATHS}
+SELECT DISTINCT sample_id, array_to_string(list_sort(list_distinct(svs)), ',') AS variants FROM path""", "sv", "cnv"),
+    # stretches of rate edges have no bound
+    "cp_rate_chains_small": (
+        f"""WITH {_FEW.format(pad=0, every=3)}, {_RATES.format(ends="ends", node="node")}, edge AS (FROM tra UNION FROM bridge UNION SELECT sample_id, chrom || ':' || pos, chrom || ':' || to_pos, 'S', NULL FROM close), {_PATHS}
+SELECT DISTINCT sample_id, array_to_string(list_sort(nodes), ',') AS nodes FROM path""", "sv", "cnv", "genome"),
+    # five blocks of 32 bases around each breakpoint, of which kept and discarded ones are cut
+    "junction_flanks": (
+        """WITH v AS (SELECT sample_id, sv_id, chrom1, pos1 // 100 AS pos1, strand1, chrom2, pos2 // 100 AS pos2, strand2 FROM sv), size AS (SELECT (max(greatest(pos1, pos2)) // 32 + 2) * 32 AS n FROM v),
+e AS (SELECT sample_id, sv_id, 1 AS side, chrom1 AS chrom, pos1 AS pos, strand1 AS strand FROM v UNION ALL SELECT sample_id, sv_id, 2, chrom2, pos2, strand2 FROM v),
+b AS (SELECT *, pos - 32 * ((pos - 1) // 32 - 2) AS i, array_to_string(list_transform(range((pos - 1) // 32 - 2, (pos - 1) // 32 + 3), lambda k: translate(md5('fa:' || chrom || ':' || k), '0123456789abcdef', 'ACGTACGTACGTACGT')), '') AS s FROM e, size),
+k AS (SELECT *, CASE WHEN strand = '+' THEN substr(s, i - 49, 50) ELSE substr(s, i, 50) END AS kept, CASE WHEN strand = '+' THEN substr(s, i + 1, 50) ELSE substr(s, i - 50, 50) END AS disc,
+  (strand = '+') = (side = 2) AS turned, CASE WHEN strand = '+' THEN pos <= n AND pos >= 50 ELSE pos + 49 <= n END AS kept_in, CASE WHEN strand = '+' THEN pos + 50 <= n ELSE pos > 50 END AS disc_in FROM b),
+t AS (SELECT sample_id, sv_id, side, chrom <> '6' AS has, CASE WHEN kept_in THEN CASE WHEN turned THEN reverse(translate(kept, 'ACGT', 'TGCA')) ELSE kept END END AS kept, CASE WHEN disc_in THEN CASE WHEN turned THEN reverse(translate(disc, 'ACGT', 'TGCA')) ELSE disc END END AS disc FROM k)
+SELECT a.sample_id, a.sv_id, a.has AND b.has AS has_sequence, CASE WHEN a.has AND b.has THEN a.kept ELSE '' END AS s1_kept, CASE WHEN a.has AND b.has THEN a.disc ELSE '' END AS s1_disc,
+  CASE WHEN a.has AND b.has THEN b.kept ELSE '' END AS s2_kept, CASE WHEN a.has AND b.has THEN b.disc ELSE '' END AS s2_disc FROM t a JOIN t b ON a.sample_id = b.sample_id AND a.sv_id = b.sv_id AND a.side = 1 AND b.side = 2""", "sv"),
     "ct_gap_tests": (
         f"""WITH g AS ({_GAPS}),
 x AS (SELECT n, s, -ln((CAST('0x' || substr(md5('1:' || n || ':' || s || ':' || i), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496) AS v FROM (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -17,8 +18,9 @@ from karyoflux.operators import chromoplexy as cp
 from karyoflux.operators import chromothripsis as ct
 from karyoflux.operators import cohort, genes, integrate, layouts, rate_chains, repair, segments, survival, variants
 from karyoflux.plans import oracle, oracle_tests, rules
+from karyoflux.runtime import scratch
 from karyoflux.sources import fixtures as fx
-from karyoflux.sources import vcf
+from karyoflux.sources import fasta, vcf
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -311,6 +313,28 @@ def cp_method_comparison(s, d):
     return rate_chains.compare_methods(sv, rate_chains.detect(sv, g, cnv), _chains(s, d), rate_chains.graph(sv, g, cnv), cp.graph(sv, cnv))
 
 
+def _few(s, d, every):
+    """A part of the translocations: graphs of some ten nodes, whose simple paths can all be listed."""
+    return variants.inter(fx.sv(s, d)).where(F.col("sv_no") % every == 0)
+
+
+_ALL_PATHS = 1_000_000  # more paths than such graphs have, so that no quota ends a search
+
+
+@query
+def cp_chains_small(s, d):
+    """The variants of each chain, where no cap of the search binds."""
+    c = cp.chains(cp.graph(_few(s, d, 4), fx.cnv(s, d)), max_paths=_ALL_PATHS)
+    return c.select("sample_id", F.array_join(F.col("sv_nos").cast("array<string>"), ",").alias("variants"))
+
+
+@query
+def cp_rate_chains_small(s, d):
+    """The nodes of each chain of the rate-based search, where no cap binds."""
+    c = rate_chains.chains(rate_chains.graph(_few(s, d, 3), genome_table(s), fx.cnv(s, d)), max_paths=_ALL_PATHS)
+    return c.select("sample_id", F.array_join(F.array_sort("nodes"), ",").alias("nodes"))
+
+
 # -- gradients --------------------------------------------------------------------------------------------------------------
 @query
 def cs_windows(s, d):
@@ -456,6 +480,23 @@ def _repair(s, d):
     return repair.classify(fx.flank(s, d), fx.sv(s, d))
 
 
+_FASTA_CHUNK, _FLANK, _SHRINK = 1000, 50, 100
+
+
+def _near(s, d):
+    """Variants at a hundredth of their positions, where a generated genome of some 250,000 bases a chromosome reaches."""
+    at = lambda c: F.expr(f"{c} div {_SHRINK}")
+    return fx.sv(s, d).withColumns({"pos1": at("pos1"), "pos2": at("pos2")})
+
+
+@query
+def junction_flanks(s, d):
+    """Sequences beside each junction, from a FASTA file that is written from digests and read again in splits and chunks."""
+    path = f"{scratch(s)}/genome-{uuid.uuid4().hex}.fa"
+    fx.fasta_lines(_near(s, d)).coalesce(1).sortWithinPartitions("chrom", "line_no").select("line").write.text(path)
+    return repair.junctions(_near(s, d), fasta.read_fasta(s, path, _FASTA_CHUNK), _FLANK, _FASTA_CHUNK)
+
+
 @query
 def microhomology(s, d):
     f = fx.flank(s, d)

@@ -48,6 +48,8 @@ def test_binomial_and_special_functions(spark):
     x = [k / 20 for k in range(300)]
     for g in spark.createDataFrame([(v,) for v in x], "x double").select("x", tails.erfc(F.col("x")).alias("e"), tails.log_gamma(F.col("x") + 0.25).alias("g"), tails.chi2_1_upper(F.col("x")).alias("c")).collect():
         assert g.e == pytest.approx(math.erfc(g.x), rel=1e-11, abs=1e-300) and g.g == pytest.approx(math.lgamma(g.x + 0.25), rel=1e-12, abs=1e-12) and g.c == pytest.approx(math.erfc(math.sqrt(g.x / 2)), rel=1e-11)
+    (g,) = spark.sql("SELECT cast(null AS double) AS x").select(tails.chi2_1_upper(F.col("x")).alias("one"), tails.chi2_3_upper(F.col("x")).alias("three"), tails.chi2_1_upper(F.lit(0.0)).alias("zero")).collect()
+    assert tuple(g) == (None, None, 1.0)
     # I_x(a, b) for whole a and b is a binomial tail; rank correlations have a half as b
     (g,) = spark.range(1).select(tails.beta_inc(F.lit(3), F.lit(5), F.lit(0.3)).alias("v"), tails.correlation_pvalue(F.lit(0.5), F.lit(12)).alias("t"), tails.correlation_pvalue(F.lit(0.5), F.lit(2)).alias("one"), tails.correlation_pvalue(F.lit(-1.0), F.lit(9)).alias("zero")).collect()
     assert g.v == pytest.approx(sum(math.comb(7, k) * 0.3**k * 0.7 ** (7 - k) for k in range(3, 8)), rel=1e-12)
@@ -147,7 +149,19 @@ def test_hazards_in_rounds_are_those_of_one_task(spark):
     assert one.keys() == many.keys() == {(f, m) for f in "ab" for m in ("univariable", "multivariable")}
     for k, r in one.items():
         assert all(many[k][c] == pytest.approx(r[c], rel=1e-9) for c in ("hazard_ratio", "conf_low", "conf_high", "pvalue", "fdr"))
-        assert (r.n, r.covariates) == ((199, "c1,c2") if k[1] == "multivariable" else (200, ""))
+        assert r.hazard_ratio is not None and (r.n, r.covariates) == ((199, "c1,c2") if k[1] == "multivariable" else (200, ""))
+
+
+def test_hazards_without_an_estimate(spark):
+    """All who have the feature die first: the estimate runs away and says nothing. A flat covariate leaves none at all."""
+    rows = [(f"s{i}", float(i + 1), 1, "a", float(i < 5)) for i in range(10)]
+    x = spark.createDataFrame(rows, "sample_id string, time double, event int, feature string, value double")
+    flat = spark.createDataFrame([(f"s{i}", 1.0) for i in range(10)], "sample_id string, c double")
+    for n in (1000, 0):
+        got = {r.model: r for r in survival.cox_tests(x, flat, fitted_in_task=n).collect()}
+        assert got["univariable"].pvalue > 0.9 and got["univariable"].hazard_ratio > 1e6
+        r = got["multivariable"]
+        assert (r.n, r.hazard_ratio, r.conf_low, r.conf_high, r.pvalue, r.fdr) == (10, None, None, None, None, None)
 
 
 def test_crossings():
