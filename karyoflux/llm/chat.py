@@ -53,19 +53,36 @@ def parsed(text: str):
     return value
 
 
-_TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
+_TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "integer": int, "number": (int, float)}
 
 
-def problems(value, schema: dict, at: str = "$") -> list[str]:
-    """What in value goes against schema, as paths with the rule; empty if nothing."""
+def _is(value, kind: str) -> bool:
+    """Whether value has a type of JSON Schema; truth values are no numbers, and 1.0 is an integer. No value has an unknown type."""
+    if kind not in _TYPES or isinstance(value, bool) and kind != "boolean":
+        return False
+    return isinstance(value, _TYPES[kind]) or kind == "integer" and isinstance(value, float) and value.is_integer()
+
+
+def _same(a, b) -> bool:
+    """Equality of JSON values: true isn't 1, and 1.0 is 1."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(a[k], b[k]) for k in a)
+    return a == b
+
+
+def problems(value, schema: dict | bool, at: str = "$") -> list[str]:
+    """What in value goes against schema, as paths with the rule; empty if nothing. type is one name or a list of them."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}:never"]
     kind = schema.get("type")
-    if kind in ("integer", "number"):
-        if isinstance(value, bool) or not isinstance(value, int if kind == "integer" else (int, float)):
-            return [f"{at}:type"]
-    elif kind is not None and not isinstance(value, _TYPES[kind]):
+    if kind is not None and not any(_is(value, k) for k in (kind if isinstance(kind, list) else [kind])):
         return [f"{at}:type"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(_same(value, x) for x in schema["enum"]):
         out.append(f"{at}:enum")
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         out += [f"{at}:{rule}" for rule, bad in (("minimum", value < schema.get("minimum", value)), ("maximum", value > schema.get("maximum", value))) if bad]

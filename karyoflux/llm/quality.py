@@ -1,13 +1,17 @@
 """Quality by co-training of two views: a classifier of the text's words and layout, and one of the page's metadata alone.
 
-Both are logistic regressions on a bounded sample of labelled rows. Over some rounds each labels a bounded pool of unlabelled
-rows, and the rows it is most sure of, as many good as bad in proportion to the labelled ones, join the other's training rows.
-How sure a view is counts after calibration, so a view that knows little has no say. At the end each view is calibrated (Platt)
-on labelled rows that neither was trained on, and a third regression on the two calibrated log-odds gives the score of every row.
-
-Only the sample and the pool are bounded, by LABELLED and POOL; features come from whole texts, and every row is scored. Null
-text counts as empty, null metadata as a value of its own. Without labels of both kinds the score is the share of good labels
-(0.5 without any). Several labels of one id count as several rows. Repeated rows get equal results; an empty table gives no rows.
+Both are logistic regressions that start from a bounded sample of labelled rows. In each round both views score all unlabelled rows, and
+the ones a view is most sure of, as many good as bad in proportion to the labelled ones, join the other's training rows as
+labelled; these are the top of all rows, found where the rows lie. How sure a view is counts after calibration, so a view that
+knows little has no say. At the end each view is calibrated (Platt) on labelled rows that neither was trained on, and a third
+regression on the two calibrated log-odds gives the score of every row. Features of whole texts are computed once and kept, sparse,
+in the scratch folder; rounds and scores read them there.
+
+Bounded are the labelled rows that start the views (LABELLED) and the rows that change sides in a round (GAIN a view); whatever is searched
+or scored is every row. Null text counts as empty, null metadata as a value of its own. Without labels of both kinds the score
+is the share of good labels (0.5 without any). Several labels of one id count as several rows. Rows with a label, a null id or an id
+that other unlabelled rows have too are scored but not exchanged; of labelled rows with one id the one with the greatest features
+teaches. Repeated rows get equal results; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,16 +20,20 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from karyoflux.llm.common import small_batches
+from karyoflux.runtime import discard, materialize
 
-#: Labelled and unlabelled rows that training uses at most; hashed buckets of words and of metadata values.
-LABELLED, POOL = 3000, 3000
+#: Labelled rows that training starts from at most; hashed buckets of words and of metadata values.
+LABELLED = 3000
 WORDS, META = 2048, 64
 #: Numbers of the text's layout, and classes of stated lengths.
 LAYOUT, LENGTHS = 7, 24
@@ -111,95 +119,157 @@ class Views:
     both: np.ndarray
     share: float = 0.5
 
-    def predict(self, at: np.ndarray, values: np.ndarray, meta: np.ndarray) -> tuple[float, float, float]:
-        if self.text is None:
-            return self.share, self.share, self.share
-        a = float(np.clip(self.text[at] @ values + self.text[-1], -30, 30)) * self.text_scale[0] + self.text_scale[1]
-        b = float(np.clip(meta @ self.meta, -30, 30)) * self.meta_scale[0] + self.meta_scale[1]
-        c = a * self.both[0] + b * self.both[1] + self.both[2]
-        return _p(a), _p(b), _p(c)
-
-
-def _p(odds: float) -> float:
-    return float(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
-
-
-def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, ut: np.ndarray, um: np.ndarray, rounds: int = ROUNDS, gain: int = GAIN, sure: float = SURE) -> Views:
-    """Views from labelled rows (xt, xm, y) and a pool (ut, um); every fourth labelled row only calibrates."""
-    share = float(y.mean()) if len(y) else 0.5
-    hold = np.arange(len(y)) % 4 == 3
-    if len(set(y[~hold])) < 2 or len(set(y[hold])) < 2:
-        return Views(None, None, np.ones(2), np.ones(2), np.ones(3), share)
-    own = {"t": (xt[~hold], y[~hold], np.ones((~hold).sum())), "m": (xm[~hold], y[~hold], np.ones((~hold).sum()))}
-    pool = {"t": ut, "m": um}
-    base = {"t": xt, "m": xm}
-    free = {"t": np.ones(len(ut), bool), "m": np.ones(len(ut), bool)}
-    for _ in range(rounds):
-        beta = {k: logistic(*own[k]) for k in own}
-        for k, other in (("t", "m"), ("m", "t")):
-            slope, shift = _calibrated(_odds(base[k][hold], beta[k]), y[hold])
-            p = 1 / (1 + np.exp(-(_odds(pool[k], beta[k]) * slope + shift)))
-            good = [i for i in np.argsort(-p, kind="stable") if free[other][i] and p[i] >= sure]
-            bad = [i for i in np.argsort(p, kind="stable") if free[other][i] and p[i] <= 1 - sure]
-            total = min(float(gain), len(good) / share, len(bad) / (1 - share))
-            for label, chosen in ((1.0, good[: round(total * share)]), (0.0, bad[: round(total * (1 - share))])):
-                free[other][chosen] = False
-                x, yy, w = own[other]
-                own[other] = np.vstack([x, pool[other][chosen]]), np.append(yy, np.full(len(chosen), label)), np.append(w, np.full(len(chosen), 0.5))
-    beta = {k: logistic(*own[k]) for k in own}
-    odds = {k: _odds(base[k][hold], beta[k]) for k in own}
-    scale = {k: _calibrated(odds[k], y[hold]) for k in own}
-    z = np.column_stack([odds["t"] * scale["t"][0] + scale["t"][1], odds["m"] * scale["m"][0] + scale["m"][1], np.ones(hold.sum())])
-    both = logistic(z, y[hold], np.ones(hold.sum()), 300, 1e-3, 0.1)
-    return Views(beta["t"], beta["m"], scale["t"], scale["m"], both, share)
-
-
-_FEATURES = "struct<at: array<long>, share: array<double>, meta: array<double>>"
-
-
-def _sample(docs: DataFrame, ids: DataFrame) -> pd.DataFrame:
-    """Features of the documents whose ids are in a bounded table."""
 
-    @F.pandas_udf(_FEATURES)
-    def features(text: pd.Series, lang: pd.Series, source: pd.Series, n: pd.Series) -> pd.DataFrame:
-        rows = [(*text_features(t), meta_features(a, s, c)) for t, a, s, c in zip(text, lang, source, n, strict=True)]
-        return pd.DataFrame(rows, columns=["at", "share", "meta"])
+def text_width() -> int:
+    return WORDS + LAYOUT + 1
 
-    found = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "label", features("text", "lang", "source", "n_chars").alias("f"))
-    return found.select("doc_id", "label", "f.*").orderBy("doc_id", "label").toPandas()
 
+def meta_width() -> int:
+    return META + LENGTHS + 3
 
-def _matrices(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    x = np.zeros((len(pdf), WORDS + LAYOUT + 1))
-    x[:, -1] = 1.0
-    for k, (at, share) in enumerate(zip(pdf["at"], pdf["share"], strict=True)):
-        x[k, np.asarray(at, np.int64)] = share
-    return x, np.array([np.asarray(m) for m in pdf["meta"]]).reshape(len(pdf), META + LENGTHS + 3)
 
+class Training:
+    """The training rows of both views, "t" and "m", and what comes of them. Every fourth labelled row only calibrates."""
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Views:
-    """Views from docs (doc_id, text, lang, source, n_chars) and labels (doc_id, label 0 or 1): the rows with the least hashes."""
-    known = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("double").alias("label"))
-    first = known.orderBy(F.xxhash64("doc_id", F.lit("labelled")), "doc_id", "label").limit(labelled)
-    others = docs.where(F.col("doc_id").isNotNull()).select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti")
-    others = others.orderBy(F.xxhash64("doc_id", F.lit("pool")), "doc_id").limit(pool).withColumn("label", F.lit(None).cast("double"))
-    a = _sample(docs, first)
-    b = _sample(docs, others)
-    xt, xm = _matrices(a)
-    ut, um = _matrices(b)
-    return co_train(xt, xm, a["label"].to_numpy(), ut, um, rounds)
-
-
-def score(docs: DataFrame, views: Views) -> DataFrame:
-    """doc_id, p_text, p_meta, score for every row of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(views)
+    def __init__(self, xt: np.ndarray, xm: np.ndarray, y: np.ndarray) -> None:
+        self.share = float(y.mean()) if len(y) else 0.5
+        hold = np.arange(len(y)) % 4 == 3
+        self.possible = len(set(y[~hold])) == 2 and len(set(y[hold])) == 2
+        self.known = y[hold]
+        self.held = {"t": xt[hold], "m": xm[hold]}
+        self.own = {k: (x[~hold], y[~hold], np.ones((~hold).sum())) for k, x in (("t", xt), ("m", xm))}
+
+    def fitted(self) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """Weights and calibration (slope, shift) of each view."""
+        beta = {k: logistic(*rows) for k, rows in self.own.items()}
+        return {k: (b, _calibrated(_odds(self.held[k], b), self.known)) for k, b in beta.items()}
+
+    def give(self, view: str, x: np.ndarray, label: float) -> None:
+        """Rows that the other view is sure of; they weigh half."""
+        old, y, w = self.own[view]
+        self.own[view] = np.vstack([old, x]), np.append(y, np.full(len(x), label)), np.append(w, np.full(len(x), 0.5))
+
+    def views(self) -> Views:
+        if not self.possible:
+            return Views(None, None, np.ones(2), np.ones(2), np.ones(3), self.share)
+        (text, text_scale), (meta, meta_scale) = (self.fitted()[k] for k in "tm")
+        z = np.column_stack([_odds(self.held["t"], text) * text_scale[0] + text_scale[1], _odds(self.held["m"], meta) * meta_scale[0] + meta_scale[1], np.ones(len(self.known))])
+        return Views(text, meta, text_scale, meta_scale, logistic(z, self.known, np.ones(len(self.known)), 300, 1e-3, 0.1), self.share)
+
+
+def numbers(share: float, good: int, bad: int, gain: int) -> tuple[int, int]:
+    """How many good and bad rows change sides: as the labelled ones are mixed, gain at most, as far as both kinds reach."""
+    total = min(float(gain), good / share, bad / (1 - share))
+    return round(total * share), round(total * (1 - share))
+
+
+# -- features kept as sparse rows -------------------------------------------------------------------------------------------
+_FEATURES = "struct<at: array<smallint>, share: array<float>, meta_at: array<smallint>, meta_share: array<float>>"
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """(doc_id, at, share, meta_at, meta_share) of every row of docs, written to the scratch folder."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("struct<p_text: double, p_meta: double, score: double>")
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        v = sent.value
-        for text, lang, source, n in batches:
-            rows = [v.predict(*text_features(t), meta_features(a, s, c)) for t, a, s, c in zip(text, lang, source, n, strict=True)]
-            yield pd.DataFrame(rows, columns=["p_text", "p_meta", "score"])
+    @F.pandas_udf(_FEATURES)
+    def run(text: pd.Series, lang: pd.Series, source: pd.Series, n: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, a, s, c in zip(text, lang, source, n, strict=True):
+            at, share = text_features(t)
+            meta = meta_features(a, s, c)
+            some = np.flatnonzero(meta)
+            rows.append((at.astype(np.int16), share.astype(np.float32), some.astype(np.int16), meta[some].astype(np.float32)))
+        return pd.DataFrame(rows, columns=["at", "share", "meta_at", "meta_share"])
+
+    kept = docs.select("doc_id", run("text", "lang", "source", "n_chars").alias("_f")).select("doc_id", "_f.*")
+    return materialize(kept, "quality-features")
+
+
+def _dense(at: list, share: list, width: int) -> np.ndarray:
+    """Rows of a width whose last place is one."""
+    x = np.zeros((len(at), width))
+    x[:, -1] = 1.0
+    for k, (i, v) in enumerate(zip(at, share, strict=True)):
+        x[k, np.asarray(i, np.int64)] = v
+    return x
+
+
+def _matrices(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    return _dense([r["at"] for r in rows], [r["share"] for r in rows], text_width()), _dense([r["meta_at"] for r in rows], [r["meta_share"] for r in rows], meta_width())
+
+
+def _rows_of(kept: DataFrame, ids: list) -> dict:
+    """Features by id, of a bounded list of ids; of rows with one id the greatest."""
+    if not ids:
+        return {}
+    wanted = F.broadcast(kept.sparkSession.createDataFrame([(i,) for i in ids], kept.select("doc_id").schema))
+    one = kept.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("at", "share", "meta_at", "meta_share")).alias("f"))
+    return {r["doc_id"]: r["f"] for r in one.collect()}
+
+
+def _linear(at: pa.ListArray, share: pa.ListArray, beta: np.ndarray, add: float) -> np.ndarray:
+    """Rows times weights. No row is empty: layout and a constant are always there."""
+    ends = np.asarray(at.offsets)
+    products = beta[at.flatten().to_numpy()] * share.flatten().to_numpy()
+    return np.clip(np.add.reduceat(products, ends[:-1] - ends[0]) + add if len(at) else np.empty(0), -30, 30)
 
-    return docs.select("doc_id", run("text", "lang", "source", "n_chars").alias("_p")).select("doc_id", "_p.*")
+
+def _log_odds(kept: DataFrame, models: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(doc_id, t, m): calibrated log-odds of both views for every row."""
+    (text, ts), (meta, ms) = models["t"], models["m"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t, m = _linear(b.column(1), b.column(2), text, text[-1]), _linear(b.column(3), b.column(4), meta, 0.0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(t * ts[0] + ts[1]), pa.array(m * ms[0] + ms[1])], names=["doc_id", "t", "m"])
+
+    shape = kept.select("doc_id").schema.add("t", DoubleType()).add("m", DoubleType())
+    return kept.select("doc_id", "at", "share", "meta_at", "meta_share").mapInArrow(run, shape)
+
+
+def train(kept: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, gain: int = GAIN, sure: float = SURE) -> Views:
+    """Views from features() of documents and labels (doc_id, label 0 or 1); the labelled rows are those with the least hashes."""
+    known = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("double").alias("label"))
+    first = known.join(kept.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit("labelled")), "doc_id", "label").limit(labelled).collect()
+    first.sort(key=lambda r: (r["doc_id"], r["label"]))
+    by_id = _rows_of(kept, list({r["doc_id"] for r in first}))
+    state = Training(*_matrices([by_id[r["doc_id"]] for r in first]), np.array([r["label"] for r in first], dtype=float))
+    given: dict[str, list] = {"t": [], "m": []}
+    limit = float(np.log(sure / (1 - sure)))
+    for _ in range(rounds if state.possible else 0):
+        odds = _log_odds(kept, state.fitted()).where(F.col("doc_id").isNotNull())
+        alone = odds.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("t").alias("t"), F.max("m").alias("m")).where("n = 1")
+        free = alone.join(labels.select("doc_id"), "doc_id", "left_anti").where((F.abs("t") >= limit) | (F.abs("m") >= limit))
+        free = materialize(free.select("doc_id", "t", "m"), "quality-free")
+        tops = []
+        for view, other in (("t", "m"), ("m", "t")):
+            own = free.where(~F.col("doc_id").isin(given[other])) if given[other] else free
+            for good in (1, -1):
+                order = F.col(view) * -good
+                tops.append(own.where(order <= -limit).orderBy(order, "doc_id").limit(gain).select("doc_id", order.alias("order"), F.lit(other).alias("to"), F.lit(good).alias("good")))
+        lists: dict[tuple, list] = {}
+        for r in sorted(reduce(DataFrame.union, tops).collect(), key=lambda r: (r["order"], r["doc_id"])):
+            lists.setdefault((r["to"], r["good"]), []).append(r["doc_id"])
+        discard(free)
+        chosen = {}
+        for to in "mt":
+            good, bad = lists.get((to, 1), []), lists.get((to, -1), [])
+            n = numbers(state.share, len(good), len(bad), gain)
+            chosen[to] = (good[: n[0]], bad[: n[1]])
+        found = _rows_of(kept, list({i for pair in chosen.values() for ids in pair for i in ids}))
+        for to, pair in chosen.items():
+            for label, ids in zip((1.0, 0.0), pair, strict=True):
+                if ids:
+                    state.give(to, _matrices([found[i] for i in ids])[to == "m"], label)
+                    given[to] += ids
+    return state.views()
+
+
+def score(kept: DataFrame, views: Views) -> DataFrame:
+    """(doc_id, p_text, p_meta, score) for every row of features()."""
+    p = lambda c: 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), c))))
+    if views.text is None:
+        return kept.select("doc_id", *[F.lit(views.share).alias(n) for n in ("p_text", "p_meta", "score")])
+    odds = _log_odds(kept, {"t": (views.text, views.text_scale), "m": (views.meta, views.meta_scale)})
+    both = F.col("t") * float(views.both[0]) + F.col("m") * float(views.both[1]) + float(views.both[2])
+    return odds.select("doc_id", p(F.col("t")).alias("p_text"), p(F.col("m")).alias("p_meta"), p(both).alias("score"))

@@ -58,9 +58,9 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's probability of being good by both views and by their combination, and whether it is kept."""
-    docs = table(spark, sf_dir, "documents")
-    views = quality.train(docs, table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")))
-    return quality.score(docs, views).withColumn("kept", F.col("score") >= 0.5)
+    kept = quality.features(table(spark, sf_dir, "documents"))
+    views = quality.train(kept, table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")))
+    return quality.score(kept, views).withColumn("kept", F.col("score") >= 0.5)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ def docs(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(rows, DOCS)
-    return df.withColumns({c: F.lit("clash") for c in ("keep_id", "rid", "fp", "size", "score", "_row_id", "lang_pred", "ids_le")})
+    return df.withColumns({c: F.lit("clash") for c in ("keep_id", "rid", "fp", "size", "score", "_row_id", "lang_pred", "ids_le", "label", "at", "t")})
 
 
 @pytest.fixture(scope="session")

@@ -450,16 +450,74 @@ def test_audio_round_trip(docs, empty, codec):
     assert audio.telephone(empty).count() == 0
 
 
+def co_train(xt, xm, y, ut, um, rounds=quality.ROUNDS, gain=quality.GAIN, sure=quality.SURE):
+    """The whole of co-training over rows in memory, in plain steps: (views, the pool's rows that each view was given with labels)."""
+    state, pool, given = quality.Training(xt, xm, y), {"t": ut, "m": um}, {"t": {}, "m": {}}
+    for _ in range(rounds if state.possible else 0):
+        fitted = state.fitted()
+        moves = []
+        for view, other in (("t", "m"), ("m", "t")):
+            beta, (slope, shift) = fitted[view]
+            odds = [float(np.clip(x @ beta, -30, 30)) * slope + shift for x in pool[view]]
+            p = [1 / (1 + math.exp(-o)) for o in odds]
+            good = sorted((i for i in range(len(p)) if i not in given[other] and p[i] >= sure), key=lambda i: (-odds[i], i))
+            bad = sorted((i for i in range(len(p)) if i not in given[other] and p[i] <= 1 - sure), key=lambda i: (odds[i], i))
+            total = min(gain, len(good) / state.share, len(bad) / (1 - state.share))
+            moves += [(other, 1.0, good[: round(total * state.share)]), (other, 0.0, bad[: round(total * (1 - state.share))])]
+        for to, label, ids in moves:
+            if ids:
+                state.give(to, pool[to][ids], label)
+                given[to].update(dict.fromkeys(ids, label))
+    return state.views(), given
+
+
 def test_co_training():
     r = np.random.default_rng(1)
     y = r.integers(0, 2, 160).astype(float)
     view = lambda y, d: np.column_stack([y[:, None] * 1.5 + r.normal(size=(len(y), d)), np.ones(len(y))])
     u, t = r.integers(0, 2, 800).astype(float), r.integers(0, 2, 600).astype(float)
-    v = quality.co_train(view(y, 3), view(y, 3), y, view(u, 3), view(u, 3))
+    v, given = co_train(view(y, 3), view(y, 3), y, view(u, 3), view(u, 3))
     xt, xm = view(t, 3), view(t, 3)
     p = np.array([v.both[0] * (a @ v.text * v.text_scale[0] + v.text_scale[1]) + v.both[1] * (b @ v.meta * v.meta_scale[0] + v.meta_scale[1]) + v.both[2] for a, b in zip(xt, xm, strict=True)])
     assert ((p > 0) == (t == 1)).mean() > 0.93
-    assert quality.co_train(view(y, 3), view(y, 3), np.ones(160), view(u, 3), view(u, 3)).predict(np.empty(0, int), np.empty(0), np.zeros(4)) == (1.0, 1.0, 1.0)
+    assert min(map(len, given.values())) > 50 and all(np.mean([u[i] == label for i, label in g.items()]) > 0.9 for g in given.values())  # what is exchanged is right
+    assert co_train(view(y, 3), view(y, 3), np.ones(160), view(u, 3), view(u, 3))[0].share == 1.0
+
+
+def test_co_training_of_tables_is_that_of_memory(spark):
+    """Metadata that tells quality in most rows, so that both views have something to say."""
+    r = random.Random(8)
+    rows, truth = [], {}
+    for i in range(700):
+        good = r.random() < 0.6
+        text = " ".join(r.choice(["alpha", "beta", "gamma", "delta"] if good == (r.random() < 0.85) else ["spam", "win", "cash", "pills"]) for _ in range(r.randrange(3, 30)))
+        rows.append((i, text, r.choice(["en", "de"]), r.choice("abc" if good == (r.random() < 0.9) else "xyz"), len(text)))
+        truth[i] = float(good)
+    labels = [(i, truth[i]) for i in range(0, 700, 5)] + [(5, truth[5]), (9999, 1.0), (None, 0.0), (3, None)]
+    repeated = [rows[11], rows[12], (None, "alpha beta", "en", "a", 10)]  # these ids name no row, and are not exchanged
+    docs = spark.createDataFrame(rows + repeated, "doc_id long, text string, lang string, source string, n_chars long").repartition(5).withColumn("label", F.lit("clash"))
+    kept = quality.features(docs)
+    views = quality.train(kept, spark.createDataFrame(labels, "doc_id long, label double"), rounds=3, gain=40, sure=0.8)
+
+    def matrices(ids):
+        x = np.zeros((len(ids), quality.text_width()))
+        x[:, -1] = 1
+        for k, i in enumerate(ids):
+            at, share = quality.text_features(rows[i][1])
+            x[k, at] = share.astype(np.float32)
+        return x, np.array([quality.meta_features(*rows[i][2:]).astype(np.float32).astype(float) for i in ids])
+
+    known = sorted((i, y) for i, y in labels if i is not None and y is not None and i < 700)
+    pool = [i for i in range(700) if i % 5 and i not in (3, 11, 12)]
+    plain, given = co_train(*matrices([i for i, _ in known]), np.array([y for _, y in known]), *matrices(pool), rounds=3, gain=40, sure=0.8)
+    assert len(given["t"]) > 20 and len(given["m"]) > 20
+    for name in ("text", "meta", "text_scale", "meta_scale", "both"):
+        assert np.allclose(getattr(views, name), getattr(plain, name), atol=1e-6), name
+    got = quality.score(kept, views).collect()
+    area = lambda c: np.mean([g[c] > b[c] for g in got if truth.get(g.doc_id) == 1 for b in got if truth.get(b.doc_id) == 0])
+    assert len(got) == 703 and area("score") > 0.95 and area("p_meta") > 0.75
+    none = quality.train(kept, spark.createDataFrame([], "doc_id long, label double"))
+    assert {g.score for g in quality.score(kept, none).collect()} == {0.5}
 
 
 @pytest.mark.parametrize("strong", [0.0, 0.4, 1.5])
@@ -474,7 +532,7 @@ def test_rounds_do_not_hurt(strong):
         rank = np.argsort(np.argsort(p)) + 1
         return (rank[t == 1].sum() - t.sum() * (t.sum() + 1) / 2) / (t.sum() * (len(t) - t.sum()))
 
-    got = {n: quality.co_train(*sides[0], y, *sides[1], rounds=n) for n in (0, 4)}
+    got = {n: co_train(*sides[0], y, *sides[1], rounds=n)[0] for n in (0, 4)}
     for k, beta in ((0, "text"), (1, "meta")):
         before, after = (area(sides[2][k] @ getattr(got[n], beta)) for n in (0, 4))
         assert after >= before - 0.01
@@ -484,19 +542,24 @@ def test_metadata_view_never_sees_the_text(spark):
     rows = [(1, "good words", "en", "a", 10), (2, "12 !! OTHER\nlines", "en", "a", 10), (3, None, "en", "a", 10)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, label int")
     train = spark.createDataFrame([(i, f"word{i % 2} " * 5, "en" if i % 2 else "de", "s", i) for i in range(1, 40)], "doc_id long, text string, lang string, source string, n_chars long")
-    views = quality.train(train, labels)
-    assert len({r.p_meta for r in quality.score(spark.createDataFrame(rows, train.schema), views).collect()}) == 1
+    views = quality.train(quality.features(train), labels)
+    assert len({r.p_meta for r in quality.score(quality.features(spark.createDataFrame(rows, train.schema)), views).collect()}) == 1
 
 
 def test_quality_rows(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1), (7, 0), (9, None)], "doc_id long, label int")
-    views = quality.train(docs.drop("score"), labels)
-    assert quality.score(docs.drop("score"), views).count() == docs.count() and quality.score(empty.drop("score"), views).count() == 0
+    kept = quality.features(docs)
+    views = quality.train(kept, labels)
+    assert quality.score(kept, views).count() == docs.count() and quality.score(quality.features(empty), views).count() == 0
+    assert quality.score(quality.features(empty), quality.train(quality.features(empty), labels.limit(0))).count() == 0
 
 
 def test_schema_problems():
     s = {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": "integer", "minimum": 1}, "b": {"type": "array", "items": {"enum": ["x"]}}}}
     assert chat.problems({"a": 1, "b": ["x"]}, s) == [] and chat.problems({"a": True}, s) == ["$.a:type"]
+    assert chat.problems(None, {"type": ["integer", "null"]}) == [] and chat.problems(2.0, {"type": ["integer", "null"]}) == [] and chat.problems("x", {"type": ["integer", "null"]}) == ["$:type"]
+    assert chat.problems(1, {"type": "decimal"}) == ["$:type"] and chat.problems(True, {"enum": [1]}) == ["$:enum"] and chat.problems([1.0, {"a": 0}], {"enum": [[1, {"a": 0}]]}) == [] and chat.problems([False], {"enum": [[0]]}) == ["$:enum"]
+    assert chat.problems(1, False) == ["$:never"] and chat.problems({"a": 1}, {"properties": {"a": True}}) == []
     assert chat.problems({"b": ["y"], "c": 0}, s) == ["$.a:required", "$.c:unknown", "$.b[0]:enum"] and chat.problems({"a": 0}, s) == ["$.a:minimum"]
 
 
