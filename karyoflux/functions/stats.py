@@ -84,19 +84,3 @@ def cox(time: np.ndarray, event: np.ndarray, x: np.ndarray, rounds: int = 30) ->
         if settled:
             break
     return cox_result(beta, info, sd)
-
-
-def longest_run(v: np.ndarray) -> int:
-    best = now = 0
-    for x in v:
-        now = now + 1 if x else 0
-        best = max(best, now)
-    return best
-
-
-def oscillation_permutation(cn: np.ndarray, cutoff: int = 2, times: int = 5000, seed: int = 1) -> float:
-    """Share of shuffles of the segments whose oscillating run is at least the observed one."""
-    cn = np.round(cn)
-    step = lambda c: longest_run(np.abs(c[:-2] - c[2:]) <= cutoff - 2) if len(c) > 2 else 0
-    seen, rng = step(cn), np.random.default_rng(seed)
-    return float(np.mean([step(rng.permutation(cn)) >= seen for _ in range(times)]))

@@ -242,7 +242,8 @@ def detect_germline(sv: DataFrame, cnv: DataFrame | None = None, window: int = 1
 
 
 def ordered(c: DataFrame) -> DataFrame:
-    return c.orderBy("sample_id", F.desc("combined_score"), "chain_id")
+    """c with its place in the sample, by combined score; in that order."""
+    return c.withColumn("place", F.row_number().over(Window.partitionBy("sample_id").orderBy(F.desc("combined_score"), "chain_id"))).orderBy("sample_id", "place")
 
 
 def diagnose(c: DataFrame) -> DataFrame:

@@ -325,9 +325,10 @@ def classify(c: DataFrame) -> DataFrame:
 
 
 def ordered(c: DataFrame) -> DataFrame:
-    """By class, then score."""
+    """c with its place in the sample, by class, then score; in that order."""
     rank = F.when(F.col("classification") == "High confidence", 1).when(F.col("classification") == "Low confidence", 2).otherwise(3)
-    return c.orderBy("sample_id", rank, F.desc("confidence_score"), "chrom")
+    place = F.row_number().over(Window.partitionBy("sample_id").orderBy(rank, F.desc("confidence_score"), "chrom"))
+    return c.withColumn("place", place).orderBy("sample_id", "place")
 
 
 def diagnose(c: DataFrame, joins_p: float = 0.05, clustering_p: float = 0.05) -> DataFrame:

@@ -85,7 +85,7 @@ def microhomology_histogram(repair: DataFrame) -> DataFrame:
 
 
 def format_position(pos):
-    """Text in Mb, kb or bases."""
+    """Text in Mb, Kb or bases; ties are rounded up."""
     return F.when(pos >= 1_000_000, F.format_string("%.2f Mb", pos / 1e6)).when(pos >= 1000, F.format_string("%.1f Kb", pos / 1e3)).otherwise(F.concat(pos.cast("string"), F.lit(" bp")))
 
 

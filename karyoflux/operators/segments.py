@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from karyoflux.functions.tails import bound
+
 KEYS = ["sample_id", "chrom"]
 
 
@@ -37,6 +39,26 @@ def longest_runs(cnv: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return out.withColumn("osc2", F.when(enough, F.col("osc2"))).withColumn("osc3", F.when(enough, F.col("osc3")))
 
 
+def oscillation_test(cnv: DataFrame, cutoff: int = 2, times: int = 5000, seed: int = 1, keys: list[str] = KEYS) -> DataFrame:
+    """keys, n_segments, observed and pvalue: the share of shuffles of the rounded copy numbers whose longest oscillating run (steps of
+    two segments that differ by at most cutoff - 2) is at least the observed one.
+
+    Shuffles are orders of digests of (seed, shuffle, segment), so that any engine draws the same ones; each is a row of its own.
+    """
+    cn = cnv.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("start", "seg_no", F.bround("total_cn", 0).alias("v")))), lambda x: x["v"]).alias("cn"))  # a chromosome's segments
+
+    def run(v):
+        steps = F.transform(F.sequence(F.lit(1), F.greatest(F.size(v) - 2, F.lit(1))), lambda i: F.abs(F.try_element_at(v, i) - F.try_element_at(v, i + 2)) <= cutoff - 2)
+        count = lambda s, x: F.struct(F.when(x, s["now"] + 1).otherwise(0).alias("now"), F.when(x, F.greatest(s["best"], s["now"] + 1)).otherwise(s["best"]).alias("best"))
+        return F.aggregate(steps, F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")), count, lambda s: s["best"])
+
+    x = cn.withColumn("observed", run(F.col("cn"))).withColumn("time", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    digest = lambda i: F.md5(F.concat_ws(":", F.lit(seed), F.col("time").cast("string"), i.cast("string")))
+    shuffled = F.transform(F.array_sort(F.transform("cn", lambda v, i: F.struct(digest(i).alias("d"), v.alias("v")))), lambda y: y["v"])
+    x = x.withColumn("drawn", bound(shuffled, run))
+    return x.groupBy(*keys).agg(F.max(F.size("cn")).alias("n_segments"), F.max("observed").alias("observed"), F.avg((F.col("drawn") >= F.col("observed")).cast("int")).alias("pvalue"))
+
+
 def segments_of(clusters: DataFrame, cnv: DataFrame) -> DataFrame:
     """The segments of each cluster (sample_id, chrom, start, end): from the last that starts at or before its start (else the
     first after it) to the first that ends at or after its end (else the last before it); none if that is no range."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from karyoflux.model import CENTROMERES
 from karyoflux.plans import oracle
 
 _HITS = """SELECT DISTINCT b.sample_id, g.symbol FROM bps b JOIN gene g ON b.chrom = g.chrom AND b.pos + 1000 >= g.start AND b.pos - 1000 <= g."end" """
@@ -30,6 +31,12 @@ _SHARES = f"""SELECT sample_id, unnest(['chromothripsis', 'chromoplexy', 'chromo
   CASE WHEN e1 + e2 + e3 = 0 THEN 'none' WHEN greatest(e1, e2, e3) / (e1 + e2 + e3) <= 0.5 THEN 'balanced' WHEN e1 >= e2 AND e1 >= e3 THEN 'chromothripsis' WHEN e2 >= e3 THEN 'chromoplexy' ELSE 'chromoanasynthesis' END AS dominant FROM ({_PRESENT})"""
 _GENE_SETS = "SELECT 'chromosome' AS source, 'chr' || chrom AS set_name, symbol FROM gene UNION ALL SELECT 'role', gene_type, symbol FROM gene"
 
+# two-sided p of a rank correlation rho with df = n - 2, by the finite sums for even and odd degrees of freedom
+_RHO_P = """CASE WHEN rho IS NULL AND n_segments >= 3 THEN NULL WHEN n_segments < 3 THEN 1.0 WHEN abs(rho) >= 1 THEN 0.0 ELSE round(1 - CASE WHEN df % 2 = 0 THEN
+    abs(rho) * list_sum(list_transform(range(0, df // 2), lambda k: exp(lgamma(k + 0.5e0) - lgamma(0.5e0) - lgamma(k + 1.0e0)) * pow(1 - rho * rho, k)))
+  ELSE 2 / pi() * (asin(abs(rho)) + CASE WHEN df = 1 THEN 0.0e0 ELSE abs(rho) * sqrt(1 - rho * rho) * list_sum(list_transform(range(0, (df - 1) // 2), lambda k: exp(lgamma(k + 1.0e0) + lgamma(1.5e0) - lgamma(k + 1.5e0)) * pow(1 - rho * rho, k))) END) END, 9) + 0.0 END"""
+_WINDOWS = oracle.text("cs_windows").replace("round(rho, 6) + 0.0 END", "rho END").replace("round(slope, 6) + 0.0 AS slope", "slope").replace("round(CASE WHEN cn_mean > 0 THEN jumps / cn_mean ELSE 0.0 END, 6)", "CASE WHEN cn_mean > 0 THEN jumps / cn_mean ELSE 0.0 END")
+
 # Chains as all simple paths: edges of a part of translocations that the small graphs are made of, then a recursion over paths.
 _FEW = """few AS (SELECT sample_id, sv_no, chrom1, pos1, chrom2, pos2 FROM sv WHERE chrom1 <> chrom2 AND sv_no % {every} = 0),
 ends AS (SELECT sample_id, sv_no, chrom1 AS chrom, pos1 AS pos FROM few UNION ALL SELECT sample_id, sv_no, chrom2, pos2 FROM few), node AS (SELECT DISTINCT sample_id, chrom, pos FROM ends),
@@ -90,12 +97,39 @@ cells AS ({_ALL_CELLS.format("ns")}) SELECT n, squares, round(ln(least(1.0, sum(
     SELECT h.*, t.n, g.size / (SELECT sum(size) FROM genome) AS w FROM (SELECT sample_id, chrom, count(DISTINCT sv_id) AS x FROM sides GROUP BY ALL) h
     JOIN (SELECT sample_id, count(*) AS n FROM sv WHERE chrom1 <> chrom2 GROUP BY ALL) t USING (sample_id) JOIN genome g USING (chrom)))""", "sides", "sv", "genome"),
     "ct_degrees": ("""SELECT sample_id, chrom1 AS chrom, sv_id, (SELECT count(*) FROM pair p WHERE p.sample_id = sv.sample_id AND (p.a = sv.sv_id OR p.b = sv.sv_id)) AS degree FROM sv WHERE chrom1 = chrom2""", "sv", "pair"),
-    # two-sided t by the finite sums for even and odd degrees of freedom
     "cs_window_tests": (
-        f"""SELECT sample_id, chrom, win_size, start_idx, n_segments, round(rho, 9) + 0.0 AS gradient_correlation, CASE WHEN rho IS NULL AND n_segments >= 3 THEN NULL WHEN n_segments < 3 THEN 1.0 WHEN abs(rho) >= 1 THEN 0.0 ELSE round(1 - CASE WHEN df % 2 = 0 THEN
-    abs(rho) * list_sum(list_transform(range(0, df // 2), lambda k: exp(lgamma(k + 0.5e0) - lgamma(0.5e0) - lgamma(k + 1.0e0)) * pow(1 - rho * rho, k)))
-  ELSE 2 / pi() * (asin(abs(rho)) + CASE WHEN df = 1 THEN 0.0e0 ELSE abs(rho) * sqrt(1 - rho * rho) * list_sum(list_transform(range(0, (df - 1) // 2), lambda k: exp(lgamma(k + 1.0e0) + lgamma(1.5e0) - lgamma(k + 1.5e0)) * pow(1 - rho * rho, k))) END) END, 9) + 0.0 END AS pvalue
+        f"""SELECT sample_id, chrom, win_size, start_idx, n_segments, round(rho, 9) + 0.0 AS gradient_correlation, {_RHO_P} AS pvalue
 FROM (SELECT * EXCLUDE (gradient_correlation), gradient_correlation AS rho, n_segments - 2 AS df FROM ({oracle.text("cs_windows").replace("round(rho, 6) + 0.0 END", "rho END")}))""", "cnv", "frame"),
+    "cs_candidates": (
+        f"""SELECT sample_id, chrom, win_size, start_idx, n_segments FROM (SELECT *, coalesce({_RHO_P}, 1.0) AS p FROM (SELECT *, gradient_correlation AS rho, n_segments - 2 AS df, variation_score AS v FROM ({_WINDOWS})))
+WHERE (coalesce(n_segments >= 6 AND p < 0.05 AND rho > 0.3, false) OR coalesce(rho >= 0.8, false) OR coalesce(rho > 0.3 AND v > 1.8, false)) AND (slope > 0.05 OR v > 2.0)""", "cnv", "frame"),
+    "cs_topology": (
+        """WITH r AS (SELECT sample_id, sv_no AS region_id, chrom1 AS chrom, pos1 AS start, pos1 + 500000 + (sv_no * 7919 % 4000) * 1000 - 1 AS "end" FROM sv WHERE sv_no // 6 % 3 = 2),
+i AS (SELECT r.sample_id, r.region_id, s.sv_no, s.svtype, s.pos1, s.pos2 FROM r JOIN sv s ON s.sample_id = r.sample_id AND s.chrom1 = r.chrom AND s.chrom2 = r.chrom AND s.pos1 BETWEEN r.start AND r."end" AND s.pos2 BETWEEN r.start AND r."end"),
+e AS (SELECT sample_id, region_id, sv_no, unnest([pos1, pos2]) AS pos FROM i), n AS (SELECT *, lead(pos) OVER w AS next_pos, lead(sv_no) OVER w AS next_no FROM e WINDOW w AS (PARTITION BY sample_id, region_id ORDER BY pos, sv_no)),
+l AS (SELECT sample_id, region_id, sv_no AS a, next_no AS b FROM n WHERE next_pos - pos - 1 <= 2000 UNION SELECT sample_id, region_id, next_no, sv_no FROM n WHERE next_pos - pos - 1 <= 2000),
+c AS (SELECT sample_id, region_id, sv_no, min(root) AS root FROM (WITH RECURSIVE reach(sample_id, region_id, sv_no, root) AS (SELECT sample_id, region_id, sv_no, sv_no FROM i UNION
+  SELECT q.sample_id, q.region_id, l.b, q.root FROM reach q JOIN l ON l.sample_id = q.sample_id AND l.region_id = q.region_id AND l.a = q.sv_no) FROM reach) GROUP BY ALL),
+k AS (SELECT sample_id, region_id, count(*) AS n_linked_chains, max(m) AS longest FROM (SELECT sample_id, region_id, root, count(*) AS m FROM c GROUP BY ALL HAVING count(*) >= 3) GROUP BY ALL),
+t AS (SELECT sample_id, region_id, count(*) FILTER (svtype = 'DUP' AND abs(pos2 - pos1) < 1000000) AS n_tandem_dups, count(*) FILTER (svtype LIKE '%INV' AND abs(pos2 - pos1) < 20000) AS n_fold_backs, count(*) AS n_total_svs FROM i GROUP BY ALL),
+x AS (SELECT r.sample_id, r.region_id, count(DISTINCT s.sv_id) AS n_inter FROM r JOIN sides s ON s.sample_id = r.sample_id AND s.chrom = r.chrom AND s.pos BETWEEN r.start AND r."end" GROUP BY ALL)
+SELECT r.*, coalesce(n_tandem_dups, 0) AS n_tandem_dups, coalesce(n_fold_backs, 0) AS n_fold_backs, coalesce(n_total_svs, 0) AS n_total_svs, coalesce(n_linked_chains, 0) AS n_linked_chains, coalesce(longest, 0) AS max_chain_length, coalesce(n_inter, 0) AS n_inter_chr_svs
+FROM r LEFT JOIN t USING (sample_id, region_id) LEFT JOIN k USING (sample_id, region_id) LEFT JOIN x USING (sample_id, region_id)""", "sv", "sides"),
+    "oscillation_permutations": (
+        """WITH c AS (SELECT sample_id, chrom, row_number() OVER w - 1 AS i, CAST(round_even(total_cn, 0) AS BIGINT) AS v FROM cnv WINDOW w AS (PARTITION BY sample_id, chrom ORDER BY start, seg_no)),
+o AS (SELECT *, 0 AS time, i AS spot FROM c UNION ALL SELECT c.*, t.time, row_number() OVER (PARTITION BY sample_id, chrom, t.time ORDER BY md5('1:' || t.time || ':' || i)) - 1 FROM c, range(1, 201) t(time)),
+s AS (SELECT *, coalesce(v = lead(v, 2) OVER w, false) AS same FROM o WINDOW w AS (PARTITION BY sample_id, chrom, time ORDER BY spot)),
+g AS (SELECT *, spot - row_number() OVER (PARTITION BY sample_id, chrom, time, same ORDER BY spot) AS island FROM s),
+b AS (SELECT sample_id, chrom, time, coalesce(max(n) FILTER (same), 0) AS best FROM (SELECT sample_id, chrom, time, same, island, count(*) AS n FROM g GROUP BY ALL) GROUP BY ALL)
+SELECT b.sample_id, b.chrom, (SELECT count(*) FROM c WHERE c.sample_id = b.sample_id AND c.chrom = b.chrom) AS n_segments, max(z.best) AS observed, round(avg(CAST(b.best >= z.best AS INT)), 6) AS pvalue
+FROM b JOIN b z ON z.sample_id = b.sample_id AND z.chrom = b.chrom AND z.time = 0 WHERE b.time > 0 GROUP BY b.sample_id, b.chrom""", "cnv"),
+    "chromosome_bounds": (
+        f"""SELECT chrom, chrom_no, CAST(shift AS BIGINT) AS start, CAST(shift + size AS BIGINT) AS end, shift + size / 2 AS middle, CAST(shift + mid AS BIGINT) AS centromere, n AS n_breakpoints FROM (
+  SELECT *, coalesce(sum(size) OVER (ORDER BY chrom_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift, [{", ".join(map(str, CENTROMERES["hg19"]))}][chrom_no] AS mid FROM genome) JOIN (SELECT chrom, count(*) AS n FROM bps GROUP BY ALL) USING (chrom)""", "genome", "bps"),
+    "position_texts": (
+        """SELECT *, CASE WHEN pos >= 1000000 THEN printf('%.2f Mb', pos / 1e6) WHEN pos >= 1000 THEN printf('%.1f Kb', pos / 1e3) ELSE pos || ' bp' END AS text FROM (
+  SELECT sample_id, sv_id, pos1 // CASE sv_no % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000 ELSE 100000 END * 10 + 3 AS pos FROM sv)""", "sv"),
+    "recurrence_order": (f"SELECT chrom, window_start, n_samples, n_collapsed_events FROM ({oracle.text('recurrent_regions')}) ORDER BY n_samples DESC, n_collapsed_events DESC, chrom, window_start", "points"),
     "gene_enrichment": (
         f"""WITH h AS ({_HITS}), s AS (SELECT DISTINCT sample_id, CAST(substr(sample_id, 2) AS INT) % 3 = 0 AS pos FROM sv),
 t AS (SELECT symbol, count(*) FILTER (pos) AS a, count(*) FILTER (NOT pos) AS b FROM h JOIN s USING (sample_id) GROUP BY symbol),

@@ -349,6 +349,25 @@ def cs_window_tests(s, d):
     return rounded(longs(w.withColumn("pvalue", p)), "gradient_correlation", "pvalue", digits=9)
 
 
+@query
+def cs_candidates(s, d):
+    """Windows with a gradient."""
+    return longs(cs.candidates(fx.cnv(s, d)).select("sample_id", "chrom", "win_size", "start_idx", "n_segments"))
+
+
+@query
+def cs_topology(s, d):
+    """Regions laid out from the variants, with what lies in them and how it is linked."""
+    end = F.expr("pos1 + 500000 + (sv_no * 7919 % 4000) * 1000 - 1")
+    r = fx.sv(s, d).where("sv_no div 6 % 3 = 2").select("sample_id", F.col("sv_no").cast("int").alias("region_id"), F.col("chrom1").alias("chrom"), F.col("pos1").alias("start"), end.alias("end"))
+    return longs(cs.topology(r, fx.sv(s, d)))
+
+
+@query
+def oscillation_permutations(s, d):
+    return rounded(longs(segments.oscillation_test(fx.cnv(s, d), times=200)), "pvalue")
+
+
 @query
 def cs_regions(s, d):
     return cs.detect(fx.sv(s, d), fx.cnv(s, d))
@@ -793,6 +812,27 @@ def hazard_forest(s, d):
     return survival.top_hazards(survival.cox_tests(survival.long_form(_features(s, d), fx.clinical(s, d))))
 
 
+@query
+def chromosome_bounds(s, d):
+    """Places of chromosomes and centromeres along the genome, with each one's variants."""
+    n = variants.breakpoints(fx.sv(s, d)).groupBy("chrom").agg(F.count("*").alias("n_breakpoints"))
+    return longs(layouts.chromosome_bounds(genome_table(s)).join(n, "chrom"))
+
+
+@query
+def position_texts(s, d):
+    """Positions as text, from bases to megabases."""
+    pos = F.expr("pos1 div CASE sv_no % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000 ELSE 100000 END * 10 + 3")  # no ties
+    return fx.sv(s, d).select("sample_id", "sv_id", pos.alias("pos")).withColumn("text", layouts.format_position(F.col("pos")))
+
+
+@query
+def recurrence_order(s, d):
+    """Recurrent regions in their order, by place."""
+    r = cohort.ordered(cohort.recurrent_regions(_points(s, d), min_samples=2), "region")
+    return r.select("chrom", "window_start", "n_samples", "n_collapsed_events")
+
+
 for _q in rules.QUERIES:
     query(_q)
 

@@ -97,6 +97,14 @@ def ct_sample_rules(s, d):
     return _rounded(ct.summarize(_spark(s, d, CRITERIA)), "max_score")
 
 
+def ct_order_rules(s, d):
+    return ct.ordered(ct.classify(_spark(s, d, CRITERIA))).select("sample_id", "chrom", F.col("place").cast("long").alias("place"))
+
+
+def cp_order_rules(s, d):
+    return cp.ordered(_spark(s, d, CHAINS)).select("sample_id", "chain_id", F.col("place").cast("long").alias("place"))
+
+
 def cp_rules(s, d):
     c = _spark(s, d, CHAINS)
     kinds = {"with_test": {}, "without_test": {"statistical": False}, "sv_only": {"sv_only": True}, "sv_only_without_test": {"statistical": False, "sv_only": True}}
@@ -251,6 +259,9 @@ SQL = {
         f"""SELECT sample_id, count(*) FILTER (classification = 'High confidence') AS n_high, count(*) FILTER (classification = 'Low confidence') AS n_low, count(*) FILTER (classification = 'Not chromothripsis') AS n_not, round(max(total), 6) AS max_score,
   coalesce(string_agg(chrom, ',' ORDER BY total DESC, chrom) FILTER (classification = 'High confidence'), '') AS high_chromosomes, coalesce(string_agg(chrom, ',' ORDER BY total DESC, chrom) FILTER (classification = 'Low confidence'), '') AS low_chromosomes
 FROM ({_CLASSED}) GROUP BY sample_id""", "sv"),
+    "ct_order_rules": (
+        f"SELECT sample_id, chrom, row_number() OVER (PARTITION BY sample_id ORDER BY CASE classification WHEN 'High confidence' THEN 1 WHEN 'Low confidence' THEN 2 ELSE 3 END, total DESC, chrom) AS place FROM ({_CLASSED})", "sv"),
+    "cp_order_rules": (f"SELECT sample_id, chain_id, row_number() OVER (PARTITION BY sample_id ORDER BY combined_score DESC, chain_id) AS place FROM ({_sql(CHAINS)})", "sv"),
     # the wording is that of the reasons in operators/chromothripsis.py
     "ct_diagnosis_rules": (
         f"""SELECT sample_id, chrom, high1 AS could_be_high1, high2 AS could_be_high2, low AS could_be_low, CASE WHEN high1 OR high2 THEN 'High confidence' WHEN low THEN 'Low confidence' ELSE 'Not chromothripsis' END AS final_classification,
@@ -340,10 +351,10 @@ LEFT JOIN ({_FUSED}) f USING (sample_id)""", "sv", "bps", "gene", "gs"),
     "top_genes": ("SELECT symbol, count(*) AS n_hits, count(DISTINCT sample_id) AS n_samples FROM hit GROUP BY symbol ORDER BY n_hits DESC, symbol LIMIT 20", "hit"),
     "gene_symbols": ("SELECT DISTINCT symbol FROM hit", "hit"),
     "quality_warnings_by_type": (
-        """SELECT sample_id, unnest(list_filter([CASE WHEN n_intra < 5 THEN 'few_intra_svs' END, CASE WHEN n_types = 1 THEN 'single_sv_type' END, CASE WHEN n_segments < 10 THEN 'few_segments' END, CASE WHEN same > 0 THEN 'unmerged_segments' END], lambda x: x IS NOT NULL)) AS issue
+        """SELECT sample_id, unnest(list_filter([CASE WHEN n_intra < 5 THEN 'few_intra_svs' END, CASE WHEN n_types = 1 THEN 'single_sv_type' END, CASE WHEN n_segments = 0 THEN 'no_segments' WHEN n_segments < 10 THEN 'few_segments' END, CASE WHEN same > 0 THEN 'unmerged_segments' END], lambda x: x IS NOT NULL)) AS issue
 FROM (SELECT sample_id || '-' || chrom1 || '-' || svtype AS sample_id, count(*) FILTER (chrom1 = chrom2) AS n_intra, count(DISTINCT svtype) AS n_types FROM sv GROUP BY ALL) LEFT JOIN (
   SELECT sample_id, count(*) AS k, count(*) FILTER (e >= nxt AND total_cn = nxt_cn) AS same FROM (SELECT *, lead(start) OVER w AS nxt, lead(total_cn) OVER w AS nxt_cn FROM (SELECT *, "end" AS e, sample_id || '-' || chrom || '-' || ['DEL', 'DUP', 'TRA'][seg_no % 3 + 1] AS sid FROM cnv)
     WINDOW w AS (PARTITION BY sid ORDER BY start, seg_no)) x(sample_id0, chrom, start, "end", total_cn, seg_no, e, sample_id, nxt, nxt_cn) GROUP BY sample_id) USING (sample_id), LATERAL (SELECT coalesce(k, 0) AS n_segments)""", "sv", "cnv"),
 }
 
-QUERIES = [ct_rules, ct_diagnosis_rules, ct_sample_rules, cp_rules, cp_diagnosis_rules, cs_rules, event_rules, event_gene_rules, gene_event_rules, artifact_rules, priority_rules, burden_rules, global_fdr_rules, summary_rules, prevalence_rules, landscape_rules, feature_rules, impact_rules, top_genes, gene_symbols, score_distribution, quality_warnings_by_type]
+QUERIES = [ct_rules, ct_order_rules, cp_order_rules, ct_diagnosis_rules, ct_sample_rules, cp_rules, cp_diagnosis_rules, cs_rules, event_rules, event_gene_rules, gene_event_rules, artifact_rules, priority_rules, burden_rules, global_fdr_rules, summary_rules, prevalence_rules, landscape_rules, feature_rules, impact_rules, top_genes, gene_symbols, score_distribution, quality_warnings_by_type]
