@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from karyoflux.functions.stats import adjacency_pvalue, fisher_combine
 from karyoflux.model import GENOME_SIZE
+from karyoflux.operators.groups import map_groups
 from karyoflux.operators.intervals import join_overlapping
 from karyoflux.operators.variants import breakpoints, inter, nodes, without_local_clusters
 
@@ -151,18 +152,19 @@ CHAIN_SCHEMA = "sample_id string, chain_id long, nodes array<string>, edge_types
 
 def chains(edges: DataFrame, min_chromosomes: int = 3, min_translocations: int = 3, max_paths: int = 50, max_depth: int = 10, max_streak: int = 3, cap: int = 20_000) -> DataFrame:
     """The chains of every sample's graph."""
+    names = [c.split()[0] for c in CHAIN_SCHEMA.split(", ")][1:]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(key=[tuple(p) for p in pdf["place"]]).sort_values("key", kind="stable")
-        rows = [(a, b, k, None if s != s else int(s)) for a, b, k, s in zip(pdf["from_node"], pdf["to_node"], pdf["edge_type"], pdf["sv_no"].astype(float), strict=True)]
-        order = sorted({x for a, b, _, _ in rows for x in (a, b)}, key=lambda n: (n.split(":")[0], int(n.split(":")[1])))
-        found = search(rows, order, min_chromosomes, min_translocations, max_paths, max_depth, max_streak, cap)
-        names = [c.split()[0] for c in CHAIN_SCHEMA.split(", ")]
-        out = pd.DataFrame(found, columns=names[1:])
-        out.insert(0, "sample_id", pdf["sample_id"].iloc[0])
-        return out
-
-    return edges.select("sample_id", "from_node", "to_node", "edge_type", "sv_no", "place").groupBy("sample_id").applyInPandas(run, CHAIN_SCHEMA)
+    def of(rows: list[tuple]) -> list[tuple]:
+        found = edge_rows(rows)
+        order = sorted({x for a, b, _, _ in found for x in (a, b)}, key=lambda n: (n.split(":")[0], int(n.split(":")[1])))
+        return [(rows[0][0], *(c[n] for n in names)) for c in search(found, order, min_chromosomes, min_translocations, max_paths, max_depth, max_streak, cap)]
+
+    return map_groups(edges.select("sample_id", "from_node", "to_node", "edge_type", "sv_no", "place"), ["sample_id"], ["place"], of, CHAIN_SCHEMA)
+
+
+def edge_rows(rows: list[tuple]) -> list[tuple[str, str, str, int | None]]:
+    """(from, to, type, variant) of rows (sample_id, from_node, to_node, edge_type, sv_no, ...); pandas has missing numbers as NaN."""
+    return [(a, b, k, None if s is None or s != s else int(s)) for _, a, b, k, s, *_ in rows]
 
 
 # -- evaluation -------------------------------------------------------------------------------------------------------------

@@ -7,14 +7,14 @@ chromosome's cluster is every component of that graph that has the chromosome's
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from karyoflux.functions.nulls import with_equal_shares_p, with_gaps_p
 from karyoflux.functions.tails import binomial_two_sided
+from karyoflux.operators.groups import map_groups
 from karyoflux.operators.intervals import join_overlapping
 from karyoflux.operators.segments import longest_runs, segments_of
 from karyoflux.operators.variants import inter, intra
@@ -101,27 +101,8 @@ def crossings(pos1: list[int], pos2: list[int]) -> list[int]:
 
 
 def _by_chromosome(sv: DataFrame, of: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
-    """of applied to the variants (sample_id, chrom, sv_id, pos1, pos2) within each chromosome of each sample.
-
-    Chromosomes come one after another in sorted partitions, many in a batch; a task holds the variants of one at a time.
-    """
-    s = intra(sv).select("sample_id", F.col("chrom1").alias("chrom"), "sv_id", "pos1", "pos2")
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
-        for pdf in batches:
-            out = []
-            for r in zip(*(pdf[c] for c in pdf.columns), strict=True):
-                if rows and r[:2] != rows[-1][:2]:
-                    out += of(rows)
-                    rows = []
-                rows.append(r)
-            yield pd.DataFrame(out, columns=names)
-        if rows:
-            yield pd.DataFrame(of(rows), columns=names)
-
-    return s.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInPandas(run, schema)
+    """of applied to the variants (sample_id, chrom, sv_id, pos1, pos2) within each chromosome of each sample."""
+    return map_groups(intra(sv).select("sample_id", F.col("chrom1").alias("chrom"), "sv_id", "pos1", "pos2"), KEYS, [], of, schema)
 
 
 def components(sv: DataFrame) -> DataFrame:

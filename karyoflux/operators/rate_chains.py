@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from karyoflux.functions.stats import fisher_combine
 from karyoflux.operators import chromoplexy as cp
+from karyoflux.operators.groups import map_groups
 from karyoflux.operators.intervals import join_overlapping
 from karyoflux.operators.variants import breakpoints, inter, nodes
 
@@ -85,14 +86,12 @@ def search(edges: list[tuple[str, str, str, int | None]], min_chromosomes: int,
 def chains(edges: DataFrame, min_chromosomes: int = 3, min_translocations: int = 3, max_paths: int = 100, max_depth: int = 10) -> DataFrame:
     schema = "sample_id string, chain_id long, nodes array<string>, edge_types array<string>, sv_nos array<long>, chromosomes array<string>, n_chromosomes long, n_translocations long"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(key=[tuple(p) for p in pdf["place"]]).sort_values("key", kind="stable")
-        rows = [(a, b, k, None if s != s else int(s)) for a, b, k, s in zip(pdf["from_node"], pdf["to_node"], pdf["edge_type"], pdf["sv_no"].astype(float), strict=True)]
-        out = pd.DataFrame(search(rows, min_chromosomes, min_translocations, max_paths, max_depth), columns=[c.split()[0] for c in schema.split(", ")][1:])
-        out.insert(0, "sample_id", pdf["sample_id"].iloc[0])
-        return out
+    names = [c.split()[0] for c in schema.split(", ")][1:]
 
-    return edges.select("sample_id", "from_node", "to_node", "edge_type", "sv_no", "place").groupBy("sample_id").applyInPandas(run, schema)
+    def of(rows: list[tuple]) -> list[tuple]:
+        return [(rows[0][0], *(c[n] for n in names)) for c in search(cp.edge_rows(rows), min_chromosomes, min_translocations, max_paths, max_depth)]
+
+    return map_groups(edges.select("sample_id", "from_node", "to_node", "edge_type", "sv_no", "place"), ["sample_id"], ["place"], of, schema)
 
 
 def evaluate(chain: DataFrame, edges: DataFrame, cnv: DataFrame | None = None) -> DataFrame:

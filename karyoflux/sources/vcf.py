@@ -127,9 +127,11 @@ def pair_breakends(parsed: DataFrame) -> DataFrame:
 def sv_from_lines(lines: DataFrame, caller: str = "auto", min_sv_size: int = 50, include_tra: bool = True) -> DataFrame:
     """The variant table (model.SV_COLUMNS and sv_no) of lines."""
     rec = records(lines)
-    who = callers(lines) if caller == "auto" else lines.select("sample_id").distinct().withColumn("caller", F.lit(caller))
+    rec = rec.join(callers(lines), "sample_id") if caller == "auto" else rec.withColumn("caller", F.lit(caller))
     # written once: text is not parsed again for every use, and the filters below don't drag the parser's expressions along
-    parsed = materialize(pair_breakends(parse(rec.join(who, "sample_id"), F.col("caller"))), "variants")
+    read = materialize(parse(rec, F.col("caller")), "variants")
+    single = read.where(F.col("mate").isNull()).drop("mate", "raw")  # most records have no mate, and needn't meet others
+    parsed = single.unionByName(pair_breakends(read.where(F.col("mate").isNotNull())))
     sv = size_filter(canonical(parsed.drop("record")), min_sv_size, include_tra)
     return sv.withColumn("sv_no", F.row_number().over(Window.partitionBy("sample_id").orderBy("chrom1", "pos1", "sv_id")).cast("long"))
 
