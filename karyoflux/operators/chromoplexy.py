@@ -7,7 +7,6 @@ caps depend on the order of steps, runs in Python, one sample at a time.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -95,52 +94,61 @@ def adjacency_list(edges: DataFrame) -> DataFrame:
 
 
 # -- chain search -----------------------------------------------------------------------------------------------------------
-def walk(start: str, around: dict[str, list[tuple[str, str, int | None]]], max_paths: int, min_nodes: int, max_depth: int, max_streak: int) -> Iterator[tuple[tuple[str, ...], tuple[str, ...], tuple]]:
-    """Simple paths from start, deepest first, translocations before bridges before adjacency, the latest edge of a kind first.
+def walk(start: int, around: list[list[tuple[int, str, int | None]]], max_paths: int, min_nodes: int, max_depth: int, max_streak: int) -> Iterator[tuple[tuple[int, ...], tuple[str, ...], tuple, int]]:
+    """Simple paths (nodes, edge types, variants, translocations) from start, deepest first; of a node's edges (around) the last first.
 
     A path counts if it has min_nodes nodes and two translocations; the walk ends after max_paths of them, whatever they're
     later used for. Paths stop at max_depth nodes, and at more than max_streak adjacency edges in a row.
     """
-    rank = {TRA: 2, BRIDGE: 1}
-    pending = [((start,), (), (), 0)]
+    pending = [((start,), (), (), 0, 0)]
     reported = 0
     while pending:
-        path, kinds, svs, streak = pending.pop()
-        if len(path) >= min_nodes and kinds.count(TRA) >= 2:
-            yield path, kinds, svs
+        path, kinds, svs, streak, tra = pending.pop()
+        if tra >= 2 and len(path) >= min_nodes:
+            yield path, kinds, svs, tra
             reported += 1
         if reported >= max_paths:
             return
         if len(path) >= max_depth:
             continue
-        for node, kind, sv_no in sorted(around.get(path[-1], ()), key=lambda n: rank.get(n[1], 0)):
+        for node, kind, sv_no in around[path[-1]]:
             run = streak + 1 if kind == ADJACENT else 0
-            if node not in path and run <= max_streak:
-                pending.append(((*path, node), (*kinds, kind), (*svs, sv_no), run))
+            if run <= max_streak and node not in path:
+                pending.append(((*path, node), (*kinds, kind), (*svs, sv_no), run, tra + (kind == TRA)))
 
 
 def search(edges: list[tuple[str, str, str, int | None]], order: list[str], min_chromosomes: int, min_translocations: int, max_paths: int, max_depth: int, max_streak: int, cap: int = 20_000) -> list[dict]:
-    """Chains of one sample's graph: from nodes with most translocations, one for each set of variants, in order of discovery."""
-    around: dict[str, list[tuple[str, str, int | None]]] = defaultdict(list)
-    degree: dict[str, int] = defaultdict(int)
+    """Chains of one sample's graph: from nodes with most translocations, one for each set of variants, in order of discovery.
+
+    At each node translocations are followed before bridges and these before adjacency, the latest edge of a kind first.
+    """
+    number = {n: i for i, n in enumerate(order)}
+    around: list[list[tuple[int, str, int | None]]] = [[] for _ in order]
+    degree = [0] * len(order)
     for a, b, kind, sv_no in edges:
-        around[a].append((b, kind, sv_no))
-        around[b].append((a, kind, sv_no))
-        for x in (a, b):
+        i, j = number[a], number[b]
+        around[i].append((j, kind, sv_no))
+        around[j].append((i, kind, sv_no))
+        for x in (i, j):
             degree[x] += kind == TRA
+    rank = {TRA: 2, BRIDGE: 1}
+    for edges_of in around:
+        edges_of.sort(key=lambda n: rank.get(n[1], 0))
+    chromosome = [n.split(":")[0] for n in order]
+    near = [{n for n, _, _ in edges_of} for edges_of in around]
     chains: list[dict] = []
-    seen: set[tuple] = set()
-    for start in sorted((n for n in order if degree[n]), key=lambda n: -degree[n]):
-        for path, kinds, svs in walk(start, around, max_paths, min_translocations, max_depth, max_streak):
-            chromosomes = list(dict.fromkeys(p.split(":")[0] for p in path))
-            used = sorted({int(s) for s in svs if s is not None})
-            if len(chromosomes) < min_chromosomes or kinds.count(TRA) < min_translocations or tuple(used) in seen:
+    seen: set[frozenset] = set()
+    for start in sorted((n for n in range(len(order)) if degree[n]), key=lambda n: -degree[n]):
+        for path, kinds, svs, tra in walk(start, around, max_paths, min_translocations, max_depth, max_streak):
+            if tra < min_translocations or (used := frozenset(svs) - {None}) in seen:
+                continue
+            chromosomes = list(dict.fromkeys(chromosome[p] for p in path))
+            if len(chromosomes) < min_chromosomes:
                 continue
-            seen.add(tuple(used))
+            seen.add(used)
             chains.append({
-                "chain_id": len(chains) + 1, "nodes": list(path), "edge_types": list(kinds), "sv_nos": used, "chromosomes": chromosomes, "n_chromosomes": len(chromosomes),
-                "n_translocations": kinds.count(TRA), "n_deletion_bridges": kinds.count(BRIDGE), "n_adjacency_edges": kinds.count(ADJACENT),
-                "is_cycle": any(n[0] == path[-1] for n in around[path[0]]),
+                "chain_id": len(chains) + 1, "nodes": [order[p] for p in path], "edge_types": list(kinds), "sv_nos": sorted(used), "chromosomes": chromosomes, "n_chromosomes": len(chromosomes),
+                "n_translocations": tra, "n_deletion_bridges": kinds.count(BRIDGE), "n_adjacency_edges": kinds.count(ADJACENT), "is_cycle": path[-1] in near[path[0]],
             })
         if len(chains) > cap:
             break
