@@ -175,6 +175,11 @@ def summary_rules(s, d):
     return integrate.summary(fx.sv(s, d), ct_calls, chains, fx.sv(s, d).where("sv_no % 19 = 0"), regions, genes.at_breakpoints(_event_points(s, d), fx.gene(s, d)))
 
 
+def result_rules(s, d):
+    """Results of laid-out summaries with the fusions of all variants."""
+    return cohort.results(summary_rules(s, d), genes.fusions(fx.sv(s, d), fx.gene(s, d)))
+
+
 def prevalence_rules(s, d):
     return _rounded(cohort.prevalence(_summary(s, d)), "fraction")
 
@@ -357,4 +362,8 @@ FROM (SELECT sample_id || '-' || chrom1 || '-' || svtype AS sample_id, count(*)
     WINDOW w AS (PARTITION BY sid ORDER BY start, seg_no)) x(sample_id0, chrom, start, "end", total_cn, seg_no, e, sample_id, nxt, nxt_cn) GROUP BY sample_id) USING (sample_id), LATERAL (SELECT coalesce(k, 0) AS n_segments)""", "sv", "cnv"),
 }
 
-QUERIES = [ct_rules, ct_order_rules, cp_order_rules, ct_diagnosis_rules, ct_sample_rules, cp_rules, cp_diagnosis_rules, cs_rules, event_rules, event_gene_rules, gene_event_rules, artifact_rules, priority_rules, burden_rules, global_fdr_rules, summary_rules, prevalence_rules, landscape_rules, feature_rules, impact_rules, top_genes, gene_symbols, score_distribution, quality_warnings_by_type]
+SQL["result_rules"] = (
+    f"""SELECT s.sample_id, overall_classification AS classification, CAST(chromothripsis_high_confidence AS DOUBLE) AS ct_hc, CAST(chromoplexy_likely AS DOUBLE) AS cp_likely, CAST(chromoanasynthesis_likely AS DOUBLE) AS cs_likely, coalesce(f.n, 0) AS n_fusions
+FROM ({SQL["summary_rules"][0]}) s LEFT JOIN ({_FUSED}) f USING (sample_id)""", *SQL["summary_rules"][1:], "gs")
+
+QUERIES = [ct_rules, ct_order_rules, cp_order_rules, ct_diagnosis_rules, ct_sample_rules, cp_rules, cp_diagnosis_rules, cs_rules, event_rules, event_gene_rules, gene_event_rules, artifact_rules, priority_rules, burden_rules, global_fdr_rules, summary_rules, result_rules, prevalence_rules, landscape_rules, feature_rules, impact_rules, top_genes, gene_symbols, score_distribution, quality_warnings_by_type]

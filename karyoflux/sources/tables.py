@@ -10,9 +10,28 @@ from pyspark.sql import functions as F
 from karyoflux.model import DEFAULT_DRIVERS
 
 
-def read_sample_sheet(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """sample_id, sv_file, cnv_file; the sample is named after its file if not given, and a repeated one is an error."""
-    s = spark.read.csv(path, header=True, sep=sep)
+def read_aligned(spark: SparkSession, path: str) -> DataFrame:
+    """A text table whose columns are set apart by any run of blanks or tabs, under a header; NA is null, as is a missing last value,
+    and text behind # is a comment. All columns are text."""
+    lines = spark.read.text(path).select(F.trim(F.regexp_replace(F.regexp_replace("value", "#.*$", ""), r"\s+", " ")).alias("line")).where("line <> ''")
+    head = lines.first()
+    if head is None:
+        raise ValueError(f"no header in {path}")
+    cells = F.split("line", " ")
+    names = head["line"].split(" ")
+    value = lambda i: F.nullif(F.get(cells, F.lit(i)), F.lit("NA"))
+    return lines.where(F.col("line") != head["line"]).select(*[value(i).alias(n.strip("\"'")) for i, n in enumerate(names)])
+
+
+def read_sample_sheet(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """sample_id, sv_file, cnv_file; the sample is named after its file if not given, and a repeated one is an error.
+
+    Without sep a .csv file has commas and any other is aligned by blanks.
+    """
+    if sep is None and not path.lower().endswith(".csv"):
+        s = read_aligned(spark, path)
+    else:
+        s = spark.read.csv(path, header=True, sep=sep or ",", nullValue="NA")
     if "sv_file" not in s.columns:
         raise ValueError("a sample sheet needs the column sv_file")
     name = F.regexp_replace(F.element_at(F.split("sv_file", "/"), -1), r"(?i)(\.vcf)?(\.b?gz)?$", "")

@@ -142,3 +142,28 @@ def test_analysis_of_a_triangle(spark):
     (f,) = found["features"].collect()
     assert (f.has_chromoplexy, f.n_chromoplexy_genes, f.has_cycle_chromoplexy_event, len(f)) == (1, 1, 1, 34)
     assert found["overlaps"].count() == 0 and analysis.analyze(sv)["results"].count() == 1
+
+
+def test_sheets_aligned_by_blanks(spark, tmp_path):
+    (tmp_path / "sheet.txt").write_text("sample_id   sv_file\t cnv_file # files\n\ns1          a/one.vcf.gz    NA\ns2\tb/two.vcf  c.vcf\n  s3   d.vcf\n")
+    got = sorted((r.sample_id, r.sv_file, r.cnv_file) for r in tables.read_sample_sheet(spark, str(tmp_path / "sheet.txt")).collect())
+    assert got == [("s1", "a/one.vcf.gz", None), ("s2", "b/two.vcf", "c.vcf"), ("s3", "d.vcf", None)]
+    (tmp_path / "names.tsv").write_text("sv_file\nx/one.vcf.gz\ny/two.VCF\n")
+    assert sorted(r.sample_id for r in tables.read_sample_sheet(spark, str(tmp_path / "names.tsv")).collect()) == ["one", "two"]
+    (tmp_path / "again.txt").write_text("sample_id sv_file\ns a\ns b\n")
+    with pytest.raises(ValueError, match="repeated samples: s"):
+        tables.read_sample_sheet(spark, str(tmp_path / "again.txt"))
+    (tmp_path / "none.txt").write_text("\n")
+    with pytest.raises(ValueError, match="no header"):
+        tables.read_sample_sheet(spark, str(tmp_path / "none.txt"))
+
+
+def test_callers_of_copy_numbers_are_told_by_their_header(spark):
+    line = "chr1\t1\ta\tN\t<DEL>\t.\tPASS\tEND=100;CN=1\tGT:CN\t0/1:7"
+    names = {"DRAGEN 3.9": "dragen", "CNVkit v0.9": "cnvkit", "GATK-CNV": "gatk", "FREEC": "freec", "Canvas 1.4": "canvas", "other": "generic"}
+    rows = [(n, x) for n in names for x in (f"##source={n}", "##INFO=<ID=CN,Number=1>", "#CHROM\tPOS", line)] + [("bare", line)]
+    lines = spark.createDataFrame(rows, "sample_id string, line string")
+    assert {r.sample_id: r.caller for r in vcf.callers(lines, vcf.CNV_CALLERS).collect()} == {**names, "bare": "generic"}
+    got = {r.sample_id: r.total_cn for r in vcf.cnv_from_lines(lines).collect()}
+    assert got == {n: 7.0 if n.startswith("DRAGEN") else 1.0 for n in [*names, "bare"]}  # dragen's FORMAT field counts first
+    assert {r.total_cn for r in vcf.cnv_from_lines(lines, "FORMAT:CN").collect()} == {7.0} and {r.total_cn for r in vcf.cnv_from_lines(lines, "INFO:CN").collect()} == {1.0}
