@@ -20,7 +20,7 @@ import itertools
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from karyoflux.llm.common import WHITE_CLASS
@@ -64,9 +64,9 @@ def mask_counts(masks: DataFrame, labels: DataFrame, identity_bit: int = 1 << le
     by_text = rows.groupBy("digest", "part", "mask", "good", "toxic").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("doc_id").isNull(), F.col("n")).otherwise(0)).alias("n_null"), F.min("doc_id").alias("first"), F.min_by("n", "doc_id").alias("n_first")
     )
-    least = by_text.groupBy("digest").agg(F.min("first").alias("least"))
+    least = F.min("first").over(Window.partitionBy("digest"))  # of a row a part and label, so texts are read once
     unlike = F.col("n_null") + F.when(F.col("first") == F.col("least"), F.col("n_first")).otherwise(0)
-    split = by_text.join(least, "digest").withColumn("unlike", unlike).withColumn("copies", F.col("n") - F.col("unlike"))
+    split = by_text.withColumn("least", least).withColumn("unlike", unlike).withColumn("copies", F.col("n") - F.col("unlike"))
     weights = {"n": F.lit(1), "good": F.col("good"), "toxic": F.col("toxic")}
     sums = split.groupBy("part", "mask").agg(*[F.sum(F.col(side) * w).alias(f"{side}_{m}") for side in ("unlike", "copies") for m, w in weights.items()])
     side = lambda s, bit: F.struct((F.col("mask") + bit).alias("mask"), *[F.col(f"{s}_{m}").alias(m) for m in weights])
