@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType
 
-from karyoflux.runtime import materialize
+from karyoflux.runtime import cleaned, materialize
 
 #: Entries times this, rounded down, are the integers.
 SCALE = 256
@@ -221,8 +221,9 @@ def _none(spark: SparkSession, shape) -> DataFrame:
 
 def components(df: DataFrame, column: str = "embedding", k: int = 4) -> DataFrame:
     """(vec_id, component, n, deviation, whitened, explained, identity_error): one row a vector and component up to k."""
-    vectors, d = fit_list(df, column)
-    model = fit(vectors, d, k)
+    with cleaned():  # the model is all that is needed of the fit list
+        vectors, d = fit_list(df, column)
+        model = fit(vectors, d, k)
     rows = whiten(df, model, column, k).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "white"))
     explained = F.array(*[F.lit(v).cast("double") for v in (model.explained()[:k] if model else [None])])
     return rows.select(
