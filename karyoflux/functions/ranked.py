@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from karyoflux.functions.tails import leading
-from karyoflux.runtime import materialize
+from karyoflux.runtime import cleaned, materialize
 
 #: Ranges that a column is cut into, and the error of the quantiles, which changes the ranges' sizes but no result.
 RANGES, QUANTILE_ERROR = 64, 0.002
@@ -80,7 +80,8 @@ def with_bh(df: DataFrame, p: str, out: str, keys: Sequence[str] = (), ranges: i
     a p that many rows share, such as 1, is broadcast to them.
     """
     keys = list(keys)
-    found = materialize(adjusted(df, p, keys, out, ranges, ordered_in_task), "adjusted")
+    with cleaned():
+        found = materialize(adjusted(df, p, keys, out, ranges, ordered_in_task), "adjusted", keep=True)
     n = found.agg(F.sum("n")).first()[0] or 0
     is_hot = F.col("n") * HOT_SHARE > n
     side = lambda few, value: few.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(p).alias("_p"), F.col(out).alias(value), F.pmod(F.hash(p), F.lit(1)).alias("_s"))
