@@ -164,6 +164,21 @@ FROM (SELECT *, count(q) OVER () AS m_, count(q) OVER (ORDER BY q) AS r_, count(
 g AS (SELECT feature, string_agg(grp || ' n=' || n || ' events=' || e, '; ' ORDER BY grp) AS groups FROM (SELECT feature, grp, count(*) AS n, CAST(sum(event) AS BIGINT) AS e FROM long GROUP BY ALL) GROUP BY feature),
 r AS (SELECT *, count(p) OVER () AS m_, count(p) OVER (ORDER BY p) AS r_ FROM t)
 SELECT feature, n, n_events, cutpoint, round(chisq, 6) AS chisq, groups, round(p, 6) AS pvalue, {_BH.format(p="p", part="", d=6)} AS fdr FROM r JOIN g USING (feature)""", "lr", "long"),
+    # Newton steps of Efron's partial likelihood on standardised values; each death k of d at one time leaves k / d of the others' deaths out
+    "hazard_forest": (
+        f"""WITH x AS (SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY sample_id) AS id, time, event, (value - avg(value) OVER (PARTITION BY feature)) / stddev_pop(value) OVER (PARTITION BY feature) AS z, stddev_pop(value) OVER (PARTITION BY feature) AS sd FROM long),
+d AS (SELECT *, row_number() OVER (PARTITION BY feature, time ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY feature, time) AS n FROM x WHERE event = 1),
+f AS (WITH RECURSIVE newton(feature, step, beta, info) AS (
+    SELECT DISTINCT feature, 0, 0.0e0, 0.0e0 FROM x UNION ALL
+    SELECT feature, step + 1, any_value(beta) + sum(z - m1 / m0) / sum(m2 / m0 - (m1 / m0) * (m1 / m0)), sum(m2 / m0 - (m1 / m0) * (m1 / m0)) FROM (
+      SELECT b.feature, b.step, b.beta, d.id, any_value(d.z) AS z, sum(w * r) AS m0, sum(w * r * jz) AS m1, sum(w * r * jz * jz) AS m2 FROM (
+        SELECT b.*, d.id, d.z, j.z AS jz, exp(b.beta * j.z) AS r, 1 - CASE WHEN j.time = d.time AND j.event = 1 THEN d.k / d.n ELSE 0 END AS w FROM newton b JOIN d ON d.feature = b.feature JOIN x j ON j.feature = d.feature AND j.time >= d.time WHERE b.step < 12) b
+      , LATERAL (SELECT b.id, b.z) d GROUP BY b.feature, b.step, b.beta, d.id) GROUP BY feature, step)
+  SELECT feature, beta, info FROM newton WHERE step = 12),
+e AS (SELECT feature, beta / sd AS b, 1 / sqrt(info) / sd AS se, n, n_events, beta * beta * info AS chisq FROM f JOIN (SELECT feature, any_value(sd) AS sd, count(*) AS n, CAST(sum(event) AS BIGINT) AS n_events FROM x GROUP BY feature) USING (feature)),
+p AS (SELECT *, {_CHI1} AS p FROM e), r AS (SELECT *, count(*) OVER () AS m_, count(*) OVER (ORDER BY p) AS r_ FROM p)
+SELECT feature, 'univariable' AS model, n, n_events, round(exp(b), 6) AS hazard_ratio, round(exp(b - 1.959963984540054 * se), 6) AS conf_low, round(exp(b + 1.959963984540054 * se), 6) AS conf_high, round(p, 6) AS pvalue, '' AS covariates, {_BH.format(p="p", part="", d=6)} AS fdr
+FROM r ORDER BY p, feature LIMIT 20""", "long"),
     "chrom_class": (
         """SELECT sample_id, chrom, string_agg(mechanism, '+' ORDER BY mechanism) AS mechanisms, arg_min(mechanism, (-best, mechanism)) AS dominant_mechanism, count(*) AS n_mechanisms, max(best) AS max_confidence, count(*) > 1 AS is_mixed
 FROM (SELECT sample_id, chrom, mechanism, max(confidence) AS best FROM calls GROUP BY ALL) GROUP BY ALL""", "calls"),

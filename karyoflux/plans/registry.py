@@ -809,7 +809,7 @@ def fusion_repair(s, d):
 
 @query
 def hazard_forest(s, d):
-    return survival.top_hazards(survival.cox_tests(survival.long_form(_features(s, d), fx.clinical(s, d))))
+    return rounded(survival.top_hazards(survival.cox_tests(survival.long_form(_features(s, d), fx.clinical(s, d)))), "hazard_ratio", "conf_low", "conf_high", "pvalue", "fdr")
 
 
 @query
