@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from karyoflux.model import CENTROMERES
-from karyoflux.plans import oracle
+from karyoflux.plans import oracle, rules
 
 _HITS = """SELECT DISTINCT b.sample_id, g.symbol FROM bps b JOIN gene g ON b.chrom = g.chrom AND b.pos + 1000 >= g.start AND b.pos - 1000 <= g."end" """
 # log probability of cell i of a 2 x 2 table with margins m, n and k
@@ -37,6 +37,40 @@ _RHO_P = """CASE WHEN rho IS NULL AND n_segments >= 3 THEN NULL WHEN n_segments
   ELSE 2 / pi() * (asin(abs(rho)) + CASE WHEN df = 1 THEN 0.0e0 ELSE abs(rho) * sqrt(1 - rho * rho) * list_sum(list_transform(range(0, (df - 1) // 2), lambda k: exp(lgamma(k + 1.0e0) + lgamma(1.5e0) - lgamma(k + 1.5e0)) * pow(1 - rho * rho, k))) END) END, 9) + 0.0 END"""
 _WINDOWS = oracle.text("cs_windows").replace("round(rho, 6) + 0.0 END", "rho END").replace("round(slope, 6) + 0.0 AS slope", "slope").replace("round(CASE WHEN cn_mean > 0 THEN jumps / cn_mean ELSE 0.0 END, 6)", "CASE WHEN cn_mean > 0 THEN jumps / cn_mean ELSE 0.0 END")
 
+# what the classes of chromosomes are made from: linked translocation ends, tests of gaps, joins and enrichment, links to other clusters
+_LINKED = """lk AS (SELECT * FROM (SELECT *, bool_or(near) OVER (PARTITION BY sample_id, chrom) AS any_near FROM (
+  SELECT s.*, s.pos BETWEEN k.start - 10000 AND k."end" + 10000 AS near FROM sides s JOIN cluster k USING (sample_id, chrom))) WHERE near OR NOT any_near)"""
+_INTER = """link AS (SELECT t.sample_id, t.chrom, t.other, t.strand1, t.strand2, f.pos AS far_pos FROM sides t JOIN cluster k USING (sample_id, chrom) JOIN sides f ON f.sample_id = t.sample_id AND f.sv_id = t.sv_id AND f.chrom = t.other
+  WHERE t.pos BETWEEN k.start - 10000 AND k."end" + 10000),
+chosen AS (SELECT w.sample_id, w.chrom, w.other, o.start AS o_start, o."end" AS o_end FROM (SELECT sample_id, chrom, other, count(*) AS n, min(far_pos) AS lo, max(far_pos) AS hi FROM link GROUP BY ALL) w
+  JOIN cluster o ON o.sample_id = w.sample_id AND o.chrom = w.other WHERE n >= 2 AND (lo >= o.start - 10000 OR hi <= o."end" + 10000)),
+kinds AS (SELECT c.sample_id, c.chrom, s.svtype FROM chosen c JOIN member m ON m.sample_id = c.sample_id AND m.chrom = c.other JOIN sv s ON s.sample_id = m.sample_id AND s.sv_id = m.sv_id
+  UNION ALL SELECT l.sample_id, l.chrom, CASE strand1 || strand2 WHEN '+-' THEN 'DEL' WHEN '-+' THEN 'DUP' WHEN '++' THEN 'h2hINV' ELSE 't2tINV' END FROM link l JOIN chosen c ON c.sample_id = l.sample_id AND c.chrom = l.chrom AND c.other = l.other),
+ij AS (SELECT * FROM (SELECT sample_id, chrom, count(*) FILTER (svtype = 'DEL') AS inter_number_del, count(*) FILTER (svtype = 'h2hINV') AS inter_number_h2hinv, count(*) FILTER (svtype = 't2tINV') AS inter_number_t2tinv, count(*) FILTER (svtype = 'DUP') AS inter_number_dup FROM kinds GROUP BY ALL)
+  JOIN (SELECT sample_id, chrom, string_agg(other, '_' ORDER BY other) AS inter_other_chroms, string_agg(other || ':' || o_start || '-' || o_end, ';' ORDER BY other || ':' || o_start || '-' || o_end) AS inter_other_chroms_coords_all FROM chosen GROUP BY ALL) USING (sample_id, chrom))"""
+_BREAKS = _GAPS[_GAPS.index("SELECT m.sample_id, m.chrom, pos1") : _GAPS.index("))\n    WHERE gap > 0")]
+_NULL_GAPS = """x AS (SELECT n, s, -ln((CAST('0x' || substr(md5('1:' || n || ':' || s || ':' || i), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496) AS v FROM (
+  SELECT n, s, unnest(range(1, n + 1)) AS i FROM ns, range(1, 1001) r(s))),
+y AS (SELECT *, 1 - exp(-v / (sum(v) OVER (PARTITION BY n, s) / n)) AS cdf, row_number() OVER (PARTITION BY n, s ORDER BY v) AS i FROM x),
+z AS (SELECT n, s, greatest(max(i / n - cdf), max(cdf - (i - 1) / n)) AS d FROM y GROUP BY n, s)"""
+_CRITERIA = f"""WITH {_LINKED}, {_INTER}, g1 AS ({_GAPS}), g2 AS ({_GAPS.replace(_BREAKS, "SELECT DISTINCT sample_id, chrom, pos FROM lk")}),
+ns AS (SELECT DISTINCT n_gaps AS n FROM (FROM g1 UNION ALL FROM g2)), {_NULL_GAPS},
+jn AS (SELECT *, join_del + join_h2hinv + join_t2tinv + join_dup AS n, join_del * join_del + join_h2hinv * join_h2hinv + join_t2tinv * join_t2tinv + join_dup * join_dup AS q FROM jc),
+inr AS (SELECT *, inter_number_del + inter_number_h2hinv + inter_number_t2tinv + inter_number_dup AS n, inter_number_del * inter_number_del + inter_number_h2hinv * inter_number_h2hinv + inter_number_t2tinv * inter_number_t2tinv + inter_number_dup * inter_number_dup AS q FROM ij),
+sizes AS (SELECT n FROM jn WHERE n > 0 UNION SELECT n FROM inr WHERE n > 0), cells AS ({_ALL_CELLS.format("sizes")}), sq AS (SELECT n, squares, sum(p) AS p FROM cells GROUP BY ALL),
+tail AS (SELECT n, squares, sum(p) OVER (PARTITION BY n ORDER BY squares DESC) AS p FROM sq),
+here AS (SELECT h.*, CASE WHEN windowed THEN n_here ELSE t.n END AS n_all, g.size / (SELECT sum(size) FROM genome) AS w FROM (SELECT sample_id, chrom, count(DISTINCT sv_id) AS n_here, bool_or(near) AS windowed FROM lk GROUP BY ALL) h
+  JOIN (SELECT sample_id, count(*) AS n FROM sv WHERE chrom1 <> chrom2 GROUP BY ALL) t USING (sample_id) JOIN genome g USING (chrom)),
+enr AS (SELECT sample_id, chrom, least(1.0, list_sum(list_filter(ps, lambda p: p <= ps[n_here + 1] * (1 + 1e-7)))) AS chr_breakpoint_enrichment FROM (
+  SELECT *, list_transform(range(0, n_all + 1), lambda i: exp(lgamma(n_all + 1) - lgamma(i + 1) - lgamma(n_all - i + 1) + i * ln(w) + (n_all - i) * ln(1 - w))) AS ps FROM here)),
+crit AS (SELECT s.sample_id, g.chrom, k.* EXCLUDE (sample_id, chrom, cluster_size), coalesce(k.cluster_size, 0) AS cluster_size, jn.number_tra, jn.n AS cluster_size_including_tra, CASE WHEN t1.p IS NOT NULL THEN least(1.0, t1.p) END AS pval_fragment_joins,
+    CASE WHEN g1.ks_d IS NOT NULL THEN ((SELECT count(*) FROM z WHERE z.n = g1.n_gaps AND z.d >= g1.ks_d) + 1) / 1001 END AS pval_exp_cluster, CASE WHEN g2.ks_d IS NOT NULL THEN ((SELECT count(*) FROM z WHERE z.n = g2.n_gaps AND z.d >= g2.ks_d) + 1) / 1001 END AS pval_exp_chr,
+    chr_breakpoint_enrichment, inr.* EXCLUDE (sample_id, chrom, n, q), CASE WHEN t2.p IS NOT NULL THEN least(1.0, t2.p) END AS inter_pval_fragment_joins, s.number_svs_sample
+  FROM (SELECT sample_id, count(*) AS number_svs_sample FROM sv GROUP BY ALL) s CROSS JOIN genome g LEFT JOIN ({oracle.text("ct_cluster_summary")}) k ON k.sample_id = s.sample_id AND k.chrom = g.chrom LEFT JOIN jn ON jn.sample_id = s.sample_id AND jn.chrom = g.chrom
+  LEFT JOIN tail t1 ON t1.n = jn.n AND t1.squares = jn.q LEFT JOIN g1 ON g1.sample_id = s.sample_id AND g1.chrom = g.chrom LEFT JOIN g2 ON g2.sample_id = s.sample_id AND g2.chrom = g.chrom LEFT JOIN enr ON enr.sample_id = s.sample_id AND enr.chrom = g.chrom
+  LEFT JOIN inr ON inr.sample_id = s.sample_id AND inr.chrom = g.chrom LEFT JOIN tail t2 ON t2.n = inr.n AND t2.squares = inr.q)"""
+_CRITERIA_TABLES = ("member", "sv", "sides", "cluster", "jc", "osc", "osc_cluster", "genome")
+
 # Chains as all simple paths: edges of a part of translocations that the small graphs are made of, then a recursion over paths.
 _FEW = """few AS (SELECT sample_id, sv_no, chrom1, pos1, chrom2, pos2 FROM sv WHERE chrom1 <> chrom2 AND sv_no % {every} = 0),
 ends AS (SELECT sample_id, sv_no, chrom1 AS chrom, pos1 AS pos FROM few UNION ALL SELECT sample_id, sv_no, chrom2, pos2 FROM few), node AS (SELECT DISTINCT sample_id, chrom, pos FROM ends),
@@ -56,6 +90,15 @@ path AS (WITH RECURSIVE walk(sample_id, nodes, svs, tra, streak) AS (
   SELECT * FROM walk WHERE tra >= 3 AND len(list_distinct(list_transform(nodes, lambda n: string_split(n, ':')[1]))) >= 3)"""
 
 _SQL = {
+    "ct_inter_joins": (f"WITH {_INTER} FROM ij", "sides", "cluster", "member", "sv"),
+    "ct_classification": (
+        f"""{_CRITERIA} SELECT * EXCLUDE (n, total, clustered, osc, joins) REPLACE ({", ".join(f"round({c} + 1e-10, 6) AS {c}" for c in ("pval_fragment_joins", "pval_exp_cluster", "pval_exp_chr", "chr_breakpoint_enrichment", "inter_pval_fragment_joins"))}),
+  round(total, 6) AS confidence_score, CASE WHEN total >= 0.7 THEN 'High' WHEN total >= 0.4 THEN 'Moderate' ELSE 'Low' END AS confidence_category FROM ({rules.classed("FROM crit")})""", *_CRITERIA_TABLES),
+    "ct_diagnostics": (f"""{_CRITERIA} {rules.SQL["ct_diagnosis_rules"][0].replace(rules.criteria_sql(), "FROM crit")}""", *_CRITERIA_TABLES),
+    "ct_sample_summary": (
+        f"""{_CRITERIA} SELECT sample_id, count(*) FILTER (classification = 'High confidence') AS n_high, count(*) FILTER (classification = 'Low confidence') AS n_low, count(*) FILTER (classification = 'Not chromothripsis') AS n_not, round(max(total), 6) AS max_score,
+  coalesce(string_agg(chrom, ',' ORDER BY total DESC, chrom) FILTER (classification = 'High confidence'), '') AS high_chromosomes, coalesce(string_agg(chrom, ',' ORDER BY total DESC, chrom) FILTER (classification = 'Low confidence'), '') AS low_chromosomes
+FROM ({rules.classed("FROM crit")}) GROUP BY sample_id""", *_CRITERIA_TABLES),
     "stat_adjacency_edges": (
         f"""WITH ends AS (SELECT sample_id, chrom, pos FROM sides), node AS (SELECT DISTINCT sample_id, chrom, pos FROM ends), {_RATES.format(ends="ends", node="node")}
 SELECT sample_id, chrom, pos, to_pos, distance, round(p, 9) AS pvalue FROM close""", "sides", "genome"),

@@ -195,17 +195,19 @@ def _criteria(s, d):
 
 @query
 def ct_classification(s, d):
-    return ct.classify(_criteria(s, d))
+    p = ["pval_fragment_joins", "pval_exp_cluster", "pval_exp_chr", "chr_breakpoint_enrichment", "inter_pval_fragment_joins"]
+    c = longs(ct.classify(_criteria(s, d)))
+    return rounded(c.withColumns({n: F.col(n) + 1e-10 for n in p}), *p, "confidence_score")  # exact p of few joins lie halfway between two roundings
 
 
 @query
 def ct_diagnostics(s, d):
-    return ct.diagnose(_criteria(s, d))
+    return ct.diagnose(_criteria(s, d)).select("sample_id", "chrom", "could_be_high1", "could_be_high2", "could_be_low", "final_classification", "blocking_reasons")
 
 
 @query
 def ct_sample_summary(s, d):
-    return ct.summarize(_criteria(s, d))
+    return rounded(ct.summarize(_criteria(s, d)), "max_score")
 
 
 # -- translocation chains ---------------------------------------------------------------------------------------------------

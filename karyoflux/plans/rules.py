@@ -239,6 +239,18 @@ _CT = f"""SELECT *, 0.20e0 * cluster_score + 0.25e0 * cn_oscillation_score + 0.2
   FROM (SELECT *, coalesce(cluster_size_including_tra, cluster_size) AS n FROM ({_sql(CRITERIA)})))"""
 _CLASSED = f"""SELECT *, CASE WHEN (cluster_size >= 6 AND osc >= 7 AND joins AND clustered) OR (cluster_size >= 3 AND coalesce(number_tra, 0) >= 4 AND osc >= 7 AND coalesce(inter_pval_fragment_joins, pval_fragment_joins) > 0.05 AND joins IS NOT NULL) THEN 'High confidence'
   WHEN cluster_size >= 6 AND osc BETWEEN 4 AND 6 AND joins AND clustered THEN 'Low confidence' ELSE 'Not chromothripsis' END AS classification FROM ({_CT})"""
+
+
+def criteria_sql() -> str:
+    """The laid-out criteria, as they stand in the SQL of the rules over them."""
+    return _sql(CRITERIA)
+
+
+def classed(source: str) -> str:
+    """The SQL of scores and classes over another table of criteria."""
+    return _CLASSED.replace(_sql(CRITERIA), source)
+
+
 _DIAGNOSED = f"""SELECT *, coalesce(osc2_cluster >= 7, false) OR coalesce(osc3_cluster >= 7, false) AS o_high, coalesce(osc2_cluster BETWEEN 4 AND 6, false) OR coalesce(osc3_cluster BETWEEN 4 AND 6, false) AS o_low FROM ({_CT})"""
 _CHAINED = f"""SELECT *, CAST(n_chromosomes >= 3 AS INT) + CAST(n_translocations >= 3 AS INT) + CAST(complexity_score >= 0.3 AS INT) AS core, coalesce(is_statistically_significant, false) AS sig,
   CAST(coalesce(cn_stability_score >= 0.7, false) AS INT) + CAST(coalesce(deletion_bridge_fraction >= 0.2, false) AS INT) AS rest FROM ({_sql(CHAINS)})"""
