@@ -223,8 +223,8 @@ p AS (SELECT *, {_CHI1} AS p FROM e), r AS (SELECT *, count(*) OVER () AS m_, co
 SELECT feature, 'univariable' AS model, n, n_events, round(exp(b), 6) AS hazard_ratio, round(exp(b - 1.959963984540054 * se), 6) AS conf_low, round(exp(b + 1.959963984540054 * se), 6) AS conf_high, round(p, 6) AS pvalue, '' AS covariates, {_BH.format(p="p", part="", d=6)} AS fdr
 FROM r ORDER BY p, feature LIMIT 20""", "long"),
     "chrom_class": (
-        """SELECT sample_id, chrom, string_agg(mechanism, '+' ORDER BY mechanism) AS mechanisms, arg_min(mechanism, (-best, mechanism)) AS dominant_mechanism, count(*) AS n_mechanisms, max(best) AS max_confidence, count(*) > 1 AS is_mixed
-FROM (SELECT sample_id, chrom, mechanism, max(confidence) AS best FROM calls GROUP BY ALL) GROUP BY ALL""", "calls"),
+        """SELECT sample_id, chrom, string_agg(mechanism, '+' ORDER BY mechanism) AS mechanisms, arg_min(mechanism, (-best, mechanism)) AS dominant_mechanism, count(*) AS n_mechanisms, max(best) AS max_confidence, CAST(sum(k) AS BIGINT) AS n_events, count(*) > 1 AS is_mixed
+FROM (SELECT sample_id, chrom, mechanism, max(confidence) AS best, count(*) AS k FROM calls GROUP BY ALL) GROUP BY ALL""", "calls"),
     "chrom_status": (
         """SELECT sample_id, chrom, CASE WHEN count(*) > 1 THEN 'mixed' ELSE max(mechanism) END AS dominant_mechanism, CAST(sum(CASE WHEN mechanism = 'chromoplexy' THEN 1 ELSE n END) AS BIGINT) AS n_events, string_agg(mechanism, ', ' ORDER BY rank) AS mechanisms_list
 FROM (SELECT sample_id, chrom, mechanism, rank, count(*) AS n FROM calls GROUP BY ALL) GROUP BY ALL""", "calls"),
