@@ -152,10 +152,12 @@ def viterbi(s: np.ndarray, switch: float) -> np.ndarray:
 
 
 def _no_better(gain: np.ndarray, switch: float) -> bool:
-    """Whether no run of words gains more by one other language than one switch costs. A path that leaves the best single
-    language pays a switch for each run in another one, so then staying is best."""
+    """Whether no path gains more than its switches cost over staying in the best single language.
+
+    A path with that language in it pays a switch for each run in another one. One without it pays a switch less, so there the first
+    and the last run together must not gain more than one switch either."""
     run = np.vstack([np.zeros(gain.shape[1]), gain.cumsum(0)])
-    return bool((run - np.minimum.accumulate(run)).max() <= switch)
+    return bool((run - np.minimum.accumulate(run)).max() <= switch and run.max() + (run[-1] - run).max() <= switch)
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = ROWS_A_LANGUAGE, letters: int = LETTERS_A_ROW, switch: float = SWITCH) -> Model:
